@@ -15,11 +15,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = len(Q.RULES)
-_ODDS = " + ".join(f"v[{j}] * ln(a[{j}] / (1 - a[{j}]))" for j in range(1, _K + 1))
-_ACC = ", ".join(
-    f"coalesce(greatest({Q.LEAST}, least({Q.MOST}, sum(c * CASE WHEN v[{j}] > 0 THEN g WHEN v[{j}] < 0 THEN 1 - g ELSE 0 END) / nullif(sum(c * abs(v[{j}])), 0))), {Q.START})"
-    for j in range(1, _K + 1)
-)
+_ODDS = " + ".join(f"CASE WHEN v[{j}] > 0 THEN ln(good[{j}] / (1 - bad[{j}])) WHEN v[{j}] < 0 THEN ln((1 - good[{j}]) / bad[{j}]) ELSE 0 END" for j in range(1, _K + 1))
+
+
+def _accuracies(part: str, right: int, bounds: tuple[float, float], start: float) -> str:
+    one = "coalesce(greatest({1}, least({2}, sum({0} * (v[{j}] = {3})::INT) / nullif(sum({0} * abs(v[{j}])), 0))), {4})"
+    return ", ".join(one.format(part, *bounds, right, start, j=j) for j in range(1, _K + 1))
+
+
+_GOOD, _BAD = _accuracies("g", 1, Q.GOOD, Q.GOOD_START), _accuracies("b", -1, Q.BAD, Q.BAD_START)
 SQL = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -45,8 +49,8 @@ grams AS (
 voted AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, [
     CASE WHEN 20 * n_symbols > n_words THEN -1 WHEN 100 * n_symbols <= n_words THEN 1 ELSE 0 END,
-    CASE WHEN 100 * n_repeat_words > 10 * n_words THEN -1 WHEN 100 * n_repeat_words <= 2 * n_words THEN 1 ELSE 0 END,
-    CASE WHEN 10 * n_dup_lines > n_lines THEN -1 WHEN n_dup_lines = 0 AND n_lines >= 2 THEN 1 ELSE 0 END,
+    CASE WHEN 100 * n_repeat_words > 15 * n_words THEN -1 WHEN 100 * n_repeat_words <= 2 * n_words THEN 1 ELSE 0 END,
+    CASE WHEN 2 * n_dup_lines > n_lines THEN -1 WHEN n_dup_lines = 0 AND n_lines >= 2 THEN 1 ELSE 0 END,
     CASE WHEN 2 * n_capitals > n_words THEN -1 WHEN 10 * n_capitals <= n_words THEN 1 ELSE 0 END,
     CASE WHEN n_words >= 20 AND 10 * n_short < n_words THEN -1 WHEN 5 * n_short >= n_words THEN 1 ELSE 0 END,
     CASE WHEN 4 * n_exclaims > n_words THEN -1 WHEN 50 * n_exclaims <= n_words THEN 1 ELSE 0 END,
@@ -54,13 +58,13 @@ voted AS (
     CASE WHEN word_chars > 12 * n_words OR word_chars < 2 * n_words THEN -1 WHEN word_chars BETWEEN 3 * n_words AND 9 * n_words THEN 1 ELSE 0 END
   ] AS v FROM full_stats
 ), patterns AS (SELECT v, count(*)::DOUBLE AS c FROM voted GROUP BY v),
-em(it, p, a) AS (
-  SELECT 0, {Q.PRIOR}::DOUBLE, list_resize(CAST([] AS DOUBLE[]), {_K}, {Q.START}::DOUBLE)
+em(it, p, good, bad) AS (
+  SELECT 0, {Q.PRIOR}::DOUBLE, list_resize(CAST([] AS DOUBLE[]), {_K}, {Q.GOOD_START}::DOUBLE), list_resize(CAST([] AS DOUBLE[]), {_K}, {Q.BAD_START}::DOUBLE)
   UNION ALL
-  SELECT it + 1, greatest(0.05, least(0.95, sum(c * g) / sum(c))), [{_ACC}]
-  FROM (SELECT it, v, c, 1 / (1 + exp(-(ln(p / (1 - p)) + {_ODDS}))) AS g FROM em, patterns WHERE it < {Q.ROUNDS}) GROUP BY it
+  SELECT it + 1, greatest({Q.SHARE[0]}, least({Q.SHARE[1]}, sum(g) / sum(g + b))), [{_GOOD}], [{_BAD}]
+  FROM (SELECT it, v, c * q AS g, c * (1 - q) AS b FROM (SELECT it, v, c, 1 / (1 + exp(-(ln(p / (1 - p)) + {_ODDS}))) AS q FROM em, patterns WHERE it < {Q.ROUNDS})) GROUP BY it
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 1 / (1 + exp(-(ln(p / (1 - p)) + {_ODDS}))) >= {Q.KEEP_AT} AS kept
-FROM voted, (SELECT p, a FROM em WHERE it = {Q.ROUNDS}) m
+FROM voted, (SELECT p, good, bad FROM em WHERE it = {Q.ROUNDS}) m
 """

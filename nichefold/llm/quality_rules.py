@@ -21,8 +21,10 @@ from nichefold.llm.common import SPACE_CLASS, free_name, let, materialise
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 RULES = ("symbols", "repeats", "dup_lines", "capitals", "short_words", "exclaims", "variety", "word_length")
-#: Start of the fit and bounds that keep each rule's direction.
-PRIOR, START, LEAST, MOST, ROUNDS = 0.8, 0.8, 0.55, 0.995, 30
+#: Starts of the fit, and bounds that keep the direction of each rule: on good documents it errs
+#: seldom, on bad ones it may well see nothing wrong, as each rule knows one kind of junk.
+PRIOR, GOOD_START, BAD_START, ROUNDS = 0.8, 0.97, 0.5, 30
+SHARE, GOOD, BAD = (0.05, 0.95), (0.8, 0.999), (0.25, 0.999)
 KEEP_AT = 0.5
 LOW = (1 << 31) - 1
 
@@ -100,8 +102,8 @@ def votes(s: Column) -> Column:
     n = s["n_words"]
     return F.array(
         rule(20 * s["n_symbols"] > n, 100 * s["n_symbols"] <= n),
-        rule(100 * s["n_repeat_words"] > 10 * n, 100 * s["n_repeat_words"] <= 2 * n),
-        rule(10 * s["n_dup_lines"] > s["n_lines"], (s["n_dup_lines"] == 0) & (s["n_lines"] >= 2)),
+        rule(100 * s["n_repeat_words"] > 15 * n, 100 * s["n_repeat_words"] <= 2 * n),
+        rule(2 * s["n_dup_lines"] > s["n_lines"], (s["n_dup_lines"] == 0) & (s["n_lines"] >= 2)),
         rule(2 * s["n_capitals"] > n, 10 * s["n_capitals"] <= n),
         rule((n >= 20) & (10 * s["n_short"] < n), 5 * s["n_short"] >= n),
         rule(4 * s["n_exclaims"] > n, 50 * s["n_exclaims"] <= n),
@@ -110,45 +112,57 @@ def votes(s: Column) -> Column:
     )
 
 
-def _log_odds(v: Column, p: Column, a: Column) -> Column:
-    odds = F.log(p / (1 - p))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), odds, lambda acc, j: acc + F.get(v, j) * F.log(F.get(a, j) / (1 - F.get(a, j))))
+def posterior(v: Column, m: Column) -> Column:
+    """The probability that a document with votes v is good, by a model m of fit()."""
 
+    def weigh(acc: Column, j: Column) -> Column:
+        good, bad = F.get(m["good"], j), F.get(m["bad"], j)
+        return acc + F.when(F.get(v, j) > 0, F.log(good / (1 - bad))).when(F.get(v, j) < 0, F.log((1 - good) / bad)).otherwise(0.0)
 
-def posterior(v: Column, p: Column, a: Column) -> Column:
-    """The probability that a document with votes v is good."""
-    return 1 / (1 + F.exp(-_log_odds(v, p, a)))
+    odds = F.aggregate(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), F.log(m["p"] / (1 - m["p"])), weigh)
+    return 1 / (1 + F.exp(-odds))
 
 
 def fit(patterns: DataFrame) -> DataFrame:
-    """One row (p, a): share of good documents and accuracies, from rows (v array<int>, c count of documents).
+    """One row with struct m (p, good, bad) from rows (v array<int>, c count of documents).
 
-    Without documents p and a keep their start.
+    p is the share of good documents; good and bad hold each rule's accuracy on either kind, over
+    the documents on which it doesn't abstain.  A rule that never votes keeps its start, as does all
+    where there are no documents.
     """
     k = len(RULES)
-    clamp = lambda x: F.greatest(F.lit(LEAST), F.least(F.lit(MOST), x))
     double = lambda c: c.cast("double")
     rows = patterns.select(F.struct("v", double(F.col("c")).alias("c")).alias("x")).agg(F.sort_array(F.collect_list("x")).alias("ps"))
 
     def add(xs: Column, of) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + of(x))
 
-    def step(state: Column, ps: Column) -> Column:
-        scored = F.transform(ps, lambda x: F.struct(x["v"].alias("v"), x["c"].alias("c"), posterior(x["v"], state["p"], state["a"]).alias("g")))
+    def within(x: Column, bounds: tuple[float, float]) -> Column:
+        return F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), x))
 
-        def improve(xs: Column) -> Column:
-            hit = lambda j: add(xs, lambda x: x["c"] * F.when(F.get(x["v"], j) > 0, x["g"]).when(F.get(x["v"], j) < 0, 1 - x["g"]).otherwise(0.0))
-            cast = lambda j: add(xs, lambda x: x["c"] * F.abs(F.get(x["v"], j)))
-            return F.struct(
-                F.greatest(F.lit(0.05), F.least(F.lit(0.95), add(xs, lambda x: x["c"] * x["g"]) / add(xs, lambda x: x["c"]))).alias("p"),
-                F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.when(cast(j) > 0, clamp(F.try_divide(hit(j), cast(j)))).otherwise(F.lit(START))).alias("a"),
-            )
+    def step(m: Column, ps: Column) -> Column:
+        scored = F.transform(ps, lambda x: F.struct(x["v"].alias("v"), (x["c"] * posterior(x["v"], m)).alias("g"), (x["c"] * (1 - posterior(x["v"], m))).alias("b")))
 
-        return let(scored, improve)
+        def accuracy(xs: Column, part: str, right: int, bounds: tuple[float, float], start: float) -> Column:
+            def of(j: Column) -> Column:
+                hit = add(xs, lambda x: x[part] * F.when(F.get(x["v"], j) == right, 1.0).otherwise(0.0))
+                cast = add(xs, lambda x: x[part] * F.abs(F.get(x["v"], j)))
+                return F.coalesce(within(F.try_divide(hit, cast), bounds), F.lit(start))
 
-    start = F.struct(F.lit(PRIOR).alias("p"), F.array_repeat(F.lit(START), k).alias("a"))
-    fitted = F.when(F.size("ps") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: step(s, F.col("ps")))).otherwise(start)
-    return rows.select(fitted.alias("m")).select("m.p", "m.a")
+            return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of)
+
+        return let(
+            scored,
+            lambda xs: F.struct(
+                within(add(xs, lambda x: x["g"]) / add(xs, lambda x: x["g"] + x["b"]), SHARE).alias("p"),
+                accuracy(xs, "g", 1, GOOD, GOOD_START).alias("good"),
+                accuracy(xs, "b", -1, BAD, BAD_START).alias("bad"),
+            ),
+        )
+
+    start = F.struct(F.lit(PRIOR).alias("p"), F.array_repeat(F.lit(GOOD_START), k).alias("good"), F.array_repeat(F.lit(BAD_START), k).alias("bad"))
+    fitted = F.when(F.size("ps") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda m, _: step(m, F.col("ps")))).otherwise(start)
+    return rows.select(fitted.alias("m"))
 
 
 def judge(stats: DataFrame, stat: str = "st") -> DataFrame:
@@ -159,8 +173,8 @@ def judge(stats: DataFrame, stat: str = "st") -> DataFrame:
     """
     with_votes = stats.withColumn("votes", votes(F.col(stat)))
     model = fit(with_votes.groupBy(F.col("votes").alias("v")).agg(F.count("*").alias("c")))
-    out = with_votes.crossJoin(F.broadcast(model.select(F.struct("p", "a").alias("model"))))
-    out = out.withColumn("quality_prob", posterior(F.col("votes"), F.col("model.p"), F.col("model.a")))
+    out = with_votes.crossJoin(F.broadcast(model.select(F.col("m").alias("model"))))
+    out = out.withColumn("quality_prob", posterior(F.col("votes"), F.col("model")))
     out = out.withColumn("base_failed", base_failed(F.col(stat)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality_prob") >= KEEP_AT)).drop("model")
 
@@ -181,8 +195,8 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     st, m = free_name(docs, "st"), free_name(docs, "model")
     counted = docs.select(votes_of(text_col).alias("v")).groupBy("v").agg(F.count("*").alias("c"))
     model = materialise(fit(materialise(counted, "patterns")), "rule-model")
-    rows = docs.withColumn(st, statistics(F.col(text_col))).crossJoin(F.broadcast(model.select(F.struct("p", "a").alias(m))))
-    good = ~base_failed(F.col(st)) & (posterior(votes(F.col(st)), F.col(f"{m}.p"), F.col(f"{m}.a")) >= KEEP_AT)
+    rows = docs.withColumn(st, statistics(F.col(text_col))).crossJoin(F.broadcast(model.select(F.col("m").alias(m))))
+    good = ~base_failed(F.col(st)) & (let(votes(F.col(st)), lambda v: posterior(v, F.col(m))) >= KEEP_AT)
     return rows.filter(good).drop(st, m)
 
 
