@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q9_rules",)
+MODULES = ("q9_rules", "q5_lines", "q2_bpe")
 
 
 def _modules():
