@@ -22,6 +22,7 @@ import re
 import sys
 import unicodedata
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
@@ -123,7 +124,7 @@ class Tokenizer:
                 of = s.removesuffix(WORD_END) if ends else s
                 (self.final if ends else self.inner)[bytes(to_byte[c] for c in of)] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.split = re.compile(_word_pattern())
+        self.split = regex.compile(WORD)
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = _Words(self)
 
@@ -186,26 +187,8 @@ def _bytes_of(tok: Tokenizer, token: int) -> str:
     return s.removesuffix(WORD_END) if s != WORD_END else s
 
 
-def _ranges(test) -> str:
-    """The code points that pass a test, as the inside of a character class."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and not 0xD800 <= c <= 0xDFFF and test(chr(c))
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-def _word_pattern() -> str:
-    """Contractions, runs of letters, single numbers, runs of anything else but white space."""
-    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N")
-    space = r"\t-\r\x20\x85\xa0  -     　"
-    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
-
+#: Contractions, runs of letters, single numbers, runs of anything else but white space (written out, as libraries differ on it).
+WORD = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
 
 _loaded: dict[str, Tokenizer] = {}
 
