@@ -124,7 +124,7 @@ class Tokenizer:
                 of = s.removesuffix(WORD_END) if ends else s
                 (self.final if ends else self.inner)[bytes(to_byte[c] for c in of)] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.split = regex.compile(WORD)
+        self.find_words = _find_words()
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = _Words(self)
 
@@ -160,7 +160,7 @@ class Tokenizer:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # one character at a time: no final sigma
-        return b"".join(map(self.words.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.words.__getitem__, self.find_words(text)))
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, one space between."""
@@ -187,8 +187,31 @@ def _bytes_of(tok: Tokenizer, token: int) -> str:
     return s.removesuffix(WORD_END) if s != WORD_END else s
 
 
-#: Contractions, runs of letters, single numbers, runs of anything else but white space (written out, as libraries differ on it).
-WORD = r"\p{L}+|\p{N}|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+#: White space, written out as libraries differ on it; contractions, runs of letters, single numbers, runs of anything else.
+SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORD = "[{L}]+|[{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{S}{L}{N}]+"
+
+
+def _ranges(major: str) -> str:
+    """The code points of a Unicode category, as the inside of a character class."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+def _find_words():
+    """Finds a text's words: by the faster library where its newer Unicode tables agree, below U+0530."""
+    fast = regex.compile(WORD.format(L=r"\p{L}", N=r"\p{N}", S=SPACE)).findall
+    exact = re.compile(WORD.format(L=_ranges("L"), N=_ranges("N"), S=SPACE)).findall
+    beyond = re.compile("[\u0530-\U0010ffff]").search
+    return lambda text: exact(text) if beyond(text) else fast(text)
+
 
 _loaded: dict[str, Tokenizer] = {}
 
