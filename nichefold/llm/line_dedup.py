@@ -41,7 +41,7 @@ def pack(dropped: list[int]) -> bytes:
     """A compressed keep bitmap: bit i is 1 if line i stays; lines after the last bit stay."""
     import numpy as np
 
-    keep = np.ones(max(dropped) + 1, dtype=bool)
+    keep = np.ones((max(dropped) // 8 + 1) * 8, dtype=bool)
     keep[dropped] = False
     return zlib.compress(np.packbits(keep).tobytes(), 6)
 
