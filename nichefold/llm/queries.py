@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q9_rules", "q5_lines", "q2_bpe", "q1_mixing")
+MODULES = ("q9_rules", "q5_lines", "q2_bpe", "q1_mixing", "q10_warc", "q4_media")
 
 
 def _modules():
