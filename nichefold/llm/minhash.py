@@ -7,8 +7,9 @@ its earliest dart.  Cells are thrown in order of time until all coordinates are
 COORDS * ln(COORDS) darts whatever its length, and two texts agree on a coordinate with the probability of their weighted Jaccard similarity.
 
 Join.  Coordinates are hashed in BANDS bands; texts that share a band meet in its bucket.  Equal texts are one node from the start.
-A bucket with several nodes links each to its hub (the least node, in one of four orders that differ by band), never all pairs.  Links are checked
-exactly on the shingle sets.  Buckets whose nodes aren't all connected then compare nodes across components by their whole signatures,
+A bucket with several nodes ties each to its hub (the least node, in one of four orders that differ by band), never all pairs.  A node is
+first checked, exactly and on whole shingle sets, against the hub it shares most bands with; its other hubs only where they are
+still in another component.  Buckets whose nodes aren't all connected then compare what stands apart with the rest by whole signatures,
 in blocks of bounded size, and what may still be similar is checked exactly as well.  So texts of similarity
 THRESHOLD or more are linked directly or through others, but for pairs that share no band: one in 10^5 at the threshold, fewer above.
 Components come from label propagation with pointer jumping on node tables; nothing but counts reaches the driver.
@@ -34,7 +35,7 @@ COORDS = BANDS * ROWS
 #: Signature agreement below which a pair isn't looked at: five standard errors under the threshold.
 LIKELY = 0.67
 #: Rows of a bucket that meet in one task at a time.
-BLOCK = 1000
+BLOCK = 500
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
 ORDERS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x1B873593CC9E2D51)
 FIRST_CELL = -12
@@ -234,22 +235,28 @@ class NearDuplicates:
         one = self.signed.select("node", "bands").distinct()
         return one.select("node", F.posexplode("bands").alias("band", "key"))
 
-    def hub_pairs(self) -> tuple[DataFrame, DataFrame]:
-        """Buckets of several nodes (key, hub), and the pairs of their nodes with the hub."""
+    def hubs(self) -> tuple[DataFrame, DataFrame]:
+        """The nodes of buckets that hold several (key, node, hub), and in how many bands a node has a hub (node, hub, shared)."""
         rows = self.banded().withColumn("r", F.col("node").bitwiseXOR(_order(F.col("band"))))
         buckets = rows.groupBy("key", "band").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi")
         buckets = materialise(buckets.select("key", F.col("lo").bitwiseXOR(_order(F.col("band"))).alias("hub")), "buckets")
         members = materialise(self.banded().join(buckets, "key").select("key", "node", "hub"), "members")
-        pairs = members.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        return members, materialise(pairs, "hub-pairs")
+        ties = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
+        return members, materialise(ties, "ties")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose texts are similar, by their whole shingle sets."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # One row stands for all copies of a text.
-        chosen = wanted.join(self.nodes.select("node", F.col("id").alias("first")), "node")
+    @staticmethod
+    def as_pairs(ties: DataFrame) -> DataFrame:
+        return ties.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    def shingle_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, s): the shingle sets of these nodes; texts move once, and one row stands for all copies of a text."""
+        chosen = nodes.join(self.nodes.select("node", F.col("id").alias("first")), "node")
         rows = self.body.join(chosen, (self.body["node"] == chosen["node"]) & self.body["id"].eqNullSafe(chosen["first"]), "left_semi")
-        sets = materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+        return materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+
+    @staticmethod
+    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose texts are similar, by their whole shingle sets."""
         left = pairs.join(sets.toDF("a", "sa"), "a")
         both = left.join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return materialise(both.mapInArrow(_check, "a long, b long"), "links")
@@ -269,30 +276,51 @@ class NearDuplicates:
             if done.filter("moved").isEmpty():
                 return labels
 
+    @staticmethod
+    def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose nodes are in different components; a node without a link is its own."""
+        named = lambda c: labels.toDF(c, f"l{c}")
+        rows = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        return rows.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
     def open_pairs(self, members: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs across components within buckets whose signatures leave a link possible, but for those tried."""
+        """Pairs across components within buckets whose signatures leave a link possible, but for those tried.
+
+        A bucket's nodes of the least label, most of a large group, don't meet each other: the others, in blocks, meet all nodes, in blocks.
+        """
         rows = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = materialise(rows, "bucket-labels")
-        split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-        split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
+        rows = materialise(rows.join(split, "key"), "split-buckets")
+        others = rows.filter("label <> lo").groupBy("key").agg(F.count("*").alias("m"))
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        place = lambda c: F.pmod(F.xxhash64("node"), F.col(c).cast("long")).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        rows = rows.join(others, "key").select("key", "node", "label", "lo", blocks("n").alias("nb"), blocks("m").alias("mb"))
+        apart = rows.filter("label <> lo").select("key", place("mb").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "node", "label")
+        whole = rows.select("key", each("mb").alias("i"), place("nb").alias("j"), F.lit(1).alias("side"), "node", "label")
         brief = self.signed.select("node", "sig").distinct()
-        rows = rows.join(split, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-        # A block meets every block of its bucket once; buckets of one block, nearly all, aren't copied.
-        meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-        rows = rows.withColumn("at", F.explode(meets)).join(brief, "node")
-        rows = rows.select("key", "at.i", "at.j", "node", "label", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        rows = apart.unionByName(whole).join(brief, "node").select("key", "i", "j", "side", "node", "label", "sig")
+        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = rows.mapInArrow(_likely, "a long, b long").distinct()
         return materialise(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
 
     def classes(self) -> DataFrame:
         """(node, id, copies, label): every different text with its least id, its number of rows and its component."""
-        members, pairs = self.hub_pairs()
-        links = self.links(pairs)
+        members, ties = self.hubs()
+        best = ties.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("m")).select("node", F.col("m.hub").alias("hub"))
+        pairs = materialise(self.as_pairs(best), "best-pairs")
+        sets = self.shingle_sets(members.select("node").distinct())
+        links = self.links(pairs, sets)
         labels = self.components(links)
-        more = self.open_pairs(members, labels, pairs)
-        if not more.isEmpty():
-            links = links.unionByName(self.links(more))
-            labels = self.components(links)
+        tried = pairs
+        rest = materialise(self.across(self.as_pairs(ties), labels).join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+        for more in (lambda: rest, lambda: self.open_pairs(members, labels, tried)):
+            found = more()
+            if not found.isEmpty():
+                links = links.unionByName(self.links(found, sets))
+                labels = self.components(links)
+                tried = tried.unionByName(found)
         return self.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
@@ -300,29 +328,32 @@ def _likely(batches):
     """Pairs of one block pair whose labels differ and whose signatures agree on LIKELY of the coordinates; rows come sorted by block pair."""
     import pyarrow as pa
 
-    def compare(rows):
-        node = np.array([r[0] for r in rows], dtype=np.int64)
-        label = np.array([r[1] for r in rows], dtype=np.int64)
+    def arrays(rows):
         sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(len(rows), COORDS)
-        for i in range(len(rows) - 1):
-            near = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-            if len(near):
-                near = near[(sig[near] == sig[i]).mean(axis=1) >= LIKELY]
-                for j in near:
-                    yield min(node[i], node[j]), max(node[i], node[j])
-
-    group, rows, out = None, [], set()
+        return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), sig
+
+    def compare(sides):
+        if not sides[0] or not sides[1]:
+            return
+        (a, la, sa), (b, lb, sb) = map(arrays, sides)
+        for i in range(len(a)):
+            near = np.flatnonzero(lb != la[i])
+            near = near[(sb[near] == sa[i]).mean(axis=1) >= LIKELY]
+            for j in near:
+                yield min(a[i], b[j]), max(a[i], b[j])
+
+    group, sides, out = None, ([], []), set()
     for b in batches:
         columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for key, i, j, node, label, sig in zip(*columns, strict=True):
+        for key, i, j, side, node, label, sig in zip(*columns, strict=True):
             if (key, i, j) != group:
-                out.update(compare(rows))
-                group, rows = (key, i, j), []
-            rows.append((node, label, sig))
+                out.update(compare(sides))
+                group, sides = (key, i, j), ([], [])
+            sides[side].append((node, label, sig))
         if len(out) > 100_000:
             yield _pairs(pa, out)
             out = set()
-    out.update(compare(rows))
+    out.update(compare(sides))
     yield _pairs(pa, out)
 
 
