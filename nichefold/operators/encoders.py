@@ -18,9 +18,10 @@ BUCKETS, STATS, SIDES = 256, 27, 48
 
 
 def text_buckets(text: Column) -> Column:
-    """The bucket of each word of a lower-cased text: a polynomial of its code points, which any engine repeats."""
+    """The bucket of each word of a lower-cased text: its code points weighted by position, which any engine repeats."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.aggregate(F.split(w, ""), F.lit(7).cast("long"), lambda h, c: (h * 31 + F.ascii(c)) % 1000003) % BUCKETS)
+    code = lambda w: F.aggregate(F.transform(F.split(w, ""), lambda c, i: F.ascii(c) * (i * 37 + 11)), F.lit(0), lambda acc, x: acc + x)
+    return F.transform(words, lambda w: (code(w) % BUCKETS).cast("long"))
 
 
 def hash_text(rows: DataFrame, dim: int, text_col: str = "text", seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichefold.config import LINEAGES, NICHES
+from nichefold.sources.stage import stage
 
 #: Points that a grid square and its eight neighbours hold on average in the first round, as a multiple of k.
 CROWD = 4.0
@@ -41,9 +42,9 @@ def knn_edges(points: DataFrame, k: int, store=None) -> DataFrame:
 
     Points look in their own and touching grid squares; a point is done when its k-th neighbour is no farther than a square is wide, since
     nothing nearer can lie beyond.  The rest look again with squares twice as wide, until the squares cover everything.  store(df)
-    writes and reads back a round's result (by default it is cached).
+    writes and reads back a round's result.
     """
-    store = store or (lambda df: df.cache())
+    store = store or stage
     n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n:
         return points.sparkSession.createDataFrame([], "cell_id long, nbr_id long, d2 double, rnk int")

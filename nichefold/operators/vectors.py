@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nichefold.config import variant_specs
 from nichefold.functions.exprs import EPS, l2_normalise
@@ -40,11 +41,13 @@ def _score_batches(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str,
     ids, q = _held_queries(queries, q_id, q_vec)
     shared = items.sparkSession.sparkContext.broadcast((ids, q))
     kinds = dict(queries.dtypes)[q_id], dict(items.dtypes)[i_id]
+    q_type = to_arrow_type(queries.schema[q_id].dataType)
 
     def run(batches):
         import pyarrow as pa
 
         ids, q = shared.value
+        names = pa.array(ids, q_type)
         for b in batches:
             if not b.num_rows or not ids:
                 continue
@@ -58,10 +61,10 @@ def _score_batches(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str,
                 rows = [np.flatnonzero(s[i] >= border[i]) for i in range(len(s))]
                 at = np.repeat(np.arange(len(s)), [len(r) for r in rows])
                 cols = np.concatenate(rows)
-                yield pa.record_batch([pa.array(ids).take(pa.array(at)), b.column(0).take(pa.array(cols)), pa.array(s[at, cols])], names=["query_id", "item_id", "score"])
+                yield pa.record_batch([names.take(pa.array(at)), b.column(0).take(pa.array(cols)), pa.array(s[at, cols])], names=["query_id", "item_id", "score"])
                 continue
             at = np.repeat(np.arange(len(s)), b.num_rows)
-            yield pa.record_batch([pa.array(ids).take(pa.array(at)), b.column(0).take(pa.array(pick.ravel())), pa.array(s.ravel())], names=["query_id", "item_id", "score"])
+            yield pa.record_batch([names.take(pa.array(at)), b.column(0).take(pa.array(pick.ravel())), pa.array(s.ravel())], names=["query_id", "item_id", "score"])
 
     return items.select(i_id, i_vec).mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
 

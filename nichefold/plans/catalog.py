@@ -3,17 +3,621 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nichefold.config import LINEAGES, NICHES, PROMPTS
+from nichefold.functions.exprs import half_even, half_up, stable_hash, stable_unit
+from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, vectors
+from nichefold.plans import fixtures as X
+from nichefold.plans import oracles
+from nichefold.sources import cells as sources
+from nichefold.sources.stage import stage
+from nichefold.streaming.events import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def six(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df with doubles on so many decimals."""
+    return df.select(*[half_up(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+def _typed(s: SparkSession, d: str) -> X.Labelled:
+    return X.Labelled(s, d)
+
+
+def _unpivot(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("d", "v")).select(key, (F.col("d") + 1).cast("long").alias("d"), "v")
+
+
+def _times(vec: str, k: float):
+    return F.transform(vec, lambda x: x * k)
+
+
+# ---- expression ----
+
+
+@query
+def cell_qc_filter(s, d):
+    totals = expression.library_totals(X.counts(s, d)).withColumnRenamed("total", "transcript_counts")
+    cells = X.cells(s, d).join(totals, "cell_id").select("cell_id", "transcript_counts", F.abs("x").alias("cell_area"))
+    return expression.qc_filter(cells, 1000, 100)
+
+
+@query
+def align_left_anti(s, d):
+    return expression.unmatched_cells(X.cells(s, d), X.counts(s, d).filter("gene <= 3")).select("cell_id")
+
+
+def _half_panel(s, d):
+    rows = X.table(s, d, "part").filter("p_size < 40").select(F.substring("p_brand", 7, 9).cast("int").alias("gene"))
+    return rows.filter("gene % 2 = 1")
+
+
+@query
+def panel_intersection(s, d):
+    return expression.panel_markers(X.markers(s), _half_panel(s, d)).select("lineage", "gene")
+
+
+@query
+def panel_dropped(s, d):
+    return expression.dropped_markers(X.markers(s), _half_panel(s, d)).select("lineage", "gene")
+
+
+@query
+def library_totals(s, d):
+    return expression.library_totals(X.counts(s, d))
+
+
+@query
+def lognorm_expression(s, d):
+    return six(expression.normalise(X.counts(s, d)))
+
+
+@query
+def gene_stats(s, d):
+    return six(_typed(s, d).stats)
+
+
+@query
+def zscore_dense(s, d):
+    t = _typed(s, d)
+    return six(expression.zscores(t.cells, t.lognorm, t.stats))
+
+
+@query
+def marker_scores(s, d):
+    return six(_typed(s, d).scores.select("cell_id", "lineage", "score"))
+
+
+@query
+def wide_scores(s, d):
+    return six(expression.wide_scores(_typed(s, d).scores, LINEAGES))
+
+
+@query
+def cell_types(s, d):
+    return six(_typed(s, d).types)
+
+
+@query
+def cell_type_counts(s, d):
+    return expression.type_counts(_typed(s, d).types)
+
+
+@query
+def proliferation_flag(s, d):
+    return six(_typed(s, d).state)
+
+
+@query
+def dataset_stats(s, d):
+    t = _typed(s, d)
+    one = lambda df, *aggs: df.agg(*aggs)
+    kinds = [F.count_if(F.col("cell_type") == x).cast("string").alias(f"n_{x}") for x in [*LINEAGES, "unknown"]]
+    parts = [
+        one(t.cells, F.count("*").cast("string").alias("n_cells")),
+        one(t.counts, F.count_distinct("gene").cast("string").alias("n_genes")),
+        one(t.state, F.count_if("is_proliferating").cast("string").alias("n_proliferating")),
+        one(expression.library_totals(t.counts), F.median("total").cast("long").cast("string").alias("median_transcripts")),
+        one(t.types, *kinds),
+    ]
+    rows = [p.unpivot([], p.columns, "stat", "value") for p in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+# ---- space ----
+
+
+@query
+def knn_edges(s, d):
+    return six(spatial.knn_edges(X.cells(s, d), X.SETTINGS.k))
+
+
+@query
+def knn_composition(s, d):
+    t = _typed(s, d)
+    return six(spatial.composition(t.cells, t.edges(), t.types))
+
+
+@query
+def niche_labels(s, d):
+    t = _typed(s, d)
+    comp = spatial.composition(t.cells, t.edges(), t.types)
+    return spatial.niche_labels(comp, t.settings.niche).select("cell_id", *[f"niche_{n}" for n in NICHES], "niche_label")
+
+
+@query
+def radius_edges(s, d):
+    return six(spatial.radius_edges(X.cells(s, d), X.SETTINGS.radius))
+
+
+@query
+def radius_composition(s, d):
+    t = _typed(s, d)
+    return six(spatial.composition(t.cells, spatial.radius_edges(t.cells, t.settings.radius), t.types))
+
+
+@query
+def neighbor_average(s, d):
+    points = X.cells(s, d)
+    edges = spatial.knn_edges(points, X.SETTINGS.k).filter("rnk <= 5")
+    vecs = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding")
+    near = edges.select("cell_id", "nbr_id").unionByName(points.select("cell_id", F.col("cell_id").alias("nbr_id")))
+    means = near.join(vecs.withColumnRenamed("cell_id", "nbr_id"), "nbr_id").groupBy("cell_id").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(X.DIM)])
+    return six(_unpivot(means.select("cell_id", F.array(*[f"m{i}" for i in range(X.DIM)]).alias("v")), "cell_id", "v"))
+
+
+@query
+def grid_folds(s, d):
+    return sampling.tile_folds(spatial.grid_tiles(X.cells(s, d), 500.0)).select("cell_id", "tile", "fold")
+
+
+@query
+def fold_sizes(s, d):
+    return sampling.kfold(X.cells(s, d), "cell_id").groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query
+def buffer_exclusion(s, d):
+    points = X.cells(s, d)
+    return spatial.outside_buffer(points, sampling.kfold(points, "cell_id"), 0, 20.0).select("cell_id")
+
+
+@query
+def scale_pixels(s, d):
+    return six(spatial.to_pixels(X.cells(s, d), 0.363788))
+
+
+@query
+def affine_pixels(s, d):
+    return six(spatial.to_pixels_affine(X.cells(s, d), oracles.AFFINE))
+
+
+@query
+def kmeans_regions(s, d):
+    return spatial.kmeans_regions(X.cells(s, d), 5, 0, starts=3)
+
+
+# ---- sampling ----
+
+
+@query
+def stratified_pool(s, d):
+    t = _typed(s, d)
+    return sampling.build_pool(t.types, t.settings.pool_size).select("cell_id", "cell_type", "pool_idx")
+
+
+@query
+def kfold_assign(s, d):
+    return sampling.kfold(X.item_vectors(s, d), "item_id")
+
+
+@query
+def uniform_subset(s, d):
+    return sampling.uniform_subset(X.cells(s, d), "cell_id", 50, 3).select("cell_id")
+
+
+# ---- vectors ----
+
+
+def _label_queries(s, d) -> tuple[DataFrame, DataFrame]:
+    items = vectors.with_unit(X.item_vectors(s, d))
+    return items, vectors.group_centroids(items, "label", X.DIM).withColumnRenamed("label", "query_id")
+
+
+@query
+def l2_normalize(s, d):
+    return six(_unpivot(vectors.with_unit(X.item_vectors(s, d)), "item_id", "unit"))
+
+
+@query
+def cosine_scores(s, d):
+    items, queries = _label_queries(s, d)
+    return six(vectors.cosine_scores(items, queries))
+
+
+@query
+def cosine_topk(s, d):
+    items, queries = _label_queries(s, d)
+    return six(vectors.cosine_top(items, queries, 15))
+
+
+@query
+def hash_text_features(s, d):
+    rows = X.queries(s).select("query_id", F.explode(encoders.text_buckets(F.col("query_text"))).alias("bucket"))
+    return rows.groupBy("query_id", "bucket").agg(F.count("*").alias("n"))
+
+
+def _prompt_vectors(s) -> DataFrame:
+    texts = X.queries(s).select("query_id", "query_text")
+    return vectors.prompt_ensemble(texts, PROMPTS, lambda df: encoders.hash_text(df, oracles.TEXT_DIM), oracles.TEXT_DIM)
+
+
+@query
+def prompt_ensemble(s, d):
+    return six(_unpivot(_prompt_vectors(s), "query_id", "qvec").withColumn("d", F.col("d") - 1))
+
+
+@query
+def feature_variants(s, d):
+    return vectors.available_variants(vectors.spec_table(s), s.createDataFrame([(b,) for b in oracles.HAVE], "block string"))
+
+
+@query
+def assemble_blocks(s, d):
+    base = X.item_vectors(s, d).select(F.col("item_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    blocks = reduce(DataFrame.unionByName, [base.select("cell_id", F.lit(n).alias("block"), _times("v", k).alias("vec")) for k, n in ((3, "plip_medium"), (1, "biomedclip_medium"), (2, "biomedclip_neighborhood"))])
+    out = vectors.assemble(blocks, ["biomedclip_medium", "biomedclip_neighborhood", "missing", "plip_medium"])
+    at = lambda i: F.get("feature", F.lit(i))
+    return six(out.select(F.col("cell_id").alias("item_id"), F.size("feature").alias("n"), at(0).alias("first"), at(64).alias("second"), at(191).alias("last")))
+
+
+# ---- queries, relevance, scores ----
+
+
+@query
+def query_set(s, d):
+    return sources.query_set(s)
+
+
+@query
+def query_set_counts(s, d):
+    return sources.query_set(s).groupBy("task_type", "split").agg(F.count("*").alias("n"))
+
+
+class _Bench:
+    """The labelled cells, the pool, the queries and what is relevant to them."""
+
+    def __init__(self, s, d):
+        self.t = X.Labelled(s, d)
+        self.labelled = self.t.all()
+        self.pool = self.t.pool(self.labelled)
+        self.queries = stage(X.queries(s), "queries")
+        relevance.check_queries(self.queries)
+        self.rel = relevance.relevance(self.queries, self.pool, self.t.lognorm, self.t.stats, self.t.settings.gene_quantile)
+
+    def oracle(self):
+        return relevance.transcript_scores(self.queries, self.pool, self.t.lognorm, LINEAGES)
+
+    def random(self):
+        return relevance.random_scores(self.queries, self.pool, self.t.settings.seed)
+
+    def scores(self):
+        return six(self.oracle().withColumn("baseline", F.lit("oracle"))).unionByName(six(self.random().withColumn("baseline", F.lit("random"))))
+
+    def per_query(self):
+        rows = metrics.evaluate(self.scores(), self.rel, self.t.settings.ks, self.t.settings.ndcg_k, ["baseline", "query_id"])
+        return six(rows)
+
+    def described(self):
+        return self.per_query().join(F.broadcast(self.queries.select("query_id", "task_type", "split")), "query_id")
+
+
+@query
+def relevance_rows(s, d):
+    return _Bench(s, d).rel
+
+
+_queries["relevance"] = _queries.pop("relevance_rows")
+
+
+@query
+def oracle_scores(s, d):
+    return six(_Bench(s, d).oracle())
+
+
+@query
+def random_scores(s, d):
+    return six(_Bench(s, d).random())
+
+
+# ---- metrics ----
+
+
+def _vector_scores(s, d) -> tuple[DataFrame, DataFrame]:
+    items, queries = _label_queries(s, d)
+    cos = stage(six(vectors.cosine_scores(items, queries)), "cosines")
+    noise = cos.select("query_id", "item_id", (stable_hash(F.col("item_id") * 64 + F.col("query_id")) / F.lit(2147483647.0)).alias("score"))
+    scores = cos.withColumn("baseline", F.lit("biomedclip")).unionByName(six(noise).withColumn("baseline", F.lit("random")))
+    rel = cos.select("query_id", "item_id").join(F.broadcast(items.select("item_id", "label")), "item_id").select("query_id", "item_id", (F.col("query_id") == F.col("label")).alias("rel"))
+    return scores, rel
+
+
+def _vector_metrics(s, d) -> DataFrame:
+    scores, rel = _vector_scores(s, d)
+    return six(metrics.evaluate(scores, rel, X.SETTINGS.ks, 10, ["baseline", "query_id"]))
+
+
+@query
+def rank_metrics(s, d):
+    return _vector_metrics(s, d)
+
+
+@query
+def metrics_per_query(s, d):
+    return _Bench(s, d).per_query()
+
+
+@query
+def metrics_main(s, d):
+    return metrics.main_table(_Bench(s, d).described())
+
+
+@query
+def metrics_by_split(s, d):
+    return six(metrics.macro(_Bench(s, d).described(), ["baseline", "split"]))
+
+
+@query
+def metrics_by_task(s, d):
+    return six(metrics.macro(_Bench(s, d).described(), ["baseline", "task_type"]))
+
+
+@query
+def metrics_grouping_sets(s, d):
+    return six(metrics.grouped_tables(_Bench(s, d).described()))
+
+
+@query
+def metrics_ablation(s, d):
+    return metrics.ablation(_vector_metrics(s, d))
+
+
+@query
+def majority_vote(s, d):
+    rows = _typed(s, d).types.withColumn("cluster", F.col("cell_id") % 12)
+    return expression.majority(rows, "cluster", "cell_type")
+
+
+@query
+def agreement_matrix(s, d):
+    t = _typed(s, d)
+    types = t.types
+    types = stage(types, "types")
+    niches = spatial.niche_labels(spatial.composition(t.cells, t.edges(), types), t.settings.niche)
+    return six(expression.agreement(types.join(niches, "cell_id"), "cell_type", "niche_label"))
+
+
+@query
+def expression_r2(s, d):
+    rows = expression.normalise(X.counts(s, d)).withColumn("guess", 0.5 * F.col("v") + 0.1)
+    return six(metrics.r_squared(rows, "v", "guess", "gene"))
+
+
+# ---- statistics ----
+
+
+def _ap(s, d) -> DataFrame:
+    return stage(_vector_metrics(s, d).select("baseline", "query_id", F.col("mAP").alias("value")), "precision")
+
+
+@query
+def bootstrap_ci(s, d):
+    return six(stats.bootstrap_ci(_ap(s, d), ["baseline"], oracles.BOOT), 11)
+
+
+@query
+def paired_bootstrap(s, d):
+    out = stats.paired_bootstrap(_ap(s, d), "baseline", "biomedclip", rounds=oracles.BOOT)
+    return six(out.withColumn("sig", stats.stars(F.col("p_value"))), 11)
+
+
+@query
+def significance_table(s, d):
+    out = stats.significance_table(stage(_vector_metrics(s, d), "metrics"), ["mAP"], oracles.BOOT)
+    return out.select("method", F.col("mAP").alias("map_text"))
+
+
+# ---- heads ----
+
+
+@query
+def ridge_oof_2d(s, d):
+    items = X.item_vectors(s, d)
+    rows = items.join(sampling.kfold(items, "item_id"), "item_id")
+    xy = rows.select("item_id", "fold", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("x"), F.array((F.col("label") == 3).cast("double")).alias("y"))
+    return six(heads.ridge_oof(xy, 1).select("item_id", "score"))
+
+
+def _labelled_vectors(s, d) -> DataFrame:
+    items = X.item_vectors(s, d)
+    rows = items.join(sampling.kfold(items, "item_id"), "item_id")
+    return rows.select("item_id", "label", "fold", F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.array(*[(F.col("label") == i).cast("double") for i in range(10)]).alias("y"))
+
+
+@query
+def ridge_oof(s, d):
+    return six(heads.ridge_oof(_labelled_vectors(s, d), 10))
+
+
+@query
+def logistic_oof(s, d):
+    pool = heads.collect_pool(_labelled_vectors(s, d), 10)
+    return six(heads.head_oof(s, pool, [str(i) for i in range(10)], "logistic"))
+
+
+@query
+def mlp_oof(s, d):
+    pool = heads.collect_pool(_labelled_vectors(s, d), 10)
+    return six(heads.head_oof(s, pool, [str(i) for i in range(10)], "mlp", epochs=60, hidden=64))
+
+
+@query
+def openvocab_oof(s, d):
+    rows = _labelled_vectors(s, d)
+    pool = heads.collect_pool(rows, 10)
+    rng = np.random.default_rng(0)
+    words = {str(i): v / np.linalg.norm(v) for i, v in enumerate(rng.standard_normal((8, 32)))}  # labels 8 and 9 are unknown
+    kinds = [str(r.label) for r in rows.select("item_id", "label").orderBy("item_id").collect()]
+    return six(heads.openvocab_oof(s, pool, kinds, words, list(words), np.stack(list(words.values())), epochs=80))
+
+
+@query
+def transfer_scores(s, d):
+    rows = _labelled_vectors(s, d)
+    source = heads.collect_pool(rows.filter("item_id % 2 = 0"), 10)
+    other = heads.collect_pool(rows.filter("item_id % 2 = 1"), 10)
+    return six(heads.transfer(s, source, other.ids, other.x, [str(i) for i in range(10)]))
+
+
+@query
+def predicted_expression(s, d):
+    """Expression regressed on vectors out of fold, then typed and ranked like measured expression."""
+    t = _typed(s, d)
+    vec = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    points = t.cells.join(vec.select("cell_id"), "cell_id", "left_semi")
+    stats_ = expression.gene_stats(t.lognorm.join(points.select("cell_id"), "cell_id", "left_semi"), points.agg(F.count("*").alias("n")))
+    genes = [r.gene for r in stats_.select("gene").orderBy("gene").collect()]
+    z = expression.zscores(points, t.lognorm, stats_).groupBy("cell_id").pivot("gene", genes).agg(F.first("z"))
+    scale = vec.join(points.select("cell_id"), "cell_id").agg(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(X.DIM) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    xs = F.array(*[(F.get("x", F.lit(i)) - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i in range(X.DIM)])
+    rows = z.join(vec, "cell_id").join(sampling.kfold(points, "cell_id"), "cell_id").crossJoin(F.broadcast(scale))
+    rows = rows.select(F.col("cell_id").alias("item_id"), "fold", xs.alias("x"), F.array(*[F.col(str(g)) for g in genes]).alias("y"))
+    guess = heads.ridge_oof(rows, len(genes), intercept=False, skip_empty=False)
+    named = guess.select(F.col("item_id").alias("cell_id"), F.get(F.array(*[F.lit(g) for g in genes]), F.col("target")).alias("gene"), F.col("score").alias("v"))
+    named = stage(named, "predicted")
+    unit = s.createDataFrame([(g, 0.0, 1.0) for g in genes], "gene int, mu double, sd double")
+    scores = expression.marker_scores(points, named, unit, X.markers(s))
+    types = expression.assign_types(scores, 0.0, 0.10)
+    types = stage(types, "types")
+    comp = spatial.composition(points, spatial.knn_edges(points, t.settings.k), types)
+    state = expression.proliferation(points, named, unit, X.state_genes(s))
+    pool = points.join(expression.wide_scores(scores, LINEAGES), "cell_id").join(comp, "cell_id").join(state, "cell_id").withColumn("pool_idx", F.col("cell_id"))
+    return six(relevance.transcript_scores(X.queries(s), pool, named, LINEAGES))
+
+
+@query
+def spatial_cv_report(s, d):
+    """Mean enrichment of the logistic head by fold scheme: random, regions, tiles, and tiles with a buffer."""
+    points = X.cells(s, d).join(X.item_vectors(s, d).select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
+    base = _labelled_vectors(s, d).drop("fold").withColumnRenamed("item_id", "cell_id").join(points.select("cell_id"), "cell_id")
+    tiles = lambda w: sampling.tile_folds(spatial.grid_tiles(points, w)).select("cell_id", "fold")
+    schemes = {
+        "random": (sampling.kfold(points, "cell_id"), None),
+        "kmeans": (spatial.kmeans_regions(points, 5, 0, starts=2), None),
+        "grid500": (tiles(500.0), None),
+        "grid500_buffer": (tiles(500.0), 150.0),
+        "grid1000_buffer": (tiles(1000.0), 150.0),
+    }
+    names = [str(i) for i in range(10)]
+    out = []
+    for name, (folds, buffer) in schemes.items():
+        folds = stage(folds, "folds")
+        pool = heads.collect_pool(base.join(folds, "cell_id").withColumnRenamed("cell_id", "item_id"), 10)
+        train = None
+        if buffer is not None:
+            train = {f: np.isin(pool.ids, [r.cell_id for r in spatial.outside_buffer(points, folds, f, buffer).select("cell_id").collect()]) for f in sorted(set(pool.fold.tolist()))}
+        out.append(heads.head_oof(s, pool, names, train=train).withColumn("scheme", F.lit(name)))
+    scores = reduce(DataFrame.unionByName, out)
+    rel = base.select(F.col("cell_id").alias("item_id"), F.posexplode("y").alias("q", "v")).select(F.col("q").cast("string").alias("query_id"), "item_id", (F.col("v") > 0).alias("rel"))
+    per = metrics.evaluate(scores, rel, X.SETTINGS.ks, 10, ["scheme", "query_id"])
+    task = F.when(F.col("query_id").cast("int") % 2 == 0, "cell_type").otherwise("niche")
+    return six(metrics.by_scheme_and_task(per.withColumn("task_type", task), ["cell_type", "niche", "gene_marker", "cell_state"]))
+
+
+# ---- sources ----
+
+
+@query
+def csc_counts(s, d):
+    """The count matrix packed a row a cell and scanned back, gene features only."""
+    packed = X.counts(s, d).groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("gene", "cnt"))).alias("z"))
+    matrix = packed.select("cell_id", F.transform("z", lambda x: x["gene"]).alias("indices"), F.transform("z", lambda x: x["cnt"]).alias("data"))
+    features = s.createDataFrame([(g, f"brand{g}", "Gene Expression" if g <= 22 else "Control") for g in range(1, 26)], "idx int, name string, feature_type string")
+    return sources.csc_to_counts(matrix, features)
+
+
+@query
+def pixel_size(s, d):
+    number = (F.col("event_id") % 7) / 8.0 + 0.125
+    xml = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('<Pixels PhysicalSizeX="'), number.cast("string"), F.lit('" />'))).when(F.col("event_id") % 3 == 1, F.lit("<Pixels />"))
+    return X.table(s, d, "events").select("event_id", sources.pixel_size(xml).alias("um"))
+
+
+@query
+def event_windows(s, d):
+    return windowed_counts(X.table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
+
+
+# ---- images ----
+
+
+def _patches(s, d, side: int = 8) -> DataFrame:
+    """Patches of deterministic bytes."""
+    n = side * side * 3
+    byte = lambda i: (stable_unit(F.col("cell_id") * 3 + i % 7, 5) * (40 + (i * 29) % 200)).cast("int")
+    hexes = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.lpad(F.hex(byte(i)), 2, "0"))
+    return X.cells(s, d).select("cell_id", F.lit(side).alias("h"), F.lit(side).alias("w"), F.unhex(F.array_join(hexes, "")).alias("px"))
+
+
+@query
+def patch_embeddings(s, d):
+    return encoders.encode_patches(_patches(s, d), "hash", "medium", dim=32)
+
+
+@query
+def stain_density(s, d):
+    rows = X.table(s, d, "orders").select(((F.col("o_orderkey") * 31) % 256).alias("a"), ((F.col("o_orderkey") * 17) % 256).alias("b"))
+    r, g = imaging.density(F.col("a")), imaging.density(F.col("b"))
+    return six(rows.agg(F.avg(r).alias("r"), F.avg(g).alias("g"), F.covar_samp(r, g).alias("rg")))
+
+
+@query
+def stain_normalised(s, d):
+    patches = _patches(s, d)
+    source = imaging.stain_profile(imaging.pixel_rows(patches.filter("cell_id % 2 = 0")))
+    target = imaging.stain_profile(imaging.pixel_rows(patches.filter("cell_id % 2 = 1")))
+    return imaging.normalise_stain(patches, source, target).select("cell_id", F.md5("px").alias("digest"))
+
+
+@query
+def patch_crops(s, d):
+    tiles = s.range(16).select((F.col("id") % 4).cast("int").alias("tx"), F.floor(F.col("id") / 4).cast("int").alias("ty"))
+    hexes = F.transform(F.sequence(F.lit(0), F.lit(64 * 64 * 3 - 1)), lambda i: F.lpad(F.hex((i + F.col("tx") * 7 + F.col("ty") * 13) % 251), 2, "0"))
+    tiles = tiles.select("tx", "ty", F.lit(64).alias("h"), F.lit(64).alias("w"), F.unhex(F.array_join(hexes, "")).alias("px"))
+    centres = X.cells(s, d).select("cell_id", ((F.col("cell_id") * 37) % 260).cast("double").alias("px"), ((F.col("cell_id") * 53) % 260).cast("double").alias("py"))
+    return imaging.extract_patches(tiles, centres, 64, 32, 16).select("cell_id", "h", "w", F.md5("px").alias("digest"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+    """All 34 queries ranked over the pool by transcripts and at random, with every metric."""
+    return _Bench(spark, sf_dir).described()
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in _queries}
