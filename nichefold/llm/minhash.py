@@ -10,7 +10,7 @@ Join.  Coordinates are hashed in BANDS bands; texts that share a band meet in it
 A bucket with several nodes ties each to its hub (the least node, in one of four orders that differ by band), never all pairs.  A node is
 first checked, exactly and on whole shingle sets, against the hub it shares most bands with; its other hubs only where they are
 still in another component.  Buckets whose nodes aren't all connected then compare what stands apart with the rest by whole signatures,
-in blocks of bounded size, and what may still be similar is checked exactly as well.  So texts of similarity
+in blocks of bounded size, check on the spot what may still be similar, and report one link for two components.  So texts of similarity
 THRESHOLD or more are linked directly or through others, but for pairs that share no band: one in 10^5 at the threshold, fewer above.
 Components come from label propagation with pointer jumping on node tables; nothing but counts reaches the driver.
 
@@ -32,8 +32,8 @@ from nichefold.llm.common import free_name, materialise, ship
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
-#: Signature agreement below which a pair isn't looked at: five standard errors under the threshold.
-LIKELY = 0.67
+#: Signature agreement below which a pair isn't looked at: four standard errors under the threshold.
+LIKELY = 0.70
 #: Rows of a bucket that meet in one task at a time.
 BLOCK = 500
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
@@ -156,8 +156,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def short(sig: np.ndarray) -> np.ndarray:
-    """16 bits of each coordinate: enough to estimate a similarity."""
-    return (mix(sig.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+    """32 bits of each coordinate: enough to tell whether two agree."""
+    return (mix(sig.view(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _sign(batches):
@@ -166,11 +166,8 @@ def _sign(batches):
     def emit(ids, nodes, sets):
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         sig = signatures(np.concatenate(sets), owner, len(sets))
-        keys, brief = band_keys(sig), short(sig)
-        return pa.record_batch(
-            [pa.array(ids), pa.array(nodes, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([x.tobytes() for x in brief], pa.binary())],
-            names=["id", "node", "bands", "sig"],
-        )
+        keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sig).ravel()), BANDS).cast(pa.list_(pa.int64()))
+        return pa.record_batch([pa.array(ids), pa.array(nodes, pa.int64()), keys], names=["id", "node", "bands"])
 
     for b in batches:
         id_type = b.schema.field(0).type
@@ -194,7 +191,10 @@ def _shingle_sets(batches):
     import pyarrow as pa
 
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(x.as_py())).tobytes() for x in b.column(1)], pa.binary())], names=["node", "s"])
+        for at in range(0, b.num_rows, 200):
+            sets = [np.unique(shingles(x.as_py())) for x in b.column(1)[at : at + 200]]
+            sig = short(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets)))
+            yield pa.record_batch([b.column(0)[at : at + 200], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "s", "sig"])
 
 
 def similar(a: bytes, b: bytes, threshold: float = THRESHOLD) -> bool:
@@ -227,7 +227,7 @@ class NearDuplicates:
         ship(spark)
         id_type = docs.schema[id_col].dataType.simpleString()
         self.body = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
-        self.signed = materialise(self.body.mapInArrow(_sign, f"id {id_type}, node long, bands array<long>, sig binary"), "signed")
+        self.signed = materialise(self.body.mapInArrow(_sign, f"id {id_type}, node long, bands array<long>"), "signed")
         self.nodes = materialise(self.signed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "nodes")
 
     def banded(self) -> DataFrame:
@@ -236,11 +236,11 @@ class NearDuplicates:
         return one.select("node", F.posexplode("bands").alias("band", "key"))
 
     def hubs(self) -> tuple[DataFrame, DataFrame]:
-        """The nodes of buckets that hold several (key, node, hub), and in how many bands a node has a hub (node, hub, shared)."""
+        """The nodes of buckets that hold several (key, band, node, hub), and in how many bands a node has a hub (node, hub, shared)."""
         rows = self.banded().withColumn("r", F.col("node").bitwiseXOR(_order(F.col("band"))))
         buckets = rows.groupBy("key", "band").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi")
-        buckets = materialise(buckets.select("key", F.col("lo").bitwiseXOR(_order(F.col("band"))).alias("hub")), "buckets")
-        members = materialise(self.banded().join(buckets, "key").select("key", "node", "hub"), "members")
+        buckets = materialise(buckets.select("key", "band", F.col("lo").bitwiseXOR(_order(F.col("band"))).alias("hub")), "buckets")
+        members = materialise(self.banded().join(buckets, ["key", "band"]).select("key", "band", "node", "hub"), "members")
         ties = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
         return members, materialise(ties, "ties")
 
@@ -249,16 +249,17 @@ class NearDuplicates:
         return ties.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def shingle_sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, s): the shingle sets of these nodes; texts move once, and one row stands for all copies of a text."""
+        """(node, s, sig): shingle sets and signatures of these nodes; texts move once, and one row stands for all copies of a text."""
         chosen = nodes.join(self.nodes.select("node", F.col("id").alias("first")), "node")
         rows = self.body.join(chosen, (self.body["node"] == chosen["node"]) & self.body["id"].eqNullSafe(chosen["first"]), "left_semi")
-        return materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
+        return materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary, sig binary").dropDuplicates(["node"]), "shingle-sets")
 
     @staticmethod
     def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar, by their whole shingle sets."""
-        left = pairs.join(sets.toDF("a", "sa"), "a")
-        both = left.join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        plain = sets.select("node", "s")
+        left = pairs.join(plain.toDF("a", "sa"), "a")
+        both = left.join(plain.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return materialise(both.mapInArrow(_check, "a long, b long"), "links")
 
     @staticmethod
@@ -283,12 +284,13 @@ class NearDuplicates:
         rows = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
         return rows.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
-    def open_pairs(self, members: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs across components within buckets whose signatures leave a link possible, but for those tried.
+    @staticmethod
+    def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) across components within buckets, one for two components and block.
 
         A bucket's nodes of the least label, most of a large group, don't meet each other: the others, in blocks, meet all nodes, in blocks.
         """
-        rows = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rows = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = materialise(rows, "bucket-labels")
         split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
         rows = materialise(rows.join(split, "key"), "split-buckets")
@@ -296,14 +298,13 @@ class NearDuplicates:
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
         place = lambda c: F.pmod(F.xxhash64("node"), F.col(c).cast("long")).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        rows = rows.join(others, "key").select("key", "node", "label", "lo", blocks("n").alias("nb"), blocks("m").alias("mb"))
-        apart = rows.filter("label <> lo").select("key", place("mb").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "node", "label")
-        whole = rows.select("key", each("mb").alias("i"), place("nb").alias("j"), F.lit(1).alias("side"), "node", "label")
-        brief = self.signed.select("node", "sig").distinct()
-        rows = apart.unionByName(whole).join(brief, "node").select("key", "i", "j", "side", "node", "label", "sig")
-        rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = rows.mapInArrow(_likely, "a long, b long").distinct()
-        return materialise(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        rows = rows.join(others, "key").select("key", "band", "node", "label", "lo", blocks("n").alias("nb"), blocks("m").alias("mb"))
+        apart = rows.filter("label <> lo").select("key", "band", place("mb").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "node", "label")
+        whole = rows.select("key", "band", each("mb").alias("i"), place("nb").alias("j"), F.lit(1).alias("side"), "node", "label")
+        order = ["key", "i", "j"]
+        full = apart.unionByName(whole).join(sets, "node").select(*order, "band", "side", "node", "label", "sig", "s")
+        found = full.repartition(*order).sortWithinPartitions(*order).mapInArrow(_cross_links, "a long, b long")
+        return materialise(found.distinct(), "open-links")
 
     def classes(self) -> DataFrame:
         """(node, id, copies, label): every different text with its least id, its number of rows and its component."""
@@ -313,53 +314,66 @@ class NearDuplicates:
         sets = self.shingle_sets(members.select("node").distinct())
         links = self.links(pairs, sets)
         labels = self.components(links)
-        tried = pairs
         rest = materialise(self.across(self.as_pairs(ties), labels).join(pairs, ["a", "b"], "left_anti"), "other-pairs")
-        for more in (lambda: rest, lambda: self.open_pairs(members, labels, tried)):
+        for more in (lambda: self.links(rest, sets), lambda: self.open_links(members, labels, sets)):
             found = more()
             if not found.isEmpty():
-                links = links.unionByName(self.links(found, sets))
+                links = links.unionByName(found)
                 labels = self.components(links)
-                tried = tried.unionByName(found)
         return self.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _likely(batches):
-    """Pairs of one block pair whose labels differ and whose signatures agree on LIKELY of the coordinates; rows come sorted by block pair."""
+def _compare(band: int, sides: tuple[list, list]):
+    """Links between rows (node, label, signature, set) of the two sides, one for two labels.
+
+    A pair that shares an earlier band is left to that band's bucket.
+    """
+    if not sides[0] or not sides[1]:
+        return
+    (na, la, sa), (nb, lb, sb) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.frombuffer(b"".join(r[2] for r in x), dtype=np.uint32).reshape(len(x), COORDS)) for x in sides)
+    sets = [np.frombuffer(r[3], dtype=np.uint64) for r in sides[1]]
+    sizes = np.array([len(x) for x in sets])
+    linked: set[tuple[int, int]] = set()
+    for i in range(len(na)):
+        near = np.flatnonzero(lb != la[i])
+        if not len(near):
+            continue
+        same = sb[near] == sa[i]
+        ok = (same.mean(axis=1) >= LIKELY) & (same.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+        near = near[ok]
+        mine = np.frombuffer(sides[0][i][3], dtype=np.uint64)
+        near = near[np.minimum(sizes[near], len(mine)) >= THRESHOLD * np.maximum(sizes[near], len(mine)) - 1e-9]
+        if not len(near):
+            continue
+        every = np.concatenate([sets[j] for j in near])
+        at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        for j in near[both >= THRESHOLD * (len(mine) + sizes[near] - both) - 1e-9]:
+            two = (min(la[i], lb[j]), max(la[i], lb[j]))
+            if two not in linked:
+                linked.add(two)
+                yield min(na[i], nb[j]), max(na[i], nb[j])
+
+
+def _cross_links(batches):
+    """Links across components of each block pair; rows come sorted by it."""
     import pyarrow as pa
 
-    def arrays(rows):
-        sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint16).reshape(len(rows), COORDS)
-        return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), sig
-
-    def compare(sides):
-        if not sides[0] or not sides[1]:
-            return
-        (a, la, sa), (b, lb, sb) = map(arrays, sides)
-        for i in range(len(a)):
-            near = np.flatnonzero(lb != la[i])
-            near = near[(sb[near] == sa[i]).mean(axis=1) >= LIKELY]
-            for j in near:
-                yield min(a[i], b[j]), max(a[i], b[j])
-
-    group, sides, out = None, ([], []), set()
+    def emit(found):
+        a = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=["a", "b"])
+
+    group, now, sides = None, 0, ([], [])
     for b in batches:
+        out: list = []
         columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for key, i, j, side, node, label, sig in zip(*columns, strict=True):
+        for key, i, j, band, side, node, label, sig, s in zip(*columns, strict=True):
             if (key, i, j) != group:
-                out.update(compare(sides))
-                group, sides = (key, i, j), ([], [])
-            sides[side].append((node, label, sig))
-        if len(out) > 100_000:
-            yield _pairs(pa, out)
-            out = set()
-    out.update(compare(sides))
-    yield _pairs(pa, out)
-
-
-def _pairs(pa, found: set):
-    a = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-    return pa.record_batch([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=["a", "b"])
+                out += _compare(now, sides)
+                group, now, sides = (key, i, j), band, ([], [])
+            sides[side].append((node, label, sig, s))
+        yield emit(out)
+    yield emit(list(_compare(now, sides)))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
