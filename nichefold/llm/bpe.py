@@ -30,7 +30,9 @@ from nichefold.llm.common import ship
 
 WORD_END = "</w>"
 #: Words that a worker's table keeps before it is emptied.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 150_000
+#: Looked-up arcs that it keeps, and texts that it encodes before handing them on.
+ARCS_KEPT, TEXTS_AT_ONCE = 400_000, 1000
 NEVER = 1 << 60
 
 
@@ -94,7 +96,7 @@ class Automaton:
         k = state << 24 | token
         found = self.table.get(k)
         if found is None:
-            if len(self.table) > 2_000_000:
+            if len(self.table) > ARCS_KEPT:
                 self.table.clear()
             found = self.table[k] = self.arc(state, token)
         return found
@@ -243,13 +245,22 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str, carry: li
         tok = load(description.value, key)
         want = to_arrow_schema(full)
         for b in batches:
-            rows = [make(tok, x.as_py()) for x in b.column(n)]
-            made = [pa.array(c, want.field(n + i).type) for i, c in enumerate(zip(*rows, strict=True))] if rows else [pa.array([], want.field(n + i).type) for i in range(len(names) - n)]
-            yield pa.record_batch([*b.columns[:n], *made], names=names)
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(at, TEXTS_AT_ONCE)
+                rows = [make(tok, x.as_py()) for x in part.column(n)]
+                made = [pa.array(c, want.field(n + i).type) for i, c in enumerate(zip(*rows, strict=True))]
+                yield pa.record_batch([*part.columns[:n], *made], names=names)
 
     return docs.select(*carry, text_col).mapInArrow(run, full)
 
 
+def as_array(ids: bytes):
+    """Ids as an array of numbers."""
+    import numpy as np
+
+    return np.frombuffer(ids, dtype="<i4")
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_name: str = "ids") -> DataFrame:
     """docs with the ids of each text as an array of ints beside all its columns."""
-    return encode_column(docs, tokenizer_path, text_col, docs.columns, lambda tok, x: (memoryview(tok.encode(x)).cast("I").tolist(),), f"`{ids_name}` array<int>")
+    return encode_column(docs, tokenizer_path, text_col, docs.columns, lambda tok, x: (as_array(tok.encode(x)),), f"`{ids_name}` array<int>")
