@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichefold.llm.bpe import encode_column
+from nichefold.llm.bpe import as_array, encode_column
 from nichefold.llm.common import materialise
 from nichefold.llm.line_dedup import dedup_lines
 from nichefold.llm.minhash import keep_one
@@ -48,7 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def make(tok, text):
         ids = tok.encode(text)
-        return memoryview(ids).cast("I").tolist(), len(ids) // 4, hashlib.sha256(ids).hexdigest()
+        return as_array(ids), len(ids) // 4, hashlib.sha256(ids).hexdigest()
 
     return encode_column(docs, vocabulary(), "text", ["doc_id", "source"], make, "ids array<int>, n_tokens long, ids_sha256 string")
 
