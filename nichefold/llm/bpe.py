@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 from nichefold.llm.common import ship
 
 WORD_END = "</w>"
-#: Words that a worker's table keeps before it is emptied.
+#: Words in each of a worker's two tables.
 TABLE_SIZE = 150_000
 #: Looked-up arcs that it keeps, and texts that it encodes before handing them on.
 ARCS_KEPT, TEXTS_AT_ONCE = 400_000, 1000
@@ -133,20 +133,26 @@ class Tokenizer:
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the one accepting path over the bytes of a word."""
         auto, n = self.automaton, len(word)
-        states, back = [0] * (n + 1), [0] * (n + 1)
+        dest, arcs, look_up = auto.dest, auto.table.get, auto.has_arc
+        known, longest = self.inner.get, self.longest
+        states, tokens, starts = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        states[0] = 0
         for i in range(1, n + 1):
-            known = self.final if i == n else self.inner
-            for j in range(max(0, i - self.longest), i):
-                t = known.get(word[j:i])
-                if t is not None and states[j] >= 0 and auto.has_arc(states[j], t):
-                    states[i], back[i] = auto.dest[t], t
-                    break
-            else:
-                states[i] = -1  # no path ends here
+            if i == n:
+                known = self.final.get
+            for j in range(i - longest if i > longest else 0, i):
+                t = known(word[j:i])
+                if t is not None:
+                    state = states[j]
+                    if state >= 0:
+                        ok = arcs(state << 24 | t)
+                        if ok or ok is None and look_up(state, t):
+                            states[i], tokens[i], starts[i] = dest[t], t, j
+                            break
         out = []
         while n:
-            out.append(back[n])
-            n -= len(_bytes_of(self, back[n]))
+            out.append(tokens[n])
+            n = starts[n]
         return out[::-1]
 
     def encode(self, text: str | None) -> bytes:
@@ -170,25 +176,23 @@ class Tokenizer:
 
 
 class _Words(dict):
-    """Ids of words seen so far."""
+    """Ids of words seen lately: when the table is full its words step back, and those met again return."""
 
     def __init__(self, of: Tokenizer):
         self.of = of
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= TABLE_SIZE:
+            self.before = dict(self)
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.of.encode_word(word.encode("utf-8", "surrogatepass")))
+        ids = self.before.get(word)
+        if ids is None:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.of.encode_word(word.encode("utf-8", "surrogatepass")))
         self[word] = ids
         return ids
 
 
-def _bytes_of(tok: Tokenizer, token: int) -> str:
-    """A token's symbols, one a byte."""
-    s = tok.labels[token]
-    return s.removesuffix(WORD_END) if s != WORD_END else s
-
-
 #: White space, written out as libraries differ on it; contractions, runs of letters, single numbers, runs of anything else.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = "[{L}]+|[{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{S}{L}{N}]+"
