@@ -5,8 +5,8 @@ A subtree that many pages of its host hold is template and goes, wherever it sta
 to give away is told by its markup: navigation, headers and footers of pages, sidebars, notices,
 adverts, forms, comments and elements that aren't text.  The main text is that of the article (else main, else body).
 
-Paragraphs, headings and the like are never template by themselves, nor is anything that holds the article, so a
-passage that many articles share stays.  The set of a host's template hashes is bounded by the share of pages that
+Paragraphs, headings and the like are never template by themselves, nor are lists and tables of an article, nor is anything that holds
+the article, so a passage that many articles share stays.  The set of a host's template hashes is bounded by the share of pages that
 each must be found on.  Pages are joined to it by broadcast only up to BROADCAST_HASHES of it, else by a shuffle on the
 host, where Spark may split a hot host.
 
@@ -35,6 +35,8 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("address aside details div dl fieldset figure footer form header menu nav ol section table ul".split())
+#: Of these, what may be template within the article too: lists and tables there are its own.
+INNER = frozenset("aside details div fieldset footer form header menu nav section".split())
 ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 #: Opening one of these closes an open one of the others in its set.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -195,6 +197,7 @@ def _roots(node: Node, template: frozenset, tag: str, out: list[Node]) -> None:
 
 
 def _blocks(root: Node, template: frozenset) -> list[str]:
+    article = root.tag == "article"
     out: list[str] = []
     now: list[str] = []
 
@@ -215,7 +218,7 @@ def _blocks(root: Node, template: frozenset) -> list[str]:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
-        elif x is not root and (is_boilerplate(x, True) or x.hash in template and x.tag in CONTAINERS and not x.holds):
+        elif x is not root and (is_boilerplate(x, True) or x.hash in template and x.tag in (INNER if article else CONTAINERS) and not x.holds):
             continue
         else:
             if x.tag in BLOCKS:
