@@ -43,9 +43,9 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 DROPPED = frozenset("aside button dialog footer form head menu nav".split())
 #: Words of class, id or role that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "ad ads adbox adsense adslot advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr "
     "menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies "
-    "reply search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 PAGE_MARKS = frozenset("header masthead topbar".split())
 
