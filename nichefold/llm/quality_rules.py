@@ -192,12 +192,16 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     pattern counts alone and the second computes the statistics again beside the text: cheaper than moving
     the texts to meet a table of verdicts, and safe with repeated or null ids.
     """
-    st, m = free_name(docs, "st"), free_name(docs, "model")
+    m = free_name(docs, "model")
     counted = docs.select(votes_of(text_col).alias("v")).groupBy("v").agg(F.count("*").alias("c"))
     model = materialise(fit(materialise(counted, "patterns")), "rule-model")
-    rows = docs.withColumn(st, statistics(F.col(text_col))).crossJoin(F.broadcast(model.select(F.col("m").alias(m))))
-    good = ~base_failed(F.col(st)) & (let(votes(F.col(st)), lambda v: posterior(v, F.col(m))) >= KEEP_AT)
-    return rows.filter(good).drop(st, m)
+    rows = docs.crossJoin(F.broadcast(model.select(F.col("m").alias(m))))
+
+    # One expression, so that a text's statistics are computed once.
+    def good(s: Column) -> Column:
+        return ~base_failed(s) & let(votes(s), lambda v: posterior(v, F.col(m)) >= KEEP_AT)
+
+    return rows.filter(let(statistics(F.col(text_col)), good)).drop(m)
 
 
 def votes_of(text_col: str) -> Column:
