@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from nichefold.llm.common import ship
+from nichefold.llm.common import give_back, ship
 
 WORD_END = "</w>"
 #: Words in each of a worker's two tables.
 TABLE_SIZE = 150_000
 #: Looked-up arcs that it keeps, and texts that it encodes before handing them on.
-ARCS_KEPT, TEXTS_AT_ONCE = 400_000, 1000
+ARCS_KEPT, TEXTS_AT_ONCE = 400_000, 500
 NEVER = 1 << 60
 
 
@@ -254,6 +254,7 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str, carry: li
                 rows = [make(tok, x.as_py()) for x in part.column(n)]
                 made = [pa.array(c, want.field(n + i).type) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.record_batch([*part.columns[:n], *made], names=names)
+            give_back()
 
     return docs.select(*carry, text_col).mapInArrow(run, full)
 

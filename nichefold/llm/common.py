@@ -73,6 +73,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def give_back() -> None:
+    """Returns memory that Arrow holds for later batches, so that idle workers stay small."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichefold.llm.common import free_name, materialise, ship
+from nichefold.llm.common import free_name, give_back, materialise, ship
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -39,7 +39,7 @@ BLOCK = 500
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
 ORDERS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x1B873593CC9E2D51)
 FIRST_CELL = -12
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -180,11 +180,12 @@ def _sign(batches):
             nodes.append(node)
             sets.append(s)
             held += len(s)
-            if held > 100_000 or len(sets) >= 400:
+            if held > 60_000 or len(sets) >= 200:
                 yield emit(pa.array(ids, id_type), nodes, sets)
                 ids, nodes, sets, held = [], [], [], 0
         if sets:
             yield emit(pa.array(ids, id_type), nodes, sets)
+        give_back()
 
 
 def _shingle_sets(batches):
