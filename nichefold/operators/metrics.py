@@ -9,21 +9,35 @@ from nichefold.config import IMAGE_VARIANTS, REPORTED
 from nichefold.functions.exprs import as_score, half_even, or_zero
 
 
-def ranked(scores: DataFrame, relevance: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with rk (rank by score, ties by item, NaN last), rel as 0 or 1, and hits (relevant ones so far)."""
-    rows = scores.withColumn("score", as_score(F.col("score"))).join(relevance, ["query_id", "item_id"])
-    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), F.col("item_id"))
-    rel = F.col("rel").cast("int")
-    return rows.select(*by, "item_id", rel.alias("rel"), F.row_number().over(w).alias("rk"), F.sum(rel).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+def ranked(scores: DataFrame, relevance: DataFrame, by: list[str], pieces: int = 1) -> DataFrame:
+    """Rows with rk (rank by score, ties by item, NaN last), rel as 0 or 1, and hits (relevant ones so far).
 
-
-def evaluate(scores: DataFrame, relevance: DataFrame, ks: list[int] | tuple[int, ...], ndcg_k: int = 10, by: list[str] | None = None) -> DataFrame:
+    A ranking over a candidate pool fits one task.  Over far more items, ask for pieces: each ranking is cut at approximate quantiles of its
+    scores, the pieces are ranked side by side, and the counts of the pieces before (a row a piece) are added; the result is the same.
+    """
+    rows = scores.withColumn("score", as_score(F.col("score"))).join(relevance, ["query_id", "item_id"]).withColumn("rel", F.col("rel").cast("int"))
+    order = [F.desc_nulls_last("score"), F.col("item_id")]
+    if pieces <= 1:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.select(*by, "item_id", "rel", F.row_number().over(w).alias("rk"), F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("score", [i / pieces for i in range(1, pieces)]).alias("cuts"))
+    above = F.when(F.col("score").isNull(), F.lit(pieces)).otherwise(F.size(F.filter("cuts", lambda c: c > F.col("score"))))
+    rows = rows.join(F.broadcast(cuts), by).withColumn("piece", above).drop("cuts")
+    sizes = rows.groupBy(*by, "piece").agg(F.count("*").alias("n_"), F.sum("rel").alias("r_"))
+    run = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select(*by, "piece", (F.sum("n_").over(run) - F.col("n_")).alias("n0"), (F.sum("r_").over(run) - F.col("r_")).alias("r0"))
+    w = Window.partitionBy(*by, "piece").orderBy(*order)
+    out = rows.join(F.broadcast(before), [*by, "piece"])
+    return out.select(*by, "item_id", "rel", (F.col("n0") + F.row_number().over(w)).alias("rk"), (F.col("r0") + F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("hits"))
+
+
+def evaluate(scores: DataFrame, relevance: DataFrame, ks: list[int] | tuple[int, ...], ndcg_k: int = 10, by: list[str] | None = None, pieces: int = 1) -> DataFrame:
     """One row a ranking with hit@k, P@k, R@k, enrich@k, mAP, MRR, nDCG@k, n_relevant and base_rate.
 
     P@k divides by k even if fewer items exist; all is 0 where nothing is relevant.
     """
     by = by or ["query_id"]
-    rows = ranked(scores, relevance, by)
+    rows = ranked(scores, relevance, by, pieces)
     rel, rk = F.col("rel"), F.col("rk")
     within = lambda k: F.sum(F.when(rk <= k, rel).otherwise(0))
     gain = lambda on: F.sum(F.when(on, 1 / F.log2(rk.cast("double") + 1)).otherwise(0.0))

@@ -31,10 +31,22 @@ def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type
     return picked.withColumn("pool_idx", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long"))
 
 
+def shuffled_order(items: DataFrame, id_col: str, seed: int = 0, to: str = "place") -> DataFrame:
+    """items with their place, from 0, in the order of a hash of the id.
+
+    Hashes are uniform, so their leading bits cut the order into 1,024 even pieces, which are ranked side by side; the counts of the pieces before, a table
+    of at most as many rows, do the rest.
+    """
+    rows = items.withColumn("h_", stable_hash(F.col(id_col), seed)).withColumn("b_", F.shiftright("h_", 21))
+    sizes = rows.groupBy("b_").agg(F.count("*").alias("n_"))
+    before = sizes.select("b_", (F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")).alias("before_"))
+    w = Window.partitionBy("b_").orderBy("h_", id_col)
+    return rows.join(F.broadcast(before), "b_").withColumn(to, (F.col("before_") + F.row_number().over(w) - 1).cast("long")).drop("h_", "b_", "before_")
+
+
 def kfold(items: DataFrame, id_col: str, folds: int = 5, seed: int = 0) -> DataFrame:
     """(id, fold): shuffled folds whose sizes differ by at most one."""
-    w = Window.orderBy(stable_hash(F.col(id_col), seed), F.col(id_col))
-    return items.select(id_col, ((F.row_number().over(w) - 1) % folds).cast("int").alias("fold"))
+    return shuffled_order(items.select(id_col), id_col, seed, "place_").select(id_col, (F.col("place_") % folds).cast("int").alias("fold"))
 
 
 def tile_folds(tiles: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:

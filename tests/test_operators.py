@@ -72,6 +72,14 @@ def test_metrics_against_numpy(spark):
     assert m["MRR"] == pytest.approx(1 / (np.flatnonzero(rel)[0] + 1))
 
 
+def test_rankings_in_pieces_are_the_same(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.random(500), 2)
+    v[::50] = np.nan
+    s, r = ranking(spark, v.tolist(), (rng.random(500) < 0.2).tolist())
+    assert rows(metrics.ranked(s, r, ["query_id"], 8), "rk") == rows(metrics.ranked(s, r, ["query_id"]), "rk")
+
+
 def test_half_even_matches_numpy(spark):
     v = [0.00005, 0.00015, 0.00025, 1.23455, -0.00005, 0.12345]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in v], "v double").select(half_even(F.col("v"))).collect()]
