@@ -177,3 +177,8 @@ def load_settings(path: str | None = None, text: str | None = None) -> Settings:
     }
     known = {f.name for f in fields(Settings)}
     return Settings(**{k: v for k, v in given.items() if v is not None and k in known}, niche=niche)
+
+
+def results_dir(settings: Settings, part: str = "") -> str:
+    """Where a part of the results goes, absolute."""
+    return str((Path(settings.results_dir) / part).absolute())

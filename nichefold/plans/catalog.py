@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from nichefold.config import LINEAGES, NICHES, PROMPTS
 from nichefold.functions.exprs import half_even, half_up, stable_hash, stable_unit
-from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, vectors
+from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, validation, vectors
+from nichefold.plans import baselines, oracles
 from nichefold.plans import fixtures as X
-from nichefold.plans import oracles
 from nichefold.sources import cells as sources
 from nichefold.sources.stage import stage
 from nichefold.streaming.events import windowed_counts
@@ -491,30 +491,55 @@ def transfer_scores(s, d):
     return six(heads.transfer(s, source, other.ids, other.x, [str(i) for i in range(10)]))
 
 
+def _inputs(s, d) -> baselines.Inputs:
+    """The fixture's pool for all baselines: cells that have vectors; encoders are the vectors themselves, mirrored and reversed."""
+    b = _Bench(s, d)
+    vec = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    cells = b.labelled.join(vec.select("cell_id"), "cell_id", "left_semi")
+    pool = stage(sampling.build_pool(cells, X.SETTINGS.pool_size), "vector-pool")
+    kinds = {("biomedclip", "medium"): F.col("v"), ("biomedclip", "neighborhood"): F.reverse("v"), ("plip", "medium"): F.transform("v", lambda x: -x), ("plip", "neighborhood"): F.transform("v", lambda x: x * x)}
+    emb = reduce(DataFrame.unionByName, [vec.select("cell_id", F.lit(e).alias("encoder"), F.lit(k).alias("scale"), c.alias("embedding")) for (e, k), c in kinds.items()])
+    text = {"biomedclip": lambda df: encoders.hash_text(df, X.DIM), "plip": lambda df: encoders.hash_text(df, X.DIM, seed=1)}
+    return baselines.Inputs(pool, b.queries, b.t.lognorm, b.t.stats, X.markers(s), X.state_genes(s), X.SETTINGS, emb, X.DIM, text, PROMPTS, epochs=40)
+
+
 @query
 def predicted_expression(s, d):
-    """Expression regressed on vectors out of fold, then typed and ranked like measured expression."""
+    return six(baselines.predicted_expression(_inputs(s, d)))
+
+
+@query
+def zero_shot_scores(s, d):
+    """Every item by every query text: the texts' and the items' vectors, with and without prompts."""
+    items = X.item_vectors(s, d)
+    texts = X.queries(s).select("query_id", "query_text")
+    plain = encoders.hash_text(texts.withColumn("text", F.col("query_text")), X.DIM).select("query_id", F.col("vec").alias("qvec"))
+    prompts = vectors.prompt_ensemble(texts, PROMPTS, lambda df: encoders.hash_text(df, X.DIM), X.DIM)
+    out = [vectors.cosine_scores(items, q).withColumn("baseline", F.lit(n)) for n, q in (("biomedclip", plain), ("biomedclip_prompt", prompts))]
+    return six(reduce(DataFrame.unionByName, out))
+
+
+@query
+def baseline_scores(s, d):
+    """All thirteen baselines over one pool."""
+    return six(baselines.run(_inputs(s, d))[0])
+
+
+@query
+def baseline_metrics(s, d):
+    """The benchmark's main table: all baselines, best first."""
+    i = _inputs(s, d)
+    scores = stage(baselines.run(i)[0], "scores")
+    return metrics.main_table(metrics.evaluate(scores, i.relevance(), X.SETTINGS.ks, X.SETTINGS.ndcg_k, ["baseline", "query_id"]))
+
+
+@query
+def label_validation(s, d):
     t = _typed(s, d)
-    vec = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    points = t.cells.join(vec.select("cell_id"), "cell_id", "left_semi")
-    stats_ = expression.gene_stats(t.lognorm.join(points.select("cell_id"), "cell_id", "left_semi"), points.agg(F.count("*").alias("n")))
-    genes = [r.gene for r in stats_.select("gene").orderBy("gene").collect()]
-    z = expression.zscores(points, t.lognorm, stats_).groupBy("cell_id").pivot("gene", genes).agg(F.first("z"))
-    scale = vec.join(points.select("cell_id"), "cell_id").agg(*[f(F.get("x", F.lit(i))).alias(f"{n}{i}") for i in range(X.DIM) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    xs = F.array(*[(F.get("x", F.lit(i)) - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) for i in range(X.DIM)])
-    rows = z.join(vec, "cell_id").join(sampling.kfold(points, "cell_id"), "cell_id").crossJoin(F.broadcast(scale))
-    rows = rows.select(F.col("cell_id").alias("item_id"), "fold", xs.alias("x"), F.array(*[F.col(str(g)) for g in genes]).alias("y"))
-    guess = heads.ridge_oof(rows, len(genes), intercept=False, skip_empty=False)
-    named = guess.select(F.col("item_id").alias("cell_id"), F.get(F.array(*[F.lit(g) for g in genes]), F.col("target")).alias("gene"), F.col("score").alias("v"))
-    named = stage(named, "predicted")
-    unit = s.createDataFrame([(g, 0.0, 1.0) for g in genes], "gene int, mu double, sd double")
-    scores = expression.marker_scores(points, named, unit, X.markers(s))
-    types = expression.assign_types(scores, 0.0, 0.10)
-    types = stage(types, "types")
-    comp = spatial.composition(points, spatial.knn_edges(points, t.settings.k), types)
-    state = expression.proliferation(points, named, unit, X.state_genes(s))
-    pool = points.join(expression.wide_scores(scores, LINEAGES), "cell_id").join(comp, "cell_id").join(state, "cell_id").withColumn("pool_idx", F.col("cell_id"))
-    return six(relevance.transcript_scores(X.queries(s), pool, named, LINEAGES))
+    genes = [r.gene for r in t.stats.select("gene").orderBy("gene").collect()]
+    z = expression.zscores(t.cells, t.lognorm, t.stats)
+    found = validation.clusters(validation.components(z, genes, 10), 8)
+    return six(validation.cluster_agreement(t.types, found))
 
 
 @query

@@ -155,6 +155,13 @@ _words = "SELECT query_id, t, unnest(list_filter(regexp_split_to_array(lower(tex
 _pvec = f"SELECT query_id, t, d, sum({_cell}) AS v FROM (SELECT query_id, t, {_bucket} AS b FROM pwords), range({TEXT_DIM}) AS r(d) GROUP BY ALL"
 _punit = "SELECT query_id, t, d, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY query_id, t)), 1e-8) AS u FROM pvec"
 _pmean = "SELECT query_id, d, avg(u) AS m FROM punit GROUP BY ALL"
+_zcell = f"(({h('b * 64 + d')})::DOUBLE / 1073741823.5 - 1.0)"
+_ztexts = "SELECT 'biomedclip' AS baseline, query_id, 0 AS t, query_text AS text FROM qs UNION ALL SELECT 'biomedclip_prompt', query_id, t, text FROM prompts"
+_zwords = "SELECT baseline, query_id, t, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM ztexts"
+_zvec = f"SELECT baseline, query_id, t, d, sum({_zcell}) AS v FROM (SELECT baseline, query_id, t, {_bucket} AS b FROM zwords), range(64) AS r(d) GROUP BY ALL"
+_zunit = "SELECT baseline, query_id, t, d, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY baseline, query_id, t)), 1e-8) AS u FROM zvec"
+_zmean = "SELECT baseline, query_id, d, avg(u) AS m FROM zunit GROUP BY ALL"
+_zq = "SELECT baseline, query_id, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY baseline, query_id)), 1e-8) AS q FROM zmean"
 HAVE = [f"{e}_{s}" for e in ("biomedclip", "plip", "uni2") for s in ("medium", "neighborhood", "medium_nbravg")] + ["conch_medium"]
 _specs = values((s, b) for s, bs in variant_specs().items() for b in bs)
 _folds = f"SELECT vec_id AS item_id, (row_number() OVER (ORDER BY {h('vec_id')}, vec_id) - 1) % 5 AS fold FROM embeddings"
@@ -210,6 +217,7 @@ SQL: dict[str, str] = {
     "cosine_topk": with_(f"SELECT query_id, item_id, {r6('score')} AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rnk FROM cos) WHERE rnk <= 15"),
     "hash_text_features": with_(f"SELECT query_id, {_bucket} AS bucket, count(*) AS n FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS w FROM qs) GROUP BY ALL"),
     "prompt_ensemble": with_(f"SELECT query_id, d, {r6('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY query_id)), 1e-8)')} AS v FROM pmean", ("prompts", _prompts), ("pwords", _words), ("pvec", _pvec), ("punit", _punit), ("pmean", _pmean)),
+    "zero_shot_scores": with_(f"SELECT baseline, query_id, item_id, {r6('sum(q * v)')} AS score FROM zq JOIN dims ON dims.d = zq.d + 1 GROUP BY ALL", ("prompts", _prompts), ("ztexts", _ztexts), ("zwords", _zwords), ("zvec", _zvec), ("zunit", _zunit), ("zmean", _zmean), ("zq", _zq)),
     "feature_variants": f"SELECT spec, count(*) AS n_blocks FROM ({_specs}) AS s(spec, block) GROUP BY 1 HAVING bool_and(block IN ({', '.join(repr(b) for b in HAVE)}))",
     "assemble_blocks": f"SELECT vec_id AS item_id, 192 AS n, {r6('embedding[1]::DOUBLE')} AS first, {r6('2 * embedding[1]::DOUBLE')} AS second, {r6('3 * embedding[64]::DOUBLE')} AS last FROM embeddings",
     "query_set": with_("SELECT query_id, query_text, target_field, target_label, task_type, level, split FROM qs"),
