@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
     "proliferation_flag": with_(f"SELECT cell_id, {r6('proliferation_score')} AS proliferation_score, is_proliferating FROM state"),
     "dataset_stats": with_(
         "SELECT 'n_cells' AS stat, CAST((SELECT count(*) FROM cells) AS VARCHAR) AS value UNION ALL SELECT 'n_genes', CAST((SELECT count(DISTINCT gene) FROM counts) AS VARCHAR)"
-        " UNION ALL SELECT 'n_proliferating', CAST((SELECT count(*) FROM state WHERE is_proliferating) AS VARCHAR) UNION ALL SELECT 'median_transcripts', CAST(CAST((SELECT median(total) FROM totals) AS BIGINT) AS VARCHAR)"
+        " UNION ALL SELECT 'n_proliferating', CAST((SELECT count(*) FROM state WHERE is_proliferating) AS VARCHAR) UNION ALL SELECT 'median_transcripts', CAST(CAST(floor((SELECT median(total) FROM totals)) AS BIGINT) AS VARCHAR)"
         + "".join(f" UNION ALL SELECT 'n_{t}', CAST((SELECT count(*) FROM types WHERE cell_type = '{t}') AS VARCHAR)" for t in [*LINEAGES, "unknown"])
     ),
     "knn_edges": with_(f"SELECT cell_id, nbr_id, {r6('d2')} AS d2, rnk::INT AS rnk FROM knn"),
