@@ -125,10 +125,11 @@ def load_blocks(embeddings: DataFrame, edges: DataFrame, encoders: list[str], sc
     """
     from nichefold.operators.spatial import neighbour_average
 
+    there = {r.encoder for r in embeddings.filter(F.col("scale") == "medium").select("encoder").distinct().collect()}  # a row an encoder
     rows = embeddings.filter(F.col("encoder").isin(encoders) & F.col("scale").isin(scales))
     plain = rows.select("cell_id", F.concat_ws("_", "encoder", "scale").alias("block"), l2_normalise(F.col("embedding")).alias("vec"))
     out = plain
-    for e in encoders:
+    for e in (e for e in encoders if e in there):
         medium = embeddings.filter((F.col("encoder") == e) & (F.col("scale") == "medium"))
         avg = neighbour_average(medium, edges, dim)
         out = out.unionByName(avg.select("cell_id", F.lit(f"{e}_medium_nbravg").alias("block"), l2_normalise(F.col("embedding")).alias("vec")))
