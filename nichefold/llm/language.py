@@ -23,7 +23,7 @@ from nichefold.llm.common import ship
 from nichefold.llm.quality_model import chosen
 
 #: Texts that the machines are fitted on, in expectation, over all languages and of one.
-SAMPLE, PER_LANGUAGE = 6_000, 1_500
+SAMPLE, PER_LANGUAGE = 4_000, 1_000
 SIZE = 4096
 UNKNOWN = "und"
 #: ISO 639-1 codes by family.
