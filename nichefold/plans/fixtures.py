@@ -73,10 +73,11 @@ class Labelled:
         return spatial.knn_edges(self.cells, self.settings.k)
 
     def all(self) -> DataFrame:
-        types = stage(self.types, "types")
+        scores = stage(self.scores, "marker-scores")  # types and wide scores both read it
+        types = stage(E.assign_types(scores, self.settings.type_threshold, self.settings.type_margin), "types")
         comp = spatial.composition(self.cells, self.edges(), types)
         niches = spatial.niche_labels(comp, self.settings.niche)
-        wide = E.wide_scores(self.scores, LINEAGES)
+        wide = E.wide_scores(scores, LINEAGES)
         return stage(self.cells.join(types, "cell_id").join(self.state, "cell_id").join(wide, "cell_id").join(niches, "cell_id"), "labelled")
 
     def pool(self, labelled: DataFrame) -> DataFrame:
