@@ -12,7 +12,9 @@ Encoding walks the bytes of a word: at each position exactly one token ends whos
 where it begins.  Decoding follows the arcs and emits their labels.
 
 Defined cases: null text is empty and has no ids; special tokens written in a text are matched before
-normalising; texts of any length are read whole, and a word of any length in time proportional to it.
+normalising; texts of any length are read whole, and a word of any length in time proportional to it; equal texts have equal ids, whether or
+not their rows or ids repeat; an empty table gives an empty table; ``tokenise`` names its column with a number added where the table has
+one of that name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from nichefold.llm.common import give_back, ship
+from nichefold.llm.common import free_name, give_back, ship
 
 WORD_END = "</w>"
 #: Words in each of a worker's two tables.
@@ -127,6 +129,7 @@ class Tokenizer:
                 (self.final if ends else self.inner)[bytes(to_byte[c] for c in of)] = i
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.find_words = _find_words()
+        self.compose = _composer()
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = _Words(self)
 
@@ -166,7 +169,7 @@ class Tokenizer:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            text = self.compose(text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # one character at a time: no final sigma
         return b"".join(map(self.words.__getitem__, self.find_words(text)))
 
@@ -198,11 +201,43 @@ SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 WORD = "[{L}]+|[{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{S}{L}{N}]+"
 
 
-def _ranges(major: str) -> str:
+# Letters, numbers and capitals that Unicode 16 and 17 added to this Python's 15.1, as the tokenizers library knows them
+# (it splits words by 16 and lowers by 17).  Ranges are first and last code points; of capitals, also how far off the small letter is.
+NEW_LETTERS = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b-1138b 1138e-1138e 11390-113b5 "
+    "113b7-113b7 113d1-113d1 113d3-113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff-18cff 1e5d0-1e5ed 1e5f0-1e5f0"
+)
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+# Marks younger than Unicode 9, by which the library composes; to it they neither move nor combine.
+NEW_MARKS = (
+    "7fd-7fd 898-89f 8ca-8d3 9fe-9fe c3c-c3c d3b-d3c eba-eba 1715-1715 1abf-1ace 1df6-1dfa a82c-a82c 10d24-10d27 10eab-10eac 10efd-10eff "
+    "10f46-10f50 10f82-10f85 11070-11070 1133b-1133b 1145e-1145e 11839-1183a 11930-11930 1193d-1193e 11943-11943 119e0-119e0 11a34-11a34 11a47-11a47 "
+    "11a99-11a99 11d42-11d42 11d44-11d45 11d97-11d97 11f41-11f42 16ff0-16ff1 1e08f-1e08f 1e130-1e136 1e2ae-1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+LOWER_TOO = {c: chr(c + off) for first, last, off in NEW_CAPITALS for c in range(first, last + 1)}
+
+
+def _points(ranges: str) -> set[int]:
+    return {c for r in ranges.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[1], 16) + 1)}
+
+
+def _composer():
+    """Normal form C by the library's tables: text is composed between marks that those don't know."""
+    marks = re.compile("([" + "".join(map(chr, sorted(_points(NEW_MARKS)))) + "])")
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    return lambda text: "".join(map(nfc, marks.split(text))) if marks.search(text) else nfc(text)
+
+
+def _ranges(major: str, new: str) -> str:
     """The code points of a Unicode category, as the inside of a character class."""
+    added = _points(new)
     out, start = [], None
     for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == major
+        inside = c <= sys.maxunicode and (unicodedata.category(chr(c))[0] == major or c in added)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -212,11 +247,18 @@ def _ranges(major: str) -> str:
 
 
 def _find_words():
-    """Finds a text's words: by the faster library where its newer Unicode tables agree, below U+0530."""
+    """Finds a lowered text's words: by the faster library where its newer Unicode tables agree, below U+0530."""
     fast = regex.compile(WORD.format(L=r"\p{L}", N=r"\p{N}", S=SPACE)).findall
-    exact = re.compile(WORD.format(L=_ranges("L"), N=_ranges("N"), S=SPACE)).findall
+    exact = re.compile(WORD.format(L=_ranges("L", NEW_LETTERS), N=_ranges("N", NEW_NUMBERS), S=SPACE)).findall
     beyond = re.compile("[\u0530-\U0010ffff]").search
-    return lambda text: exact(text) if beyond(text) else fast(text)
+    capital = re.compile("[" + "".join(map(chr, LOWER_TOO)) + "]").search
+
+    def find(text: str) -> list[str]:
+        if not beyond(text):
+            return fast(text)
+        return exact(text.translate(LOWER_TOO) if capital(text) else text)
+
+    return find
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -268,4 +310,5 @@ def as_array(ids: bytes):
 
 def tokenise(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_name: str = "ids") -> DataFrame:
     """docs with the ids of each text as an array of ints beside all its columns."""
-    return encode_column(docs, tokenizer_path, text_col, docs.columns, lambda tok, x: (as_array(tok.encode(x)),), f"`{ids_name}` array<int>")
+    name = free_name(docs, ids_name)
+    return encode_column(docs, tokenizer_path, text_col, docs.columns, lambda tok, x: (as_array(tok.encode(x)),), f"`{name}` array<int>")
