@@ -84,11 +84,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], stems: list[str]) -> list[str]:
+    """A name for each stem that isn't taken, nor given to another: the stem, or the stem and a number."""
+    used = {c.lower() for c in taken}
+    out = []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in used:
+            k += 1
+            name = f"{stem}_{k}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df hasn't, whatever columns the caller brings."""
-    taken = {c.lower() for c in df.columns}
-    name, k = stem, 0
-    while name.lower() in taken:
-        k += 1
-        name = f"{stem}_{k}"
-    return name
+    return free_names(df.columns, [stem])[0]

@@ -4,9 +4,10 @@ Boxes are walked without touching payloads.  A track's sample tables (sizes, chu
 decoded with numpy into the byte range of every sample, and a row gets codec, duration, sample and keyframe counts and, for each
 keyframe, the byte range from it up to the next.  ``write_track`` stores bytes losslessly as samples of 64 bytes.
 
-Defined cases: null is an empty payload; bytes that are no such file, or are cut off, give a status other than "ok" and nulls; the
-first track with samples is described; 32- and 64-bit offsets, fixed and given sample sizes, and missing sync tables (all samples are
-keyframes) are understood.
+Defined cases: null is an empty payload; bytes that are no such file, are cut off, or whose tables contradict each other or the file give a
+status other than "ok" and nulls, and never more memory than a few times their own size; the first track with samples is described; 32- and
+64-bit offsets, fixed and given sample sizes, and missing sync tables (all samples are keyframes) are understood; equal bytes, in repeated rows
+too, give equal values; an empty table gives an empty table; where a table has columns of the names that are added, those get a number.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-from nichefold.llm.common import ship
+from nichefold.llm.common import free_names, ship
 
 SAMPLE, KEY_EVERY, PER_CHUNK, TIMESCALE = 64, 16, 256, 8000
 CODEC = b"raw "
@@ -38,6 +39,7 @@ class Track:
     codec: str = ""
     timescale: int = 0
     duration: int = 0
+    length: int = 0  # bytes of the file
     tables: dict[bytes, memoryview] = field(default_factory=dict)
 
 
@@ -118,12 +120,20 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None) -> Iterator[
         start += size
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """All boxes in nested order, with their paths."""
-    for kind, a, b in boxes(data, start, end):
-        yield (*path, kind), a, b
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """All boxes in nested order, with the kinds they are in (at most eight, the outermost and the nearest) and their own."""
+    open_: list[tuple[tuple[bytes, ...], Iterator]] = [((), boxes(data))]
+    while open_:
+        path, inner = open_[-1]
+        found = next(inner, None)
+        if found is None:
+            open_.pop()
+            continue
+        kind, a, b = found
+        own = (*path[:1], *path[1:][-6:], kind)
+        yield own, a, b
         if kind in PARENTS:
-            yield from walk(data, a, b, (*path, kind))
+            open_.append((own, boxes(data, a, b)))
 
 
 def tracks(data: memoryview) -> list[Track]:
@@ -131,7 +141,7 @@ def tracks(data: memoryview) -> list[Track]:
     for path, a, b in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            found.append(Track())
+            found.append(Track(length=len(data)))
         elif b"trak" not in path:
             continue
         elif kind == b"hdlr":
@@ -162,22 +172,25 @@ def sample_ranges(t: Track) -> tuple[np.ndarray, np.ndarray]:
         stco = t.tables[b"co64" if wide else b"stco"]
     except KeyError as e:
         raise Broken(f"no table {e}") from None
-    fixed, n = _numbers(stsz, 4, 2)
+    fixed, n = map(int, _numbers(stsz, 4, 2))
+    if fixed * n > t.length:
+        raise Broken("samples are more than the file holds")
     sizes = np.full(n, fixed) if fixed else _numbers(stsz, 12, n)
     chunks = int(_numbers(stco, 4, 1)[0])
     offsets = _numbers(stco, 8, chunks, ">u8" if wide else ">u4")
     runs = _numbers(stsc, 8, int(_numbers(stsc, 4, 1)[0]) * 3).reshape(-1, 3)
     if not n:
         return sizes, sizes
-    if not chunks or not len(runs) or runs[0, 0] != 1:
-        raise Broken("samples without chunks")
+    if not chunks or not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > chunks:
+        raise Broken("samples without chunks, or chunk runs out of order")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
-    if per.sum() < n:
+    upto = np.cumsum(np.minimum(per, n))
+    if upto[-1] < n:
         raise Broken("chunks hold fewer samples than there are")
-    chunk = np.repeat(np.arange(chunks), per)[:n]
+    chunk = np.searchsorted(upto, np.arange(n), side="right")
     before = np.cumsum(sizes) - sizes
-    first = np.searchsorted(chunk, np.arange(chunks))
-    start = offsets[chunk] + before - before[np.minimum(first, n - 1)][chunk]
+    first = np.minimum(upto - np.minimum(per, n), n - 1)
+    start = offsets[chunk] + before - before[first][chunk]
     return start, start + sizes
 
 
@@ -186,7 +199,16 @@ def keyframes(t: Track, n: int) -> np.ndarray:
     if b"stss" not in t.tables:
         return np.arange(n)
     part = t.tables[b"stss"]
-    return _numbers(part, 8, int(_numbers(part, 4, 1)[0])) - 1
+    keys = _numbers(part, 8, int(_numbers(part, 4, 1)[0])) - 1
+    if len(keys) and (keys[0] < 0 or keys[-1] >= n or (np.diff(keys) <= 0).any()):
+        raise Broken("sync samples that aren't there, or out of order")
+    return keys
+
+
+def described_track(found: list[Track]) -> Track | None:
+    """The first track with samples, else the first with a table of them."""
+    tables = [t for t in found if b"stsz" in t.tables]
+    return next((t for t in tables if _numbers(t.tables[b"stsz"], 8, 1)[0]), tables[0] if tables else None)
 
 
 def probe(data: bytes | None) -> dict:
@@ -195,15 +217,15 @@ def probe(data: bytes | None) -> dict:
     if not data:
         return {"status": "empty"} | empty
     try:
-        found = tracks(memoryview(data))
-        t = next((t for t in found if b"stsz" in t.tables), None)
+        t = described_track(tracks(memoryview(data)))
         if t is None:
             return {"status": "no track"} | empty
         start, end = sample_ranges(t)
-        if len(end) and end.max() > len(data):
+        if len(end) and (end.max() > len(data) or start.min() < 0):
             raise Broken("samples lie beyond the file")
         keys = keyframes(t, len(start))
-        last = np.append(keys[1:], len(start)) - 1
+        # All bytes from a keyframe's up to the next one's samples, wherever their chunks lie.
+        first, last = (np.minimum.reduceat(start, keys), np.maximum.reduceat(end, keys)) if len(keys) else (start[:0], end[:0])
         return {
             "status": "ok",
             "codec": t.codec,
@@ -211,16 +233,19 @@ def probe(data: bytes | None) -> dict:
             "duration": t.duration / t.timescale if t.timescale else None,
             "n_samples": len(start),
             "n_keyframes": len(keys),
-            "keyframes": [{"start": int(a), "end": int(b)} for a, b in zip(start[keys], end[last], strict=True)],
+            "keyframes": [{"start": int(a), "end": int(b)} for a, b in zip(first, last, strict=True)],
         }
-    except (Broken, struct.error, IndexError) as e:
+    except (struct.error, IndexError, ValueError, MemoryError, OverflowError) as e:  # Broken is a ValueError
         return {"status": f"broken: {e}"} | empty
 
 
 def read_track(data: bytes) -> bytes:
     """The bytes of the first track's samples, in order."""
     view = memoryview(data)
-    start, end = sample_ranges(next(t for t in tracks(view) if b"stsz" in t.tables))
+    t = described_track(tracks(view))
+    if t is None:
+        raise Broken("no track")
+    start, end = sample_ranges(t)
     if not len(start):
         return b""
     cut = np.flatnonzero(start[1:] != end[:-1]) + 1  # samples that don't follow the one before
@@ -237,10 +262,11 @@ def feature(info: dict) -> str:
 
 
 def map_rows(docs: DataFrame, carry: list[str], content, make, schema: str) -> DataFrame:
-    """Runs make(bytes or None) on a binary column; its dicts' fields follow the columns carry."""
+    """Runs make(bytes or None) on a binary column; its dicts' fields follow the columns carry, numbered where those have the name."""
     ship(docs.sparkSession)
     added = StructType.fromDDL(schema)
-    whole = StructType([*docs.select(*carry).schema.fields, *added.fields])
+    names = free_names(carry, added.names)
+    whole = StructType([*docs.select(*carry).schema.fields, *(StructField(x, f.dataType) for x, f in zip(names, added, strict=True))])
     n = len(carry)
 
     def run(batches):
@@ -256,5 +282,5 @@ def map_rows(docs: DataFrame, carry: list[str], content, make, schema: str) -> D
 
 
 def describe(docs: DataFrame, content_col: str) -> DataFrame:
-    """docs with FIELDS of the file in content_col beside all its columns; none of docs' columns may have those names."""
+    """docs with FIELDS of the file in content_col beside all its columns."""
     return map_rows(docs, docs.columns, F.col(content_col), probe, FIELDS)
