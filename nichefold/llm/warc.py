@@ -11,7 +11,10 @@ attempt writes under names of its own that readers ignore, and the driver's comm
 repeated or lost tasks leave no records behind.
 
 Defined cases: null headers aren't written; a null payload is empty; a record without WARC-Type is of type "";
-files whose name starts with "." or "_" aren't archives; an archive cut off in a record ends there.
+files whose name starts with "." or "_" aren't archives; an archive cut off in a record, or with a record without a whole number as
+Content-Length, ends there; a member that tells its length but whose bytes don't match its checksum is left out where its payload is wanted, and those
+after it are read; members with and without a length may follow each other; repeated rows are written as often as they come; an empty table is an
+archive without records; columns that aren't of this format aren't written.
 """
 
 from __future__ import annotations
@@ -54,13 +57,23 @@ FILE_BYTES, BATCH_BYTES, PEEK = 64 << 20, 8 << 20, 4096
 HTTP = "application/http"
 
 
+#: Names that Spark's file systems go by here.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def open_fs(path: str):
     """The file system of a path or address, and the path in it."""
-    from pyarrow import fs
+    from pyarrow import ArrowInvalid, fs
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    scheme, sep, rest = path.partition("://")
+    if not sep:
+        return fs.LocalFileSystem(), path
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except ArrowInvalid as e:
+        raise ValueError(f"archives can't be read or written at {path}: {e}") from e
 
 
 def list_archives(path: str) -> list[tuple[str, int]]:
@@ -118,58 +131,99 @@ def payload_of(fields: dict[str, str], block: bytes) -> tuple[bytes, int]:
     return body, len(body)
 
 
-def _members(f, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Records of an archive whose members tell their length; None instead of a block that isn't wanted."""
-    at = 0
-    while True:
-        f.seek(at)
-        piece = f.read(PEEK)
-        if len(piece) < 24:
-            return
-        total = struct.unpack_from("<I", piece, 16)[0]
-        inflate = zlib.decompressobj(-15)
-        data = inflate.decompress(piece[24:total])
-        read = len(piece)
+def length_of(fields: dict[str, str]) -> int | None:
+    """Content-Length, or None if it is missing or no whole number."""
+    n = fields.get("content-length", "")
+    return int(n) if n.isascii() and n.isdigit() else None
+
+
+def _tells_length(start: bytes) -> bool:
+    return len(start) >= 24 and start[:4] == b"\x1f\x8b\x08\x04" and start[12:16] == b"sl\x08\x00"
+
+
+def _member(f, at: int, wanted) -> tuple[int, tuple[dict[str, str], bytes | None] | None] | None:
+    """Length and record of the member at a place; None for its record if that is damaged, None at all where the archive ends."""
+    f.seek(at)
+    piece = f.read(PEEK)
+    total, size = struct.unpack_from("<II", piece, 16)
+    if total < 32:
+        return None
+    inflate = zlib.decompressobj(-15)
+    try:
+        data, tail, read = inflate.decompress(piece[24:total]), piece[:total][-8:], len(piece)
         while b"\r\n\r\n" not in data and read < total:
             more = f.read(min(PEEK, total - read))
             if not more:
-                return
-            read += len(more)
-            data += inflate.decompress(more)
-        head, _, start = data.partition(b"\r\n\r\n")
-        fields = parse_fields(head)
-        block = None
-        if wanted(fields):
-            rest = f.read(total - read) if total > read else b""
-            block = (start + inflate.decompress(rest))[: int(fields["content-length"])]
-        yield fields, block
-        at += total
+                return None
+            data, tail, read = data + inflate.decompress(more), (tail + more)[-8:], read + len(more)
+        fields = parse_fields(data.partition(b"\r\n\r\n")[0])
+        n = length_of(fields)
+        if n is None:
+            return None
+        if not wanted(fields):
+            return total, (fields, None)
+        if read < total:
+            rest = f.read(total - read)
+            if len(rest) < total - read:
+                return None
+            data, tail = data + inflate.decompress(rest), (tail + rest)[-8:]
+    except zlib.error:
+        return total, None
+    start = data.find(b"\r\n\r\n") + 4
+    whole = len(data) == size and struct.pack("<II", zlib.crc32(data), size) == tail and start + n <= size
+    return total, (fields, data[start : start + n]) if whole else None
+
+
+def _members(f, length: int, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Records of a compressed archive; None instead of a block that isn't wanted.  Members that tell their length are skipped by it."""
+    at = 0
+    while at < length:
+        f.seek(at)
+        if not _tells_length(f.read(24)):
+            f.seek(at)
+            yield from _stream(gzip.GzipFile(fileobj=f), wanted)
+            return
+        found = _member(f, at, wanted)
+        if found is None or at + found[0] > length:
+            return
+        if found[1] is not None:
+            yield found[1]
+        at += found[0]
 
 
 def _stream(f, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Records of an archive read from front to back."""
-    while True:
-        line = f.readline()
-        while line in (b"\r\n", b"\n"):
+    """Records of an archive read from front to back, up to where it is cut off or damaged."""
+    try:
+        while True:
             line = f.readline()
-        if not line.startswith(b"WARC/"):
-            return
-        head = [line]
-        while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-            head.append(line)
-        fields = parse_fields(b"".join(head).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
-        n = int(fields.get("content-length", 0))
-        block = None
-        if wanted(fields):
-            block = f.read(n)
-            if len(block) < n:
+            while line in (b"\r\n", b"\n"):
+                line = f.readline()
+            if not line.startswith(b"WARC/"):
                 return
-        elif f.seekable() and not isinstance(f, gzip.GzipFile):
-            f.seek(n, io.SEEK_CUR)
-        else:
-            while n > 0 and (skipped := f.read(min(n, 1 << 20))):
-                n -= len(skipped)
-        yield fields, block
+            head = [line]
+            while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+                head.append(line)
+            fields = parse_fields(b"".join(head).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
+            n = length_of(fields)
+            if n is None or not line:
+                return
+            if wanted(fields):
+                block = f.read(n)
+                if len(block) < n:
+                    return
+                yield fields, block
+                continue
+            if n and f.seekable() and not isinstance(f, gzip.GzipFile):
+                f.seek(n - 1, io.SEEK_CUR)
+                n = 1 - len(f.read(1))
+            else:
+                while n > 0 and (skipped := f.read(min(n, 1 << 20))):
+                    n -= len(skipped)
+            if n:
+                return
+            yield fields, None
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
 
 
 def read_archive(path: str, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -177,13 +231,10 @@ def read_archive(path: str, wanted) -> Iterator[tuple[dict[str, str], bytes | No
     system, at = open_fs(path)
     with system.open_input_file(at) as raw:
         f = io.BufferedReader(raw, 1 << 20)
-        start = f.peek(24)[:24]
-        if start[:2] != b"\x1f\x8b":
-            yield from _stream(f, wanted)
-        elif len(start) == 24 and start[3] == 4 and start[12:16] == b"sl\x08\x00":
-            yield from _members(f, wanted)
+        if f.peek(2)[:2] == b"\x1f\x8b":
+            yield from _members(f, raw.size(), wanted)
         else:
-            yield from _stream(gzip.GzipFile(fileobj=f), wanted)
+            yield from _stream(f, wanted)
 
 
 def _test(filters: list[tuple[str, str, tuple]]):
@@ -243,7 +294,7 @@ class WarcReader(DataSourceReader):
                 continue
             out = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
             out["warc_type"] = out["warc_type"] or ""
-            out["content_length"] = int(fields.get("content-length", 0))
+            out["content_length"] = length_of(fields)
             if block is not None:
                 body, out["payload_length"] = payload_of(fields, block)
                 out["payload"] = body
