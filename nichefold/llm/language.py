@@ -6,7 +6,9 @@ apart.  All are fitted on the driver on at most about SAMPLE texts, equally many
 the id picks them.
 
 Defined cases: null text, or text without a letter, is "und" with score 0; codes that no family lists are a family of their own; with
-nothing to learn from all is "und", with one language all is that.
+nothing to learn from all is "und", with one language all is that; each language is learned from at least one text in expectation, however
+many there are (languages are taken to be a catalogue, which the driver holds); whole texts count, of any length; equal texts, in repeated rows too, have equal predictions; votes that tie go by confidence, then
+by code; an empty table gives an empty table; where a table brings columns named as those that are added, the added get a number.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichefold.llm.common import ship
+from nichefold.llm.common import free_names, ship
 from nichefold.llm.quality_model import chosen
 
 #: Texts that the machines are fitted on, in expectation, over all languages and of one.
@@ -173,14 +175,13 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     """The model of docs whose language is given and for which may_learn holds."""
     ship(docs.sparkSession)
     base = docs.filter(F.col(lang_col).isNotNull() & may_learn)
-    counts = {r[0]: r[1] for r in base.groupBy(lang_col).count().collect()}  # a row a language
+    counts = {r[0]: r[1] for r in base.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row a language
     if not counts:
         return fit(np.zeros((0, SIZE), np.float32), [])
-    each = min(PER_LANGUAGE, SAMPLE // len(counts))
-    pick = F.lit(False)
-    for code, n in counts.items():
-        pick = pick | ((F.col(lang_col) == code) & chosen(F.col(id_col), min(1.0, each / n)))
-    rows = base.filter(pick).select(text_col, F.col(lang_col).cast("string").alias("lang")).mapInArrow(_sample_rows, "g binary, lang string").toArrow()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    shares = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, each / n))])
+    share = F.try_element_at(shares, F.col(lang_col).cast("string"))
+    rows = base.filter(chosen(F.col(id_col), share)).select(text_col, F.col(lang_col).cast("string").alias("lang")).mapInArrow(_sample_rows, "g binary, lang string").toArrow()
     order = sorted(zip(rows.column("lang").to_pylist(), rows.column("g").to_pylist(), strict=True))  # rows come in any order
     x = np.empty((len(order), SIZE), dtype=np.float32)
     for i, (_, g) in enumerate(order):
@@ -195,7 +196,8 @@ def identify(docs: DataFrame, model: Model, carry: list[str], text_col: str = "t
     shared = spark.sparkContext.broadcast(model)
     from pyspark.sql.types import StructType
 
-    schema = StructType([*docs.select(*carry).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
+    lang, score = free_names(carry, ["lang_pred", "score"])
+    schema = StructType([*docs.select(*carry).schema.fields, *StructType.fromDDL(f"`{lang}` string, `{score}` double").fields])
     n = len(carry)
 
     def run(batches):

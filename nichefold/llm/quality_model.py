@@ -6,7 +6,8 @@ all rows then walk together, one level at a time, without branching.
 
 Defined cases: null text counts as empty and is scored like any other; rows without label, or with a null id, are scored but
 not learned from; without labelled rows the score is 0.5, with labels of one kind their share; repeated label rows count as often as
-they occur.
+they occur, also where documents' ids repeat; whole texts count, of any length; equal texts have equal scores; an empty table gives an empty table; other
+columns of either table, whatever their names, aren't read; an id column that is itself called score leaves the score a numbered name.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichefold.llm.common import materialise, ship
+from nichefold.llm.common import free_names, materialise, ship
 
 #: Labelled rows that the trees are fitted on, in expectation.
 SAMPLE = 20_000
@@ -167,9 +168,10 @@ def bucket(id_: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(n).cast("long"))
 
 
-def chosen(id_: Column, share: float, seed: int = 7) -> Column:
+def chosen(id_: Column, share: float | Column, seed: int = 7) -> Column:
     """Whether a hash of the id falls into that share of all hashes."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_), 11) < F.lit(int(share * (1 << 53)))
+    upto = F.floor(share * F.lit(float(1 << 53))) if isinstance(share, Column) else F.lit(int(share * (1 << 53)))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_), 11) < upto
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -185,12 +187,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, may_learn: Column, id_co
     rows = table.join(marks, "id").select("f", "y").toArrow().combine_chunks()
     x = _matrix(rows.column("f").combine_chunks()) if rows.num_rows else np.zeros((0, N_FEATURES))
     order = np.lexsort((rows.column("y").to_numpy(), *x.T)) if len(x) else np.zeros(0, dtype=np.int64)  # rows come in any order
+    score_name = free_names([id_col], ["score"])[0]
     forest = spark.sparkContext.broadcast(fit(x[order], rows.column("y").to_numpy()[order] if len(x) else np.zeros(0)))
 
     def score(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(forest.value.score(_matrix(b.column(1))))], names=[id_col, "score"])
+            yield pa.record_batch([b.column(0), pa.array(forest.value.score(_matrix(b.column(1))))], names=[id_col, score_name])
 
-    return table.mapInArrow(score, f"`{id_col}` {id_type}, score double")
+    return table.mapInArrow(score, f"`{id_col}` {id_type}, `{score_name}` double")
