@@ -8,16 +8,17 @@ partition can't settle alone, its first line, is settled from the first document
 their outermost lines: two rows a partition.  The result is a compressed keep bitmap for each
 document that loses lines; texts meet the bitmaps in one join.
 
-Defined cases: null text is one empty line; a null id ranks after all others and is one document; rows that
-share id and text are one document each to its own output row, with the same bitmap; rows that share
-an id but not the text count as one document when lines are compared; lines whose key is short are never dropped.
+Defined cases: null text is one empty line, as is empty text; ids are of any type: whole numbers rank as such, others by their text's bytes; a null
+id ranks after all others and is one document; rows that share id and text are one document each to its own output row, with the same bitmap; rows that
+share an id but not the text count as one document when lines are compared; lines whose key is short are never dropped; texts of any length are read
+whole; an empty table gives an empty table; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichefold.llm.common import free_name, materialise, ship
@@ -25,7 +26,15 @@ from nichefold.llm.common import free_name, materialise, ship
 #: ASCII white space that keys lose at both ends, and the code points that a key needs.
 SPACES, LEAST = b" \t\n\x0b\x0c\r", 10
 LAST_ID = (1 << 63) - 1
-ROWS = "h1 long, h2 long, d long, t long, pos int"
+ROWS = "h1 long, h2 long, d {0}, t long, pos int"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def rank_of(docs: DataFrame, id_col: str) -> Column:
+    """A document's rank, null ids last: the id as a long, or its text behind "0", which sorts before the "1" of null."""
+    if dict(docs.dtypes)[id_col] in WHOLE:
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    return F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1"))
 
 
 def key(line: bytes) -> bytes:
@@ -77,7 +86,7 @@ def _hash_lines(batches):
         if hashes:
             h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
             yield pa.record_batch(
-                [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(docs, pa.int64()), pa.array(texts, pa.int64()), pa.array(places, pa.int32())],
+                [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(docs, b.schema.field(0).type), pa.array(texts, pa.int64()), pa.array(places, pa.int32())],
                 names=["h1", "h2", "d", "t", "pos"],
             )
 
@@ -88,16 +97,17 @@ def _first_occurrences(batches):
     import pyarrow as pa
 
     names = ["kind", "h1", "h2", "d", "t", "pos"]
-    head = last = None
+    head = last = kind_of_id = None
     in_head = True
 
     def rows(kind: int, h1, h2, d, t, pos):
-        return pa.record_batch([pa.array(np.full(len(h1), kind, dtype=np.int32)), *(pa.array(x) for x in (h1, h2, d, t)), pa.array(pos, pa.int32())], names=names)
+        return pa.record_batch([pa.array(np.full(len(h1), kind, dtype=np.int32)), pa.array(h1), pa.array(h2), pa.array(d, kind_of_id), pa.array(t), pa.array(pos, pa.int32())], names=names)
 
     for b in batches:
         n = b.num_rows
         if not n:
             continue
+        kind_of_id = b.schema.field(2).type
         h1, h2, d, t, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         new = np.empty(n, dtype=bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -119,9 +129,9 @@ def _first_occurrences(batches):
         last = (h1[-1], h2[-1], first[-1])
     if head is not None:
         ends = {head[:2]: head[2], last[:2]: last[2]} if head[:2] != last[:2] else {head[:2]: head[2]}
-        a = np.array([[k[0], k[1], v] for k, v in ends.items()], dtype=np.int64)
+        a = np.array(list(ends), dtype=np.int64)
         zero = np.zeros(len(a), dtype=np.int64)
-        yield rows(2, a[:, 0].copy(), a[:, 1].copy(), a[:, 2].copy(), zero, zero.astype(np.int32))
+        yield rows(2, a[:, 0].copy(), a[:, 1].copy(), list(ends.values()), zero, zero.astype(np.int32))
 
 
 def _pack_rows(batches):
@@ -132,24 +142,25 @@ def _pack_rows(batches):
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (d, t, bitmap) for each document that loses lines: its id, the hash of its text, its keep bitmap."""
+    """Rows (d, t, bitmap) for each document that loses lines: its rank, the hash of its text, its keep bitmap."""
     ship(docs.sparkSession)
-    body = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
+    kind = "long" if dict(docs.dtypes)[id_col] in WHOLE else "string"
+    body = docs.select(rank_of(docs, id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("text"))
     order = ["h1", "h2", "d", "t", "pos"]
-    lines = body.mapInArrow(_hash_lines, ROWS).repartitionByRange(*order).sortWithinPartitions(*order)
-    marks = materialise(lines.mapInArrow(_first_occurrences, f"kind int, {ROWS}"), "line-marks")
+    lines = body.mapInArrow(_hash_lines, ROWS.format(kind)).repartitionByRange(*order).sortWithinPartitions(*order)
+    marks = materialise(lines.mapInArrow(_first_occurrences, f"kind int, {ROWS.format(kind)}"), "line-marks")
     # At most two rows a partition, so this side is small whatever the corpus.
     heads = marks.filter("kind = 2").groupBy("h1", "h2").agg(F.min("d").alias("first"))
     open_ends = marks.filter("kind = 1").join(F.broadcast(heads), ["h1", "h2"]).filter("d <> first")
     drops = marks.filter("kind = 0").select("d", "t", "pos").unionByName(open_ends.select("d", "t", "pos"))
-    return drops.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("ps")).mapInArrow(_pack_rows, "d long, t long, bitmap binary")
+    return drops.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("ps")).mapInArrow(_pack_rows, f"d {kind}, t long, bitmap binary")
 
 
 def with_bitmaps(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs and the keep bitmap of each row as column ``name``, null where all lines stay."""
     d, t = free_name(docs, "d_"), free_name(docs, "t_")
     maps = keep_bitmaps(docs, id_col, text_col).toDF(d, t, name)
-    keyed = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn(t, F.xxhash64(text_col))
+    keyed = docs.withColumn(d, rank_of(docs, id_col)).withColumn(t, F.xxhash64(text_col))
     return keyed.join(maps, [d, t], "left").drop(d, t)
 
 
