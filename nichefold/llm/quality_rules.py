@@ -7,8 +7,9 @@ is its posterior probability of being good.  There are at most 3^8 patterns howe
 corpus, so the model is fitted on one tiny row inside the plan, by higher-order functions, and joined
 to all documents as a single broadcast row.
 
-Defined cases: null text counts as empty; texts without words have n_words 0 and fail the base test;
-null ids, repeated rows and extra columns pass through; an empty table gives an empty result.
+Defined cases: null text counts as empty; texts without words have n_words 0 and fail the base test; texts of any length are read whole;
+null ids, repeated rows and extra columns of any name pass through; equal texts have equal verdicts, and a probability of just KEEP_AT keeps; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,11 +53,13 @@ def _covered(w: Column) -> Column:
     windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
     total = let(
         windows,
-        lambda h: F.aggregate(
-            starts_of_repeats(h),
-            F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("sum")),
-            lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), i - a["last"])).cast("long").alias("sum")),
-            lambda a: a["sum"],
+        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+            F.aggregate(
+                starts_of_repeats(h),
+                F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("sum")),
+                lambda a, i: F.struct(i.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), i - a["last"])).cast("long").alias("sum")),
+                lambda a: a["sum"],
+            )
         ),
     )
     return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(total)
@@ -188,21 +191,13 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that the verdict keeps, with their columns as they are.
 
-    The model needs every row's votes before any verdict, so the first of two passes leaves the
-    pattern counts alone and the second computes the statistics again beside the text: cheaper than moving
-    the texts to meet a table of verdicts, and safe with repeated or null ids.
+    The model needs every row's votes before any verdict.  So the rows are written once with their votes beside them, which costs the
+    input's size in the shared folder and spares a second computing of all statistics; safe with repeated or null ids.
     """
-    m = free_name(docs, "model")
-    counted = docs.select(votes_of(text_col).alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-    model = materialise(fit(materialise(counted, "patterns")), "rule-model")
-    rows = docs.crossJoin(F.broadcast(model.select(F.col("m").alias(m))))
-
+    v, m = free_name(docs, "votes"), free_name(docs, "model")
     # One expression, so that a text's statistics are computed once.
-    def good(s: Column) -> Column:
-        return ~base_failed(s) & let(votes(s), lambda v: posterior(v, F.col(m)) >= KEEP_AT)
-
-    return rows.filter(let(statistics(F.col(text_col)), good)).drop(m)
-
-
-def votes_of(text_col: str) -> Column:
-    return let(statistics(F.col(text_col)), votes)
+    both = let(statistics(F.col(text_col)), lambda s: F.struct(votes(s).alias("v"), base_failed(s).alias("f")))
+    rows = materialise(docs.withColumn(v, both), "judged")
+    model = fit(rows.groupBy(F.col(f"{v}.v").alias("v")).agg(F.count("*").alias("c")))
+    judged = rows.filter(~F.col(f"{v}.f")).crossJoin(F.broadcast(model.select(F.col("m").alias(m))))
+    return judged.filter(posterior(F.col(f"{v}.v"), F.col(m)) >= KEEP_AT).select(*docs.columns)
