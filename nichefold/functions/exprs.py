@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME, MULT, MULT2, STRIDE = 2147483647, 48271, 69621, 1000003
@@ -10,12 +10,19 @@ EPS = 1e-8
 
 
 def stable_hash(x: Column, seed: int = 0) -> Column:
-    """A pseudo-random integer below 2^31-1 from integer arithmetic that any SQL engine repeats; x is below STRIDE."""
+    """A pseudo-random integer below 2^31-1 from integer arithmetic that any SQL engine repeats; x is below 2^46."""
     n = x.cast("long") + F.lit(1 + seed * STRIDE).cast("long")
     a = (n * F.lit(MULT)) % F.lit(PRIME)
     return ((a * a) % F.lit(PRIME) + n) * F.lit(MULT2) % F.lit(PRIME)
 
 
+def id_number(rows: DataFrame, id_col: str) -> Column:
+    """An id as a number for stable_hash: whole numbers as they are, other ids by 44 bits of the MD5 of their text."""
+    if dict(rows.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(id_col).cast("long")
+    return F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 11), 16, 10).cast("long")
+
+
 def stable_unit(x: Column, seed: int = 0) -> Column:
     return (stable_hash(x, seed) + F.lit(0.5)) / F.lit(float(PRIME))
 

@@ -51,15 +51,14 @@ def pixel_size(xml: Column, default: float = 0.363788) -> Column:
     return F.coalesce(F.regexp_extract(xml, 'PhysicalSizeX="([^"]+)"', 1).try_cast("double"), F.lit(default))
 
 
-def pyramid_level(levels: Column, level: int = 0) -> Column:
+def pyramid_level(levels: Column, level: int | Column = 0) -> Column:
     """The asked level of an image pyramid (array of structs), clamped to the last."""
-    return F.element_at(levels, F.least(F.lit(level + 1), F.size(levels)))
+    return F.element_at(levels, F.least((F.lit(level) if isinstance(level, int) else level) + 1, F.size(levels)))
 
 
-def read_affine(path: str) -> list[list[float]]:
-    """A 3 x 3 matrix from CSV."""
-    with open(path, encoding="utf-8") as f:
-        return [[float(x) for x in line.split(",")] for line in f if line.strip()]
+def read_affine(spark: SparkSession, path: str) -> list[list[float]]:
+    """A 3 x 3 matrix from CSV, wherever Spark can read it."""
+    return [[float(x) for x in r.value.split(",")] for r in spark.read.text(path).collect() if r.value.strip()]
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
