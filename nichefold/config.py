@@ -86,6 +86,7 @@ METHODS = {
     "oracle": "Transcriptomic oracle",
 }
 REFERENCE_METHOD = "cellseek"
+# Methods that use images, encoders, scales, reported metrics and cut-offs.
 IMAGE_VARIANTS = ["biomedclip", "biomedclip_nbhd", "plip", "neighborhood", "linear_probe", "cellseek_mlp", "cellseek"]
 ENCODERS = ["biomedclip", "plip", "uni2", "gigapath", "conch"]
 SCALES = ["medium", "neighborhood"]
@@ -94,7 +95,7 @@ KS = [1, 5, 10, 20, 50]
 
 
 def variant_specs() -> dict[str, list[str]]:
-    """Feature variants by name: blocks are '<encoder>_<scale>' or the neighbour average of the medium one."""
+    """Feature variants by name.  Blocks are '<encoder>_<scale>' or the neighbour average of the medium one."""
 
     def three(encoder: str) -> list[str]:
         return [f"{encoder}_medium", f"{encoder}_neighborhood", f"{encoder}_medium_nbravg"]
@@ -123,7 +124,7 @@ def variant_specs() -> dict[str, list[str]]:
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of a run, with the defaults of the breast sample."""
+    """Parameters of a run; the defaults, fixed values, are those of the breast sample."""
 
     min_counts: float = 10
     min_area: float = 0.0
@@ -143,6 +144,8 @@ class Settings:
     ks: tuple[int, ...] = (1, 5, 10, 20, 50)
     ndcg_k: int = 10
     seed: int = 0
+    dataset: str = "dataset"
+    sample: str = "sample"
     processed_dir: str = "data/processed"
     results_dir: str = "results"
 
@@ -172,6 +175,8 @@ def load_settings(path: str | None = None, text: str | None = None) -> Settings:
         "ks": tuple(ret["topk"]) if "topk" in ret else None,
         "ndcg_k": ret.get("ndcg_k"),
         "seed": raw.get("seed"),
+        "dataset": data.get("name"),
+        "sample": data.get("sample"),
         "processed_dir": data.get("processed_dir"),
         "results_dir": data.get("results_dir"),
     }

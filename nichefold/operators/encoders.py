@@ -1,11 +1,12 @@
 """Encoders of texts and image patches.
 
-The hash encoder needs no weights.  The pretrained ones are an interface: a factory makes the model once a worker, and torch and
-weights come from where the job runs.
+The hash encoder needs no weights.  The pretrained ones take theirs from a factory that workers import: it makes the model once a task, from
+whatever libraries and weights are where the job runs.
 """
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichefold.functions.exprs import stable_hash
+from nichefold.functions.workers import ship
 
 BUCKETS, STATS, SIDES = 256, 27, 48
 
@@ -44,46 +46,54 @@ def patch_stats(patch: np.ndarray) -> np.ndarray:
 
 
 class HashEncoder:
-    """Statistics of patches by a fixed Gaussian matrix."""
+    """Statistics of patches by a fixed Gaussian matrix; plain: the statistics themselves."""
 
     normalised = False
 
-    def __init__(self, dim: int = 512, seed: int = 0):
-        self.projection = np.random.default_rng(seed).standard_normal((SIDES, dim))
+    def __init__(self, dim: int = 512, seed: int = 0, plain: bool = False):
+        self.projection = np.eye(SIDES, dim) if plain else np.random.default_rng(seed).standard_normal((SIDES, dim))
 
     def encode_image(self, patches: np.ndarray) -> np.ndarray:
         return np.stack([patch_stats(p) for p in patches]) @ self.projection
 
 
 class Pretrained:
-    """A pretrained encoder by name, loaded on first use; text is refused where the model has none."""
+    """A pretrained encoder by name, whose model a factory makes on first use, once a worker; text is refused where the model has none.
 
-    def __init__(self, name: str, has_text: bool, normalised: bool, batch_size: int):
-        self.name, self.has_text, self.normalised, self.batch_size = name, has_text, normalised, batch_size
+    factory: "module:function" that the worker imports and calls, or a function.  Its model has encode_image(uint8 [n, h, w, 3]) and, if it knows
+    text, encode_text(list of str), each giving rows of numbers.
+    """
+
+    def __init__(self, name: str, has_text: bool, normalised: bool, batch_size: int = 64, factory: str | Callable | None = None):
+        self.name, self.has_text, self.normalised, self.batch_size, self.factory = name, has_text, normalised, batch_size, factory
         self.model = None
 
     def load(self):
         if self.model is None:
-            try:
-                import torch  # noqa: F401
-            except ImportError as e:
-                raise RuntimeError(f"encoder {self.name} needs torch and its weights, which aren't installed") from e
-            raise RuntimeError(f"encoder {self.name} has no weights here: pass a factory to register()")
+            if self.factory is None:
+                raise RuntimeError(f"encoder {self.name} has no weights here: give it a factory, 'module:function'")
+            make = self.factory
+            if isinstance(make, str):
+                module, _, function = make.partition(":")
+                make = getattr(importlib.import_module(module), function)
+            self.model = make()
         return self.model
 
-    def encode_image(self, patches: np.ndarray) -> np.ndarray:
-        out = np.concatenate([self.load().encode_image(patches[i : i + self.batch_size]) for i in range(0, len(patches), self.batch_size)])
+    def _rows(self, call, inputs) -> np.ndarray:
+        out = np.concatenate([np.asarray(call(inputs[i : i + self.batch_size]), dtype=np.float64) for i in range(0, len(inputs), self.batch_size)])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-8) if self.normalised else out
 
+    def encode_image(self, patches: np.ndarray) -> np.ndarray:
+        return self._rows(self.load().encode_image, patches)
+
     def encode_text(self, texts: list[str]) -> np.ndarray:
         if not self.has_text:
             raise NotImplementedError(f"{self.name} encodes images only")
-        out = self.load().encode_text(texts)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-8)
+        return self._rows(self.load().encode_text, texts)
 
 
 def _make(name: str, has_text: bool, normalised: bool) -> Callable:
-    return lambda batch_size=64, **_: Pretrained(name, has_text, normalised, batch_size)
+    return lambda batch_size=64, factory=None, **_: Pretrained(name, has_text, normalised, batch_size, factory)
 
 
 REGISTRY: dict[str, Callable] = {
@@ -91,7 +101,7 @@ REGISTRY: dict[str, Callable] = {
     "plip": _make("plip", True, True),
     **dict.fromkeys(("uni2", "uni2-h", "uni"), _make("uni2", False, False)),
     **dict.fromkeys(("gigapath", "prov-gigapath"), _make("gigapath", False, False)),
-    **dict.fromkeys(("hash", "random", "fallback"), lambda dim=512, seed=0, **_: HashEncoder(dim, seed)),
+    **dict.fromkeys(("hash", "random", "fallback"), lambda dim=512, seed=0, plain=False, **_: HashEncoder(dim, seed, plain)),
 }
 
 
@@ -108,6 +118,7 @@ def get_encoder(name: str, **options):
 def encode_patches(patches: DataFrame, name: str, scale: str, **options) -> DataFrame:
     """(cell_id, encoder, scale, embedding) of patches (cell_id, h, w, px binary); the model is made once a task and fails loudly."""
     id_type = dict(patches.dtypes)["cell_id"]
+    ship(patches.sparkSession)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -122,3 +133,22 @@ def encode_patches(patches: DataFrame, name: str, scale: str, **options) -> Data
             yield pa.record_batch([b.column(0), pa.array([name] * n), pa.array([scale] * n), pa.array(list(out), pa.list_(pa.float32()))], names=["cell_id", "encoder", "scale", "embedding"])
 
     return patches.select("cell_id", "h", "w", "px").mapInArrow(run, f"cell_id {id_type}, encoder string, scale string, embedding array<float>")
+
+
+def encode_texts(texts: DataFrame, name: str, text_col: str = "text", **options) -> DataFrame:
+    """texts with vec, by an encoder that knows text."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    ship(texts.sparkSession)
+    at = texts.columns.index(text_col)
+    schema = StructType([*texts.schema.fields, StructField("vec", ArrayType(DoubleType()))])
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        model = get_encoder(name, **options)
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([*b.columns, pa.array(list(model.encode_text(b.column(at).to_pylist())), pa.list_(pa.float64()))], names=schema.names)
+
+    return texts.mapInArrow(run, schema)

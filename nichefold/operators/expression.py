@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nichefold.config import UNKNOWN
+from nichefold.config import LINEAGES, NICHES, UNKNOWN
+from nichefold.functions.quantiles import exact_quantiles
+from nichefold.sources.stage import stage
 
 
 def qc_filter(cells: DataFrame, min_counts: float, min_area: float = 0.0, counts_col: str = "transcript_counts", area_col: str = "cell_area") -> DataFrame:
@@ -49,12 +51,11 @@ def normalise(counts: DataFrame, target_sum: float | None = None) -> DataFrame:
     """(cell_id, gene, v): ln(1 + count scaled so that its cell's total is the target), by default the median of positive totals."""
     totals = library_totals(counts)
     if target_sum is None:
-        # One row: the median is exact.
-        target = totals.filter("total > 0").agg(F.coalesce(F.percentile("total", F.lit(0.5)), F.lit(1.0)).alias("target"))
-    else:
-        target = counts.sparkSession.createDataFrame([(float(target_sum),)], "target double")
-    rows = counts.join(totals, "cell_id").crossJoin(F.broadcast(target))
-    scaled = F.when(F.col("total") > 0, F.col("cnt") * F.col("target") / F.col("total")).otherwise(0.0)
+        totals = stage(totals, "totals")
+        target_sum = exact_quantiles(totals.filter("total > 0"), "total", [0.5])[0]
+    target = F.lit(1.0 if target_sum is None else float(target_sum))
+    rows = counts.join(totals, "cell_id")
+    scaled = F.when(F.col("total") > 0, F.col("cnt") * target / F.col("total")).otherwise(0.0)
     return rows.select("cell_id", "gene", F.log1p(scaled).alias("v"))
 
 
@@ -106,8 +107,9 @@ def proliferation(cells: DataFrame, lognorm: DataFrame, stats: DataFrame, genes:
     """(cell_id, proliferation_score, is_proliferating): mean z of the state's genes, and whether it reaches the quantile over all cells."""
     one = genes.select(F.lit(0).alias("lineage_ord"), F.lit("proliferation").alias("lineage"), "gene")
     score = marker_scores(cells, lognorm, stats, one).select("cell_id", F.col("score").alias("proliferation_score"))
-    cut = score.agg(F.percentile("proliferation_score", F.lit(quantile)).alias("cut"))
-    return score.crossJoin(F.broadcast(cut)).select("cell_id", "proliferation_score", (F.col("proliferation_score") >= F.col("cut")).alias("is_proliferating"))
+    score = stage(score, "state")
+    cut = exact_quantiles(score, "proliferation_score", [quantile])[0]
+    return score.select("cell_id", "proliferation_score", (F.col("proliferation_score") >= F.lit(cut)).alias("is_proliferating"))
 
 
 def wide_scores(scores: DataFrame, lineages: list[str]) -> DataFrame:
@@ -115,6 +117,24 @@ def wide_scores(scores: DataFrame, lineages: list[str]) -> DataFrame:
     return scores.groupBy("cell_id").pivot("lineage", lineages).agg(F.first("score")).select("cell_id", *[F.col(t).alias(f"score_{t}") for t in lineages])
 
 
+def dataset_stats(cells: DataFrame, raw_cells: DataFrame, panel: DataFrame, dataset: str, sample: str, lineages: list[str] = LINEAGES, niches: list[str] = NICHES) -> DataFrame:
+    """(stat, value string): the sizes of a sample before and after quality control, its median, states, types and niches, in one pass over cells.
+
+    cells: transcript_counts, is_proliferating, cell_type, niche_<name> booleans.
+    """
+    text = lambda c: c.cast("string")
+    sums = cells.agg(
+        text(F.count("*")).alias("n_cells_qc"),
+        text(F.count_if("is_proliferating")).alias("n_proliferating"),
+        *[text(F.count_if(F.col("cell_type") == t)).alias(f"n_{t}") for t in [*lineages, UNKNOWN]],
+        *[text(F.count_if(F.col(f"niche_{n}"))).alias(f"n_niche_{n}") for n in niches],
+    )
+    median = exact_quantiles(cells, "transcript_counts", [0.5])[0]
+    sizes = raw_cells.agg(text(F.count("*")).alias("n_cells_raw")).crossJoin(panel.agg(text(F.count_distinct("gene")).alias("n_genes_panel"))).crossJoin(sums)
+    row = sizes.select(F.lit(dataset).alias("dataset"), F.lit(sample).alias("sample"), text(F.lit(median)).alias("median_transcripts"), "*")
+    return row.unpivot([], row.columns, "stat", "value")
+
+
 def type_counts(types: DataFrame) -> DataFrame:
     return types.groupBy("cell_type").agg(F.count("*").alias("n"))
 

@@ -1,25 +1,52 @@
-"""Relevance heads on frozen features: ridge from Gram sums, logistic, MLP and open-vocabulary heads, out of fold.
+"""Relevance heads on frozen features, out of fold: ridge from Gram sums, logistic, MLP and open-vocabulary heads by descent.
 
-Ridge needs one pass: its sums are aggregated on the cluster and only matrices of feature size reach the driver.  The other
-heads iterate; they train on the candidate pool, a sample bounded by its configured size (checked against POOL_NUMBERS), which is
-broadcast, while tasks, one a fold or a fold and query, are spread over the cluster.
+Nothing is refused for its size.  Ridge sums outer products in row batches on the cluster, band by band; wide ones a fold at a time, so that a worker holds
+one matrix of features by features, and each fold is solved in a task of its own.  The other heads train in one task a fold while its rows fit a worker
+(WORKER_NUMBERS); beyond that the same steps run with gradients summed over the cluster, a job a step.  The driver holds parameters, never rows.
+
+Rows are (item_id, fold, x array<double>, y array<double>) and may have ``skip``, an array of folds that a row isn't learned from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Generator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-POOL_NUMBERS = 100_000_000
-MAX_DIM = 2048
+from nichefold.functions.arrays import matrix
+from nichefold.functions.workers import ship
+from nichefold.sources.stage import stage
+
+#: Numbers of training features that one task holds.
+WORKER_NUMBERS = 200_000_000
+#: Numbers of all folds' Gram matrices that a task sums before rows are dealt by fold, and of one band of a matrix.
+GRAM_NUMBERS, BAND_NUMBERS = 8_000_000, 64_000
+#: Features up to which logistic heads end with Newton's steps.
+NARROW = 256
+
+
+def fold_list(rows: DataFrame) -> list[int]:
+    return sorted(r[0] for r in rows.select("fold").distinct().collect())  # a row a fold
+
 
+def _width(rows: DataFrame, column: str) -> int:
+    return rows.agg(F.max(F.size(column))).first()[0] or 0
 
-def _gram_sums(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """By fold: sums of outer products of (1, x, y).  rows: fold int, v array<double> of that width less one."""
+
+# ---- ridge ----
+
+
+def _gram_bands(rows: DataFrame, width: int, folds: list[int]) -> DataFrame:
+    """(fold, band, sums): by fold, rows of the sum of outer products of (1, x, y), as bytes of doubles.  rows: fold, v."""
+    high = max(1, BAND_NUMBERS // width)
+    if len(folds) * width * width > GRAM_NUMBERS:
+        # One fold a task, in chunks of at least as many rows as a matrix has.
+        n = rows.count()
+        chunks = max(1, n // (len(folds) * max(width, 4096)))
+        at = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col("fold")) - 1
+        rows = rows.repartitionById(len(folds) * chunks, (at * chunks + F.pmod(F.xxhash64("v"), F.lit(chunks))).cast("int"))
 
     def partial(batches):
         import pyarrow as pa
@@ -28,50 +55,99 @@ def _gram_sums(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
         for b in batches:
             if not b.num_rows:
                 continue
-            folds = b.column(0).to_numpy(zero_copy_only=False)
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width - 1)
-            v = np.hstack([np.ones((len(v), 1)), v])
-            for f in np.unique(folds):
-                part = v[folds == f]
-                sums[int(f)] = sums.get(int(f), 0) + part.T @ part
+            of = b.column(0).to_numpy(zero_copy_only=False)
+            v = np.hstack([np.ones((b.num_rows, 1)), matrix(b.column(1), width - 1)])
+            for f in np.unique(of):
+                part = v[of == f]
+                if int(f) not in sums:
+                    sums[int(f)] = np.zeros((width, width))
+                sums[int(f)] += part.T @ part
         for f, m in sums.items():
-            yield pa.record_batch([pa.array(np.full(m.size, f, np.int32)), pa.array(np.arange(m.size, dtype=np.int64)), pa.array(m.ravel())], names=["fold", "pos", "s"])
+            for at in range(0, width, high):
+                yield pa.record_batch([pa.array([f], pa.int32()), pa.array([at // high], pa.int32()), pa.array([m[at : at + high].tobytes()])], names=["fold", "band", "sums"])
 
-    out = rows.select("fold", "v").mapInArrow(partial, "fold int, pos long, s double").groupBy("fold", "pos").agg(F.sum("s").alias("s"))
-    found: dict[int, np.ndarray] = {}
-    for r in out.toArrow().to_pylist():
-        found.setdefault(r["fold"], np.zeros(width * width))[r["pos"]] = r["s"]
-    return {f: m.reshape(width, width) for f, m in found.items()}
+    kind = "fold int, band int, sums binary"
+    return _add_up(rows.select(F.col("fold").cast("int"), "v").mapInArrow(partial, kind), ["fold", "band"], kind)
 
 
-def ridge_oof(rows: DataFrame, n_targets: int, alpha: float = 1.0, intercept: bool = True, skip_empty: bool = True) -> DataFrame:
-    """(item_id, target, score): out-of-fold ridge predictions of all targets at once.
+def _add_up(parts: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """Sums of equally long blocks of doubles by two int columns, in a stream over sorted rows."""
 
-    rows: item_id, fold, x array<double>, y array<double>.  intercept: an unpenalised one, by centring on the training rows.
-    skip_empty: a target without a positive in training scores 0.
-    """
-    dim = rows.agg(F.max(F.size("x"))).first()[0] or 0
-    if dim > MAX_DIM:
-        raise ValueError(f"{dim} features are more than {MAX_DIM}")
+    def run(batches):
+        import pyarrow as pa
+
+        now, total = None, None
+        emit = lambda: pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()])], names=[*by, "sums"])
+        for b in batches:
+            for a, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                part = np.frombuffer(s.as_buffer(), dtype=np.float64)
+                if (a, c) == now:
+                    total += part
+                    continue
+                if now is not None:
+                    yield emit()
+                now, total = (a, c), part.copy()
+        if now is not None:
+            yield emit()
+
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, kind)
+
+
+def ridge_models(rows: DataFrame, n_targets: int, dim: int, folds: list[int], alpha: float, intercept: bool, skip_empty: bool) -> DataFrame:
+    """(fold, part, sums): the weights of each fold's model, learned from the other folds, in pieces; the intercepts are the last row of the matrix."""
     width = 1 + dim + n_targets
-    grams = _gram_sums(rows.select("fold", F.concat("x", "y").alias("v")), width)
-    total = sum(grams.values())
-    models = {}
-    for f, own in grams.items():
-        g = total - own
-        n, sx, sy = g[0, 0], g[0, 1 : 1 + dim], g[0, 1 + dim :]
-        xx, xy = g[1 : 1 + dim, 1 : 1 + dim], g[1 : 1 + dim, 1 + dim :]
+    high = max(1, BAND_NUMBERS // width)
+    bands = stage(_gram_bands(rows.select("fold", F.concat("x", "y").alias("v")), width, folds), "gram")
+    others = F.explode(F.array(*[F.struct(F.lit(i).alias("task"), F.lit(f).alias("of")) for i, f in enumerate(folds)])).alias("o")
+    sent = bands.select("fold", "band", "sums", others).filter("fold <> o.of").select(F.col("o.task").alias("task"), F.col("o.of").alias("of"), "band", "sums")
+
+    def solve(batches):
+        import pyarrow as pa
+
+        g, fold = np.zeros((width, width)), None
+        for b in batches:
+            for f, band, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                fold = f
+                part = np.frombuffer(s.as_buffer(), dtype=np.float64).reshape(-1, width)
+                g[band * high : band * high + len(part)] += part
+        if fold is None:
+            return
+        n, sx, sy = g[0, 0], g[0, 1 : 1 + dim].copy(), g[0, 1 + dim :].copy()
+        xx, xy = g[1 : 1 + dim, 1 : 1 + dim], g[1 : 1 + dim, 1 + dim :].copy()
         if intercept and n:
-            mx, my = sx / n, sy / n
-            w = np.linalg.solve(xx - n * np.outer(mx, mx) + alpha * np.eye(dim), xy - n * np.outer(mx, my))
-            b = my - mx @ w
-        else:
-            w, b = np.linalg.solve(xx + alpha * np.eye(dim), xy), np.zeros(n_targets)
+            for i in range(dim):  # row by row, so that no second matrix is made
+                xx[i] -= sx[i] * sx / n
+            xy -= np.outer(sx, sy) / n
+        xx[np.arange(dim), np.arange(dim)] += alpha
+        w = np.linalg.solve(xx, xy)
+        c = (sy - sx @ w) / n if intercept and n else np.zeros(n_targets)
         if skip_empty:
-            w[:, sy <= 0], b[sy <= 0] = 0, 0
-        models[f] = (w, b)
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+            w[:, sy <= 0], c[sy <= 0] = 0, 0
+        full = np.vstack([w, c])
+        step = max(1, BAND_NUMBERS // max(1, n_targets))
+        for at in range(0, len(full), step):
+            yield pa.record_batch([pa.array([fold], pa.int32()), pa.array([at // step], pa.int32()), pa.array([full[at : at + step].tobytes()])], names=["fold", "part", "sums"])
+
+    return sent.repartitionById(len(folds), F.col("task")).select("of", "band", "sums").mapInArrow(solve, "fold int, part int, sums binary")
+
+
+def ridge_oof(rows: DataFrame, n_targets: int, alpha: float = 1.0, intercept: bool = True, skip_empty: bool = True) -> DataFrame:
+    """(item_id, target, score): out-of-fold ridge predictions of all targets at once.
+
+    intercept: an unpenalised one, by centring on the training rows.  skip_empty: a target without a positive in training scores 0.
+    Models (folds by features by targets) are broadcast to score rows where they lie.
+    """
+    ship(rows.sparkSession)
+    dim, folds = _width(rows, "x"), fold_list(rows)
     id_type = dict(rows.dtypes)["item_id"]
+    kind = f"item_id {id_type}, target int, score double"
+    if not folds:
+        return rows.sparkSession.createDataFrame([], kind)
+    found: dict[int, list[bytes]] = {}
+    for f, s in _pairs_of(ridge_models(rows, n_targets, dim, folds, alpha, intercept, skip_empty)):
+        found.setdefault(f, []).append(s)
+    models = {f: np.frombuffer(b"".join(s), dtype=np.float64).reshape(dim + 1, n_targets) for f, s in found.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def predict(batches):
         import pyarrow as pa
@@ -79,187 +155,376 @@ def ridge_oof(rows: DataFrame, n_targets: int, alpha: float = 1.0, intercept: bo
         for b in batches:
             if not b.num_rows:
                 continue
-            folds = b.column(1).to_numpy(zero_copy_only=False)
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            of = b.column(1).to_numpy(zero_copy_only=False)
+            x = matrix(b.column(2), dim)
             out = np.zeros((b.num_rows, n_targets))
-            for f in np.unique(folds):
-                w, c = shared.value[int(f)]
-                out[folds == f] = x[folds == f] @ w + c
+            for f in np.unique(of):
+                if int(f) in shared.value:  # a single fold has nothing to learn from
+                    m = shared.value[int(f)]
+                    out[of == f] = x[of == f] @ m[:-1] + m[-1]
             ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n_targets)))
             yield pa.record_batch([ids, pa.array(np.tile(np.arange(n_targets, dtype=np.int32), b.num_rows)), pa.array(out.ravel())], names=["item_id", "target", "score"])
 
-    return rows.select("item_id", "fold", "x").mapInArrow(predict, f"item_id {id_type}, target int, score double")
+    return rows.select("item_id", "fold", "x").mapInArrow(predict, kind)
 
 
-@dataclass
-class Pool:
-    """A candidate pool in arrays: ids, features, targets by query, and the fold of each row."""
+def _pairs_of(parts: DataFrame) -> list[tuple[int, bytes]]:
+    t = parts.orderBy(*parts.columns[:2]).toArrow()
+    return list(zip(t.column(0).to_pylist(), t.column(2).to_pylist(), strict=True))
 
-    ids: np.ndarray
-    x: np.ndarray
-    y: np.ndarray
-    fold: np.ndarray
 
+# ---- heads by descent ----
 
-def collect_pool(rows: DataFrame, n_targets: int) -> Pool:
-    """rows: item_id, fold, x, y.  Refused beyond POOL_NUMBERS numbers."""
-    n, d = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
-    if n * (d + n_targets) > POOL_NUMBERS:
-        raise ValueError(f"a pool of {n} rows and {d + n_targets} numbers each is no candidate pool; draw a smaller one")
-    t = rows.select("item_id", "fold", "x", "y").orderBy("item_id").toArrow()
-    flat = lambda c, w: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, w)
-    return Pool(t.column("item_id").to_numpy(), flat("x", d), flat("y", n_targets), t.column("fold").to_numpy())
 
+def pos_weight(n: float, pos: np.ndarray) -> np.ndarray:
+    return np.clip((n - pos) / (pos + 1e-6), 1.0, 1000.0)
 
-def pos_weight(y: np.ndarray) -> np.ndarray:
-    pos = y.sum(axis=0)
-    return np.clip((len(y) - pos) / (pos + 1e-6), 1.0, 1000.0)
 
+def _sigmoid(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(m, -500, 500)))
 
-def standardise(train: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both by the training rows' mean and sample deviation plus 1e-6."""
-    mu = train.mean(axis=0)
-    sd = (train.std(axis=0, ddof=1) if len(train) > 1 else np.zeros(train.shape[1])) + 1e-6
-    return (train - mu) / sd, (other - mu) / sd
 
+Steps = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, n_queries: int, decay: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights and bias that minimise sum(w BCE) / (N Q) + decay (|w|^2 + b^2) for one query, by damped Newton steps."""
-    n = len(x)
-    z = np.hstack([x, np.ones((n, 1))])
-    weight = np.where(y > 0, pos_weight(y[:, None])[0], 1.0) / (n * n_queries)
-    beta = np.zeros(z.shape[1])
 
-    def loss(b):
-        m = z @ b
-        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + decay * b @ b)
-
-    now = loss(beta)
+def lbfgs(start: np.ndarray, rounds: int = 200, history: int = 10, small: float = 1e-9) -> Steps:
+    """Yields points, is sent (loss, gradient) of them, and returns where a convex loss is least."""
+    x = start
+    loss, grad = yield x
+    s_, y_ = [], []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
-        grad = z.T @ (weight * (p - y)) + 2 * decay * beta
-        hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 2 * decay * np.eye(z.shape[1])
-        step, size = np.linalg.solve(hess, grad), 1.0
-        while (new := loss(beta - size * step)) > now and size > 1e-6:
-            size /= 2
-        beta = beta - size * step
-        if now - new < 1e-12:
+        if np.abs(grad).max(initial=0) < small:
+            break
+        d, kept = -grad, []
+        for s, y in zip(reversed(s_), reversed(y_), strict=True):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d = d - a * y
+        d = d * ((s_[-1] @ y_[-1]) / (y_[-1] @ y_[-1]) if s_ else min(1.0, 1 / max(np.abs(grad).sum(), 1e-12)))
+        for (s, y), a in zip(zip(s_, y_, strict=True), reversed(kept), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step, low, high = grad @ d, 1.0, 0.0, np.inf
+        for _ in range(30):  # a step that lowers the loss enough and flattens the slope
+            new_loss, new_grad = yield x + step * d
+            if new_loss > loss + 1e-4 * step * slope + 1e-15 * abs(loss):
+                high = step
+            elif new_grad @ d < 0.9 * slope:
+                low = step
+            else:
+                break
+            step = (low + high) / 2 if np.isfinite(high) else 2 * step
+        if new_loss > loss:
             break
-        now = new
-    return beta
+        s, y = step * d, new_grad - grad
+        x, loss, grad = x + s, new_loss, new_grad
+        if s @ y > 1e-16 * (y @ y):
+            s_, y_ = [*s_, s][-history:], [*y_, y][-history:]
+    return x
 
 
-def logistic_fold(x: np.ndarray, y: np.ndarray, test: np.ndarray, query: int, n_queries: int, **_) -> np.ndarray:
-    a, b = standardise(x, test)
-    beta = fit_logistic(a, y[:, query], n_queries)
-    return (b @ beta[:-1] + beta[-1])[:, None]
+def adam(start: np.ndarray, epochs: int, lr: float) -> Steps:
+    x, first, second = start, np.zeros_like(start), np.zeros_like(start)
+    for t in range(1, epochs + 1):
+        _, grad = yield x
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad * grad
+        x = x - lr * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return x
+
+
+class Logistic:
+    """Joint logits of all queries: weighted cross-entropy, mean over rows and queries, plus decay * (|w|^2 + |b|^2)."""
+
+    def __init__(self, d: int, q: int, decay: float = 1e-3, rounds: int = 200, **_):
+        self.d, self.q, self.decay, self.rounds = d, q, decay, rounds
+
+    def parts(self, theta):
+        w = theta.reshape(self.d + 1, self.q)
+        return w[:-1], w[-1]
+
+    def steps(self) -> Steps:
+        return lbfgs(np.zeros((self.d + 1) * self.q), self.rounds)
+
+    def sums(self, theta, x, y, n, pw, rng):
+        """Loss and gradient of these rows' share of the mean over n rows."""
+        w, b = self.parts(theta)
+        m = x @ w + b
+        weight = np.where(y > 0, pw, 1.0) / (n * self.q)
+        loss = float((weight * (np.logaddexp(0, m) - y * m)).sum())
+        g = weight * (_sigmoid(m) - y)
+        return loss, np.vstack([x.T @ g, g.sum(axis=0)]).ravel()
+
+    def penalty(self, theta):
+        return self.decay * float(theta @ theta), 2 * self.decay * theta
+
+    def polish(self, theta, x, y, pw, rounds: int = 4):
+        """Newton's steps from about the minimum, which descent finds to half the digits, where features are so few that they cost little."""
+        if self.d > NARROW or not len(x):
+            return theta
+        z = np.hstack([x, np.ones((len(x), 1))])
+        beta = theta.reshape(self.d + 1, self.q).copy()
+        for j in range(self.q):
+            weight = np.where(y[:, j] > 0, pw[j], 1.0) / (len(x) * self.q)
+            for _ in range(rounds):
+                p = _sigmoid(z @ beta[:, j])
+                hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 2 * self.decay * np.eye(self.d + 1)
+                beta[:, j] -= np.linalg.solve(hess, z.T @ (weight * (p - y[:, j])) + 2 * self.decay * beta[:, j])
+        return beta.ravel()
+
+    def scores(self, theta, x):
+        w, b = self.parts(theta)
+        return x @ w + b
+
+
+class Mlp:
+    """One hidden layer for all queries jointly: ReLU, dropout 0.1, Adam on full batches."""
 
+    def __init__(self, d: int, q: int, seed: int = 0, hidden: int = 256, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3, **_):
+        self.d, self.q, self.hidden, self.epochs, self.lr, self.decay, self.seed = d, q, hidden, epochs, lr, decay, seed
 
-def mlp_fold(x: np.ndarray, y: np.ndarray, test: np.ndarray, seed: int = 0, hidden: int = 256, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3, **_) -> np.ndarray:
-    """One hidden layer for all queries jointly: ReLU, dropout 0.1, Adam on full batches."""
-    a, b = standardise(x, test)
-    rng = np.random.default_rng(seed)
-    d, q = x.shape[1], y.shape[1]
-    shapes = [(d, hidden), (hidden,), (hidden, q), (q,)]
-    bounds = [d**-0.5, d**-0.5, hidden**-0.5, hidden**-0.5]
-    params = [rng.uniform(-s, s, shape) for s, shape in zip(bounds, shapes, strict=True)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    pw = pos_weight(y)
-    for t in range(1, epochs + 1):
-        h = a @ params[0] + params[1]
+    def parts(self, theta):
+        cut = np.cumsum([self.d * self.hidden, self.hidden, self.hidden * self.q])
+        a, b, c, e = np.split(theta, cut)
+        return a.reshape(self.d, self.hidden), b, c.reshape(self.hidden, self.q), e
+
+    def steps(self) -> Steps:
+        rng = np.random.default_rng(self.seed)
+        sizes = [(self.d * self.hidden, self.d), (self.hidden, self.d), (self.hidden * self.q, self.hidden), (self.q, self.hidden)]
+        return adam(np.concatenate([rng.uniform(-(max(1, fan) ** -0.5), max(1, fan) ** -0.5, k) for k, fan in sizes]), self.epochs, self.lr)
+
+    def sums(self, theta, x, y, n, pw, rng):
+        w1, b1, w2, b2 = self.parts(theta)
+        h = x @ w1 + b1
         mask = (h > 0) * (rng.random(h.shape) >= 0.1) / 0.9
         r = h * mask
-        p = 1 / (1 + np.exp(-np.clip(r @ params[2] + params[3], -500, 500)))
-        g = (p * (1 - y + pw * y) - pw * y) / y.size
-        back = (g @ params[2].T) * mask
-        grads = [a.T @ back, back.sum(0), r.T @ g, g.sum(0)]
-        for i, p_ in enumerate(params):
-            gi = grads[i] + decay * p_
-            first[i] = 0.9 * first[i] + 0.1 * gi
-            second[i] = 0.999 * second[i] + 0.001 * gi * gi
-            params[i] = p_ - lr * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return np.maximum(b @ params[0] + params[1], 0) @ params[2] + params[3]
-
-
-def openvocab_fold(x: np.ndarray, target: np.ndarray, test: np.ndarray, seed: int = 0, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3) -> np.ndarray:
-    """A linear map of features into text space by cosine loss; unit rows for test."""
-    a, b = standardise(x, test)
-    rng = np.random.default_rng(seed)
-    d, e = x.shape[1], target.shape[1]
-    params = [rng.uniform(-(d**-0.5), d**-0.5, (d, e)), rng.uniform(-(d**-0.5), d**-0.5, e)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, epochs + 1):
-        p = a @ params[0] + params[1]
+        p = _sigmoid(r @ w2 + b2)
+        g = (p * (1 - y + pw * y) - pw * y) / (n * self.q)
+        back = (g @ w2.T) * mask
+        return 0.0, np.concatenate([(x.T @ back).ravel(), back.sum(axis=0), (r.T @ g).ravel(), g.sum(axis=0)])
+
+    def penalty(self, theta):
+        return 0.0, self.decay * theta
+
+    def scores(self, theta, x):
+        w1, b1, w2, b2 = self.parts(theta)
+        return np.maximum(x @ w1 + b1, 0) @ w2 + b2
+
+
+class OpenVocab:
+    """A linear map of features into text space by cosine loss; y holds a row's text vector, the scores are cosines with the queries' vectors."""
+
+    def __init__(self, d: int, q: int, seed: int = 0, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3, vectors: np.ndarray | None = None, **_):
+        self.d, self.q, self.seed, self.epochs, self.lr, self.decay = d, q, seed, epochs, lr, decay
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
+
+    def steps(self) -> Steps:
+        s = max(1, self.d) ** -0.5
+        return adam(np.random.default_rng(self.seed).uniform(-s, s, (self.d + 1) * self.q), self.epochs, self.lr)
+
+    def sums(self, theta, x, y, n, pw, rng):
+        w = theta.reshape(self.d + 1, self.q)
+        p = x @ w[:-1] + w[-1]
         size = np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
         u = p / size
-        g = -(target - u * (u * target).sum(axis=1, keepdims=True)) / size / len(a)
-        for i, gi in enumerate((a.T @ g, g.sum(0))):
-            gi = gi + decay * params[i]
-            first[i] = 0.9 * first[i] + 0.1 * gi
-            second[i] = 0.999 * second[i] + 0.001 * gi * gi
-            params[i] = params[i] - lr * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    p = b @ params[0] + params[1]
-    return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
+        g = -(y - u * (u * y).sum(axis=1, keepdims=True)) / size / n
+        return 0.0, np.vstack([x.T @ g, g.sum(axis=0)]).ravel()
+
+    def penalty(self, theta):
+        return 0.0, self.decay * theta
+
+    def scores(self, theta, x):
+        w = theta.reshape(self.d + 1, self.q)
+        p = x @ w[:-1] + w[-1]
+        return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6) @ self.vectors.T
+
+
+HEADS: dict[str, Callable] = {"logistic": Logistic, "mlp": Mlp, "openvocab": OpenVocab}
+
+
+def fit(model, x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Parameters of a model from rows at hand, of which x is standardised already."""
+    steps, t, n = model.steps(), 0, max(1, len(x))
+    pw = pos_weight(len(x), y.sum(axis=0))
+    try:
+        theta = next(steps)
+        while True:
+            loss, grad = model.sums(theta, x, y, n, pw, np.random.default_rng([seed, t]))
+            more, pull = model.penalty(theta)
+            theta, t = steps.send((loss + more, grad + pull)), t + 1
+    except StopIteration as e:
+        return model.polish(e.value, x, y, pw) if hasattr(model, "polish") else e.value
+
 
+def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training rows scaled in place by mean and sample deviation plus 1e-6, which are returned."""
+    mu = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+    x -= mu
+    sd = (np.sqrt(np.einsum("ij,ij->j", x, x) / (len(x) - 1)) if len(x) > 1 else np.zeros(x.shape[1])) + 1e-6
+    x /= sd
+    return mu, sd
 
-FOLD_HEADS: dict[str, Callable] = {"logistic": logistic_fold, "mlp": mlp_fold}
 
+def _with_skip(rows: DataFrame) -> DataFrame:
+    return rows if "skip" in rows.columns else rows.withColumn("skip", F.array().cast("array<int>"))
 
-def head_oof(spark, pool: Pool, query_ids: list[str], head: str = "logistic", seed: int = 0, train: dict[int, np.ndarray] | None = None, **options) -> DataFrame:
-    """(query_id, item_id, score): held-out logits, pooled over folds without calibration.
 
-    train: by fold, which rows may be learned from, where that isn't just all rows of other folds (buffered folds).
+def _dealt(rows: DataFrame, folds: list[int]) -> DataFrame:
+    """A row for each fold that a row is learned from or tested in (task, test, item_id, x, y): a partition a fold, training rows first."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("task"), F.lit(f).alias("g")) for i, f in enumerate(folds)])).alias("o")
+    all_ = rows.select("item_id", "fold", "x", "y", "skip", each).withColumn("test", (F.col("fold") == F.col("o.g")).cast("int"))
+    used = all_.filter((F.col("test") == 1) | ~F.array_contains("skip", F.col("o.g"))).select(F.col("o.task").alias("task"), "test", "item_id", "x", "y")
+    return used.repartitionById(len(folds), F.col("task")).sortWithinPartitions("task", "test", "item_id")
+
+
+def head_oof(rows: DataFrame, names: list[str], head: str = "logistic", seed: int = 0, folds: list[int] | None = None, **options) -> DataFrame:
+    """(query_id, item_id, score): held-out scores of each fold, pooled without calibration.
+
+    names: of the scores, in order.  folds: those to test, by default all.
     """
-    if head not in FOLD_HEADS:
+    if head not in HEADS:
         raise ValueError(f"unknown head {head}")
-    folds = sorted(set(pool.fold.tolist()))
-    q = len(query_ids)
-    tasks = [(f, i) for f in folds for i in (range(q) if head == "logistic" else [-1])]
-    shared = spark.sparkContext.broadcast((pool, train, list(query_ids)))
-    table = spark.createDataFrame(tasks, "fold int, query int").repartition(min(len(tasks), 4 * spark.sparkContext.defaultParallelism), "fold", "query")
+    rows = _with_skip(rows)
+    folds = fold_list(rows) if folds is None else folds
+    d, q = _width(rows, "x"), _width(rows, "y")
+    kind = f"query_id string, item_id {dict(rows.dtypes)['item_id']}, score double"
+    if not folds:
+        return rows.sparkSession.createDataFrame([], kind)
+    ship(rows.sparkSession)
+    sizes = dict(zip(folds, rows.agg(*[F.count_if((F.col("fold") != f) & ~F.array_contains("skip", F.lit(f))) for f in folds]).first(), strict=True))
+    make = lambda: HEADS[head](d, q, seed=seed, **options)
+    if max(sizes.values()) * d > WORKER_NUMBERS:
+        return _score(rows, names, _fit_on_cluster(rows, make, folds, sizes, d, seed), make, d, kind)
+    counts = [sizes[f] for f in folds]
 
     def run(batches):
         import pyarrow as pa
 
-        pool, train, names = shared.value
+        x = y = theta = model = mu = sd = None
+        at = 0
         for b in batches:
-            for f, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = train[f] if train is not None else pool.fold != f
-                test = pool.fold == f
-                out = FOLD_HEADS[head](pool.x[rows], pool.y[rows], pool.x[test], query=i, n_queries=len(names), seed=seed, **options)
-                for j, name in enumerate(names if i < 0 else [names[i]]):
-                    yield pa.record_batch([pa.array([name] * int(test.sum())), pa.array(pool.ids[test]), pa.array(out[:, j])], names=["query_id", "item_id", "score"])
+            if not b.num_rows:
+                continue
+            task, test = b.column(0)[0].as_py(), b.column(1).to_numpy(zero_copy_only=False)
+            if x is None:
+                x, y = np.empty((counts[task], d)), np.empty((counts[task], q))
+            k = int(np.searchsorted(test, 1))
+            x[at : at + k], y[at : at + k] = matrix(b.column(3)[:k], d), matrix(b.column(4)[:k], q)
+            at += k
+            if k == b.num_rows:
+                continue
+            if theta is None:
+                mu, sd = standardise(x)
+                model = make()
+                theta = fit(model, x, y, seed)
+            s = model.scores(theta, (matrix(b.column(3)[k:], d) - mu) / sd)
+            ids = b.column(2)[k:]
+            for j, name in enumerate(names):
+                yield pa.record_batch([pa.array([name] * len(ids)), ids, pa.array(s[:, j].copy())], names=["query_id", "item_id", "score"])
+
+    return _dealt(rows, folds).mapInArrow(run, kind)
+
+
+def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, int], d: int, seed: int) -> dict:
+    """By fold (parameters, means, deviations), each step's gradients summed over all rows where they lie."""
+    spark = rows.sparkSession
+    kept = stage(rows.select("fold", "skip", "x", "y"), "head-rows")
+
+    def total(make_part) -> dict[int, np.ndarray]:
+        """Sums by fold of make_part(fold, x, y, batch number) over the rows that it is learned from."""
+
+        def part(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            sums: dict[int, np.ndarray] = {}
+            where = TaskContext.get().partitionId()
+            for i, b in enumerate(batches):
+                if not b.num_rows:
+                    continue
+                own, skip = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+                x, y = matrix(b.column(2), d), matrix(b.column(3))
+                for f in folds:
+                    use = np.array([o != f and f not in s for o, s in zip(own.tolist(), skip, strict=True)])
+                    if use.any():
+                        sums[f] = sums.get(f, 0) + make_part(f, x[use], y[use], (where, i))
+            for f, v in sums.items():
+                yield pa.record_batch([pa.array([f], pa.int32()), pa.array([0], pa.int32()), pa.array([np.ascontiguousarray(v, dtype=np.float64).tobytes()])], names=["fold", "part", "sums"])
+
+        kind = "fold int, part int, sums binary"
+        return {f: np.frombuffer(s, dtype=np.float64) for f, s in _pairs_of(_add_up(kept.mapInArrow(part, kind), ["fold", "part"], kind))}
+
+    first = total(lambda f, x, y, at: np.concatenate([x.sum(axis=0), y.sum(axis=0)]))
+    mu = {f: first[f][:d] / sizes[f] for f in folds}
+    spread = total(lambda f, x, y, at: ((x - mu[f]) ** 2).sum(axis=0))
+    sd = {f: np.sqrt(spread[f] / max(1, sizes[f] - 1)) + 1e-6 for f in folds}
+    pw = {f: pos_weight(sizes[f], first[f][d:]) for f in folds}
+    steps = {f: make().steps() for f in folds}
+    now = {f: next(steps[f]) for f in folds}
+    done: dict = {}
+    t = 0
+    while now:
+        shared = spark.sparkContext.broadcast((now, mu, sd, pw))
+
+        def grads(f, x, y, at, shared=shared, t=t):
+            now, mu, sd, pw = shared.value
+            if f not in now:
+                return np.zeros(1)
+            loss, g = make().sums(now[f], (x - mu[f]) / sd[f], y, sizes[f], pw[f], np.random.default_rng([seed, t, *at]))
+            return np.append(g, loss)
+
+        sums = total(grads)
+        shared.unpersist()
+        for f in list(now):
+            more, pull = make().penalty(now[f])
+            try:
+                now[f] = steps[f].send((sums[f][-1] + more, sums[f][:-1] + pull))
+            except StopIteration as e:
+                done[f] = (e.value, mu[f], sd[f])
+                del now[f]
+        t += 1
+    return done
+
+
+def _score(rows: DataFrame, names: list[str], fitted: dict, make, d: int, kind: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(fitted)
 
-    return table.mapInArrow(run, "query_id string, item_id long, score double")
+    def run(batches):
+        import pyarrow as pa
 
+        model = make()
+        for b in batches:
+            own = b.column(1).to_numpy(zero_copy_only=False)
+            for f in np.unique(own):
+                if int(f) not in shared.value:
+                    continue
+                theta, mu, sd = shared.value[int(f)]
+                at = np.flatnonzero(own == f)
+                ids = b.column(0).take(pa.array(at))
+                s = model.scores(theta, (matrix(b.column(2), d)[at] - mu) / sd)
+                for j, name in enumerate(names):
+                    yield pa.record_batch([pa.array([name] * len(at)), ids, pa.array(s[:, j].copy())], names=["query_id", "item_id", "score"])
 
-def transfer(spark, source: Pool, target_ids: np.ndarray, target_x: np.ndarray, query_ids: list[str], head: str = "logistic", **options) -> DataFrame:
-    """Scores of another sample's rows by a head trained on all of the source's: two folds, of which the source's is never tested."""
-    n = len(source.ids)
-    both = Pool(np.concatenate([np.full(n, -1), target_ids]), np.vstack([source.x, target_x]), np.vstack([source.y, np.zeros((len(target_ids), source.y.shape[1]))]), np.concatenate([np.zeros(n, int), np.ones(len(target_ids), int)]))
-    train = {0: np.zeros(len(both.ids), bool), 1: both.fold == 0}
-    train[0][:n] = True
-    return head_oof(spark, both, query_ids, head, train=train, **options).filter("item_id >= 0")
+    return rows.select("item_id", "fold", "x").mapInArrow(run, kind)
 
 
-def openvocab_oof(spark, pool: Pool, types: list[str], lineage_vectors: dict[str, np.ndarray], query_ids: list[str], query_vectors: np.ndarray, seed: int = 0, epochs: int = 400) -> DataFrame:
-    """(query_id, item_id, score): features mapped into text space out of fold, then cosine with the query's vector; rows of unknown type aren't learned from."""
-    known = np.array([t in lineage_vectors for t in types])
-    dim = query_vectors.shape[1]
-    target = np.array([lineage_vectors.get(t, np.zeros(dim)) for t in types]).reshape(len(types), dim)
-    qv = query_vectors / np.maximum(np.linalg.norm(query_vectors, axis=1, keepdims=True), 1e-8)
-    shared = spark.sparkContext.broadcast((pool, known, target, qv, list(query_ids)))
-    folds = sorted(set(pool.fold.tolist()))
+def transfer(source: DataFrame, target: DataFrame, names: list[str], head: str = "logistic", **options) -> DataFrame:
+    """Scores of another sample's rows (item_id, x) by a head trained on all of the source's (item_id, x, y)."""
+    q = _width(source, "y")
+    both = source.select("item_id", F.lit(0).alias("fold"), "x", "y").unionByName(target.select("item_id", F.lit(1).alias("fold"), "x", F.array_repeat(F.lit(0.0), q).alias("y")))
+    return head_oof(both, names, head, folds=[1], **options)
 
-    def run(batches):
-        import pyarrow as pa
 
-        pool, known, target, qv, names = shared.value
-        for b in batches:
-            for f in b.column(0).to_pylist():
-                rows, test = (pool.fold != f) & known, pool.fold == f
-                s = openvocab_fold(pool.x[rows], target[rows], pool.x[test], seed=seed, epochs=epochs) @ qv.T
-                for j, name in enumerate(names):
-                    yield pa.record_batch([pa.array([name] * int(test.sum())), pa.array(pool.ids[test]), pa.array(s[:, j])], names=["query_id", "item_id", "score"])
+def openvocab_oof(rows: DataFrame, lineage_vectors: dict[str, np.ndarray], names: list[str], query_vectors: np.ndarray, kind_col: str = "kind", **options) -> DataFrame:
+    """(query_id, item_id, score): features mapped into text space out of fold, then cosine with the query's vector.
 
-    return spark.createDataFrame([(f,) for f in folds], "fold int").repartition(len(folds), "fold").mapInArrow(run, "query_id string, item_id long, score double")
+    rows: item_id, fold, x and the type of each row; rows of a type without vector aren't learned from.
+    """
+    dim = query_vectors.shape[1]
+    folds = fold_list(rows)
+    vec = lambda v: F.array(*[F.lit(float(z)) for z in v])
+    known = F.coalesce(F.col(kind_col).isin(*lineage_vectors), F.lit(False))
+    y = F.lit(None).cast("array<double>")
+    for name, v in lineage_vectors.items():
+        y = F.when(F.col(kind_col) == name, vec(v)).otherwise(y)
+    full = rows.select("item_id", "fold", "x", F.coalesce(y, F.array_repeat(F.lit(0.0), dim)).alias("y"), F.when(known, F.array().cast("array<int>")).otherwise(F.array(*[F.lit(f) for f in folds])).alias("skip"))
+    return head_oof(full, names, "openvocab", vectors=np.asarray(query_vectors, dtype=np.float64), folds=folds, **options)

@@ -6,7 +6,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PATCH = "cell_id long, h int, w int, px binary"
+from nichefold.functions.quantiles import exact_quantiles
+from nichefold.functions.workers import ship
+from nichefold.operators.sampling import uniform_subset
+from nichefold.sources.stage import stage
+
+#: Centres that one task cuts from a tile.
+TOGETHER = 500
+
+
+def _patch(rows: DataFrame) -> str:
+    return f"cell_id {dict(rows.dtypes)['cell_id']}, h int, w int, px binary"
 
 
 def resize(patch: np.ndarray, size: int) -> np.ndarray:
@@ -27,34 +37,62 @@ def resize(patch: np.ndarray, size: int) -> np.ndarray:
 def extract_patches(tiles: DataFrame, centres: DataFrame, tile: int, window: int, out_size: int | None = None) -> DataFrame:
     """(cell_id, h, w, px): a square window about each centre, zero where the slide ends.
 
-    tiles: tx, ty, h, w, px (rows of RGB bytes).  centres: cell_id, px, py.  A window meets the few tiles it overlaps by an equi-join on tile
-    numbers; the slide is never whole anywhere.
+    tiles: tx, ty, h, w, px (rows of RGB bytes).  centres: cell_id, px, py.  A tile meets the windows that overlap it, some hundred at a time, and
+    only the pieces cut from it are dealt by cell; the slide is never whole anywhere, nor a tile dealt with every cell.
     """
     half = window // 2
     left, top = (F.rint(c).cast("int") - half for c in ("px", "py"))
     rows = centres.select("cell_id", left.alias("left"), top.alias("top"))
     span = lambda c: F.sequence(F.floor(F.col(c) / tile).cast("int"), F.floor((F.col(c) + window - 1) / tile).cast("int"))
     rows = rows.withColumn("tx", F.explode(span("left"))).withColumn("ty", F.explode(span("top")))
-    parts = rows.join(tiles, ["tx", "ty"], "left").select("cell_id", "left", "top", "tx", "ty", "h", "w", "px")
+    part = F.pmod(F.xxhash64("cell_id"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_") / TOGETHER)))
+    crowd = rows.groupBy("tx", "ty").agg(F.count("*").alias("n_"))
+    groups = rows.join(crowd, ["tx", "ty"]).groupBy("tx", "ty", part.alias("part")).agg(F.collect_list(F.struct("cell_id", "left", "top")).alias("cells"))
+    met = groups.join(tiles, ["tx", "ty"]).select("tx", "ty", "h", "w", "px", F.col("cells.cell_id").alias("ids"), F.col("cells.left").alias("lefts"), F.col("cells.top").alias("tops"))
+    ids = dict(rows.dtypes)["cell_id"]
+    ship(tiles.sparkSession)
+
+    def cut(batches):
+        import pyarrow as pa
 
-    def crop(pdf):
-        import pandas as pd
+        for b in batches:
+            for r in range(b.num_rows):
+                tx, ty, h, w = (b.column(i)[r].as_py() for i in range(4))
+                img = np.frombuffer(b.column(4)[r].as_buffer(), np.uint8).reshape(h, w, 3)
+                who, lefts, tops = (b.column(i)[r].values for i in (5, 6, 7))
+                made = []
+                for x0, y0 in zip(lefts.to_pylist(), tops.to_pylist(), strict=True):
+                    ox, oy = tx * tile - x0, ty * tile - y0
+                    sx, sy = max(0, -ox), max(0, -oy)
+                    piece = img[sy : max(sy, window - oy), sx : max(sx, window - ox)]
+                    made.append((max(0, ox), max(0, oy), piece.shape[0], piece.shape[1], piece.tobytes()))
+                yield pa.record_batch([who, *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(),) * 4 + (pa.binary(),), strict=True))], names=["cell_id", "ox", "oy", "h", "w", "px"])
+
+    pieces = met.mapInArrow(cut, f"cell_id {ids}, ox int, oy int, h int, w int, px binary")
+    # A window that overlaps no tile is all zero.
+    all_ = pieces.unionByName(rows.select("cell_id", *[F.lit(0).alias(c) for c in ("ox", "oy", "h", "w")], F.lit(b"").alias("px")).distinct())
+
+    def build(batches):
+        import pyarrow as pa
+
+        def emit(cell, out):
+            made = resize(out, out_size) if out_size else out
+            return pa.record_batch([cell, pa.array([made.shape[0]], pa.int32()), pa.array([made.shape[1]], pa.int32()), pa.array([made.tobytes()])], names=["cell_id", "h", "w", "px"])
 
-        out = np.zeros((window, window, 3), np.uint8)
-        x0, y0 = int(pdf["left"].iloc[0]), int(pdf["top"].iloc[0])
-        for r in pdf.itertuples():
-            if r.px is None:
-                continue
-            img = np.frombuffer(r.px, np.uint8).reshape(int(r.h), int(r.w), 3)
-            ox, oy = r.tx * tile - x0, r.ty * tile - y0
-            sx, sy = max(0, -ox), max(0, -oy)
-            piece = img[sy : max(sy, window - oy), sx : max(sx, window - ox)]
-            out[max(0, oy) : max(0, oy) + piece.shape[0], max(0, ox) : max(0, ox) + piece.shape[1]] = piece
-        if out_size:
-            out = resize(out, out_size)
-        return pd.DataFrame([{"cell_id": pdf["cell_id"].iloc[0], "h": out.shape[0], "w": out.shape[1], "px": out.tobytes()}])
+        now = out = None
+        for b in batches:
+            for r in range(b.num_rows):
+                cell = b.column(0)[r : r + 1]
+                if now is None or cell[0] != now[0]:
+                    if now is not None:
+                        yield emit(now, out)
+                    now, out = cell, np.zeros((window, window, 3), np.uint8)
+                ox, oy, h, w = (b.column(i)[r].as_py() for i in range(1, 5))
+                out[oy : oy + h, ox : ox + w] = np.frombuffer(b.column(5)[r].as_py(), np.uint8).reshape(h, w, 3)
+        if now is not None:
+            yield emit(now, out)
 
-    return parts.groupBy("cell_id").applyInPandas(crop, PATCH)
+    return all_.repartition("cell_id").sortWithinPartitions("cell_id").mapInArrow(build, f"cell_id {ids}, h int, w int, px binary")
 
 
 def density(c: Column) -> Column:
@@ -68,7 +106,7 @@ def stain_profile(pixels: DataFrame, beta: float = 0.15, alpha: float = 1.0, lea
     Rows near white are left out, unless fewer than ``least`` would remain.  The cluster sums covariances and percentiles; the driver
     solves 3 x 3 problems.
     """
-    od = pixels.select(*[density(F.col(c)).alias(c) for c in "rgb"])
+    od = stage(pixels, "pixels").select(*[density(F.col(c)).alias(c) for c in "rgb"])
     dark = od.filter((F.col("r") >= beta) & (F.col("g") >= beta) & (F.col("b") >= beta))
     if dark.count() >= least:
         od = dark
@@ -76,21 +114,22 @@ def stain_profile(pixels: DataFrame, beta: float = 0.15, alpha: float = 1.0, lea
     v = np.linalg.eigh(cov)[1][:, [2, 1]]
     v = v * np.where(v[0] < 0, -1, 1)
     along = lambda k: sum((F.col(c) * float(v[i, k]) for i, c in enumerate("rgb")), F.lit(0.0))
-    lo, hi = od.select(F.atan2(along(1), along(0)).alias("a")).agg(F.percentile("a", F.lit(alpha / 100)), F.percentile("a", F.lit(1 - alpha / 100))).first()
+    lo, hi = exact_quantiles(od.select(F.atan2(along(1), along(0)).alias("a")), "a", [alpha / 100, 1 - alpha / 100])
     he = np.stack([v @ [np.cos(t), np.sin(t)] for t in (lo, hi)], axis=1)
     he = he / (np.linalg.norm(he, axis=0, keepdims=True) + 1e-8)
     if he[0, 0] < he[0, 1]:
         he = he[:, ::-1]
     solve = np.linalg.pinv(he)
     amount = lambda k: sum((F.col(c) * float(solve[k, i]) for i, c in enumerate("rgb")), F.lit(0.0))
-    top = od.select(amount(0).alias("a"), amount(1).alias("b")).agg(F.percentile("a", F.lit(0.99)), F.percentile("b", F.lit(0.99))).first()
-    return he, np.array(list(top))
+    return he, np.array([exact_quantiles(od.select(amount(k).alias("a")), "a", [0.99])[0] for k in (0, 1)])
 
 
 def normalise_stain(patches: DataFrame, source: tuple[np.ndarray, np.ndarray], reference: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Patches with the source's stains scaled and turned into the reference's, clipped and cut to whole numbers."""
     solve, scale, ref = np.linalg.pinv(source[0]), reference[1] / (source[1] + 1e-8), reference[0]
 
+    ship(patches.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
@@ -102,11 +141,14 @@ def normalise_stain(patches: DataFrame, source: tuple[np.ndarray, np.ndarray], r
                 out.append(np.clip(made, 0, 255).astype(np.uint8).tobytes())
             yield pa.record_batch([*b.columns[:3], pa.array(out, pa.binary())], names=["cell_id", "h", "w", "px"])
 
-    return patches.select("cell_id", "h", "w", "px").mapInArrow(run, PATCH)
+    return patches.select("cell_id", "h", "w", "px").mapInArrow(run, _patch(patches))
 
 
-def pixel_rows(patches: DataFrame) -> DataFrame:
-    """(r, g, b) of all pixels of patches."""
+def pixel_rows(patches: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """(r, g, b) of all pixels of patches, or of a uniform sample of so many patches."""
+    ship(patches.sparkSession)
+    if sample is not None:
+        patches = uniform_subset(patches, "cell_id", sample, seed)
 
     def run(batches):
         import pyarrow as pa

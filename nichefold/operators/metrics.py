@@ -91,9 +91,8 @@ def main_table(per_query: DataFrame) -> DataFrame:
 def grouped_tables(per_query: DataFrame) -> DataFrame:
     """Means by method, by method and split, and by method and task, in one pass; columns not grouped by are null."""
     columns = [c for c in REPORTED if c in per_query.columns]
-    per_query.createOrReplaceTempView("per_query_rows")
-    means = ", ".join(f"avg(`{c}`) AS `{c}`" for c in columns)
-    return per_query.sparkSession.sql(f"SELECT baseline, split, task_type, {means} FROM per_query_rows GROUP BY GROUPING SETS ((baseline), (baseline, split), (baseline, task_type))")
+    b, s, t = (F.col(c) for c in ("baseline", "split", "task_type"))
+    return per_query.groupingSets([[b], [b, s], [b, t]], b, s, t).agg(*[F.avg(f"`{c}`").alias(c) for c in columns])
 
 
 def ablation(per_query: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nichefold.functions.exprs import stable_hash
+from nichefold.functions.exprs import id_number, stable_hash
+from nichefold.sources.stage import stage
 
 
 def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type", seed: int = 0) -> DataFrame:
@@ -14,20 +15,25 @@ def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type
     All cells if there are no more than size.  Else a uniform draw, or of each stratum its share of size, rounded half to
     even and at least one, so the total may differ from size.
     """
-    draw = stable_hash(F.col("cell_id"), seed)
+    draw = stable_hash(id_number(cells, "cell_id"), seed)
     if stratify_by is None:
         # The pool is a bounded sample, so one global top-k keeps it small.
-        picked = cells.withColumn("h", draw).orderBy("h", "cell_id").limit(size).drop("h")
+        picked = cells.withColumn("h_", draw).orderBy("h_", "cell_id").limit(size).drop("h_")
     else:
         sizes = cells.groupBy(stratify_by).agg(F.count("*").alias("len"))
         n = sizes.agg(F.sum("len").alias("n"))
         want = F.least(F.col("len"), F.greatest(F.lit(1).cast("long"), F.rint(F.lit(float(size)) * F.col("len") / F.col("n")).cast("long")))
         quota = sizes.crossJoin(n).select(F.col(stratify_by).alias("s_"), F.when(F.col("n") <= size, F.col("len")).otherwise(want).alias("quota"), "len")
-        # Hashes are uniform: only a margin above each stratum's quota is ranked.
-        frac = F.least(F.lit(1.0), (F.col("quota") + 8 * F.sqrt("quota") + 16) / F.col("len"))
-        rows = cells.withColumn("h", draw).join(F.broadcast(quota), F.col(stratify_by).eqNullSafe(F.col("s_"))).filter(F.col("h") <= frac * 2147483647.0)
-        w = Window.partitionBy(stratify_by).orderBy("h", "cell_id")
-        picked = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("quota")).drop("h", "r", "quota", "len", "s_")
+        # Hashes are about uniform: a margin above each stratum's quota is ranked, and where it came out short, the whole stratum.
+        share = F.least(F.lit(1.0), (F.col("quota") + 8 * F.sqrt("quota") + 16) / F.col("len"))
+        known = stage(quota.select("*", F.floor(share * 2147483647.0).cast("long").alias("upto")), "quotas")
+        rows = cells.withColumn("h_", draw)
+        same = F.col(stratify_by).eqNullSafe(F.col("s_"))
+        met = rows.join(F.broadcast(known), same).groupBy("s_").agg(F.count_if(F.col("h_") <= F.col("upto")).alias("has_"))
+        short = known.join(met.withColumnRenamed("s_", "t_"), F.col("s_").eqNullSafe(F.col("t_"))).select("s_", "quota", F.when(F.col("has_") < F.col("quota"), F.lit(2147483647)).otherwise(F.col("upto")).alias("upto"))
+        near = rows.join(F.broadcast(short), same).filter(F.col("h_") <= F.col("upto"))
+        w = Window.partitionBy(stratify_by).orderBy("h_", "cell_id")
+        picked = near.withColumn("r_", F.row_number().over(w)).filter(F.col("r_") <= F.col("quota")).select(*cells.columns)
     return picked.withColumn("pool_idx", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long"))
 
 
@@ -37,7 +43,7 @@ def shuffled_order(items: DataFrame, id_col: str, seed: int = 0, to: str = "plac
     Hashes are uniform, so their leading bits cut the order into 1,024 even pieces, which are ranked side by side; the counts of the pieces before, a table
     of at most as many rows, do the rest.
     """
-    rows = items.withColumn("h_", stable_hash(F.col(id_col), seed)).withColumn("b_", F.shiftright("h_", 21))
+    rows = items.withColumn("h_", stable_hash(id_number(items, id_col), seed)).withColumn("b_", F.shiftright("h_", 21))
     sizes = rows.groupBy("b_").agg(F.count("*").alias("n_"))
     before = sizes.select("b_", (F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")).alias("before_"))
     w = Window.partitionBy("b_").orderBy("h_", id_col)
@@ -56,7 +62,7 @@ def tile_folds(tiles: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
 
 def uniform_subset(rows: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement."""
-    return rows.withColumn("h_", stable_hash(F.col(id_col), seed)).orderBy("h_", id_col).limit(n).drop("h_")
+    return rows.withColumn("h_", stable_hash(id_number(rows, id_col), seed)).orderBy("h_", id_col).limit(n).drop("h_")
 
 
 def bootstrap_indices(spark: SparkSession, rounds: int, n: int, seed: int = 0) -> DataFrame:

@@ -8,28 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichefold.config import LINEAGES, NICHES
+from nichefold.operators.vectors import mean_vectors
 from nichefold.sources.stage import stage
 
 #: Points that a grid square and its eight neighbours hold on average in the first round, as a multiple of k.
 CROWD = 4.0
+#: Points that a square may hold in the first round, as a multiple of k + 1.
+CROWDED = 16
 
 
 def _square(c: str, width: float) -> Column:
     return F.floor(F.col(c) / F.lit(width)).cast("long")
 
 
-def _around(points: DataFrame, width: float) -> DataFrame:
-    """Each point under its own square and the eight around it."""
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rows = points.withColumn("o", F.explode(near))
-    return rows.select((_square("x", width) + F.col("o.i")).alias("gx"), (_square("y", width) + F.col("o.j")).alias("gy"), F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-
-
 def _pairs(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
-    """Pairs of points in touching squares, with squared distances; an equi-join on the square."""
-    a = left.select("cell_id", "x", "y", _square("x", width).alias("gx"), _square("y", width).alias("gy"))
+    """Pairs of points in touching squares, with squared distances: an equi-join on the square, of which each point of the left looks at nine."""
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = left.select("cell_id", "x", "y", F.explode(near).alias("o"))
+    a = a.select("cell_id", "x", "y", (_square("x", width) + F.col("o.i")).alias("gx"), (_square("y", width) + F.col("o.j")).alias("gy"))
+    b = right.select(F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), _square("x", width).alias("gx"), _square("y", width).alias("gy"))
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    return a.join(_around(right, width), ["gx", "gy"]).select("cell_id", "nbr_id", d2.alias("d2"))
+    return a.join(b, ["gx", "gy"]).select("cell_id", "nbr_id", d2.alias("d2"))
 
 
 def radius_edges(points: DataFrame, radius: float) -> DataFrame:
@@ -37,25 +36,40 @@ def radius_edges(points: DataFrame, radius: float) -> DataFrame:
     return _pairs(points, points, float(radius)).filter((F.col("cell_id") != F.col("nbr_id")) & (F.col("d2") <= float(radius) * float(radius)))
 
 
+def _first_width(points: DataFrame, width: float, most: float) -> float:
+    """A width, from the given one down, at which no square holds more than so many points."""
+    for _ in range(60):
+        fullest = points.groupBy(_square("x", width).alias("gx"), _square("y", width).alias("gy")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= most:
+            break
+        width /= 4 if fullest > 4 * most else 2
+    return width
+
+
 def knn_edges(points: DataFrame, k: int, store=None) -> DataFrame:
     """(cell_id, nbr_id, d2, rnk): the k nearest other points, ties by id.
 
     Points look in their own and touching grid squares; a point is done when its k-th neighbour is no farther than a square is wide, since
-    nothing nearer can lie beyond.  The rest look again with squares twice as wide, until the squares cover everything.  store(df)
-    writes and reads back a round's result.
+    nothing nearer can lie beyond.  The rest look again with wider squares, until the squares cover everything.  The first squares are so
+    small that the fullest holds at most CROWDED * (k + 1) points, and of points at one place only the k + 1 of the least ids can be
+    anyone's neighbours, so no square is a hot one.  store(df) writes and reads back a round's result.
     """
     store = store or stage
+    ids = dict(points.dtypes)["cell_id"]
     n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not n:
-        return points.sparkSession.createDataFrame([], "cell_id long, nbr_id long, d2 double, rnk int")
+        return points.sparkSession.createDataFrame([], f"cell_id {ids}, nbr_id {ids}, d2 double, rnk int")
     spread = max(x1 - x0, y1 - y0)
     area = max(x1 - x0, spread * 1e-3) * max(y1 - y0, spread * 1e-3)
     width = math.sqrt(CROWD * (k + 1) / 9 * area / n) or 1.0
     need = min(k, n - 1)
     w = Window.partitionBy("cell_id").orderBy("d2", "nbr_id")
     todo, out = points.select("cell_id", "x", "y"), None
+    there = Window.partitionBy("x", "y").orderBy("cell_id")
+    targets = store(todo.withColumn("at_", F.row_number().over(there)).filter(F.col("at_") <= k + 1).drop("at_"))
+    width = max(_first_width(targets, width, CROWDED * (k + 1)), spread * 1e-12)
     while True:
-        near = _pairs(todo, points, width).filter("cell_id <> nbr_id")
+        near = _pairs(todo, targets, width).filter("cell_id <> nbr_id")
         found = near.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
         last = width > spread
         if not last:
@@ -71,7 +85,7 @@ def knn_edges(points: DataFrame, k: int, store=None) -> DataFrame:
         todo = store(todo.join(done.select("cell_id").distinct(), "cell_id", "left_anti"))
         if todo.isEmpty():
             return out
-        width *= 2
+        width *= 2 if not done.isEmpty() else 8
 
 
 def composition(points: DataFrame, edges: DataFrame, types: DataFrame, lineages: list[str] = LINEAGES) -> DataFrame:
@@ -99,13 +113,12 @@ def niche_labels(comp: DataFrame, th: dict[str, float], priority: list[str] = NI
     return out.withColumn("niche_label", label)
 
 
-def neighbour_average(vectors: DataFrame, edges: DataFrame, dim: int, vec_col: str = "embedding") -> DataFrame:
-    """(cell_id, embedding): the mean of a point's own and its neighbours' vectors, a plain sum per dimension with partial aggregation."""
+def neighbour_average(vectors: DataFrame, edges: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """(cell_id, embedding): the mean of a point's own and its neighbours' vectors, of whatever width they are; uneven ones are an error."""
     own = vectors.select("cell_id", F.col("cell_id").alias("nbr_id"))
     near = edges.select("cell_id", "nbr_id").unionByName(own)
     rows = near.join(vectors.select(F.col("cell_id").alias("nbr_id"), F.col(vec_col).alias("v")), "nbr_id")
-    means = rows.groupBy("cell_id").agg(*[F.avg(F.get("v", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(dim)])
-    return means.select("cell_id", F.array(*[f"m{i}" for i in range(dim)]).alias("embedding"))
+    return mean_vectors(rows.select("cell_id", "nbr_id", "v"), "cell_id", "v", "embedding", combine=False)
 
 
 def grid_tiles(points: DataFrame, tile: float) -> DataFrame:
@@ -124,6 +137,13 @@ def outside_buffer(points: DataFrame, folds: DataFrame, fold: int, buffer: float
     return train.join(close, "cell_id", "left_anti")
 
 
+def buffered_folds(points: DataFrame, folds: DataFrame, buffer: float) -> DataFrame:
+    """(cell_id, skip): for each point, the other folds of which a test point lies within the buffer."""
+    rows = points.select("cell_id", "x", "y").join(folds, "cell_id")
+    near = _pairs(rows, rows, float(buffer)).filter(F.col("d2") <= float(buffer) * float(buffer))
+    return near.join(folds.select(F.col("cell_id").alias("nbr_id"), "fold"), "nbr_id").groupBy("cell_id").agg(F.collect_set(F.col("fold").cast("int")).alias("skip"))
+
+
 def to_pixels(points: DataFrame, micron_per_pixel: float) -> DataFrame:
     return points.select("cell_id", (F.col("x") / micron_per_pixel).alias("px"), (F.col("y") / micron_per_pixel).alias("py"))
 
@@ -143,7 +163,7 @@ def kmeans_regions(points: DataFrame, k: int = 5, seed: int = 0, starts: int = 1
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points).cache()
+    data = stage(VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points), "regions")
     fits = [KMeans(k=k, seed=seed + i).fit(data) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("cell_id", F.col("prediction").alias("fold"))

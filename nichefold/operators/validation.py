@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichefold.operators.expression import agreement, majority
@@ -34,3 +34,19 @@ def cluster_agreement(types: DataFrame, found: DataFrame) -> DataFrame:
 def purity(table: DataFrame) -> DataFrame:
     """One row: the share of cells whose type is their cluster's."""
     return table.agg((F.sum(F.when(F.col("cell_type") == F.col("cluster_type"), F.col("n")).otherwise(0)) / F.sum("n")).alias("purity"))
+
+
+def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: nmi, the mutual information of two labellings over the mean of their entropies; 1 where both have but one label."""
+    both = rows.groupBy(a, b).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy()  # over a table of labels by labels
+    share = both.select("n", F.sum("n").over(whole).alias("t"), F.sum("n").over(Window.partitionBy(a)).alias("na"), F.sum("n").over(Window.partitionBy(b)).alias("nb"))
+    p = F.col("n") / F.col("t")
+    mi = F.sum(p * F.log(F.col("n") * F.col("t") / (F.col("na") * F.col("nb"))))
+    entropy = lambda c: -F.sum(p * F.log(F.col(c) / F.col("t")))
+    return share.agg(mi.alias("mi"), ((entropy("na") + entropy("nb")) / 2).alias("h")).select(F.when(F.col("h") > 0, F.col("mi") / F.col("h")).otherwise(1.0).alias("nmi"))
+
+
+def scaled(z: DataFrame, most: float = 10.0) -> DataFrame:
+    """z cut off above, as before components are taken."""
+    return z.withColumn("z", F.least("z", F.lit(most)))

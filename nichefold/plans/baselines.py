@@ -27,7 +27,7 @@ class Inputs:
     """What baselines are made from; embeddings and text encoders may lack some.
 
     pool: cell_id, pool_idx, x, y, cell_type, scores, composition, state and niches.  queries: query_id, query_text, target_field, target_label, gene.
-    embeddings: cell_id, encoder, scale, embedding (of dim numbers).  lognorm and stats: expression and genes.
+    embeddings: cell_id, encoder, scale, embedding, each encoder of its own width.  lognorm and stats: expression and genes.
     """
 
     pool: DataFrame
@@ -38,7 +38,6 @@ class Inputs:
     state_genes: DataFrame
     settings: Settings
     embeddings: DataFrame | None = None
-    dim: int = 0
     text: dict[str, TextEncoder] = field(default_factory=dict)
     prompts: list[str] = field(default_factory=lambda: ["{}"])
     epochs: int = 400
@@ -68,7 +67,7 @@ class Inputs:
     def prompt_vectors(self, encoder: str) -> DataFrame:
         if encoder not in self.text:
             raise Missing(f"no text encoder {encoder}")
-        return self.keep(f"prompt {encoder}", lambda: stage(vectors.prompt_ensemble(self.queries.select("query_id", "query_text"), self.prompts, self.text[encoder], self.dim), "prompts"))
+        return self.keep(f"prompt {encoder}", lambda: stage(vectors.prompt_ensemble(self.queries.select("query_id", "query_text"), self.prompts, self.text[encoder]), "prompts"))
 
     def edges(self) -> DataFrame:
         """Neighbours within the pool, always by rank."""
@@ -93,7 +92,7 @@ class Inputs:
             if self.embeddings is None:
                 raise Missing("no embeddings")
             mine = self.embeddings.join(self.pool.select("cell_id"), "cell_id", "left_semi")
-            blocks = stage(vectors.load_blocks(mine, self.edges(), ENCODERS, SCALES, self.dim), "blocks")
+            blocks = stage(vectors.load_blocks(mine, self.edges(), ENCODERS, SCALES), "blocks")
             variants = vectors.available_variants(vectors.spec_table(blocks.sparkSession), blocks)
             name = vectors.choose_variant(variants, ["cellseek_all", "cellseek_full"])
             if name is None:
@@ -105,8 +104,8 @@ class Inputs:
 
         return self.keep("fused", make)
 
-    def fused_pool(self) -> heads.Pool:
-        return self.keep("fused pool", lambda: heads.collect_pool(self.labelled(self.fused()), len(self.query_ids())))
+    def fused_pool(self) -> DataFrame:
+        return self.keep("fused pool", lambda: stage(self.labelled(self.fused()), "fused-pool"))
 
 
 def _named(scores: DataFrame, ids: list[str]) -> DataFrame:
@@ -122,7 +121,7 @@ def zero_shot(i: Inputs, encoder: str, scale: str = "medium", prompts: bool = Fa
 def neighbourhood(i: Inputs, encoder: str = "biomedclip") -> DataFrame:
     """Cosine with the mean of a cell's and its neighbours' raw vectors."""
     items = i.items(encoder, "medium")
-    mean = spatial.neighbour_average(items.select("cell_id", "embedding"), i.edges(), i.dim)
+    mean = spatial.neighbour_average(items.select("cell_id", "embedding"), i.edges())
     return vectors.cosine_scores(mean.join(items.select("cell_id", "item_id"), "cell_id"), i.text_vectors(encoder))
 
 
@@ -134,7 +133,7 @@ def linear_probe(i: Inputs, encoder: str = "biomedclip") -> DataFrame:
 
 def fused_head(i: Inputs, head: str) -> DataFrame:
     options = {} if head == "logistic" else {"epochs": i.epochs}
-    return heads.head_oof(i.pool.sparkSession, i.fused_pool(), i.query_ids(), head, seed=i.settings.seed, **options)
+    return heads.head_oof(i.fused_pool(), i.query_ids(), head, seed=i.settings.seed, **options)
 
 
 def open_vocabulary(i: Inputs, encoder: str = "biomedclip") -> DataFrame:
@@ -143,10 +142,9 @@ def open_vocabulary(i: Inputs, encoder: str = "biomedclip") -> DataFrame:
     q = {r.query_id: r.qvec for r in i.text_vectors(encoder).collect()}
     names = spark.createDataFrame([(t, t.replace("_", " ") + "s") for t in LINEAGES], "lineage string, text string")
     words = {r.lineage: np.array(r.vec) / max(np.linalg.norm(r.vec), 1e-8) for r in i.text[encoder](names).collect()}
-    pool = i.fused_pool()
-    kinds = {r.pool_idx: r.cell_type for r in i.pool.select("pool_idx", "cell_type").collect()}
+    rows = i.fused_pool().join(i.pool.select(F.col("pool_idx").alias("item_id"), F.col("cell_type").alias("kind")), "item_id")
     ids = i.query_ids()
-    return heads.openvocab_oof(spark, pool, [kinds[k] for k in pool.ids.tolist()], words, ids, np.array([q[k] for k in ids]), i.settings.seed, i.epochs)
+    return heads.openvocab_oof(rows, words, ids, np.array([q[k] for k in ids]), seed=i.settings.seed, epochs=i.epochs)
 
 
 def predicted_expression(i: Inputs) -> DataFrame:
@@ -159,11 +157,12 @@ def predicted_expression(i: Inputs) -> DataFrame:
     z = expression.zscores(points, mine, stats).groupBy("cell_id").pivot("gene", genes).agg(F.first("z"))
     feats = i.fused()
     width = feats.select(F.size("x")).first()[0]
-    scale = feats.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("d")).orderBy("pos").collect()
-    assert len(scale) == width
-    mean, dev = (F.array(*[F.lit(float(v)) for v in c]) for c in ([r.m for r in scale], [r.d if r.d > 0 else 1.0 for r in scale]))
-    std = F.zip_with(F.zip_with("x", mean, lambda a, b: a - b), dev, lambda a, b: a / b)
-    rows = feats.select("item_id", std.alias("x")).join(sampling.kfold(feats, "item_id", seed=s.seed), "item_id")
+    scale = stage(feats.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("d")), "scale")
+    assert scale.count() == width
+    # One row of as many numbers as there are features.
+    one = scale.agg(F.sort_array(F.collect_list(F.struct("pos", "m", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d")))).alias("s")).select(F.col("s.m").alias("mean_"), F.col("s.d").alias("dev_"))
+    std = F.zip_with(F.zip_with("x", "mean_", lambda a, b: a - b), "dev_", lambda a, b: a / b)
+    rows = feats.crossJoin(F.broadcast(one)).select("item_id", std.alias("x")).join(sampling.kfold(feats, "item_id", seed=s.seed), "item_id")
     rows = rows.join(z.join(points.select("cell_id", F.col("pool_idx").alias("item_id")), "cell_id"), "item_id")
     rows = rows.select("item_id", "fold", "x", F.array(*[F.col(str(g)) for g in genes]).alias("y"))
     guess = heads.ridge_oof(rows, len(genes), intercept=False, skip_empty=False)

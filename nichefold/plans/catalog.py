@@ -9,13 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nichefold.config import LINEAGES, NICHES, PROMPTS
-from nichefold.functions.exprs import half_even, half_up, stable_hash, stable_unit
+from nichefold.config import LINEAGES, NICHES, PROMPTS, load_settings, results_dir
+from nichefold.functions.exprs import half_up, stable_hash, stable_unit
+from nichefold.functions.workers import ship
 from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, validation, vectors
 from nichefold.plans import baselines, oracles
 from nichefold.plans import fixtures as X
 from nichefold.sources import cells as sources
-from nichefold.sources.stage import stage
+from nichefold.sources.stage import scratch, stage
 from nichefold.streaming.events import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,7 @@ def _unpivot(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(key, F.posexplode(vec).alias("d", "v")).select(key, (F.col("d") + 1).cast("long").alias("d"), "v")
 
 
-def _times(vec: str, k: float):
+def _times(vec, k: float):
     return F.transform(vec, lambda x: x * k)
 
 
@@ -123,17 +124,10 @@ def proliferation_flag(s, d):
 @query
 def dataset_stats(s, d):
     t = _typed(s, d)
-    one = lambda df, *aggs: df.agg(*aggs)
-    kinds = [F.count_if(F.col("cell_type") == x).cast("string").alias(f"n_{x}") for x in [*LINEAGES, "unknown"]]
-    parts = [
-        one(t.cells, F.count("*").cast("string").alias("n_cells")),
-        one(t.counts, F.count_distinct("gene").cast("string").alias("n_genes")),
-        one(t.state, F.count_if("is_proliferating").cast("string").alias("n_proliferating")),
-        one(expression.library_totals(t.counts), F.median("total").cast("long").cast("string").alias("median_transcripts")),
-        one(t.types, *kinds),
-    ]
-    rows = [p.unpivot([], p.columns, "stat", "value") for p in parts]
-    return reduce(DataFrame.unionByName, rows)
+    totals = expression.library_totals(t.counts).withColumnRenamed("total", "transcript_counts")
+    cells = t.all().join(totals, "cell_id")
+    kept = stage(expression.qc_filter(cells, t.settings.min_counts, t.settings.min_area), "qc")
+    return expression.dataset_stats(kept, t.cells, t.counts, t.settings.dataset, t.settings.sample)
 
 
 # ---- space ----
@@ -172,10 +166,8 @@ def radius_composition(s, d):
 def neighbor_average(s, d):
     points = X.cells(s, d)
     edges = spatial.knn_edges(points, X.SETTINGS.k).filter("rnk <= 5")
-    vecs = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding")
-    near = edges.select("cell_id", "nbr_id").unionByName(points.select("cell_id", F.col("cell_id").alias("nbr_id")))
-    means = near.join(vecs.withColumnRenamed("cell_id", "nbr_id"), "nbr_id").groupBy("cell_id").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(X.DIM)])
-    return six(_unpivot(means.select("cell_id", F.array(*[f"m{i}" for i in range(X.DIM)]).alias("v")), "cell_id", "v"))
+    vecs = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding").join(points.select("cell_id"), "cell_id", "left_semi")
+    return six(_unpivot(spatial.neighbour_average(vecs, edges), "cell_id", "embedding"))
 
 
 @query
@@ -201,12 +193,13 @@ def scale_pixels(s, d):
 
 @query
 def affine_pixels(s, d):
-    return six(spatial.to_pixels_affine(X.cells(s, d), oracles.AFFINE))
+    path = _lines(s, "affine", [",".join(map(repr, r)) for r in oracles.AFFINE])
+    return six(spatial.to_pixels_affine(X.cells(s, d), sources.read_affine(s, path)))
 
 
 @query
 def kmeans_regions(s, d):
-    return spatial.kmeans_regions(X.cells(s, d), 5, 0, starts=3)
+    return spatial.kmeans_regions(X.cells(s, d), 5, 0)
 
 
 # ---- sampling ----
@@ -215,7 +208,7 @@ def kmeans_regions(s, d):
 @query
 def stratified_pool(s, d):
     t = _typed(s, d)
-    return sampling.build_pool(t.types, t.settings.pool_size).select("cell_id", "cell_type", "pool_idx")
+    return sampling.build_pool(t.types, X.SMALL_POOL).select("cell_id", "cell_type", "pool_idx")
 
 
 @query
@@ -233,7 +226,7 @@ def uniform_subset(s, d):
 
 def _label_queries(s, d) -> tuple[DataFrame, DataFrame]:
     items = vectors.with_unit(X.item_vectors(s, d))
-    return items, vectors.group_centroids(items, "label", X.DIM).withColumnRenamed("label", "query_id")
+    return items, vectors.group_centroids(items, "label").withColumnRenamed("label", "query_id")
 
 
 @query
@@ -261,7 +254,7 @@ def hash_text_features(s, d):
 
 def _prompt_vectors(s) -> DataFrame:
     texts = X.queries(s).select("query_id", "query_text")
-    return vectors.prompt_ensemble(texts, PROMPTS, lambda df: encoders.hash_text(df, oracles.TEXT_DIM), oracles.TEXT_DIM)
+    return vectors.prompt_ensemble(texts, PROMPTS, lambda df: encoders.hash_text(df, oracles.TEXT_DIM))
 
 
 @query
@@ -435,8 +428,20 @@ def paired_bootstrap(s, d):
 
 @query
 def significance_table(s, d):
-    out = stats.significance_table(stage(_vector_metrics(s, d), "metrics"), ["mAP"], oracles.BOOT)
-    return out.select("method", F.col("mAP").alias("map_text"))
+    """Three methods: vectors as the reference method, noise, and a ceiling a little above the first."""
+    per = stage(_vector_metrics(s, d), "metrics")
+    top = per.filter("baseline = 'biomedclip'")
+    columns = ["mAP", "nDCG@10", "enrich@10"]
+    ceiling = top.select(F.lit("oracle").alias("baseline"), "query_id", *[(F.col(f"`{c}`") + 0.125).alias(c) for c in columns])
+    named = per.select(F.when(F.col("baseline") == "biomedclip", "cellseek").otherwise(F.col("baseline")).alias("baseline"), "query_id", *[F.col(f"`{c}`") for c in columns])
+    return stats.significance_table(stage(named.unionByName(ceiling), "methods"), columns, oracles.BOOT).drop("baseline", "ord")
+
+
+@query
+def latex_lines(s, d):
+    """The significance table as the lines of a LaTeX table."""
+    text = stats.latex_table(significance_table(s, d), ["mAP", "enrich@10"], oracles.BOOT, "Fused features (ours)")
+    return s.createDataFrame([(i, line) for i, line in enumerate(text.split("\n"))], "line int, tex string")
 
 
 # ---- heads ----
@@ -450,6 +455,10 @@ def ridge_oof_2d(s, d):
     return six(heads.ridge_oof(xy, 1).select("item_id", "score"))
 
 
+#: Names of the ten labels as queries.
+TEN = [str(i) for i in range(10)]
+
+
 def _labelled_vectors(s, d) -> DataFrame:
     items = X.item_vectors(s, d)
     rows = items.join(sampling.kfold(items, "item_id"), "item_id")
@@ -463,36 +472,92 @@ def ridge_oof(s, d):
 
 @query
 def logistic_oof(s, d):
-    pool = heads.collect_pool(_labelled_vectors(s, d), 10)
-    return six(heads.head_oof(s, pool, [str(i) for i in range(10)], "logistic"))
+    return six(heads.head_oof(_labelled_vectors(s, d), TEN))
 
 
 @query
 def mlp_oof(s, d):
-    pool = heads.collect_pool(_labelled_vectors(s, d), 10)
-    return six(heads.head_oof(s, pool, [str(i) for i in range(10)], "mlp", epochs=60, hidden=64))
+    return six(heads.head_oof(_labelled_vectors(s, d), TEN, "mlp"))
 
 
 @query
 def openvocab_oof(s, d):
-    rows = _labelled_vectors(s, d)
-    pool = heads.collect_pool(rows, 10)
     rng = np.random.default_rng(0)
     words = {str(i): v / np.linalg.norm(v) for i, v in enumerate(rng.standard_normal((8, 32)))}  # labels 8 and 9 are unknown
-    kinds = [str(r.label) for r in rows.select("item_id", "label").orderBy("item_id").collect()]
-    return six(heads.openvocab_oof(s, pool, kinds, words, list(words), np.stack(list(words.values())), epochs=80))
+    rows = _labelled_vectors(s, d).withColumn("kind", F.col("label").cast("string"))
+    return six(heads.openvocab_oof(rows, words, list(words), np.stack(list(words.values()))))
 
 
 @query
 def transfer_scores(s, d):
     rows = _labelled_vectors(s, d)
-    source = heads.collect_pool(rows.filter("item_id % 2 = 0"), 10)
-    other = heads.collect_pool(rows.filter("item_id % 2 = 1"), 10)
-    return six(heads.transfer(s, source, other.ids, other.x, [str(i) for i in range(10)]))
+    return six(heads.transfer(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1"), TEN))
+
+
+def _plane(s, d) -> DataFrame:
+    """Vectors' first two numbers, ten times as large, and whether a label is low or even."""
+    x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double") * 10)
+    y = F.array((F.col("label") < 3).cast("double"), (F.col("label") % 2 == 0).cast("double"))
+    return X.item_vectors(s, d).select("item_id", x.alias("x"), y.alias("y"))
+
+
+@query
+def logistic_oof_2d(s, d):
+    rows = _plane(s, d)
+    return six(heads.head_oof(rows.join(sampling.kfold(rows, "item_id"), "item_id"), ["low", "even"]))
+
+
+@query
+def transfer_2d(s, d):
+    rows = _plane(s, d)
+    return six(heads.transfer(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1"), ["low", "even"]))
+
+
+def _schemes(s, d) -> dict[str, tuple[DataFrame, float | None]]:
+    """Folds and buffers of the spatial schemes that need no clustering, over cells that have vectors."""
+    points = X.cells(s, d).join(X.item_vectors(s, d).select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
+    tiles = lambda w: sampling.tile_folds(spatial.grid_tiles(points, w)).select("cell_id", "fold")
+    return {
+        "random": (sampling.kfold(points, "cell_id"), None),
+        "grid500": (tiles(500.0), None),
+        "grid500_buffer": (tiles(500.0), 150.0),
+        "grid1000_buffer": (tiles(1000.0), 150.0),
+    }
+
+
+def _by_scheme(s, d, base: DataFrame, names: list[str], schemes: dict) -> DataFrame:
+    """(scheme, query_id, item_id, score) of the logistic head; rows within a scheme's buffer of a fold aren't learned from for it."""
+    points, out = X.cells(s, d), []
+    for name, (folds, buffer) in schemes.items():
+        folds = stage(folds, "folds")
+        rows = base.join(folds.withColumnRenamed("cell_id", "item_id"), "item_id")
+        if buffer is not None:
+            rows = rows.join(spatial.buffered_folds(points, folds, buffer).withColumnRenamed("cell_id", "item_id"), "item_id", "left")
+            rows = rows.withColumn("skip", F.coalesce("skip", F.array().cast("array<int>")))
+        out.append(heads.head_oof(stage(rows, "scheme"), names).withColumn("scheme", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def scheme_scores_2d(s, d):
+    """Held-out scores by fold scheme, with and without buffers."""
+    return six(_by_scheme(s, d, _plane(s, d), ["low", "even"], _schemes(s, d)))
+
+
+@query
+def scheme_report_2d(s, d):
+    """Mean enrichment by fold scheme, overall and by kind of query."""
+    base = _plane(s, d)
+    scores = six(_by_scheme(s, d, base, ["low", "even"], _schemes(s, d)))
+    names = F.array(F.lit("low"), F.lit("even"))
+    rel = base.select("item_id", F.posexplode("y").alias("q", "v")).select(F.get(names, F.col("q")).alias("query_id"), "item_id", (F.col("v") > 0).alias("rel"))
+    per = six(metrics.evaluate(scores, rel, X.SETTINGS.ks, X.SETTINGS.ndcg_k, ["scheme", "query_id"]))
+    task = F.when(F.col("query_id") == "low", "cell_type").otherwise("niche")
+    return six(metrics.by_scheme_and_task(per.withColumn("task_type", task), ["cell_type", "niche", "gene_marker", "cell_state"]))
 
 
 def _inputs(s, d) -> baselines.Inputs:
-    """The fixture's pool for all baselines: cells that have vectors; encoders are the vectors themselves, mirrored and reversed."""
+    """The fixture's pool for all baselines: cells that have vectors; encoders are the vectors themselves, reversed, negated and squared."""
     b = _Bench(s, d)
     vec = X.table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     cells = b.labelled.join(vec.select("cell_id"), "cell_id", "left_semi")
@@ -500,7 +565,7 @@ def _inputs(s, d) -> baselines.Inputs:
     kinds = {("biomedclip", "medium"): F.col("v"), ("biomedclip", "neighborhood"): F.reverse("v"), ("plip", "medium"): F.transform("v", lambda x: -x), ("plip", "neighborhood"): F.transform("v", lambda x: x * x)}
     emb = reduce(DataFrame.unionByName, [vec.select("cell_id", F.lit(e).alias("encoder"), F.lit(k).alias("scale"), c.alias("embedding")) for (e, k), c in kinds.items()])
     text = {"biomedclip": lambda df: encoders.hash_text(df, X.DIM), "plip": lambda df: encoders.hash_text(df, X.DIM, seed=1)}
-    return baselines.Inputs(pool, b.queries, b.t.lognorm, b.t.stats, X.markers(s), X.state_genes(s), X.SETTINGS, emb, X.DIM, text, PROMPTS, epochs=40)
+    return baselines.Inputs(pool, b.queries, b.t.lognorm, b.t.stats, X.markers(s), X.state_genes(s), X.SETTINGS, emb, text, PROMPTS)
 
 
 @query
@@ -510,13 +575,22 @@ def predicted_expression(s, d):
 
 @query
 def zero_shot_scores(s, d):
-    """Every item by every query text: the texts' and the items' vectors, with and without prompts."""
-    items = X.item_vectors(s, d)
-    texts = X.queries(s).select("query_id", "query_text")
-    plain = encoders.hash_text(texts.withColumn("text", F.col("query_text")), X.DIM).select("query_id", F.col("vec").alias("qvec"))
-    prompts = vectors.prompt_ensemble(texts, PROMPTS, lambda df: encoders.hash_text(df, X.DIM), X.DIM)
-    out = [vectors.cosine_scores(items, q).withColumn("baseline", F.lit(n)) for n, q in (("biomedclip", plain), ("biomedclip_prompt", prompts))]
-    return six(reduce(DataFrame.unionByName, out))
+    """The six baselines that need no learning from images, by the dispatcher."""
+    names = ["biomedclip", "biomedclip_nbhd", "plip", "neighborhood", "biomedclip_prompt", "plip_prompt"]
+    return six(baselines.run(_inputs(s, d), names)[0])
+
+
+@query
+def mixed_blocks(s, d):
+    """Unit blocks and neighbour averages of encoders of different widths, one after another."""
+    points = X.cells(s, d).join(X.item_vectors(s, d).select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
+    base = X.item_vectors(s, d).select(F.col("item_id").alias("cell_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).join(points.select("cell_id"), "cell_id", "left_semi")
+    wide = F.concat("v", F.transform("v", lambda x: x * x))
+    kinds = {("plip", "medium"): F.slice("v", 1, 3), ("uni2", "medium"): wide, ("plip", "neighborhood"): F.slice("v", 4, 3)}
+    emb = reduce(DataFrame.unionByName, [base.select("cell_id", F.lit(e).alias("encoder"), F.lit(k).alias("scale"), c.alias("embedding")) for (e, k), c in kinds.items()])
+    blocks = vectors.load_blocks(emb, spatial.knn_edges(points, 3), ["plip", "uni2", "conch"], ["medium", "neighborhood"])
+    out = vectors.assemble(stage(blocks, "blocks"), ["plip_medium", "plip_neighborhood", "plip_medium_nbravg", "uni2_medium", "uni2_medium_nbravg"])
+    return six(_unpivot(out, "cell_id", "feature"))
 
 
 @query
@@ -537,35 +611,28 @@ def baseline_metrics(s, d):
 def label_validation(s, d):
     t = _typed(s, d)
     genes = [r.gene for r in t.stats.select("gene").orderBy("gene").collect()]
-    z = expression.zscores(t.cells, t.lognorm, t.stats)
+    z = validation.scaled(expression.zscores(t.cells, t.lognorm, t.stats))
     found = validation.clusters(validation.components(z, genes, 10), 8)
     return six(validation.cluster_agreement(t.types, found))
 
 
+@query
+def label_purity(s, d):
+    """How well types agree with given clusters: purity and normalised mutual information."""
+    types = stage(_typed(s, d).types, "types")
+    found = types.select("cell_id", (F.floor(F.col("cell_type_score") * 4) + F.col("cell_id") % 2).alias("cluster"))
+    table = validation.cluster_agreement(types, found)
+    return six(validation.purity(table).crossJoin(validation.mutual_information(types.join(found, "cell_id"), "cell_type", "cluster")))
+
+
 @query
 def spatial_cv_report(s, d):
     """Mean enrichment of the logistic head by fold scheme: random, regions, tiles, and tiles with a buffer."""
-    points = X.cells(s, d).join(X.item_vectors(s, d).select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
-    base = _labelled_vectors(s, d).drop("fold").withColumnRenamed("item_id", "cell_id").join(points.select("cell_id"), "cell_id")
-    tiles = lambda w: sampling.tile_folds(spatial.grid_tiles(points, w)).select("cell_id", "fold")
-    schemes = {
-        "random": (sampling.kfold(points, "cell_id"), None),
-        "kmeans": (spatial.kmeans_regions(points, 5, 0, starts=2), None),
-        "grid500": (tiles(500.0), None),
-        "grid500_buffer": (tiles(500.0), 150.0),
-        "grid1000_buffer": (tiles(1000.0), 150.0),
-    }
-    names = [str(i) for i in range(10)]
-    out = []
-    for name, (folds, buffer) in schemes.items():
-        folds = stage(folds, "folds")
-        pool = heads.collect_pool(base.join(folds, "cell_id").withColumnRenamed("cell_id", "item_id"), 10)
-        train = None
-        if buffer is not None:
-            train = {f: np.isin(pool.ids, [r.cell_id for r in spatial.outside_buffer(points, folds, f, buffer).select("cell_id").collect()]) for f in sorted(set(pool.fold.tolist()))}
-        out.append(heads.head_oof(s, pool, names, train=train).withColumn("scheme", F.lit(name)))
-    scores = reduce(DataFrame.unionByName, out)
-    rel = base.select(F.col("cell_id").alias("item_id"), F.posexplode("y").alias("q", "v")).select(F.col("q").cast("string").alias("query_id"), "item_id", (F.col("v") > 0).alias("rel"))
+    base = _labelled_vectors(s, d).drop("fold", "label")
+    points = X.cells(s, d).join(base.select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
+    schemes = _schemes(s, d) | {"kmeans": (spatial.kmeans_regions(points, 5, 0), None)}
+    scores = _by_scheme(s, d, base, TEN, schemes)
+    rel = base.select("item_id", F.posexplode("y").alias("q", "v")).select(F.col("q").cast("string").alias("query_id"), "item_id", (F.col("v") > 0).alias("rel"))
     per = metrics.evaluate(scores, rel, X.SETTINGS.ks, 10, ["scheme", "query_id"])
     task = F.when(F.col("query_id").cast("int") % 2 == 0, "cell_type").otherwise("niche")
     return six(metrics.by_scheme_and_task(per.withColumn("task_type", task), ["cell_type", "niche", "gene_marker", "cell_state"]))
@@ -595,6 +662,148 @@ def event_windows(s, d):
     return windowed_counts(X.table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
 
 
+def _lines(s, name: str, lines: list[str]) -> str:
+    """A small text file in the shared folder."""
+    path = scratch(s, name)
+    s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def _cells_csv(s, d) -> DataFrame:
+    """The cells written as compressed CSV and scanned back; their ids are strings then."""
+    path = scratch(s, "cells-csv")
+    cells = X.cells(s, d).select("cell_id", F.col("x").alias("x_centroid"), F.col("y").alias("y_centroid"), F.lit(7.0).alias("transcript_counts"), F.abs("x").alias("cell_area"), F.lit("a,b").alias("region"))
+    cells.write.option("header", True).option("compression", "gzip").csv(path)
+    return sources.read_cells(s, path, "region string")
+
+
+@query
+def cells_csv(s, d):
+    return six(_cells_csv(s, d))
+
+
+@query
+def string_id_folds(s, d):
+    """Folds and neighbours of cells whose ids are strings, as scanned."""
+    cells = _cells_csv(s, d).select("cell_id", F.col("x_centroid").alias("x"), F.col("y_centroid").alias("y"))
+    nearest = spatial.knn_edges(cells, 2).filter("rnk = 1").select("cell_id", "nbr_id")
+    return sampling.kfold(cells, "cell_id").join(nearest, "cell_id")
+
+
+@query
+def string_id_pool(s, d):
+    """A drawn pool of cells whose ids are strings."""
+    cells = _cells_csv(s, d).withColumn("cell_type", F.when(F.col("x_centroid") > 5000, "far").otherwise("near"))
+    return sampling.build_pool(cells, 300).select("cell_id", "cell_type", "pool_idx")
+
+
+@query
+def boundaries_csv(s, d):
+    """Polygons written as CSV and scanned back: vertices and extent of each."""
+    path = scratch(s, "boundaries")
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate([(0, 0), (4, 0), (0, 2)])]))
+    rows = X.cells(s, d).withColumn("c", corner).select("cell_id", (F.col("x") + F.col("c.a")).alias("vertex_x"), (F.col("y") + F.col("c.b")).alias("vertex_y"))
+    rows.write.option("header", True).csv(path)
+    back = sources.read_boundaries(s, path)
+    return six(back.groupBy("cell_id").agg(F.count("*").alias("n"), F.min("vertex_x").alias("x0"), F.max("vertex_y").alias("y1")))
+
+
+@query
+def queries_csv(s, d):
+    path = scratch(s, "queries-csv")
+    sources.write_report(sources.query_set(s), path)
+    return sources.read_queries(s, path)
+
+
+@query
+def processed_tables(s, d):
+    """Cells, expression and genes written and loaded: how many rows each has, and what they add up to."""
+    path = scratch(s, "processed")
+    counts = X.counts(s, d)
+    sources.save_processed(X.cells(s, d), counts.withColumnRenamed("cnt", "v"), counts.select("gene").distinct(), path)
+    cells, expr, genes = sources.load_processed(s, path)
+    part = lambda df, name, c: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.sum(c).cast("double").alias("total"))
+    return six(part(cells, "cells", "y").unionByName(part(expr, "expression", "v")).unionByName(part(genes, "genes", "gene")))
+
+
+@query
+def stored_scores(s, d):
+    """Scores written a folder a method and read back, all methods that lie there."""
+    path = scratch(s, "scores")
+    sources.write_scores(_vector_scores(s, d)[0], path)
+    return sources.read_scores(s, path).select("baseline", "query_id", "item_id", "score")
+
+
+@query
+def stored_embeddings(s, d):
+    """One encoder's vectors at one scale, out of four written."""
+    path = scratch(s, "embeddings")
+    base = X.item_vectors(s, d).select(F.col("item_id").alias("cell_id"), "embedding")
+    every = [base.select("cell_id", F.lit(e).alias("encoder"), F.lit(k).alias("scale"), _times(F.transform("embedding", lambda x: x.cast("double")), float(m)).alias("embedding")) for m, (e, k) in enumerate([("plip", "medium"), ("plip", "neighborhood"), ("uni2", "medium"), ("uni2", "small")], 1)]
+    sources.write_embeddings(reduce(DataFrame.unionByName, every), path)
+    one = sources.read_embeddings(s, path, "uni2", "medium")
+    none = sources.read_embeddings(s, path, "conch", "medium")
+    return six(_unpivot(one.unionByName(none), "cell_id", "embedding"))
+
+
+@query
+def rounded_report(s, d):
+    """A report written with four decimals, halves to even, and read back."""
+    path = scratch(s, "report")
+    rows = X.table(s, d, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 % 100003) / 32768.0).alias("value"))
+    sources.write_report(rows, path)
+    return s.read.schema("o_orderkey long, value double").option("header", True).csv(path)
+
+
+@query
+def pyramid_levels(s, d):
+    """The asked level of each image, clamped to the last there is."""
+    level = lambda i: F.struct((F.lit(4096) / 2**i).cast("int").alias("h"), (F.lit(8192) / 2**i).cast("int").alias("w"))
+    images = X.table(s, d, "events").select("event_id", (F.col("event_id") % 7).cast("int").alias("asked"), F.slice(F.array(*[level(i) for i in range(5)]), 1, (F.col("event_id") % 5 + 1).cast("int")).alias("levels"))
+    return images.select("event_id", sources.pyramid_level(F.col("levels"), F.col("asked")).alias("l")).select("event_id", "l.h", "l.w")
+
+
+@query
+def chosen_variant(s, d):
+    have = s.createDataFrame([(b,) for b in oracles.HAVE], "block string")
+    found = vectors.available_variants(vectors.spec_table(s), have)
+    wanted = [["cellseek_all", "cellseek_full"], ["cellseek_all4", "cellseek_full"], ["conch_full"]]
+    return s.createDataFrame([(i, vectors.choose_variant(found, w)) for i, w in enumerate(wanted)], "i int, spec string")
+
+
+@query
+def settings_table(s, d):
+    """A configuration file's settings, defaults where it says nothing."""
+    text = "dataset: {name: tissue, sample: s1, results_dir: out}\nseed: 3\npreprocess: {min_transcript_counts: 12}\nneighborhood: {k: 7, use: radius, niche_thresholds: {vascular: 0.2}}\ncandidate_pool: {size: 9, stratify: false}\nretrieval: {topk: [1, 2]}\n"
+    path = _lines(s, "settings", text.rstrip().split("\n"))
+    got = load_settings(text="\n".join(r.value for r in s.read.text(path).collect()))
+    rows = [(f, str(getattr(got, f))) for f in ("dataset", "sample", "seed", "min_counts", "k", "use", "radius", "pool_size", "stratify", "ks", "ndcg_k", "type_margin")]
+    rows += [("vascular", str(got.niche["vascular"])), ("bcell_rich", str(got.niche["bcell_rich"])), ("tables", results_dir(got, "tables").rsplit("/", 2)[-2] + "/tables")]
+    return s.createDataFrame(rows, "field string, value string")
+
+
+@query
+def fetched_file(s, d):
+    """A file fetched once, and left alone the second time."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as at:  # the driver's own; nothing else reads it
+        (Path(at) / "there").write_bytes(b"x" * 5000)
+        took = [sources.fetch((Path(at) / "there").as_uri(), f"{at}/new/copy") for _ in range(2)]
+        return s.createDataFrame([(i, t, (Path(at) / "new/copy").stat().st_size, (Path(at) / "new/copy.part").exists()) for i, t in enumerate(took)], "i int, fetched boolean, size long, part_left boolean")
+
+
+@query
+def encoder_registry(s, d):
+    """What each name stands for: the encoder, whether it reads text, whether its vectors are of unit length."""
+    rows = []
+    for name in sorted(encoders.REGISTRY):
+        e = encoders.get_encoder(name.upper())
+        rows.append((name, getattr(e, "name", "hash"), getattr(e, "has_text", True), e.normalised))
+    return s.createDataFrame(rows, "name string, encoder string, has_text boolean, unit boolean")
+
+
 # ---- images ----
 
 
@@ -606,11 +815,32 @@ def _patches(s, d, side: int = 8) -> DataFrame:
     return X.cells(s, d).select("cell_id", F.lit(side).alias("h"), F.lit(side).alias("w"), F.unhex(F.array_join(hexes, "")).alias("px"))
 
 
+def _sums(patches: DataFrame) -> DataFrame:
+    """(cell_id, h, w, total, weighted): sums of a patch's bytes, plain and by place."""
+    ship(patches.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            px = [np.frombuffer(p.as_py(), np.uint8).astype(np.int64) for p in b.column(3)]
+            yield pa.record_batch([*b.columns[:3], pa.array([int(p.sum()) for p in px], pa.int64()), pa.array([int((p * (np.arange(len(p)) % 97)).sum()) for p in px], pa.int64())], names=["cell_id", "h", "w", "total", "weighted"])
+
+    return patches.select("cell_id", "h", "w", "px").mapInArrow(run, f"cell_id {dict(patches.dtypes)['cell_id']}, h int, w int, total long, weighted long")
+
+
 @query
 def patch_embeddings(s, d):
     return encoders.encode_patches(_patches(s, d), "hash", "medium", dim=32)
 
 
+@query
+def patch_statistics(s, d):
+    """The statistics that the hash encoder projects, by place."""
+    vec = encoders.encode_patches(_patches(s, d), "hash", "medium", dim=encoders.SIDES, plain=True)
+    return six(_unpivot(vec.withColumn("embedding", F.transform(F.slice("embedding", 1, encoders.STATS), lambda x: x.cast("double"))), "cell_id", "embedding"), 3)
+
+
 @query
 def stain_density(s, d):
     rows = X.table(s, d, "orders").select(((F.col("o_orderkey") * 31) % 256).alias("a"), ((F.col("o_orderkey") * 17) % 256).alias("b"))
@@ -627,12 +857,36 @@ def stain_normalised(s, d):
 
 
 @query
-def patch_crops(s, d):
+def stain_applied(s, d):
+    """Patches turned from one given profile to another."""
+    return _sums(imaging.normalise_stain(_patches(s, d), oracles.STAIN_SOURCE, oracles.STAIN_TARGET)).select("cell_id", "total", "weighted")
+
+
+@query
+def pixel_sample(s, d):
+    """Sums over the pixels of a uniform sample of patches."""
+    rows = imaging.pixel_rows(_patches(s, d), 40, 5)
+    return rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+
+
+def _tiles(s) -> DataFrame:
     tiles = s.range(16).select((F.col("id") % 4).cast("int").alias("tx"), F.floor(F.col("id") / 4).cast("int").alias("ty"))
     hexes = F.transform(F.sequence(F.lit(0), F.lit(64 * 64 * 3 - 1)), lambda i: F.lpad(F.hex((i + F.col("tx") * 7 + F.col("ty") * 13) % 251), 2, "0"))
-    tiles = tiles.select("tx", "ty", F.lit(64).alias("h"), F.lit(64).alias("w"), F.unhex(F.array_join(hexes, "")).alias("px"))
-    centres = X.cells(s, d).select("cell_id", ((F.col("cell_id") * 37) % 260).cast("double").alias("px"), ((F.col("cell_id") * 53) % 260).cast("double").alias("py"))
-    return imaging.extract_patches(tiles, centres, 64, 32, 16).select("cell_id", "h", "w", F.md5("px").alias("digest"))
+    return tiles.select("tx", "ty", F.lit(64).alias("h"), F.lit(64).alias("w"), F.unhex(F.array_join(hexes, "")).alias("px"))
+
+
+def _centres(s, d) -> DataFrame:
+    return X.cells(s, d).select("cell_id", ((F.col("cell_id") * 37) % 260).cast("double").alias("px"), ((F.col("cell_id") * 53) % 260).cast("double").alias("py"))
+
+
+@query
+def patch_crops(s, d):
+    return _sums(imaging.extract_patches(_tiles(s), _centres(s, d), 64, 32))
+
+
+@query
+def resized_crops(s, d):
+    return imaging.extract_patches(_tiles(s), _centres(s, d), 64, 32, 16).select("cell_id", "h", "w", F.md5("px").alias("digest"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

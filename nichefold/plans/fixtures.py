@@ -11,13 +11,15 @@ from nichefold.operators import sampling, spatial
 from nichefold.sources.cells import marker_table, query_set
 from nichefold.sources.stage import stage
 
-SETTINGS = Settings(pool_size=600)
+SETTINGS = Settings()
 #: Three genes a lineage, then four of proliferation.
 MARKERS = {t: [3 * i + 1, 3 * i + 2, 3 * i + 3] for i, t in enumerate(LINEAGES)}
 STATE_GENES = [22, 23, 24, 25]
 #: Panel genes that stand for those of gene queries; EPCAM has none, so its query has no relevant cell.
 ALIASES = {"CD79A": 1, "CD3D": 4, "CD68": 7, "MKI67": 22}
 DIM = 64
+#: Size of the drawn pool in the query that draws one; other queries use the configured size.
+SMALL_POOL = 600
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

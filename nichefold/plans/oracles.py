@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from nichefold.config import KS, LINEAGES, METHODS, NICHES, PROMPTS, QUERY_SET, variant_specs
-from nichefold.plans.fixtures import ALIASES, MARKERS, SETTINGS, STATE_GENES
+from nichefold.plans.fixtures import ALIASES, MARKERS, SETTINGS, SMALL_POOL, STATE_GENES
 
 S = SETTINGS
 
@@ -66,8 +68,14 @@ CTE: dict[str, str] = {
         frac_B_cell >= {S.niche['bcell_rich']} AS niche_bcell_rich, frac_T_cell >= {S.niche['tcell_rich']} AS niche_tcell_rich, frac_Myeloid >= {S.niche['myeloid_rich']} AS niche_myeloid_rich,
         frac_Endothelial >= {S.niche['vascular']} AND frac_Fibroblast > 0 AS niche_vascular, frac_T_cell + frac_B_cell + frac_Myeloid >= {S.niche['immune_rich']} AS niche_immune_rich,
         frac_Epithelial >= {S.niche['interface_epi']} AND frac_T_cell + frac_Myeloid >= {S.niche['interface_imm']} AS niche_tumor_immune_interface FROM comp)""",
-    "quota": f"SELECT cell_type AS s, CASE WHEN sum(count(*)) OVER () <= {S.pool_size} THEN count(*) ELSE least(count(*), greatest(1, CAST(round_even({float(S.pool_size)} * count(*) / sum(count(*)) OVER (), 0) AS BIGINT))) END AS q FROM types GROUP BY 1",
-    "pool": f"SELECT cell_id, cell_type, row_number() OVER (ORDER BY cell_id) - 1 AS pool_idx FROM (SELECT cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY {h('cell_id', S.seed)}, cell_id) AS r FROM types) JOIN quota ON s = cell_type WHERE r <= q",
+    **{
+        f"{p}{name}": sql
+        for p, size in (("", S.pool_size), ("small_", SMALL_POOL))
+        for name, sql in {
+            "quota": f"SELECT cell_type AS s, CASE WHEN sum(count(*)) OVER () <= {size} THEN count(*) ELSE least(count(*), greatest(1, CAST(round_even({float(size)} * count(*) / sum(count(*)) OVER (), 0) AS BIGINT))) END AS q FROM types GROUP BY 1",
+            "pool": f"SELECT cell_id, cell_type, row_number() OVER (ORDER BY cell_id) - 1 AS pool_idx FROM (SELECT cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY {h('cell_id', S.seed)}, cell_id) AS r FROM types) JOIN {p}quota ON s = cell_type WHERE r <= q",
+        }.items()
+    },
     "qs": f"SELECT * FROM ({values(_Q)}) AS q(query_id, query_text, target_field, target_label, task_type, level, split, gene)",
     "cuts": f"SELECT gene, greatest(quantile_cont(v, {S.gene_quantile}), 1e-9) AS cut FROM dense JOIN pool USING (cell_id) GROUP BY 1",
     "rel": "SELECT query_id, pool_idx AS item_id, CASE target_field WHEN 'cell_type' THEN p.cell_type = target_label WHEN 'cell_state' THEN s.is_proliferating WHEN 'gene' THEN coalesce(d.v >= c.cut, FALSE) ELSE CASE target_label "
@@ -125,7 +133,7 @@ def with_(final: str, *extra: tuple[str, str]) -> str:
 
     add(final)
     names = [n for n in [*_ORDER, *(e[0] for e in extra)] if n in need]
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in names) + "\n" if names else "") + final
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in names) + "\n" if names else "") + final
 
 
 REPORT = ["hit@1", "P@5", "R@5", "R@10", "mAP", "MRR", "nDCG@10", "enrich@10"]
@@ -139,7 +147,7 @@ def _even(x: str) -> str:
     return f"(round_even(({x}) * 1e4, 0) / 1e4)"
 
 
-BOOT = 400
+BOOT = 5000
 _boot = f"SELECT b::INT AS b, ({h('b * n + p')}) % n AS i FROM range({BOOT}) AS r(b), (SELECT count(DISTINCT query_id)::BIGINT AS n FROM emb_metrics) AS c, range((SELECT count(DISTINCT query_id) FROM emb_metrics)) AS s(p)"
 _vals = "SELECT baseline, query_id, \"mAP\" AS value, dense_rank() OVER (ORDER BY query_id) - 1 AS i FROM emb_metrics"
 _boots = "SELECT baseline, b, sum(value) / count(*) AS m FROM draws JOIN vals USING (i) GROUP BY ALL"
@@ -155,13 +163,30 @@ _words = "SELECT query_id, t, unnest(list_filter(regexp_split_to_array(lower(tex
 _pvec = f"SELECT query_id, t, d, sum({_cell}) AS v FROM (SELECT query_id, t, {_bucket} AS b FROM pwords), range({TEXT_DIM}) AS r(d) GROUP BY ALL"
 _punit = "SELECT query_id, t, d, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY query_id, t)), 1e-8) AS u FROM pvec"
 _pmean = "SELECT query_id, d, avg(u) AS m FROM punit GROUP BY ALL"
-_zcell = f"(({h('b * 64 + d')})::DOUBLE / 1073741823.5 - 1.0)"
-_ztexts = "SELECT 'biomedclip' AS baseline, query_id, 0 AS t, query_text AS text FROM qs UNION ALL SELECT 'biomedclip_prompt', query_id, t, text FROM prompts"
-_zwords = "SELECT baseline, query_id, t, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM ztexts"
-_zvec = f"SELECT baseline, query_id, t, d, sum({_zcell}) AS v FROM (SELECT baseline, query_id, t, {_bucket} AS b FROM zwords), range(64) AS r(d) GROUP BY ALL"
-_zunit = "SELECT baseline, query_id, t, d, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY baseline, query_id, t)), 1e-8) AS u FROM zvec"
-_zmean = "SELECT baseline, query_id, d, avg(u) AS m FROM zunit GROUP BY ALL"
-_zq = "SELECT baseline, query_id, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY baseline, query_id)), 1e-8) AS q FROM zmean"
+_ztexts = "SELECT 'plain' AS kind, query_id, 0 AS t, query_text AS text FROM qs UNION ALL SELECT 'prompt', query_id, t, text FROM prompts"
+_zwords = "SELECT kind, query_id, t, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM ztexts"
+_zvec = " UNION ALL ".join(
+    f"SELECT '{e}' AS enc, kind, query_id, t, d, sum(({h('b * 64 + d', seed)})::DOUBLE / 1073741823.5 - 1.0) AS v FROM (SELECT kind, query_id, t, {_bucket} AS b FROM zwords), range(64) AS r(d) GROUP BY ALL" for e, seed in (("biomedclip", 0), ("plip", 1))
+)
+_zunit = "SELECT enc, kind, query_id, t, d, v, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY enc, kind, query_id, t)), 1e-8) AS u FROM zvec"
+_zq = (
+    "SELECT b.baseline, query_id, d, CASE WHEN b.kind = 'plain' THEN any_value(v) ELSE avg(u) END AS q FROM zunit JOIN (VALUES ('biomedclip', 'biomedclip', 'plain'), ('biomedclip_nbhd', 'biomedclip', 'plain'), "
+    "('plip', 'plip', 'plain'), ('neighborhood', 'biomedclip', 'plain'), ('biomedclip_prompt', 'biomedclip', 'prompt'), ('plip_prompt', 'plip', 'prompt')) AS b(baseline, enc, kind) USING (enc, kind) GROUP BY b.baseline, b.kind, query_id, d"
+)
+#: Cells that have vectors, their place in the pool, and their neighbours among themselves.
+_vcells = "SELECT cell_id, x, y, row_number() OVER (ORDER BY cell_id) - 1 AS item_id FROM cells WHERE cell_id IN (SELECT vec_id FROM embeddings)"
+_vpairs = "SELECT a.cell_id, b.cell_id AS nbr_id, row_number() OVER (PARTITION BY a.cell_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.cell_id) AS rnk FROM vcells a JOIN vcells b ON a.cell_id <> b.cell_id"
+_vknn = f"SELECT cell_id, nbr_id FROM ({_vpairs}) WHERE rnk <= {S.k} UNION ALL SELECT cell_id, cell_id FROM vcells"
+_vdims = "SELECT c.cell_id, item_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM vcells c JOIN embeddings ON vec_id = c.cell_id"
+_zitems = (
+    "SELECT unnest(['biomedclip', 'biomedclip_prompt']) AS baseline, item_id, d, v FROM vdims UNION ALL SELECT 'biomedclip_nbhd', item_id, 65 - d, v FROM vdims UNION ALL SELECT unnest(['plip', 'plip_prompt']), item_id, d, -v FROM vdims "
+    "UNION ALL SELECT 'neighborhood', c.item_id, d, avg(v) FROM vknn k JOIN vcells c ON c.cell_id = k.cell_id JOIN vdims n ON n.cell_id = k.nbr_id GROUP BY ALL"
+)
+_mraw = (
+    "SELECT cell_id, 0 AS ord, d, v FROM vd WHERE d <= 3 UNION ALL SELECT cell_id, 1, d - 3, v FROM vd WHERE d BETWEEN 4 AND 6 UNION ALL SELECT cell_id, 3, d, v FROM vd UNION ALL SELECT cell_id, 3, d + 64, v * v FROM vd"
+).replace("vd", "(SELECT c.cell_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM vcells c JOIN embeddings ON vec_id = c.cell_id)")
+_mnear = f"SELECT cell_id, nbr_id FROM ({_vpairs}) WHERE rnk <= 3 UNION ALL SELECT cell_id, cell_id FROM vcells"
+_mixed = "SELECT cell_id, ord, d, v FROM mraw UNION ALL SELECT n.cell_id, ord + CASE ord WHEN 0 THEN 2 ELSE 1 END, d, avg(v) FROM mnear n JOIN mraw r ON r.cell_id = n.nbr_id WHERE ord IN (0, 3) GROUP BY n.cell_id, ord, d"
 HAVE = [f"{e}_{s}" for e in ("biomedclip", "plip", "uni2") for s in ("medium", "neighborhood", "medium_nbravg")] + ["conch_medium"]
 _specs = values((s, b) for s, bs in variant_specs().items() for b in bs)
 _folds = f"SELECT vec_id AS item_id, (row_number() OVER (ORDER BY {h('vec_id')}, vec_id) - 1) % 5 AS fold FROM embeddings"
@@ -174,6 +199,124 @@ AFFINE = [[0.9, 0.1, 5.0], [-0.1, 0.9, -3.0], [0.0001, 0.0, 1.0]]
 _fracs = ", ".join(f"{r6(f'frac_{t}')} AS frac_{t}" for t in LINEAGES)
 _niche_cols = ", ".join(f"niche_{n}" for n in NICHES)
 
+LATEX = (
+    [r"\begin{table}[t]", r"\centering", rf"\caption{{Bootstrap means with 95\% intervals over queries, {BOOT} rounds.}}", r"\begin{tabular}{lcc}", r"\toprule", r"Method & mAP & enrich@10 \\", r"\midrule"],
+    [r"\bottomrule", r"\end{tabular}", r"\end{table}"],
+)
+_star = "CASE WHEN p < 1e-3 THEN '***' WHEN p < 1e-2 THEN '**' WHEN p < 5e-2 THEN '*' ELSE 'ns' END"
+
+
+def _significance() -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``sig``: intervals of three methods and stars against the first of them."""
+    ms = {"m": "mAP", "n": "nDCG@10", "e": "enrich@10"}
+    parts = [("sdraws", _boot)]
+    long = " UNION ALL ".join(f"SELECT '{k}' AS k, CASE baseline WHEN 'biomedclip' THEN 'cellseek' ELSE baseline END AS baseline, query_id, \"{m}\" AS value FROM emb_metrics UNION ALL SELECT '{k}', 'oracle', query_id, \"{m}\" + 0.125 FROM emb_metrics WHERE baseline = 'biomedclip'" for k, m in ms.items())
+    parts += [
+        ("slong", long),
+        ("svals", "SELECT *, dense_rank() OVER (ORDER BY query_id) - 1 AS i FROM slong"),
+        ("sboots", "SELECT k, baseline, b, sum(value) / count(*) AS m FROM sdraws JOIN svals USING (i) GROUP BY ALL"),
+        ("sci", "SELECT k, baseline, avg(value) AS mean FROM slong GROUP BY ALL"),
+        ("sq", "SELECT k, baseline, printf('%.3f [%.2f,%.2f]', any_value(mean), quantile_cont(m, 0.025), quantile_cont(m, 0.975)) AS txt FROM sboots JOIN sci USING (k, baseline) GROUP BY ALL"),
+        ("sdiff", "SELECT r.k, r.value - o.value AS value, r.i FROM svals r JOIN svals o ON r.k = o.k AND r.query_id = o.query_id AND r.baseline = 'cellseek' AND o.baseline = 'random'"),
+        ("sp", f"SELECT k, {_P} AS p FROM (SELECT k, b, sum(value) / count(*) AS m FROM sdraws JOIN sdiff USING (i) GROUP BY ALL) GROUP BY 1"),
+    ]
+    cols = ", ".join(f"max(CASE WHEN k = '{k}' THEN txt END) AS \"{m}\", max(CASE WHEN k = '{k}' AND q.baseline = 'random' THEN {_star} END) AS \"{m}_sig\"" for k, m in ms.items())
+    parts.append(("sig", f"SELECT q.baseline, ord, method, {cols} FROM sq q JOIN sp USING (k) JOIN (" + _display + ") AS m(baseline, ord, method) ON m.baseline = q.baseline GROUP BY q.baseline, ord, method"))
+    return tuple(parts)
+
+
+_sig = _significance()
+
+
+def _newton(train: str, test: str, rounds: int = 30) -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``logit`` (f, item_id, query_id, score): two weighted logistic models on two features for each f, by Newton's method.
+
+    train and test say which rows (f, item_id) of ``plane`` each model learns from and scores.
+    """
+    sums = ", ".join(
+        f"sum({e}) AS {n}"
+        for n, e in {"ga": "w * (p - y) * a", "gb": "w * (p - y) * b", "gc": "w * (p - y)", "haa": "w * p * (1 - p) * a * a", "hbb": "w * p * (1 - p) * b * b", "hcc": "w * p * (1 - p)", "hab": "w * p * (1 - p) * a * b", "hac": "w * p * (1 - p) * a", "hbc": "w * p * (1 - p) * b"}.items()
+    )
+    step = f"SELECT k, f, q, wa, wb, c, {sums} FROM (SELECT nw.*, a, b, y, CASE WHEN y > 0 THEN pw ELSE 1 END / (n * 2.0::DOUBLE) AS w, 1 / (1 + exp(-(wa * a + wb * b + c))) AS p FROM nw JOIN zr USING (f, q) JOIN pwt USING (f, q) WHERE k < {rounds}) GROUP BY k, f, q, wa, wb, c"
+    full = f"SELECT k, f, q, wa, wb, c, ga + 0.002 * wa AS g1, gb + 0.002 * wb AS g2, gc + 0.002 * c AS g3, haa + 0.002 AS h1, hab AS h2, hac AS h3, hbb + 0.002 AS h4, hbc AS h5, hcc + 0.002 AS h6 FROM ({step})"
+    det = "(h1 * (h4 * h6 - h5 * h5) - h2 * (h2 * h6 - h3 * h5) + h3 * (h2 * h5 - h3 * h4))"
+    return (
+        ("plane", "SELECT vec_id AS item_id, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS x2, (label < 3)::INT::DOUBLE AS y1, (label % 2 = 0)::INT::DOUBLE AS y2 FROM embeddings"),
+        ("tr", train),
+        ("te", test),
+        ("mo", "SELECT f, avg(x1) AS m1, stddev_samp(x1) + 1e-6 AS s1, avg(x2) AS m2, stddev_samp(x2) + 1e-6 AS s2 FROM tr JOIN plane USING (item_id) GROUP BY f"),
+        ("zr", "SELECT f, q, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, CASE q WHEN 'low' THEN y1 ELSE y2 END AS y FROM tr JOIN plane USING (item_id) JOIN mo USING (f), (VALUES ('low'), ('even')) AS v(q)"),
+        ("pwt", "SELECT f, q, count(*)::DOUBLE AS n, least(1000.0, greatest(1.0, (count(*) - sum(y)) / (sum(y) + 1e-6))) AS pw FROM zr GROUP BY f, q"),
+        (
+            "nw",
+            f"SELECT 0 AS k, f, q, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS c FROM pwt UNION ALL SELECT k + 1, f, q, wa - ((h4 * h6 - h5 * h5) * g1 + (h3 * h5 - h2 * h6) * g2 + (h2 * h5 - h3 * h4) * g3) / {det}, "
+            f"wb - ((h3 * h5 - h2 * h6) * g1 + (h1 * h6 - h3 * h3) * g2 + (h2 * h3 - h1 * h5) * g3) / {det}, c - ((h2 * h5 - h3 * h4) * g1 + (h2 * h3 - h1 * h5) * g2 + (h1 * h4 - h2 * h2) * g3) / {det} FROM ({full})",
+        ),
+        ("logit", f"SELECT f, item_id, q AS query_id, wa * (x1 - m1) / s1 + wb * (x2 - m2) / s2 + c AS score FROM te JOIN plane USING (item_id) JOIN mo USING (f) JOIN nw USING (f) WHERE k = {rounds}"),
+    )
+
+
+_oof = _newton("SELECT g.fold AS f, i.item_id FROM folds i JOIN (SELECT DISTINCT fold FROM folds) g ON i.fold <> g.fold", "SELECT fold AS f, item_id FROM folds")
+_transfer = _newton("SELECT 1 AS f, vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 0", "SELECT 1 AS f, vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 1")
+_vtile = lambda w: f"CAST(floor((x - (SELECT min(x) FROM vcells)) / {w}) * (floor(((SELECT max(y) FROM vcells) - (SELECT min(y) FROM vcells)) / {w}) + 1) + floor((y - (SELECT min(y) FROM vcells)) / {w}) AS BIGINT)"
+_scheme = (
+    f"SELECT 'random' AS scheme, NULL::DOUBLE AS buffer, cell_id AS item_id, x, y, (row_number() OVER (ORDER BY {h('cell_id')}, cell_id) - 1) % 5 AS fold FROM vcells"
+    + "".join(f" UNION ALL SELECT '{n}', {b}, cell_id, x, y, {h(_vtile(w))} % 5 FROM vcells" for n, b, w in (("grid500", "NULL", 500.0), ("grid500_buffer", "150.0", 500.0), ("grid1000_buffer", "150.0", 1000.0)))
+)
+_schemes = (
+    ("vcells", _vcells),
+    ("sf", _scheme),
+    *_newton(
+        "SELECT a.scheme || ':' || g.fold AS f, a.item_id FROM sf a JOIN (SELECT DISTINCT scheme, fold FROM sf) g ON g.scheme = a.scheme AND g.fold <> a.fold WHERE a.buffer IS NULL OR NOT EXISTS (SELECT 1 FROM sf t WHERE t.scheme = a.scheme AND t.fold = g.fold AND (t.x - a.x) * (t.x - a.x) + (t.y - a.y) * (t.y - a.y) <= a.buffer * a.buffer)",
+        "SELECT scheme || ':' || fold AS f, item_id FROM sf",
+    ),
+    ("sscores", f"SELECT split_part(f, ':', 1) AS scheme, query_id, item_id, {r6('score')} AS score FROM logit"),
+    ("srel", "SELECT 'low' AS query_id, item_id, y1 > 0 AS rel FROM plane UNION ALL SELECT 'even', item_id, y2 > 0 FROM plane"),
+)
+_dot = lambda a, b: f"list_dot_product({a}, {b})"
+_ridge = (
+    ("folds", _folds),
+    ("rx", "SELECT e.vec_id AS item_id, fold, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings e JOIN folds f ON f.item_id = e.vec_id"),
+    ("rlong", "SELECT item_id, fold, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM rx"),
+    ("rg", "SELECT DISTINCT fold AS f FROM folds"),
+    ("rmean", "SELECT f, i, avg(v) AS m FROM rg JOIN rlong ON fold <> f GROUP BY f, i"),
+    ("rcen", "SELECT f, item_id, r.i, v - m AS v FROM rg JOIN rlong r ON fold <> f JOIN rmean USING (f, i)"),
+    ("rgram", "SELECT a.f, a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS s FROM rcen a JOIN rcen b ON a.f = b.f AND a.item_id = b.item_id GROUP BY a.f, a.i, b.i"),
+    ("rmat", "SELECT f, list(row ORDER BY i) AS A FROM (SELECT f, i, list(s ORDER BY j) AS row FROM rgram GROUP BY f, i) GROUP BY f"),
+    ("rmy", "SELECT f, t, avg((label = t)::INT::DOUBLE) AS my FROM rg JOIN rx ON fold <> f, range(10) AS r(t) GROUP BY f, t"),
+    ("rb", "SELECT f, t, list(s ORDER BY i) AS b FROM (SELECT c.f, t, c.i, sum(c.v * ((label = t)::INT::DOUBLE - my)) AS s FROM rcen c JOIN rx USING (item_id) JOIN rmy y ON y.f = c.f GROUP BY c.f, t, c.i) GROUP BY f, t"),
+    (
+        "cg",
+        f"SELECT 0 AS k, f, t, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS p, {_dot('b', 'b')} AS rs FROM rb UNION ALL SELECT k + 1, f, t, w2, r2, list_transform(list_zip(r2, p), lambda z: z[1] + {_dot('r2', 'r2')} / rs * z[2]), {_dot('r2', 'r2')} FROM ("
+        f"SELECT k, f, t, p, rs, list_transform(list_zip(w, p), lambda z: z[1] + al * z[2]) AS w2, list_transform(list_zip(r, ap), lambda z: z[1] - al * z[2]) AS r2 FROM (SELECT *, rs / {_dot('p', 'ap')} AS al FROM (SELECT cg.*, list_transform(A, lambda row: {_dot('row', 'p')}) AS ap FROM cg JOIN rmat USING (f) WHERE k < 300 AND rs > 1e-26)))",
+    ),
+    ("cw", "SELECT f, t, arg_max(w, k) AS w FROM cg GROUP BY f, t"),
+    ("rmx", "SELECT f, list(m ORDER BY i) AS mx FROM rmean GROUP BY f"),
+)
+_hexid = lambda c: f"CAST('0x' || substr(md5({c}), 1, 11) AS BIGINT)"
+_byte = f"CAST(floor(({h('cell_id * 3 + i % 7', 5)} + 0.5) / 2147483647.0::DOUBLE * (40 + (i * 29) % 200)) AS INT)"
+_pix = f"SELECT cell_id, i, i % 3 AS ch, (i // 3) % 8 AS col, i // 24 AS r, {_byte} AS v FROM cells, range(192) AS t(i)"
+#: Stain vectors and their strongest concentrations, before and after.
+STAIN_SOURCE = (np.array([[0.65, 0.07], [0.70, 0.99], [0.29, 0.11]]), np.array([1.9, 1.2]))
+STAIN_TARGET = (np.array([[0.56, 0.22], [0.72, 0.80], [0.41, 0.56]]), np.array([1.5, 1.0]))
+
+
+def _stain() -> str:
+    solve, scale, ref = np.linalg.pinv(STAIN_SOURCE[0]), STAIN_TARGET[1] / (STAIN_SOURCE[1] + 1e-8), STAIN_TARGET[0]
+    od = "SELECT cell_id, i // 3 AS px, " + ", ".join(f"max(CASE WHEN ch = {c} THEN -ln((v + 1) / 256.0::DOUBLE) END) AS o{c}" for c in range(3)) + " FROM pix GROUP BY ALL"
+    conc = "SELECT cell_id, px, " + ", ".join("(" + " + ".join(f"({float(solve[k, c])!r}) * o{c}" for c in range(3)) + f") * {float(scale[k])!r} AS c{k}" for k in range(2)) + f" FROM ({od})"
+    out = " UNION ALL ".join(f"SELECT cell_id, px * 3 + {c} AS i, CAST(floor(least(255.0, greatest(0.0, 256 * exp(-(({float(ref[c, 0])!r}) * c0 + ({float(ref[c, 1])!r}) * c1))))) AS BIGINT) AS v FROM conc" for c in range(3))
+    return f"WITH cells AS ({CTE['cells']}), pix AS ({_pix}), conc AS ({conc}) SELECT cell_id, sum(v)::BIGINT AS total, sum(v * (i % 97))::BIGINT AS weighted FROM ({out}) GROUP BY 1"
+
+
+def _statistics() -> str:
+    flat = ["avg(v)", "stddev_pop(v)", "median(v)", "min(v)::DOUBLE", "max(v)::DOUBLE", "quantile_cont(v, 0.25)", "quantile_cont(v, 0.75)"]
+    parts = [f"SELECT cell_id, {3 * k + 1} + ch AS d, {e} AS v FROM pix GROUP BY cell_id, ch" for k, e in enumerate(flat)]
+    for k, (dr, dc) in enumerate(((1, 0), (0, 1)), len(flat)):
+        parts.append(f"SELECT a.cell_id, {3 * k + 1} + a.ch AS d, avg(abs(b.v - a.v)) AS v FROM pix a JOIN pix b ON b.cell_id = a.cell_id AND b.ch = a.ch AND b.r = a.r + {dr} AND b.col = a.col + {dc} GROUP BY a.cell_id, a.ch")
+    return f"WITH cells AS ({CTE['cells']}), pix AS ({_pix}) SELECT cell_id, d::BIGINT AS d, floor(v * 1e3 + 0.5) / 1e3 AS v FROM (" + " UNION ALL ".join(parts) + ")"
+
+
 SQL: dict[str, str] = {
     "cell_qc_filter": with_("SELECT c_custkey AS cell_id, total AS transcript_counts, abs(c_acctbal) AS cell_area FROM customer JOIN totals ON cell_id = c_custkey WHERE total >= 1000 AND abs(c_acctbal) >= 100"),
     "align_left_anti": with_("SELECT cell_id FROM cells WHERE cell_id NOT IN (SELECT cell_id FROM counts WHERE gene <= 3)"),
@@ -189,9 +332,12 @@ SQL: dict[str, str] = {
     "cell_type_counts": with_("SELECT cell_type, count(*) AS n FROM types GROUP BY 1"),
     "proliferation_flag": with_(f"SELECT cell_id, {r6('proliferation_score')} AS proliferation_score, is_proliferating FROM state"),
     "dataset_stats": with_(
-        "SELECT 'n_cells' AS stat, CAST((SELECT count(*) FROM cells) AS VARCHAR) AS value UNION ALL SELECT 'n_genes', CAST((SELECT count(DISTINCT gene) FROM counts) AS VARCHAR)"
-        " UNION ALL SELECT 'n_proliferating', CAST((SELECT count(*) FROM state WHERE is_proliferating) AS VARCHAR) UNION ALL SELECT 'median_transcripts', CAST(CAST(floor((SELECT median(total) FROM totals)) AS BIGINT) AS VARCHAR)"
-        + "".join(f" UNION ALL SELECT 'n_{t}', CAST((SELECT count(*) FROM types WHERE cell_type = '{t}') AS VARCHAR)" for t in [*LINEAGES, "unknown"])
+        "SELECT 'dataset' AS stat, 'dataset' AS value UNION ALL SELECT 'sample', 'sample' UNION ALL SELECT 'n_cells_raw', CAST((SELECT count(*) FROM cells) AS VARCHAR) UNION ALL SELECT 'n_cells_qc', CAST((SELECT count(*) FROM qc) AS VARCHAR)"
+        " UNION ALL SELECT 'n_genes_panel', CAST((SELECT count(DISTINCT gene) FROM counts) AS VARCHAR) UNION ALL SELECT 'median_transcripts', CAST((SELECT median(total) FROM qc) AS VARCHAR)"
+        " UNION ALL SELECT 'n_proliferating', CAST((SELECT count(*) FROM state JOIN qc USING (cell_id) WHERE is_proliferating) AS VARCHAR)"
+        + "".join(f" UNION ALL SELECT 'n_{t}', CAST((SELECT count(*) FROM types JOIN qc USING (cell_id) WHERE cell_type = '{t}') AS VARCHAR)" for t in [*LINEAGES, "unknown"])
+        + "".join(f" UNION ALL SELECT 'n_niche_{n}', CAST((SELECT count(*) FROM niches JOIN qc USING (cell_id) WHERE niche_{n}) AS VARCHAR)" for n in NICHES),
+        ("qc", f"SELECT cell_id, total FROM totals WHERE total >= {S.min_counts}"),
     ),
     "knn_edges": with_(f"SELECT cell_id, nbr_id, {r6('d2')} AS d2, rnk::INT AS rnk FROM knn"),
     "knn_composition": with_(f"SELECT cell_id, {_fracs} FROM comp"),
@@ -209,7 +355,7 @@ SQL: dict[str, str] = {
     ),
     "scale_pixels": with_(f"SELECT cell_id, {r6('x / 0.363788')} AS px, {r6('y / 0.363788')} AS py FROM cells"),
     "affine_pixels": with_(f"SELECT cell_id, {r6('(x * 0.9 + y * 0.1 + 5.0) / (x * 0.0001 + y * 0.0 + 1.0)')} AS px, {r6('(x * -0.1 + y * 0.9 + -3.0) / (x * 0.0001 + y * 0.0 + 1.0)')} AS py FROM cells"),
-    "stratified_pool": with_("SELECT cell_id, cell_type, pool_idx FROM pool"),
+    "stratified_pool": with_("SELECT cell_id, cell_type, pool_idx FROM small_pool"),
     "kfold_assign": with_("SELECT item_id, fold::INT AS fold FROM folds", ("folds", _folds)),
     "uniform_subset": with_(f"SELECT cell_id FROM cells ORDER BY {h('cell_id', 3)}, cell_id LIMIT 50"),
     "l2_normalize": with_(f"SELECT item_id, d, {r6('v')} AS v FROM dims"),
@@ -217,7 +363,14 @@ SQL: dict[str, str] = {
     "cosine_topk": with_(f"SELECT query_id, item_id, {r6('score')} AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rnk FROM cos) WHERE rnk <= 15"),
     "hash_text_features": with_(f"SELECT query_id, {_bucket} AS bucket, count(*) AS n FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS w FROM qs) GROUP BY ALL"),
     "prompt_ensemble": with_(f"SELECT query_id, d, {r6('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY query_id)), 1e-8)')} AS v FROM pmean", ("prompts", _prompts), ("pwords", _words), ("pvec", _pvec), ("punit", _punit), ("pmean", _pmean)),
-    "zero_shot_scores": with_(f"SELECT baseline, query_id, item_id, {r6('sum(q * v)')} AS score FROM zq JOIN dims ON dims.d = zq.d + 1 GROUP BY ALL", ("prompts", _prompts), ("ztexts", _ztexts), ("zwords", _zwords), ("zvec", _zvec), ("zunit", _zunit), ("zmean", _zmean), ("zq", _zq)),
+    "zero_shot_scores": with_(
+        f"SELECT z.baseline, query_id, item_id, {r6('sum(q * v) / greatest(sqrt(sum(q * q)), 1e-8) / greatest(sqrt(sum(v * v)), 1e-8)')} AS score FROM zq z JOIN zitems i ON i.baseline = z.baseline AND i.d = z.d + 1 GROUP BY ALL",
+        ("prompts", _prompts), ("ztexts", _ztexts), ("zwords", _zwords), ("zvec", _zvec), ("zunit", _zunit), ("zq", _zq), ("vcells", _vcells), ("vknn", _vknn), ("vdims", _vdims), ("zitems", _zitems),
+    ),
+    "mixed_blocks": with_(
+        f"SELECT cell_id, (row_number() OVER (PARTITION BY cell_id ORDER BY ord, d))::BIGINT AS d, {r6('v / greatest(sqrt(sum(v * v) OVER (PARTITION BY cell_id, ord)), 1e-8)')} AS v FROM mixed",
+        ("vcells", _vcells), ("mraw", _mraw), ("mnear", _mnear), ("mixed", _mixed),
+    ),
     "feature_variants": f"SELECT spec, count(*) AS n_blocks FROM ({_specs}) AS s(spec, block) GROUP BY 1 HAVING bool_and(block IN ({', '.join(repr(b) for b in HAVE)}))",
     "assemble_blocks": f"SELECT vec_id AS item_id, 192 AS n, {r6('embedding[1]::DOUBLE')} AS first, {r6('2 * embedding[1]::DOUBLE')} AS second, {r6('3 * embedding[64]::DOUBLE')} AS last FROM embeddings",
     "query_set": with_("SELECT query_id, query_text, target_field, target_label, task_type, level, split FROM qs"),
@@ -239,9 +392,11 @@ SQL: dict[str, str] = {
         f"SELECT d.baseline, {r11('avg(d.value)')} AS diff, {r11('any_value(lo)')} AS lo, {r11('any_value(hi)')} AS hi, {r11('any_value(p)')} AS p_value, any_value(CASE WHEN p < 1e-3 THEN '***' WHEN p < 1e-2 THEN '**' WHEN p < 5e-2 THEN '*' ELSE 'ns' END) AS sig FROM diffs d JOIN (SELECT baseline, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, {_P} AS p FROM dboots GROUP BY 1) USING (baseline) GROUP BY 1",
         *_draws, ("diffs", _diffs), ("dboots", _dboots),
     ),
-    "significance_table": with_(
-        "SELECT m.method, printf('%.3f [%.2f,%.2f]', mean, lo, hi) AS map_text FROM (SELECT baseline, avg(v.value) AS mean, any_value(lo) AS lo, any_value(hi) AS hi FROM vals v JOIN (SELECT baseline, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM boots GROUP BY 1) USING (baseline) GROUP BY 1) JOIN (" + _display + ") AS m(baseline, ord, method) USING (baseline)",
-        *_draws, ("boots", _boots),
+    "significance_table": with_("SELECT method, " + ", ".join(f'"{m}"' + (f', "{m}_sig"') for m in ("mAP", "nDCG@10", "enrich@10")) + " FROM sig", *_sig),
+    "latex_lines": with_(
+        "SELECT CAST(row_number() OVER (ORDER BY part, ord) - 1 AS INT) AS line, tex FROM (SELECT * FROM (" + values((0, i, x) for i, x in enumerate(LATEX[0])) + ") AS a(part, ord, tex) UNION ALL SELECT * FROM (" + values((2, i, x) for i, x in enumerate(LATEX[1])) + ") AS b(part, ord, tex)"
+        " UNION ALL SELECT 1, ord, CASE WHEN baseline = 'cellseek' THEN '\\textbf{' || method || '}' ELSE method END || ' & ' || " + " || ' & ' || ".join(f"\"{m}\" || CASE WHEN coalesce(\"{m}_sig\", 'ns') = 'ns' THEN '' ELSE '\\textsuperscript{{' || \"{m}_sig\" || '}}' END" for m in ("mAP", "enrich@10")) + " || ' \\\\' FROM sig)",
+        *_sig,
     ),
     "ridge_oof_2d": with_(
         f"SELECT item_id, {r6('my + (say * sbb - sby * sab) / (saa * sbb - sab * sab) * (a - ma) + (sby * saa - say * sab) / (saa * sbb - sab * sab) * (b - mb)')} AS score FROM feat JOIN train USING (fold)",
@@ -252,4 +407,50 @@ SQL: dict[str, str] = {
     "expression_r2": with_(f"SELECT {r6('1 - sum((v - g) * (v - g)) / sum((v - m) * (v - m))')} AS r2 FROM (SELECT v, 0.5 * v + 0.1 AS g, avg(v) OVER (PARTITION BY gene) AS m FROM lognorm)"),
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stain_density": f"SELECT {r6('avg(-ln(((o_orderkey * 31) % 256 + 1.0) / 256.0))')} AS r, {r6('avg(-ln(((o_orderkey * 17) % 256 + 1.0) / 256.0))')} AS g, {r6('covar_samp(-ln(((o_orderkey * 31) % 256 + 1.0) / 256.0), -ln(((o_orderkey * 17) % 256 + 1.0) / 256.0))')} AS rg FROM orders",
+    "logistic_oof_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM logit", ("folds", _folds), *_oof),
+    "transfer_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM logit", *_transfer),
+    "scheme_scores_2d": with_("SELECT scheme, query_id, item_id, score FROM sscores", *_schemes),
+    "scheme_report_2d": with_(
+        f"SELECT scheme, {r6('avg(e)')} AS overall, {r6(chr(34) + 'low' + chr(34))} AS cell_type, {r6('even')} AS niche, 0.0::DOUBLE AS gene_marker, 0.0::DOUBLE AS cell_state FROM (SELECT scheme, \"enrich@10\" AS e, max(CASE WHEN query_id = 'low' THEN \"enrich@10\" END) OVER (PARTITION BY scheme) AS low, max(CASE WHEN query_id = 'even' THEN \"enrich@10\" END) OVER (PARTITION BY scheme) AS even FROM sm) GROUP BY scheme, low, even",
+        *_schemes, ("sm", _metrics("sscores", "srel", "scheme, query_id")),
+    ),
+    "ridge_oof": with_(
+        f"SELECT item_id, cw.t::INT AS target, CASE WHEN my > 0 THEN {r6('my + ' + _dot('w', 'list_transform(list_zip(x, mx), lambda z: z[1] - z[2])'))} ELSE 0.0 END AS score FROM rx JOIN cw ON cw.f = rx.fold JOIN rmx ON rmx.f = rx.fold JOIN rmy ON rmy.f = cw.f AND rmy.t = cw.t",
+        *_ridge,
+    ),
+    "label_purity": with_(
+        f"SELECT {r6('any_value(purity)')} AS purity, {r6('sum(p * ln(n * t / (na * nb))) / ((-sum(p * ln(na / t)) - sum(p * ln(nb / t))) / 2)')} AS nmi FROM (SELECT *, n / t AS p FROM lcounts), (SELECT sum(mx) / sum(s) AS purity FROM (SELECT cluster, max(n) AS mx, sum(n) AS s FROM lcounts GROUP BY 1))",
+        ("lcounts", "SELECT cell_type, cluster, n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY cell_type) AS na, sum(n) OVER (PARTITION BY cluster) AS nb FROM (SELECT cell_type, floor(cell_type_score * 4) + cell_id % 2 AS cluster, count(*)::DOUBLE AS n FROM types GROUP BY ALL)"),
+    ),
+    "cells_csv": with_(f"SELECT CAST(cell_id AS VARCHAR) AS cell_id, {r6('x')} AS x_centroid, {r6('y')} AS y_centroid, 7.0::DOUBLE AS transcript_counts, {r6('abs(x)')} AS cell_area, 'a,b' AS region FROM cells"),
+    "string_id_folds": with_(
+        f"SELECT cell_id, CAST((row_number() OVER (ORDER BY {h(_hexid('cell_id'))}, cell_id) - 1) % 5 AS INT) AS fold, nbr_id FROM sc JOIN (SELECT CAST(cell_id AS VARCHAR) AS cell_id, arg_min(CAST(nbr_id AS VARCHAR), (d2, CAST(nbr_id AS VARCHAR))) AS nbr_id FROM pairs GROUP BY 1) USING (cell_id)",
+        ("sc", "SELECT CAST(cell_id AS VARCHAR) AS cell_id FROM cells"),
+    ),
+    "string_id_pool": with_(
+        f"SELECT cell_id, cell_type, row_number() OVER (ORDER BY cell_id) - 1 AS pool_idx FROM (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY {h(_hexid('cell_id'))}, cell_id) AS r, count(*) OVER (PARTITION BY cell_type) AS len, count(*) OVER () AS n FROM sc) WHERE n <= 300 OR r <= least(len, greatest(1, round_even(300.0::DOUBLE * len / n, 0)))",
+        ("sc", "SELECT CAST(cell_id AS VARCHAR) AS cell_id, CASE WHEN x > 5000 THEN 'far' ELSE 'near' END AS cell_type FROM cells"),
+    ),
+    "boundaries_csv": with_(f"SELECT CAST(cell_id AS VARCHAR) AS cell_id, 3::BIGINT AS n, {r6('x')} AS x0, {r6('y + 2')} AS y1 FROM cells"),
+    "queries_csv": with_("SELECT query_id, query_text, target_field, target_label, task_type, level, split FROM qs"),
+    "processed_tables": with_(
+        f"SELECT 'cells' AS part, count(*) AS n, {r6('sum(y)')} AS total FROM cells UNION ALL SELECT 'expression', count(*), {r6('sum(cnt)')} FROM counts UNION ALL SELECT 'genes', count(*), sum(gene)::DOUBLE FROM (SELECT DISTINCT gene FROM counts)"
+    ),
+    "stored_scores": with_("SELECT baseline, query_id, item_id, score FROM escores"),
+    "stored_embeddings": f"SELECT vec_id AS cell_id, generate_subscripts(embedding, 1) AS d, unnest(list_transform(embedding, lambda v: {r6('v::DOUBLE * 3')})) AS v FROM embeddings",
+    "rounded_report": f"SELECT o_orderkey, {_even('(o_orderkey * 7919 % 100003) / 32768.0::DOUBLE')} AS value FROM orders",
+    "pyramid_levels": "SELECT event_id, CAST(4096 >> least(event_id % 7, event_id % 5) AS INT) AS h, CAST(8192 >> least(event_id % 7, event_id % 5) AS INT) AS w FROM events",
+    "chosen_variant": "SELECT * FROM (VALUES (0, 'cellseek_all'), (1, 'cellseek_full'), (2, NULL)) AS v(i, spec)",
+    "settings_table": "SELECT * FROM ("
+    + values([("dataset", "tissue"), ("sample", "s1"), ("seed", "3"), ("min_counts", "12"), ("k", "7"), ("use", "radius"), ("radius", "50.0"), ("pool_size", "9"), ("stratify", "False"), ("ks", "(1, 2)"), ("ndcg_k", "10"), ("type_margin", "0.1"), ("vascular", "0.2"), ("bcell_rich", "0.15"), ("tables", "out/tables")])
+    + ") AS v(field, value)",
+    "fetched_file": "SELECT i, i = 0 AS fetched, 5000::BIGINT AS size, FALSE AS part_left FROM (VALUES (0), (1)) AS v(i)",
+    "encoder_registry": "SELECT * FROM (VALUES ('biomedclip', 'biomedclip', TRUE, TRUE), ('bmc', 'biomedclip', TRUE, TRUE), ('plip', 'plip', TRUE, TRUE), ('uni', 'uni2', FALSE, FALSE), ('uni2', 'uni2', FALSE, FALSE), ('uni2-h', 'uni2', FALSE, FALSE), "
+    "('gigapath', 'gigapath', FALSE, FALSE), ('prov-gigapath', 'gigapath', FALSE, FALSE), ('hash', 'hash', TRUE, FALSE), ('random', 'hash', TRUE, FALSE), ('fallback', 'hash', TRUE, FALSE)) AS v(name, encoder, has_text, unit)",
+    "patch_statistics": _statistics(),
+    "stain_applied": _stain(),
+    "pixel_sample": f"WITH cells AS ({CTE['cells']}), pix AS ({_pix}), few AS (SELECT cell_id FROM cells ORDER BY {h('cell_id', 5)}, cell_id LIMIT 40) SELECT count(*) // 3 AS n, " + ", ".join(f"sum(CASE WHEN ch = {c} THEN v ELSE 0 END)::BIGINT AS {n}" for c, n in enumerate("rgb")) + " FROM pix JOIN few USING (cell_id)",
+    "patch_crops": "WITH w AS (SELECT c_custkey AS cell_id, (c_custkey * 37) % 260 - 16 + dx AS gx, (c_custkey * 53) % 260 - 16 + dy AS gy, ch, (dy * 32 + dx) * 3 + ch AS j FROM customer, range(32) AS a(dx), range(32) AS b(dy), range(3) AS c(ch)), "
+    "v AS (SELECT cell_id, j, CASE WHEN gx BETWEEN 0 AND 255 AND gy BETWEEN 0 AND 255 THEN (((gy % 64) * 64 + gx % 64) * 3 + ch + (gx // 64) * 7 + (gy // 64) * 13) % 251 ELSE 0 END AS v FROM w) "
+    "SELECT cell_id, 32 AS h, 32 AS w, sum(v)::BIGINT AS total, sum(v * (j % 97))::BIGINT AS weighted FROM v GROUP BY 1",
 }
