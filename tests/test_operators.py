@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from nichefold import config
 from nichefold.functions.exprs import half_even, stable_hash
 from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, vectors
+from nichefold.functions.quantiles import exact_quantiles
 from nichefold.sources import cells as sources
 
 
@@ -144,6 +145,19 @@ def test_qc_area_zero_means_no_filter_and_align_is_strict(spark):
     assert expression.align(cells, counts, strict=False).count() == 5
 
 
+@pytest.mark.parametrize("few", [1, 5, 100_000])
+def test_exact_quantiles(spark, few):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(0, 1, 200), np.full(60, 0.25), rng.exponential(1e6, 40), [-np.inf, 1e300]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    finite = df.filter("v > double('-infinity') AND v < 1e200")
+    qs = [0.0, 0.01, 0.5, 0.9, 0.975, 1.0]
+    w = v[np.isfinite(v) & (v < 1e200)]
+    assert exact_quantiles(finite, "v", qs, few) == pytest.approx(np.quantile(w, qs).tolist())
+    assert exact_quantiles(df.limit(0), "v", [0.5], few) == [None]
+    assert exact_quantiles(spark.createDataFrame([(3.0,)] * 9, "v double"), "v", [0.5, 1.0], few) == [3.0, 3.0]
+
+
 # ---- space ----
 
 
@@ -170,6 +184,23 @@ def test_knn_of_equal_points(spark):
     assert [r[1] for r in got] == [1, 2, 0, 2, 0, 1, 0, 1, 0, 1]
 
 
+def test_far_clusters_make_no_hot_square(spark, monkeypatch):
+    """Two dense clusters far apart, an outlier, and many points at one place: few pairs a point, the neighbours as by brute force."""
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.normal(0, 5, (1500, 2)), rng.normal(1e6, 5, (1500, 2)), [[5e5, 3.0]], np.full((1000, 2), 7.0)])
+    pairs = []
+    real = spatial._pairs
+    monkeypatch.setattr(spatial, "_pairs", lambda a, b, w: pairs.append(real(a, b, w).count()) or real(a, b, w))
+    got = {}
+    for r in spatial.knn_edges(points(spark, xy), 4).collect():
+        got.setdefault(r.cell_id, []).append((r.rnk, r.nbr_id))
+    assert sum(pairs) < 300 * len(xy)  # in squares by mean density, 1,500 a point and more
+    for i in range(0, len(xy), 50):
+        d2 = ((xy - xy[i]) ** 2).sum(1)
+        want = [j for j in sorted(range(len(xy)), key=lambda j: (d2[j], j)) if j != i][:4]
+        assert [j for _, j in sorted(got[i])] == want
+
+
 def test_radius_is_inclusive_and_empty_is_zero(spark):
     p = points(spark, [(0, 0), (3, 4), (100, 100)])
     e = spatial.radius_edges(p, 5.0)
@@ -194,7 +225,7 @@ def test_niche_precedence(spark):
 def test_neighbour_average_includes_self(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0, 2.0])], "cell_id long, embedding array<double>")
     e = spark.createDataFrame([(0, 1)], "cell_id long, nbr_id long")
-    assert rows(spatial.neighbour_average(v, e, 2), "cell_id") == [(0, [2.0, 1.0]), (1, [3.0, 2.0])]
+    assert rows(spatial.neighbour_average(v, e), "cell_id") == [(0, [2.0, 1.0]), (1, [3.0, 2.0])]
 
 
 def test_affine_inverse(spark):
@@ -225,6 +256,44 @@ def test_pool_quota(spark):
     assert sampling.build_pool(cells, 7, None).count() == 7
 
 
+def test_pool_meets_quotas_whatever_the_hashes(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "stable_hash", lambda x, seed=0: F.lit(2147483000) + x % 7)  # all late
+    cells = spark.range(5000).select(F.col("id").alias("cell_id"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("cell_type"))
+    n = {r.cell_type: r["count"] for r in sampling.build_pool(cells, 100).groupBy("cell_type").count().collect()}
+    assert n == {"a": 80, "b": 20}
+
+
+def test_string_ids_from_scan_to_metrics(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    lines = [f"cell-{i:03d},{rng.random() * 40:.3f},{rng.random() * 40:.3f},50,9" for i in range(60)]
+    (tmp_path / "cells.csv").write_text("cell_id,x_centroid,y_centroid,transcript_counts,cell_area\n" + "\n".join(lines) + "\n")
+    cells = expression.qc_filter(sources.read_cells(spark, str(tmp_path / "cells.csv")), 10, 1.0).select("cell_id", F.col("x_centroid").alias("x"), F.col("y_centroid").alias("y"))
+    counts = cells.select("cell_id", F.explode(F.array(F.lit("CD3D"), F.lit("MS4A1"), F.lit("LYZ"))).alias("gene")).withColumn("cnt", (F.pmod(F.xxhash64("cell_id", "gene"), F.lit(9)) + 1).cast("double"))
+    ln = expression.normalise(counts)
+    st = expression.gene_stats(ln, cells.agg(F.count("*").alias("n")))
+    scores = expression.marker_scores(cells, ln, st, sources.marker_table(spark))
+    types = expression.assign_types(scores, 0.0, 0.0)
+    edges = spatial.knn_edges(cells, 5)
+    assert dict(edges.dtypes)["nbr_id"] == "string"
+    niches = spatial.niche_labels(spatial.composition(cells, edges, types), config.Settings().niche)
+    state = expression.proliferation(cells, ln, st, spark.createDataFrame([("MKI67",)], "gene string"))
+    pool = sampling.build_pool(cells.join(types, "cell_id").join(niches, "cell_id").join(state, "cell_id").join(expression.wide_scores(scores, config.LINEAGES), "cell_id"), 40)
+    assert 38 <= pool.count() <= 43
+    folds = sampling.kfold(pool, "cell_id")
+    assert max(r["count"] for r in folds.groupBy("fold").count().collect()) <= 9
+    assert spatial.outside_buffer(cells, folds, 0, 2.0).count() < 40
+    queries = sources.query_set(spark).withColumn("gene", F.when(F.col("target_field") == "gene", F.col("target_label")))
+    rel = relevance.relevance(queries, pool, ln, st)
+    per = metrics.evaluate(relevance.transcript_scores(queries, pool, ln, config.LINEAGES), rel, (1, 5), 10)
+    assert per.count() == 34
+    vecs = cells.select("cell_id", F.array(F.col("x"), F.col("y")).alias("embedding"))
+    assert spatial.neighbour_average(vecs, edges).count() == 60
+    x = pool.select(F.col("cell_id").alias("item_id"), F.array("score_T_cell", "score_B_cell").alias("x"), F.array((F.col("cell_type") == "T_cell").cast("double")).alias("y"))
+    out = heads.head_oof(x.join(folds.withColumnRenamed("cell_id", "item_id"), "item_id"), ["t"])
+    assert dict(out.dtypes)["item_id"] == "string"
+    assert out.count() == pool.count()
+
+
 def test_folds_are_balanced_and_stable(spark):
     items = spark.range(103).withColumnRenamed("id", "item_id")
     a, b = sampling.kfold(items, "item_id"), sampling.kfold(items.repartition(7), "item_id")
@@ -275,12 +344,34 @@ def test_variants_and_blocks(spark):
     assert vectors.choose_variant(vectors.available_variants(vectors.spec_table(spark), have), ["cellseek_all", "cellseek_full"]) == "cellseek_full"
     emb = spark.createDataFrame([(0, "plip", "medium", [3.0, 4.0]), (1, "plip", "medium", [0.0, 0.0])], "cell_id long, encoder string, scale string, embedding array<double>")
     edges = spark.createDataFrame([(0, 1), (1, 0)], "cell_id long, nbr_id long")
-    b = {(r.cell_id, r.block): r.vec for r in vectors.load_blocks(emb, edges, ["plip", "uni2"], ["medium"], 2).collect()}
+    b = {(r.cell_id, r.block): r.vec for r in vectors.load_blocks(emb, edges, ["plip", "uni2"], ["medium"]).collect()}
     assert b[0, "plip_medium"] == pytest.approx([0.6, 0.8])
     assert b[1, "plip_medium"] == [0, 0]
     assert b[1, "plip_medium_nbravg"] == pytest.approx([0.6, 0.8])
 
 
+def test_more_queries_than_a_worker_holds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((90, 4)))], "item_id long, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(rng.standard_normal((40, 4)))], "query_id string, qvec array<double>")
+    whole, best = rows(vectors.cosine_scores(items, queries)), rows(vectors.cosine_top(items, queries, 6))
+    monkeypatch.setattr(vectors, "MAX_QUERY_NUMBERS", 100)
+    again = rows(vectors.cosine_scores(items, queries))
+    assert [r[:2] for r in again] == [r[:2] for r in whole]
+    assert [r[2] for r in again] == pytest.approx([r[2] for r in whole])
+    assert [(r[0], r[1], r[3]) for r in rows(vectors.cosine_top(items, queries, 6))] == [(r[0], r[1], r[3]) for r in best]
+
+
+def test_centroids(spark):
+    rng = np.random.default_rng(9)
+    x, g = rng.standard_normal((300, 5)), rng.integers(0, 4, 300)
+    df = spark.createDataFrame([(f"g{k}", v.tolist()) for k, v in zip(g, x, strict=True)], "k string, unit array<double>").repartition(6)
+    got = {r.k: r.qvec for r in vectors.group_centroids(df, "k").collect()}
+    for k in range(4):
+        m = x[g == k].mean(axis=0)
+        assert got[f"g{k}"] == pytest.approx((m / np.linalg.norm(m)).tolist())
+
+
 # ---- relevance ----
 
 
@@ -361,41 +452,149 @@ def test_ridge_against_closed_form(spark, intercept):
         assert all(got[i, t] == pytest.approx(want[k, t]) for k, i in enumerate(te) for t in range(3))
 
 
-def test_logistic_is_at_its_minimum():
+def gradient(x, y, theta, decay=1e-3):
+    """Of the weighted, regularised loss of one query among several, by the definition."""
+    z = np.hstack([x, np.ones((len(x), 1))])
+    beta = theta.reshape(z.shape[1], y.shape[1])
+    w = np.where(y > 0, heads.pos_weight(len(y), y.sum(axis=0)), 1) / y.size
+    return z.T @ (w * (1 / (1 + np.exp(-z @ beta)) - y)) + 2 * decay * beta
+
+
+def test_logistic_is_at_its_minimum(monkeypatch):
     rng = np.random.default_rng(2)
-    x, y = rng.standard_normal((80, 4)), (rng.random(80) < 0.2).astype(float)
-    b = heads.fit_logistic(x, y, n_queries=6)
-    z = np.hstack([x, np.ones((80, 1))])
-    w = np.where(y > 0, heads.pos_weight(y[:, None])[0], 1) / (80 * 6)
-    grad = z.T @ (w * (1 / (1 + np.exp(-z @ b)) - y)) + 2e-3 * b
-    assert np.abs(grad).max() < 1e-8
+    x, y = rng.standard_normal((80, 4)), (rng.random((80, 3)) < 0.2).astype(float)
+    assert np.abs(gradient(x, y, heads.fit(heads.Logistic(4, 3), x, y))).max() < 1e-14
+    monkeypatch.setattr(heads, "NARROW", 0)
+    assert np.abs(gradient(x, y, heads.fit(heads.Logistic(4, 3), x, y))).max() < 1e-7
+
+
+@pytest.mark.parametrize("model", [heads.Logistic(3, 2), heads.Mlp(3, 2, hidden=4), heads.OpenVocab(3, 2, vectors=np.eye(2))])
+def test_gradients_by_differences(model):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((20, 3)), (rng.random((20, 2)) < 0.4).astype(float)
+    if isinstance(model, heads.OpenVocab):
+        y = y + 0.1
+    size = {heads.Logistic: 8, heads.Mlp: 3 * 4 + 4 + 4 * 2 + 2, heads.OpenVocab: 8}[type(model)]
+    theta = rng.standard_normal(size)
+    pw = heads.pos_weight(20, y.sum(axis=0))
+
+    class Still:
+        """Keeps every unit, so that the loss is smooth."""
+
+        @staticmethod
+        def random(shape):
+            return np.ones(shape)
+
+    def loss(t):
+        if isinstance(model, heads.Logistic):
+            return model.sums(t, x, y, 20, pw, Still)[0]
+        if isinstance(model, heads.Mlp):
+            w1, b1, w2, b2 = model.parts(t)
+            m = np.maximum(x @ w1 + b1, 0) / 0.9 @ w2 + b2
+            return float((np.logaddexp(0, m) * (1 - y + pw * y) - pw * y * m).sum() / y.size)
+        w = t.reshape(4, 2)
+        p = x @ w[:-1] + w[-1]
+        return float(-((p / np.linalg.norm(p, axis=1, keepdims=True)) * y).sum() / 20)
+
+    grad = model.sums(theta, x, y, 20, pw, Still)[1]
+    for i in range(size):
+        e = np.zeros(size)
+        e[i] = 1e-6
+        assert grad[i] == pytest.approx((loss(theta + e) - loss(theta - e)) / 2e-6, abs=1e-6)
 
 
 def test_pos_weight_is_clamped():
-    assert heads.pos_weight(np.array([[1.0, 0.0], [1.0, 0.0], [1.0, 0.0]])).tolist() == [1.0, 1000.0]
+    assert heads.pos_weight(3, np.array([3.0, 0.0])).tolist() == [1.0, 1000.0]
 
 
 @pytest.mark.parametrize("head", ["logistic", "mlp"])
 def test_heads_rank_what_they_learn(spark, head):
     df, x, y, _ = pool_rows(spark)
-    out = heads.head_oof(spark, heads.collect_pool(df, 3), ["a", "b", "c"], head, **({"epochs": 80, "hidden": 16} if head == "mlp" else {}))
+    out = heads.head_oof(df, ["a", "b", "c"], head, **({"epochs": 80, "hidden": 16} if head == "mlp" else {}))
     assert out.count() == 360
     s = np.array([r.score for r in out.filter("query_id = 'a'").orderBy("item_id").collect()])
     assert s[y[:, 0] > 0].mean() > s[y[:, 0] == 0].mean() + 1
 
 
+def test_logistic_out_of_fold_by_hand(spark):
+    """Standardised by training rows, learned without held-out and skipped rows."""
+    df, x, y, fold = pool_rows(spark)
+    skip = F.when(F.col("item_id") < 10, F.array(F.lit(1), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    got = {(r.query_id, r.item_id): r.score for r in heads.head_oof(df.withColumn("skip", skip), ["a", "b", "c"]).collect()}
+    for f in range(4):
+        use = (fold != f) & ~((np.arange(120) < 10) & (f in (1, 2)))
+        t = x[use].copy()
+        mu, sd = heads.standardise(t)
+        beta = heads.fit(heads.Logistic(5, 3), t, y[use]).reshape(6, 3)
+        assert np.abs(gradient(t, y[use], beta)).max() < 1e-13
+        want = (x - mu) / sd @ beta[:-1] + beta[-1]
+        assert all(got[q, i] == pytest.approx(want[i, j]) for i in np.flatnonzero(fold == f) for j, q in enumerate("abc"))
+
+
+@pytest.mark.parametrize("head", ["logistic", "mlp", "openvocab"])
+def test_gradients_summed_over_the_cluster(spark, monkeypatch, head):
+    """More rows than a worker holds: the same minimum, and heads that learn."""
+    df, x, y, _ = pool_rows(spark, n=80, d=3)
+    options = {"logistic": {"rounds": 60}, "mlp": {"epochs": 25, "hidden": 8}, "openvocab": {"epochs": 25, "vectors": np.eye(3)}}[head]
+    here = {(r.query_id, r.item_id): r.score for r in heads.head_oof(df, ["a", "b", "c"], head, **options).collect()}
+    monkeypatch.setattr(heads, "WORKER_NUMBERS", 10)
+    there = {(r.query_id, r.item_id): r.score for r in heads.head_oof(df.repartition(3), ["a", "b", "c"], head, **options).collect()}
+    assert here.keys() == there.keys()
+    if head == "mlp":  # other units are dropped
+        s = np.array([there["a", i] for i in range(80)])
+        assert s[y[:, 0] > 0].mean() > s[y[:, 0] == 0].mean() + 0.3
+    else:
+        assert all(there[k] == pytest.approx(v, abs=1e-4) for k, v in here.items())
+
+
 def test_transfer_and_openvocab(spark):
     df, x, y, _ = pool_rows(spark)
-    pool = heads.collect_pool(df, 3)
-    out = heads.transfer(spark, pool, np.arange(7), x[:7], ["a", "b", "c"])
+    out = heads.transfer(df, df.filter("item_id < 7"), ["a", "b", "c"])
     assert out.count() == 21
     words = {"t": np.array([1.0, 0.0]), "u": np.array([0.0, 1.0])}
     kinds = ["t" if v > 0 else "u" if v > -1 else "unknown" for v in x[:, 0]]
-    s = heads.openvocab_oof(spark, pool, kinds, words, ["t", "u"], np.eye(2), epochs=60)
+    rows_ = df.join(spark.createDataFrame(list(enumerate(kinds)), "item_id long, kind string"), "item_id")
+    s = heads.openvocab_oof(rows_, words, ["t", "u"], np.eye(2), epochs=60)
     t = np.array([r.score for r in s.filter("query_id = 't'").orderBy("item_id").collect()])
     assert t[x[:, 0] > 0.5].mean() > t[x[:, 0] < -0.5].mean()
 
 
+@pytest.mark.parametrize("dim", [3072, 7680])
+def test_heads_at_full_width(spark, dim):
+    """Six blocks of 512 numbers, and those with three of 1,536: few rows, so that the dual form tells the same."""
+    rng = np.random.default_rng(dim)
+    n, q = 30, 2
+    x, y, fold = rng.standard_normal((n, dim)), (rng.random((n, q)) < 0.4).astype(float), np.arange(n) % 2
+    df = spark.createDataFrame([(i, int(fold[i]), x[i].tolist(), y[i].tolist()) for i in range(n)], "item_id long, fold int, x array<double>, y array<double>")
+    if dim < 5000:
+        got = {(r.item_id, r.target): r.score for r in heads.ridge_oof(df, q, intercept=False, skip_empty=False).collect()}
+        for f in range(2):
+            tr, te = fold != f, np.flatnonzero(fold == f)
+            want = x[te] @ x[tr].T @ np.linalg.solve(x[tr] @ x[tr].T + np.eye(tr.sum()), y[tr])
+            assert all(got[i, t] == pytest.approx(want[k, t], abs=1e-8) for k, i in enumerate(te) for t in range(q))
+    out = heads.head_oof(df, ["a", "b"], rounds=20)
+    assert out.count() == n * q
+    assert out.filter("isnan(score)").count() == 0
+
+
+def test_ridge_dealt_by_fold(spark, monkeypatch):
+    """The way of wide features, on narrow ones."""
+    df, x, y, fold = pool_rows(spark)
+    plain = {(r.item_id, r.target): r.score for r in heads.ridge_oof(df, 3).collect()}
+    monkeypatch.setattr(heads, "GRAM_NUMBERS", 1)
+    monkeypatch.setattr(heads, "BAND_NUMBERS", 20)
+    assert {(r.item_id, r.target): pytest.approx(r.score) for r in heads.ridge_oof(df, 3).collect()} == plain
+
+
+def test_uneven_features_are_refused(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0], [1.0]), (1, 1, [1.0], [0.0])], "item_id long, fold int, x array<double>, y array<double>")
+    with pytest.raises(Exception, match="widths"):
+        heads.ridge_oof(df, 1).collect()
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0])], "cell_id long, embedding array<double>")
+    with pytest.raises(Exception, match="widths"):
+        spatial.neighbour_average(v, spark.createDataFrame([(0, 1)], "cell_id long, nbr_id long")).collect()
+
+
 # ---- encoders, images, sources ----
 
 
@@ -415,6 +614,56 @@ def test_encoders():
     assert len(flat) == 48
 
 
+def test_pretrained_by_factory(spark):
+    class Tinted:
+        """A model that a factory makes: mean colours, and lengths of texts."""
+
+        def encode_image(self, patches):
+            return patches.reshape(len(patches), -1, 3).mean(axis=1)
+
+        def encode_text(self, texts):
+            return np.array([[len(t), 1.0] for t in texts])
+
+    patches = spark.createDataFrame([("c1", 1, 2, bytearray([10, 0, 0, 20, 0, 0])), ("c2", 1, 2, bytearray([0, 3, 4, 0, 3, 4]))], "cell_id string, h int, w int, px binary")
+    got = {r.cell_id: r.embedding for r in encoders.encode_patches(patches, "plip", "medium", factory=Tinted).collect()}
+    assert got["c1"] == pytest.approx([1, 0, 0])  # of unit length
+    assert got["c2"] == pytest.approx([0, 0.6, 0.8])
+    raw = {r.cell_id: r.embedding for r in encoders.encode_patches(patches, "uni2", "medium", factory=Tinted, batch_size=1).collect()}
+    assert raw["c1"] == pytest.approx([15, 0, 0])
+    text = encoders.encode_texts(spark.createDataFrame([("abc",)], "text string"), "biomedclip", factory=Tinted).first()
+    assert text.vec == pytest.approx((np.array([3, 1]) / 10**0.5).tolist())
+    assert encoders.get_encoder("uni", factory="numpy:zeros").factory == "numpy:zeros"
+
+
+def test_stain_profile_by_numpy(spark):
+    rng = np.random.default_rng(4)
+    px = rng.integers(0, 256, (600, 3))
+    df = spark.createDataFrame([tuple(map(int, p)) for p in px], "r int, g int, b int")
+    he, top = imaging.stain_profile(df)
+    od = -np.log((px + 1.0) / 256)
+    od = od[(od >= 0.15).all(axis=1)]
+    v = np.linalg.eigh(np.cov(od.T))[1][:, [2, 1]]
+    v = v * np.where(v[0] < 0, -1, 1)
+    angle = np.arctan2(od @ v[:, 1], od @ v[:, 0])
+    want = np.stack([v @ [np.cos(t), np.sin(t)] for t in np.percentile(angle, [1, 99])], axis=1)
+    want = want / np.linalg.norm(want, axis=0)
+    want = want if want[0, 0] >= want[0, 1] else want[:, ::-1]
+    assert he == pytest.approx(want, abs=1e-6)
+    assert top == pytest.approx(np.percentile(np.linalg.lstsq(want, od.T, rcond=None)[0], 99, axis=1), rel=1e-5)
+
+
+def test_many_windows_of_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(imaging, "TOGETHER", 3)
+    img = np.random.default_rng(1).integers(0, 256, (16, 16, 3)).astype(np.uint8)
+    tiles = spark.createDataFrame([(x, y, 8, 8, bytearray(img[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].tobytes())) for x in range(2) for y in range(2)], "tx int, ty int, h int, w int, px binary")
+    at = [(f"c{i:02d}", float(i % 17), float(i * 5 % 19)) for i in range(60)] + [("far", 900.0, 900.0)]
+    padded = np.zeros((1000, 1000, 3), np.uint8)
+    padded[10:26, 10:26] = img
+    for r in imaging.extract_patches(tiles, spark.createDataFrame(at, "cell_id string, px double, py double"), 8, 6).collect():
+        x, y = next((int(a), int(b)) for c, a, b in at if c == r.cell_id)
+        assert np.array_equal(np.frombuffer(r.px, np.uint8).reshape(6, 6, 3), padded[y + 7 : y + 13, x + 7 : x + 13] if r.cell_id != "far" else np.zeros((6, 6, 3)))
+
+
 def test_crops_pad_with_zero(spark):
     img = np.arange(16 * 16 * 3, dtype=np.uint32).reshape(16, 16, 3).astype(np.uint8)
     tiles = spark.createDataFrame([(x, y, 8, 8, bytearray(img[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].tobytes())) for x in range(2) for y in range(2)], "tx int, ty int, h int, w int, px binary")
@@ -441,7 +690,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "cells.csv").write_text("cell_id,x_centroid,y_centroid,transcript_counts,cell_area\n1,2.5,3,10,7\n")
     assert sources.read_cells(spark, str(tmp_path / "cells.csv")).first()[:3] == ("1", 2.5, 3.0)
     (tmp_path / "affine.csv").write_text("1,0,2\n0,1,3\n0,0,1\n")
-    assert sources.read_affine(str(tmp_path / "affine.csv"))[1] == [0, 1, 3]
+    assert sources.read_affine(spark, str(tmp_path / "affine.csv"))[1] == [0, 1, 3]
     xml = spark.createDataFrame([('a PhysicalSizeX="0.5" b',), ('PhysicalSizeX="x"',), (None,)], "x string")
     assert [r[0] for r in xml.select(sources.pixel_size(F.col("x"))).collect()] == [0.5, 0.363788, 0.363788]
     scores = spark.createDataFrame([("a", "q", 1, 0.5), ("b", "q", 1, 0.7)], "baseline string, query_id string, item_id long, score double")

@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 from nichefold.plans import catalog
+from nichefold.sources.stage import drop_tables
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
-#: baseline_metrics runs these too.
-COVERED = {"baseline_scores", "predicted_expression"}
+#: tests/test_baselines.py holds these against numpy.
+COVERED = {"baseline_scores", "predicted_expression", "baseline_metrics", "kmeans_regions", "label_validation"}
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +27,7 @@ def duck(small):
 def test_query(spark, duck, small, tmp_path, name):
     out = str(tmp_path / "out")
     QUERIES[name](spark, small).write.parquet(out)
+    drop_tables()
     got = duck.sql(f"SELECT * FROM '{out}/*.parquet'")
     if name not in SQL:
         assert got.limit(1).fetchall()
