@@ -2,70 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import sys
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nichefold.functions.workers import ship
+from nichefold.sources.stage import scratch
+from nichefold.sources.stage import stage as materialise
+
+__all__ = ["SPACE_CLASS", "free_name", "free_names", "give_back", "let", "materialise", "scratch", "ship", "table"]
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_written: list[tuple[SparkSession, str]] = []
-
-
-def workspace(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one set here (local runs, tests)."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = sc.getCheckpointDir()
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="nichefold-")
-            sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (*paths, REPO) if p)
-    if REPO not in sys.path:
-        sys.path.insert(0, REPO)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may have gone first
-            return
 
 
 def let(value: Column, body) -> Column:
