@@ -11,9 +11,10 @@ leave over; so a mix is off by about half a small document.  Where the order is
 prefixes with counts on the cluster: per round, at most 64 sums a pattern and size group reach the driver.  The result
 is a tiny table of cuts, and a document's copies follow from its own pattern, size and hash alone.
 
-Bounds: the number of sources and of patterns that occur is taken to be that of a catalogue (each row of the network is
-kept on the driver).  Defined cases: null text or no words is size 0, takes 0; the null source is a source; rows with equal ids
-get equal decisions; an empty table gives an empty mix.
+Bounds: sources and the patterns that occur are a catalogue, of which the driver holds a row each and a row for each size class (at most 64 a
+pattern); what is broadcast is no larger.  More than MOST_PATTERNS patterns are refused rather than mixed wrongly.  Defined cases: null text or no words is
+size 0, takes 0; texts of any length are read whole; the null source is a source; rows with equal ids get equal decisions, other ties of the seeded hash
+fall together; repeated rows count as often as they occur; an empty table gives an empty mix; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ PASS_COSTS = (0, 1, 3)
 SEED = 20260131
 BITS, ROUND_BITS = 60, 6
 SMALL_SHARE = 0.25
+MOST_PATTERNS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -172,7 +174,10 @@ class Mix:
     def __init__(self, docs: DataFrame, members: Column, id_col: str, text_col: str, quotas_of, seed: int = SEED):
         self.seed, self.id_col, self.text_col, self.members = seed, id_col, text_col, members
         self.sizes = materialise(docs.select(F.col(id_col).alias("id"), members.alias("m"), word_count(F.col(text_col)).alias("size")), "sizes")
-        found = self.sizes.groupBy("m", self._log("size").alias("c")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        kinds = materialise(self.sizes.groupBy("m", self._log("size").alias("c")).agg(F.sum("size").alias("s"), F.count("*").alias("n")), "patterns")
+        if (n := kinds.select("m").distinct().count()) > MOST_PATTERNS:
+            raise ValueError(f"{n} patterns of sources are no catalogue; group sources first")
+        found = kinds.collect()
         self.capacity: dict[tuple, int] = {}
         classes: dict[tuple, dict[int, int]] = {}
         self.source_size: dict = {}
