@@ -9,14 +9,17 @@ COORDS * ln(COORDS) darts whatever its length, and two texts agree on a coordina
 Join.  Coordinates are hashed in BANDS bands; texts that share a band meet in its bucket.  Equal texts are one node from the start.
 A bucket with several nodes ties each to its hub (the least node, in one of four orders that differ by band), never all pairs.  A node is
 first checked, exactly and on whole shingle sets, against the hub it shares most bands with; its other hubs only where they are
-still in another component.  Buckets whose nodes aren't all connected then compare what stands apart with the rest by whole signatures,
-in blocks of bounded size, check on the spot what may still be similar, and report one link for two components.  So texts of similarity
-THRESHOLD or more are linked directly or through others, but for pairs that share no band: one in 10^5 at the threshold, fewer above.
+still in another component.  Buckets whose nodes aren't all connected then compare what stands apart with the rest, in blocks of bounded size: first by
+whole signatures alone, which leaves the nodes that have a likely partner in another component, at most a row for each that came in; only
+those get their shingle sets, are checked exactly in the same blocks, and one link for two components is reported.  A bucket that is crowded is dealt over
+several tasks, by the hash of its nodes, before anything is joined to it.  So texts of similarity THRESHOLD or more are linked directly or through others, but for
+pairs that share no band, (1 - 0.8^6)^42 or 3 in 10^6 at the threshold, or whose signatures agree in less than LIKELY, 1 in 10^8, and fewer above.
 Components come from label propagation with pointer jumping on node tables; nothing but counts reaches the driver.
 
 Defined cases: null text, or text without words, has no shingles and resembles nothing, itself included; texts of fewer than five words
-are one shingle of all their words; rows of equal text are one class, with equal ids or not; a null id is never the id of a class unless all
-ids of it are null; nodes are 64-bit hashes of texts.
+are one shingle of all their words; texts of any length are read whole; rows of equal text are one class, with equal ids or not; ids are of any type that has an
+order, and the least stands for its class; a null id is never the id of a class unless all ids of it are null; nodes are 64-bit hashes of texts; an empty
+table gives an empty table; extra columns pass through ``keep_one`` whatever their names, and aren't read by ``near_classes``.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from nichefold.llm.common import free_name, give_back, materialise, ship
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
-#: Signature agreement below which a pair isn't looked at: four standard errors under the threshold.
-LIKELY = 0.70
-#: Rows of a bucket that meet in one task at a time.
-BLOCK = 500
+#: Signature agreement below which a pair isn't looked at: six standard errors under the threshold.
+LIKELY = 0.65
+#: Rows of a bucket that meet in one task at a time, and that one task reads of it.
+BLOCK, SPAN = 500, 250
+#: Hash slots in which crowded buckets are told of: at most so many rows are broadcast for it, whatever the corpus.
+SLOTS = 1 << 16
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
 ORDERS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x1B873593CC9E2D51)
 FIRST_CELL = -12
@@ -195,7 +200,7 @@ def _shingle_sets(batches):
         for at in range(0, b.num_rows, 200):
             sets = [np.unique(shingles(x.as_py())) for x in b.column(1)[at : at + 200]]
             sig = short(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets)))
-            yield pa.record_batch([b.column(0)[at : at + 200], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "s", "sig"])
+            yield pa.record_batch([b.column(0)[at : at + 200], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([len(x) for x in sets], pa.int32())], names=["node", "s", "sig", "size"])
 
 
 def similar(a: bytes, b: bytes, threshold: float = THRESHOLD) -> bool:
@@ -239,9 +244,9 @@ class NearDuplicates:
     def hubs(self) -> tuple[DataFrame, DataFrame]:
         """The nodes of buckets that hold several (key, band, node, hub), and in how many bands a node has a hub (node, hub, shared)."""
         rows = self.banded().withColumn("r", F.col("node").bitwiseXOR(_order(F.col("band"))))
-        buckets = rows.groupBy("key", "band").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo < hi")
-        buckets = materialise(buckets.select("key", "band", F.col("lo").bitwiseXOR(_order(F.col("band"))).alias("hub")), "buckets")
-        members = materialise(self.banded().join(buckets, ["key", "band"]).select("key", "band", "node", "hub"), "members")
+        buckets = rows.groupBy("key", "band").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+        buckets = materialise(buckets.select("key", F.col("band").alias("at"), F.col("lo").bitwiseXOR(_order(F.col("band"))).alias("hub"), "n"), "buckets")
+        members = materialise(self.dealt(self.banded(), buckets).filter("band = at").select("key", "band", "node", "hub"), "members")
         ties = members.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
         return members, materialise(ties, "ties")
 
@@ -250,10 +255,10 @@ class NearDuplicates:
         return ties.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     def shingle_sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, s, sig): shingle sets and signatures of these nodes; texts move once, and one row stands for all copies of a text."""
+        """(node, s, sig, size): shingle sets and signatures of these nodes; texts move once, and one row stands for all copies of a text."""
         chosen = nodes.join(self.nodes.select("node", F.col("id").alias("first")), "node")
         rows = self.body.join(chosen, (self.body["node"] == chosen["node"]) & self.body["id"].eqNullSafe(chosen["first"]), "left_semi")
-        return materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary, sig binary").dropDuplicates(["node"]), "shingle-sets")
+        return materialise(rows.select("node", "text").mapInArrow(_shingle_sets, "node long, s binary, sig binary, size int").dropDuplicates(["node"]), "shingle-sets")
 
     @staticmethod
     def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -286,24 +291,39 @@ class NearDuplicates:
         return rows.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
     @staticmethod
-    def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    def dealt(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+        """rows (key, node, ..) joined to one row a bucket (key, n, ..) by key; a crowded bucket's rows over several tasks, by their nodes."""
+        slot = lambda df: F.pmod(df["key"], F.lit(SLOTS))
+        parts = buckets.filter(F.col("n") > SPAN).groupBy(slot(buckets).alias("slot")).agg(F.ceil(F.max("n") / SPAN).alias("parts"))
+        told = F.broadcast(materialise(parts, "crowded"))
+        left = rows.join(told, slot(rows) == told["slot"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))).drop("slot", "parts")
+        right = buckets.join(told, slot(buckets) == told["slot"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("slot", "parts")
+        return left.join(right, ["key", "part"]).drop("part")
+
+    @classmethod
+    def open_links(cls, members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
         """Links (a, b) across components within buckets, one for two components and block.
 
         A bucket's nodes of the least label, most of a large group, don't meet each other: the others, in blocks, meet all nodes, in blocks.
         """
         rows = members.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rows = materialise(rows, "bucket-labels")
-        split = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").drop("hi")
-        rows = materialise(rows.join(split, "key"), "split-buckets")
-        others = rows.filter("label <> lo").groupBy("key").agg(F.count("*").alias("m"))
+        by_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+        whole = by_label.groupBy("key").agg(F.min("label").alias("lo"), F.min_by("c", "label").alias("own"), F.sum("c").alias("n")).filter("own < n")
+        whole = materialise(whole.select("key", "lo", "n", (F.col("n") - F.col("own")).alias("m")), "split-buckets")
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
         place = lambda c: F.pmod(F.xxhash64("node"), F.col(c).cast("long")).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        rows = rows.join(others, "key").select("key", "band", "node", "label", "lo", blocks("n").alias("nb"), blocks("m").alias("mb"))
+        rows = cls.dealt(rows, whole).select("key", "band", "node", "label", "lo", blocks("n").alias("nb"), blocks("m").alias("mb"))
+        rows = materialise(rows, "open-buckets")
         apart = rows.filter("label <> lo").select("key", "band", place("mb").alias("i"), each("nb").alias("j"), F.lit(0).alias("side"), "node", "label")
-        whole = rows.select("key", "band", each("mb").alias("i"), place("nb").alias("j"), F.lit(1).alias("side"), "node", "label")
+        rest = rows.select("key", "band", each("mb").alias("i"), place("nb").alias("j"), F.lit(1).alias("side"), "node", "label")
         order = ["key", "i", "j"]
-        full = apart.unionByName(whole).join(sets, "node").select(*order, "band", "side", "node", "label", "sig", "s")
+        met = apart.unionByName(rest)
+        signed = met.join(sets.select("node", "sig", "size"), "node").select(*order, "band", "side", "node", "label", "sig", "size")
+        kind = "key long, i int, j int, band int, side int, node long, label long"
+        likely = materialise(signed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_likely_nodes, kind), "likely-nodes")
+        full = likely.join(sets, "node").select(*order, "band", "side", "node", "label", "sig", "s")
         found = full.repartition(*order).sortWithinPartitions(*order).mapInArrow(_cross_links, "a long, b long")
         return materialise(found.distinct(), "open-links")
 
@@ -324,57 +344,94 @@ class NearDuplicates:
         return self.nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _compare(band: int, sides: tuple[list, list]):
-    """Links between rows (node, label, signature, set) of the two sides, one for two labels.
+def _likely(band: int, left: list, right: list, sizes: np.ndarray):
+    """For each row (node, label, signature, ..) of the left, the rows of the right that may be similar and are in another component.
 
     A pair that shares an earlier band is left to that band's bucket.
     """
+    lb = np.array([r[1] for r in right])
+    sb = np.frombuffer(b"".join(r[2] for r in right), dtype=np.uint32).reshape(len(right), COORDS)
+    for row, size in left:
+        near = np.flatnonzero((lb != row[1]) & (np.minimum(sizes, size) >= THRESHOLD * np.maximum(sizes, size) - 1e-9))
+        if not len(near):
+            continue
+        same = sb[near] == np.frombuffer(row[2], dtype=np.uint32)
+        near, same = (x[np.count_nonzero(same, axis=1) >= LIKELY * COORDS] for x in (near, same))
+        if len(near):
+            near = near[same.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(near):
+            yield row, near
+
+
+def _with_partners(band: int, sides: tuple[list, list]):
+    """The rows (node, label, signature, size) of the two sides that have a likely partner on the other, as (side, node, label)."""
+    if not sides[0] or not sides[1]:
+        return
+    met = np.zeros(len(sides[1]), dtype=bool)
+    for row, near in _likely(band, [(r, r[3]) for r in sides[0]], sides[1], np.array([r[3] for r in sides[1]])):
+        met[near] = True
+        yield 0, row[0], row[1]
+    for i in np.flatnonzero(met):
+        yield 1, sides[1][i][0], sides[1][i][1]
+
+
+def _compare(band: int, sides: tuple[list, list]):
+    """Links between rows (node, label, signature, set) of the two sides, one for two labels."""
     if not sides[0] or not sides[1]:
         return
-    (na, la, sa), (nb, lb, sb) = ((np.array([r[0] for r in x]), np.array([r[1] for r in x]), np.frombuffer(b"".join(r[2] for r in x), dtype=np.uint32).reshape(len(x), COORDS)) for x in sides)
     sets = [np.frombuffer(r[3], dtype=np.uint64) for r in sides[1]]
     sizes = np.array([len(x) for x in sets])
     linked: set[tuple[int, int]] = set()
-    for i in range(len(na)):
-        near = np.flatnonzero(lb != la[i])
-        if not len(near):
-            continue
-        same = sb[near] == sa[i]
-        ok = (same.mean(axis=1) >= LIKELY) & (same.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
-        near = near[ok]
-        mine = np.frombuffer(sides[0][i][3], dtype=np.uint64)
-        near = near[np.minimum(sizes[near], len(mine)) >= THRESHOLD * np.maximum(sizes[near], len(mine)) - 1e-9]
-        if not len(near):
-            continue
+    for row, near in _likely(band, [(r, len(r[3]) // 8) for r in sides[0]], sides[1], sizes):
+        mine = np.frombuffer(row[3], dtype=np.uint64)
         every = np.concatenate([sets[j] for j in near])
         at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
         both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
         for j in near[both >= THRESHOLD * (len(mine) + sizes[near] - both) - 1e-9]:
-            two = (min(la[i], lb[j]), max(la[i], lb[j]))
+            other = sides[1][j]
+            two = (min(row[1], other[1]), max(row[1], other[1]))
             if two not in linked:
                 linked.add(two)
-                yield min(na[i], nb[j]), max(na[i], nb[j])
+                yield min(row[0], other[0]), max(row[0], other[0])
 
 
-def _cross_links(batches):
-    """Links across components of each block pair; rows come sorted by it."""
-    import pyarrow as pa
-
-    def emit(found):
-        a = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.record_batch([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], names=["a", "b"])
-
+def _by_block(batches):
+    """(key, i, j), band and the two sides of each block pair; rows come sorted by it."""
     group, now, sides = None, 0, ([], [])
-    for b in batches:
-        out: list = []
-        columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for key, i, j, band, side, node, label, sig, s in zip(*columns, strict=True):
+    for part in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
+        for key, i, j, band, side, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if (key, i, j) != group:
-                out += _compare(now, sides)
+                if group is not None:
+                    yield group, now, sides
                 group, now, sides = (key, i, j), band, ([], [])
-            sides[side].append((node, label, sig, s))
-        yield emit(out)
-    yield emit(list(_compare(now, sides)))
+            sides[side].append(row)
+    if group is not None:
+        yield group, now, sides
+
+
+def _likely_nodes(batches):
+    import pyarrow as pa
+
+    names, kinds = ["key", "i", "j", "band", "side", "node", "label"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    out: list = []
+    emit = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    for group, band, sides in _by_block(batches):
+        out += [(*group, band, *x) for x in _with_partners(band, sides)]
+        if len(out) > 10_000:
+            yield emit()
+            out = []
+    if out:
+        yield emit()
+
+
+def _cross_links(batches):
+    """Links across components of each block pair."""
+    import pyarrow as pa
+
+    for _, band, sides in _by_block(batches):
+        found = np.array(list(_compare(band, sides)), dtype=np.int64).reshape(-1, 2)
+        if len(found):
+            yield pa.record_batch([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
