@@ -11,6 +11,7 @@ from nichefold.config import variant_specs
 from nichefold.functions.arrays import matrix
 from nichefold.functions.exprs import EPS, l2_normalise
 from nichefold.functions.workers import ship
+from nichefold.sources.stage import stage
 
 #: Query vectors that a worker may hold, in numbers.
 MAX_QUERY_NUMBERS = 50_000_000
@@ -187,6 +188,20 @@ def prompt_ensemble(texts: DataFrame, templates: list[str], encode) -> DataFrame
     return group_centroids(unit, "query_id")
 
 
+def standardised(rows: DataFrame, vec_col: str = "x", sample: bool = False, eps: float = 0.0) -> DataFrame:
+    """rows with each number of the vector less its mean over its deviation, over all rows.
+
+    sample: of the sample, else of the population; eps is added to it; a number that doesn't vary is divided by 1 where nothing is added.
+    """
+    spread = F.stddev_samp("col") if sample else F.stddev_pop("col")
+    by_place = rows.select(F.posexplode(vec_col)).groupBy("pos").agg(F.avg("col").alias("m"), (F.coalesce(spread, F.lit(0.0)) + eps).alias("d"))
+    # One row of as many numbers as a vector has.
+    one = by_place.agg(F.sort_array(F.collect_list(F.struct("pos", "m", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d")))).alias("s"))
+    one = stage(one.select(F.col("s.m").alias("mean_"), F.col("s.d").alias("dev_")), "scale")
+    scaled = F.zip_with(F.zip_with(vec_col, "mean_", lambda a, b: a - b), "dev_", lambda a, b: a / b)
+    return rows.crossJoin(F.broadcast(one)).withColumn(vec_col, scaled).drop("mean_", "dev_")
+
+
 def assemble(blocks: DataFrame, names: list[str]) -> DataFrame:
     """(cell_id, feature): named blocks one after another, those that are missing left out.  blocks: cell_id, block, vec."""
     order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])

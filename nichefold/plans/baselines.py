@@ -156,13 +156,7 @@ def predicted_expression(i: Inputs) -> DataFrame:
     genes = [r.gene for r in stats.select("gene").orderBy("gene").collect()]
     z = expression.zscores(points, mine, stats).groupBy("cell_id").pivot("gene", genes).agg(F.first("z"))
     feats = i.fused()
-    width = feats.select(F.size("x")).first()[0]
-    scale = stage(feats.select(F.posexplode("x")).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("d")), "scale")
-    assert scale.count() == width
-    # One row of as many numbers as there are features.
-    one = scale.agg(F.sort_array(F.collect_list(F.struct("pos", "m", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d")))).alias("s")).select(F.col("s.m").alias("mean_"), F.col("s.d").alias("dev_"))
-    std = F.zip_with(F.zip_with("x", "mean_", lambda a, b: a - b), "dev_", lambda a, b: a / b)
-    rows = feats.crossJoin(F.broadcast(one)).select("item_id", std.alias("x")).join(sampling.kfold(feats, "item_id", seed=s.seed), "item_id")
+    rows = vectors.standardised(feats).join(sampling.kfold(feats, "item_id", seed=s.seed), "item_id")
     rows = rows.join(z.join(points.select("cell_id", F.col("pool_idx").alias("item_id")), "cell_id"), "item_id")
     rows = rows.select("item_id", "fold", "x", F.array(*[F.col(str(g)) for g in genes]).alias("y"))
     guess = heads.ridge_oof(rows, len(genes), intercept=False, skip_empty=False)

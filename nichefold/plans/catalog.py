@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from nichefold.config import LINEAGES, NICHES, PROMPTS, load_settings, results_dir
 from nichefold.functions.exprs import half_up, stable_hash, stable_unit
 from nichefold.functions.workers import ship
-from nichefold.operators import encoders, expression, heads, imaging, metrics, relevance, sampling, spatial, stats, validation, vectors
+from nichefold.operators import encoders, expression, heads, imaging, metrics, plots, relevance, sampling, spatial, stats, validation, vectors
 from nichefold.plans import baselines, oracles
 from nichefold.plans import fixtures as X
 from nichefold.sources import cells as sources
-from nichefold.sources.stage import scratch, stage
+from nichefold.sources import hdf5, tiff
+from nichefold.sources.stage import put_file, scratch, stage
 from nichefold.streaming.events import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,6 +651,26 @@ def csc_counts(s, d):
     return sources.csc_to_counts(matrix, features)
 
 
+@query
+def hdf5_counts(s, d):
+    """The count matrix as an HDF5 file by columns, in chunks, and scanned back, gene features only."""
+    rows = X.counts(s, d).filter("cell_id % 3 = 0").orderBy("cell_id", "gene").collect()  # a file is written by the driver
+    cells = sorted({r.cell_id for r in rows})
+    pointers = np.searchsorted([r.cell_id for r in rows], [*cells, 1 << 62])
+    parts = {
+        "barcodes": np.array([f"cell{c}".encode() for c in cells]),
+        "indptr": pointers.astype(np.int64),
+        "indices": np.array([r.gene for r in rows], np.int32),
+        "data": np.array([r.cnt for r in rows], np.int32),
+        "shape": np.array([26, len(cells)], np.int32),
+        "features/name": np.array([f"brand{g}".encode() for g in range(26)]),
+        "features/feature_type": np.array([b"Gene Expression" if g <= 22 else b"Control" for g in range(26)]),
+    }
+    path = scratch(s, "matrix") + ".h5"
+    put_file(s, path, hdf5.write_file({f"matrix/{k}": v for k, v in parts.items()}, 1000, shuffle=True))
+    return sources.csc_to_counts(*hdf5.read_matrix(s, path))
+
+
 @query
 def pixel_size(s, d):
     number = (F.col("event_id") % 7) / 8.0 + 0.125
@@ -889,6 +910,77 @@ def resized_crops(s, d):
     return imaging.extract_patches(_tiles(s), _centres(s, d), 64, 32, 16).select("cell_id", "h", "w", F.md5("px").alias("digest"))
 
 
+# ---- slides ----
+
+
+def _slides(s) -> str:
+    """Two small pyramids: one compressed with differences, one as it is with 64-bit offsets, and a file that is none."""
+    folder = scratch(s, "slides")
+    for name, (h, w), options in (("a.tif", (96, 80), {"predictor": 2}), ("b.tif", (70, 64), {"compression": 1, "big": True})):
+        y, x, c = np.ogrid[:h, :w, :3]
+        images = [((y * 3 + x * 5 + c * 7) % 251).astype(np.uint8), ((y * 7 + x * 11 + c) % 251)[: h // 2, : w // 2].astype(np.uint8)]
+        xml = '<OME><Pixels PhysicalSizeX="0.25" /></OME>' if name == "a.tif" else ""
+        put_file(s, f"{folder}/{name}", tiff.write_tiff(images, 32, xml, **options))
+    put_file(s, f"{folder}/c.tif", b"no image at all, but long enough")
+    return folder
+
+
+def _file(path: str = "path"):
+    return F.substring_index(path, "/", -1).alias("file")
+
+
+@query
+def tiff_levels(s, d):
+    return tiff.read_levels(s, _slides(s)).select(_file(), "level", "h", "w", "um", (F.col("status") == "ok").alias("ok"))
+
+
+@query
+def tiff_tiles(s, d):
+    """The tiles of a pyramid's smaller level, asked for beyond the last there is."""
+    tiles = tiff.read_tiles(s, _slides(s), 5).withColumn("file", _file())
+    return _sums(tiles.withColumn("cell_id", F.format_string("%s %d %d %d", "file", "level", "ty", "tx"))).withColumnRenamed("cell_id", "tile")
+
+
+# ---- plots ----
+
+
+@query
+def celltype_map(s, d):
+    t = _typed(s, d)
+    return six(plots.celltype_map(t.cells.join(t.types, "cell_id")))
+
+
+@query
+def niche_map(s, d):
+    t = _typed(s, d)
+    niches = spatial.niche_labels(spatial.composition(t.cells, t.edges(), t.types), t.settings.niche)
+    return six(plots.niche_map(t.cells.join(niches, "cell_id"), "tcell_rich"))
+
+
+def _ranked_vectors(s, d) -> tuple[DataFrame, DataFrame]:
+    scores, rel = _vector_scores(s, d)
+    return scores.filter("baseline = 'biomedclip'").drop("baseline"), rel
+
+
+@query
+def query_heatmap(s, d):
+    scores, rel = _ranked_vectors(s, d)
+    return six(plots.query_heatmap(X.cells(s, d).withColumnRenamed("cell_id", "item_id"), scores, rel, 20))
+
+
+@query
+def retrieval_examples(s, d):
+    return plots.retrieval_examples(*_ranked_vectors(s, d), 16)
+
+
+@query
+def feature_scaling(s, d):
+    """Vectors standardised by the population's deviation, and by the sample's with a little added."""
+    rows = X.item_vectors(s, d).select("item_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    kinds = {"population": vectors.standardised(rows), "sample": vectors.standardised(rows, sample=True, eps=1e-6)}
+    return six(reduce(DataFrame.unionByName, [_unpivot(df, "item_id", "x").withColumn("kind", F.lit(k)) for k, df in kinds.items()]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 34 queries ranked over the pool by transcripts and at random, with every metric."""
     return _Bench(spark, sf_dir).described()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from nichefold.config import KS, LINEAGES, METHODS, NICHES, PROMPTS, QUERY_SET, variant_specs
+from nichefold.operators.plots import TYPE_COLORS
 from nichefold.plans.fixtures import ALIASES, MARKERS, SETTINGS, SMALL_POOL, STATE_GENES
 
 S = SETTINGS
@@ -453,4 +454,19 @@ SQL: dict[str, str] = {
     "patch_crops": "WITH w AS (SELECT c_custkey AS cell_id, (c_custkey * 37) % 260 - 16 + dx AS gx, (c_custkey * 53) % 260 - 16 + dy AS gy, ch, (dy * 32 + dx) * 3 + ch AS j FROM customer, range(32) AS a(dx), range(32) AS b(dy), range(3) AS c(ch)), "
     "v AS (SELECT cell_id, j, CASE WHEN gx BETWEEN 0 AND 255 AND gy BETWEEN 0 AND 255 THEN (((gy % 64) * 64 + gx % 64) * 3 + ch + (gx // 64) * 7 + (gy // 64) * 13) % 251 ELSE 0 END AS v FROM w) "
     "SELECT cell_id, 32 AS h, 32 AS w, sum(v)::BIGINT AS total, sum(v * (j % 97))::BIGINT AS weighted FROM v GROUP BY 1",
+    "tiff_levels": "SELECT * FROM (VALUES ('a.tif', 0, 96, 80, 0.25::DOUBLE, TRUE), ('a.tif', 1, 48, 40, 0.25, TRUE), ('b.tif', 0, 70, 64, 0.363788, TRUE), ('b.tif', 1, 35, 32, 0.363788, TRUE), ('c.tif', 0, NULL, NULL, 0.363788, FALSE)) AS v(file, level, h, w, um, ok)",
+    "tiff_tiles": "WITH f AS (SELECT * FROM (VALUES ('a.tif', 48, 40), ('b.tif', 35, 32)) AS v(file, fh, fw)), px AS (SELECT file, y // 32 AS ty, x // 32 AS tx, least(32, fh - y // 32 * 32) AS h, least(32, fw - x // 32 * 32) AS w, y % 32 AS iy, x % 32 AS ix, c, (y * 7 + x * 11 + c) % 251 AS v FROM f, range(64) AS a(y), range(64) AS b(x), range(3) AS d(c) WHERE y < fh AND x < fw) "
+    "SELECT file || ' 1 ' || ty || ' ' || tx AS tile, h::INT AS h, w::INT AS w, sum(v)::BIGINT AS total, sum(v * (((iy * w + ix) * 3 + c) % 97))::BIGINT AS weighted FROM px GROUP BY ALL",
+    "celltype_map": with_(
+        f"SELECT cell_id, {r6('x')} AS x, {r6('y')} AS y, layer, color, cell_type || ' (' || count(*) OVER (PARTITION BY cell_type) || ')' AS label FROM cells JOIN types USING (cell_id) JOIN (" + values((t, i, TYPE_COLORS[t]) for i, t in enumerate([*LINEAGES, "unknown"])) + ") AS c(cell_type, layer, color) USING (cell_type)"
+    ),
+    "niche_map": with_(f"SELECT cell_id, {r6('x')} AS x, {r6('y')} AS y, niche_tcell_rich::INT AS layer, CASE WHEN niche_tcell_rich THEN '#d62728' ELSE '#e8e8e8' END AS color FROM cells JOIN niches USING (cell_id)"),
+    "query_heatmap": with_(
+        f"SELECT query_id, item_id, {r6('x')} AS x, {r6('y')} AS y, score, rel, row_number() OVER w <= 20 AS is_top, count(*) OVER (PARTITION BY query_id) - row_number() OVER w AS z, FROM (SELECT * FROM escores WHERE baseline = 'biomedclip') JOIN erel USING (query_id, item_id) LEFT JOIN cells ON cell_id = item_id WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, item_id) QUALIFY x IS NOT NULL"
+    ),
+    "retrieval_examples": with_(
+        "SELECT query_id, item_id, CAST(r // 8 AS INT) AS grid_row, CAST(r % 8 AS INT) AS grid_col, printf('#%d %.3f', r + 1, score) AS title, CASE WHEN rel THEN 'green' ELSE 'red' END AS color FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) - 1 AS r FROM escores WHERE baseline = 'biomedclip') JOIN erel USING (query_id, item_id) WHERE r < 16"
+    ),
+    "feature_scaling": f"WITH x AS (SELECT vec_id AS item_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT item_id, d, {r6('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END')} AS v, 'population' AS kind FROM x WINDOW w AS (PARTITION BY d) UNION ALL SELECT item_id, d, {r6('(v - avg(v) OVER w) / (stddev_samp(v) OVER w + 1e-6)')}, 'sample' FROM x WINDOW w AS (PARTITION BY d)",
+    "hdf5_counts": "SELECT 'cell' || o_custkey AS cell_id, 'brand' || g AS gene, cnt FROM (SELECT o_custkey, CAST(substr(p_brand, 7) AS INT) AS g, sum(l_quantity) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) WHERE g <= 22 AND o_custkey % 3 = 0",
 }
