@@ -78,7 +78,7 @@ def test_strips_of_grey(spark, tmp_path, order, pack):
     assert np.array_equal(whole, np.repeat(img[:, :, None], 3, axis=2))
 
 
-@pytest.mark.parametrize("data", [b"", b"II*\0", b"II*\0\xff\xff\xff\xff" + bytes(20), b"GIF89a" + bytes(30), tiff.write_tiff([picture(20, 20)], 16)[:200]])
+@pytest.mark.parametrize("data", [b"II*\0", b"II*\0\xff\xff\xff\xff" + bytes(20), b"GIF89a" + bytes(30), tiff.write_tiff([picture(20, 20)], 16)[:200]])
 def test_files_that_are_none(spark, tmp_path, data):
     (tmp_path / "a.tif").write_bytes(data)
     rows = tiff.read_levels(spark, str(tmp_path)).collect()
