@@ -38,7 +38,7 @@ COORDS = BANDS * ROWS
 #: Signature agreement below which a pair isn't looked at: six standard errors under the threshold.
 LIKELY = 0.65
 #: Rows of a bucket that meet in one task at a time, and that one task reads of it.
-BLOCK, SPAN = 500, 250
+BLOCK, SPAN = 250, 250
 #: Hash slots in which crowded buckets are told of: at most so many rows are broadcast for it, whatever the corpus.
 SLOTS = 1 << 16
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
