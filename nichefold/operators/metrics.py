@@ -31,6 +31,11 @@ def ranked(scores: DataFrame, relevance: DataFrame, by: list[str], pieces: int =
     return out.select(*by, "item_id", "rel", (F.col("n0") + F.row_number().over(w)).alias("rk"), (F.col("r0") + F.sum("rel").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("hits"))
 
 
+def pieces_for(items: int) -> int:
+    """Pieces that rankings of so many items are cut into: a task ranks a million at a time."""
+    return max(1, items // 1_000_000)
+
+
 def evaluate(scores: DataFrame, relevance: DataFrame, ks: list[int] | tuple[int, ...], ndcg_k: int = 10, by: list[str] | None = None, pieces: int = 1) -> DataFrame:
     """One row a ranking with hit@k, P@k, R@k, enrich@k, mAP, MRR, nDCG@k, n_relevant and base_rate.
 

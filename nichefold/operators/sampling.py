@@ -15,6 +15,8 @@ def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type
     All cells if there are no more than size.  Else a uniform draw, or of each stratum its share of size, rounded half to
     even and at least one, so the total may differ from size.
     """
+    if cells.count() <= size:
+        return _numbered(cells)
     draw = stable_hash(id_number(cells, "cell_id"), seed)
     if stratify_by is None:
         # The pool is a bounded sample, so one global top-k keeps it small.
@@ -23,7 +25,7 @@ def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type
         sizes = cells.groupBy(stratify_by).agg(F.count("*").alias("len"))
         n = sizes.agg(F.sum("len").alias("n"))
         want = F.least(F.col("len"), F.greatest(F.lit(1).cast("long"), F.rint(F.lit(float(size)) * F.col("len") / F.col("n")).cast("long")))
-        quota = sizes.crossJoin(n).select(F.col(stratify_by).alias("s_"), F.when(F.col("n") <= size, F.col("len")).otherwise(want).alias("quota"), "len")
+        quota = sizes.crossJoin(n).select(F.col(stratify_by).alias("s_"), want.alias("quota"), "len")
         # Hashes are about uniform: a margin above each stratum's quota is ranked, and where it came out short, the whole stratum.
         share = F.least(F.lit(1.0), (F.col("quota") + 8 * F.sqrt("quota") + 16) / F.col("len"))
         known = stage(quota.select("*", F.floor(share * 2147483647.0).cast("long").alias("upto")), "quotas")
@@ -34,7 +36,12 @@ def build_pool(cells: DataFrame, size: int, stratify_by: str | None = "cell_type
         near = rows.join(F.broadcast(short), same).filter(F.col("h_") <= F.col("upto"))
         w = Window.partitionBy(stratify_by).orderBy("h_", "cell_id")
         picked = near.withColumn("r_", F.row_number().over(w)).filter(F.col("r_") <= F.col("quota")).select(*cells.columns)
-    return picked.withColumn("pool_idx", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long"))
+    return _numbered(picked)
+
+
+def _numbered(pool: DataFrame) -> DataFrame:
+    """pool with pool_idx; a pool is bounded by its configured size, so one task ranks it."""
+    return pool.withColumn("pool_idx", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long"))
 
 
 def shuffled_order(items: DataFrame, id_col: str, seed: int = 0, to: str = "place") -> DataFrame:

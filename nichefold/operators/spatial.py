@@ -15,25 +15,38 @@ from nichefold.sources.stage import stage
 CROWD = 4.0
 #: Points that a square may hold in the first round, as a multiple of k + 1.
 CROWDED = 16
+#: Points of a square that a task reads where squares may be crowded, and hash slots that crowded squares are told of in.
+SPAN, SLOTS = 2000, 1 << 16
 
 
 def _square(c: str, width: float) -> Column:
     return F.floor(F.col(c) / F.lit(width)).cast("long")
 
 
-def _pairs(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
-    """Pairs of points in touching squares, with squared distances: an equi-join on the square, of which each point of the left looks at nine."""
+def _pairs(left: DataFrame, right: DataFrame, width: float, spread: bool = False) -> DataFrame:
+    """Pairs of points in touching squares, with squared distances: an equi-join on the square, of which each point of the left looks at nine.
+
+    spread: squares may be crowded; then the left's rows of such a square are dealt over several tasks, each of which gets all of the right's.  The
+    table that tells of crowded squares has at most SLOTS rows, whatever the points.
+    """
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = left.select("cell_id", "x", "y", F.explode(near).alias("o"))
     a = a.select("cell_id", "x", "y", (_square("x", width) + F.col("o.i")).alias("gx"), (_square("y", width) + F.col("o.j")).alias("gy"))
     b = right.select(F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), _square("x", width).alias("gx"), _square("y", width).alias("gy"))
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    return a.join(b, ["gx", "gy"]).select("cell_id", "nbr_id", d2.alias("d2"))
+    if not spread:
+        return a.join(b, ["gx", "gy"]).select("cell_id", "nbr_id", d2.alias("d2"))
+    slot = F.pmod(F.xxhash64("gx", "gy"), F.lit(SLOTS))
+    crowd = b.groupBy("gx", "gy").agg(F.count("*").alias("n")).filter(F.col("n") > SPAN).groupBy(slot.alias("slot")).agg(F.ceil(F.max("n") / SPAN).alias("parts"))
+    one = F.lit(1).cast("long")
+    a = a.withColumn("slot", slot).join(F.broadcast(crowd), "slot", "left").withColumn("part", F.pmod(F.xxhash64("cell_id"), F.coalesce("parts", one)))
+    b = b.withColumn("slot", slot).join(F.broadcast(crowd), "slot", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one) - 1)))
+    return a.join(b, ["gx", "gy", "part"]).select("cell_id", "nbr_id", d2.alias("d2"))
 
 
 def radius_edges(points: DataFrame, radius: float) -> DataFrame:
     """(cell_id, nbr_id, d2) of other points within the radius, bounds included."""
-    return _pairs(points, points, float(radius)).filter((F.col("cell_id") != F.col("nbr_id")) & (F.col("d2") <= float(radius) * float(radius)))
+    return _pairs(points, points, float(radius), spread=True).filter((F.col("cell_id") != F.col("nbr_id")) & (F.col("d2") <= float(radius) * float(radius)))
 
 
 def _first_width(points: DataFrame, width: float, most: float) -> float:
@@ -133,14 +146,14 @@ def outside_buffer(points: DataFrame, folds: DataFrame, fold: int, buffer: float
     """Training points of a fold: those of other folds that lie farther than the buffer from every test point."""
     rows = points.join(folds, "cell_id")
     test, train = rows.filter(F.col("fold") == fold), rows.filter(F.col("fold") != fold)
-    close = _pairs(train, test, float(buffer)).filter(F.col("d2") <= float(buffer) * float(buffer)).select("cell_id").distinct()
+    close = _pairs(train, test, float(buffer), spread=True).filter(F.col("d2") <= float(buffer) * float(buffer)).select("cell_id").distinct()
     return train.join(close, "cell_id", "left_anti")
 
 
 def buffered_folds(points: DataFrame, folds: DataFrame, buffer: float) -> DataFrame:
     """(cell_id, skip): for each point, the other folds of which a test point lies within the buffer."""
     rows = points.select("cell_id", "x", "y").join(folds, "cell_id")
-    near = _pairs(rows, rows, float(buffer)).filter(F.col("d2") <= float(buffer) * float(buffer))
+    near = _pairs(rows, rows, float(buffer), spread=True).filter(F.col("d2") <= float(buffer) * float(buffer))
     return near.join(folds.select(F.col("cell_id").alias("nbr_id"), "fold"), "nbr_id").groupBy("cell_id").agg(F.collect_set(F.col("fold").cast("int")).alias("skip"))
 
 

@@ -311,7 +311,7 @@ class _Bench:
         return six(self.oracle().withColumn("baseline", F.lit("oracle"))).unionByName(six(self.random().withColumn("baseline", F.lit("random"))))
 
     def per_query(self):
-        rows = metrics.evaluate(self.scores(), self.rel, self.t.settings.ks, self.t.settings.ndcg_k, ["baseline", "query_id"])
+        rows = metrics.evaluate(self.scores(), self.rel, self.t.settings.ks, self.t.settings.ndcg_k, ["baseline", "query_id"], metrics.pieces_for(self.pool.count()))
         return six(rows)
 
     def described(self):
@@ -514,6 +514,14 @@ def transfer_2d(s, d):
     return six(heads.transfer(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1"), ["low", "even"]))
 
 
+@query
+def openvocab_oof_2d(s, d):
+    """So few steps that engines' last digits don't drift apart; openvocab_oof takes all."""
+    rows = _plane(s, d).drop("y").join(X.item_vectors(s, d).select("item_id", F.col("label").cast("string").alias("kind")), "item_id")
+    words = {str(i): v for i, v in enumerate(oracles.WORDS)}  # labels 8 and 9 are unknown
+    return six(heads.openvocab_oof(rows.join(sampling.kfold(rows, "item_id"), "item_id"), words, list(words), oracles.WORDS, epochs=oracles.STEPS))
+
+
 def _schemes(s, d) -> dict[str, tuple[DataFrame, float | None]]:
     """Folds and buffers of the spatial schemes that need no clustering, over cells that have vectors."""
     points = X.cells(s, d).join(X.item_vectors(s, d).select(F.col("item_id").alias("cell_id")), "cell_id", "left_semi")
@@ -907,7 +915,7 @@ def patch_crops(s, d):
 
 @query
 def resized_crops(s, d):
-    return imaging.extract_patches(_tiles(s), _centres(s, d), 64, 32, 16).select("cell_id", "h", "w", F.md5("px").alias("digest"))
+    return _sums(imaging.extract_patches(_tiles(s), _centres(s, d), 64, 32, 16))
 
 
 # ---- slides ----

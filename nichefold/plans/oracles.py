@@ -257,6 +257,41 @@ def _newton(train: str, test: str, rounds: int = 30) -> tuple[tuple[str, str], .
     )
 
 
+#: Text vectors of eight labels.
+WORDS = np.stack([np.cos(np.arange(8) * 0.7), np.sin(np.arange(8) * 0.7)], axis=1)
+
+
+#: Steps of Adam that two engines take alike: over hundreds, at this rate, it magnifies their last digits.
+STEPS = 50
+
+
+def _cosine_map(epochs: int = STEPS, lr: float = 0.05, decay: float = 1e-3) -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``ov`` (f, theta0..5): a linear map of two features to two numbers by cosine loss, by Adam from numpy's start."""
+    start = np.random.default_rng(0).uniform(-(2**-0.5), 2**-0.5, 6).tolist()
+    p = ["a * t0 + b * t2 + t4", "a * t1 + b * t3 + t5"]
+    inner = f"SELECT ov.*, a, b, y1, y2, n, {p[0]} AS p1, {p[1]} AS p2 FROM ov JOIN oz USING (f) JOIN onum USING (f) WHERE k < {epochs}"
+    size = "greatest(sqrt(p1 * p1 + p2 * p2), 1e-6)"
+    unit = f"SELECT *, {size} AS sz, p1 / {size} AS u1, p2 / {size} AS u2 FROM ({inner})"
+    grads = f"SELECT *, -(y1 - u1 * (u1 * y1 + u2 * y2)) / sz / n AS g1, -(y2 - u2 * (u1 * y1 + u2 * y2)) / sz / n AS g2 FROM ({unit})"
+    sums = ["a * g1", "a * g2", "b * g1", "b * g2", "g1", "g2"]
+    state = ", ".join(f"{c}{i}" for c in "tmv" for i in range(6))
+    total = f"SELECT k, f, {state}, " + ", ".join(f"sum({e}) + {decay} * t{i} AS d{i}" for i, e in enumerate(sums)) + f" FROM ({grads}) GROUP BY k, f, {state}"
+    moved = "SELECT k + 1 AS k, f, " + ", ".join(f"t{i}" for i in range(6)) + ", " + ", ".join(f"0.9 * m{i} + 0.1 * d{i} AS m{i}, 0.999 * v{i} + 0.001 * d{i} * d{i} AS v{i}" for i in range(6)) + f" FROM ({total})"
+    new = ", ".join(f"t{i} - {lr} * (m{i} / (1 - 0.9::DOUBLE ** k)) / (sqrt(v{i} / (1 - 0.999::DOUBLE ** k)) + 1e-8)" for i in range(6))
+    words = values((i, float(v[0]), float(v[1])) for i, v in enumerate(WORDS))
+    return (
+        ("folds", _folds),
+        ("words", f"SELECT * FROM ({words}) AS w(label, y1, y2)"),
+        ("op", "SELECT vec_id AS item_id, label, fold, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS x2 FROM embeddings JOIN folds ON item_id = vec_id"),
+        ("ot", "SELECT f, op.* FROM op JOIN (SELECT DISTINCT fold AS f FROM folds) g ON fold <> f WHERE label < 8"),
+        ("onum", "SELECT f, count(*)::DOUBLE AS n, avg(x1) AS m1, stddev_samp(x1) + 1e-6 AS s1, avg(x2) AS m2, stddev_samp(x2) + 1e-6 AS s2 FROM ot GROUP BY f"),
+        ("oz", "SELECT f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y1, y2 FROM ot JOIN onum USING (f) JOIN words USING (label)"),
+        ("ov", "SELECT 0 AS k, f, " + ", ".join(f"{v!r}::DOUBLE AS t{i}" for i, v in enumerate(start)) + ", " + ", ".join(f"0.0::DOUBLE AS {c}{i}" for c in "mv" for i in range(6)) + f" FROM onum UNION ALL SELECT k, f, {new}, " + ", ".join(f"{c}{i}" for c in "mv" for i in range(6)) + f" FROM ({moved})"),
+        ("olast", f"SELECT o.item_id, w.label AS q, w.y1, w.y2, a, b, t0, t1, t2, t3, t4, t5 FROM (SELECT item_id, fold AS f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM op JOIN onum ON f = fold) o JOIN ov ON ov.f = o.f AND k = {epochs}, words w"),
+        ("oscore", f"SELECT item_id, CAST(q AS VARCHAR) AS query_id, (({p[0]}) * y1 + ({p[1]}) * y2) / greatest(sqrt(({p[0]}) * ({p[0]}) + ({p[1]}) * ({p[1]})), 1e-6) AS score FROM olast"),
+    )
+
+
 _oof = _newton("SELECT g.fold AS f, i.item_id FROM folds i JOIN (SELECT DISTINCT fold FROM folds) g ON i.fold <> g.fold", "SELECT fold AS f, item_id FROM folds")
 _transfer = _newton("SELECT 1 AS f, vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 0", "SELECT 1 AS f, vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 1")
 _vtile = lambda w: f"CAST(floor((x - (SELECT min(x) FROM vcells)) / {w}) * (floor(((SELECT max(y) FROM vcells) - (SELECT min(y) FROM vcells)) / {w}) + 1) + floor((y - (SELECT min(y) FROM vcells)) / {w}) AS BIGINT)"
@@ -275,6 +310,17 @@ _schemes = (
     ("srel", "SELECT 'low' AS query_id, item_id, y1 > 0 AS rel FROM plane UNION ALL SELECT 'even', item_id, y2 > 0 FROM plane"),
 )
 _dot = lambda a, b: f"list_dot_product({a}, {b})"
+
+def _conjugate(name: str, mat: str, rhs: str, rounds: int) -> str:
+    """Solutions w of A w = b by conjugate gradients: A (lists of rows) by f in one CTE, b by f and t in another; the last k of each is the solution."""
+    step = f"SELECT {name}.*, list_transform(A, lambda row: {_dot('row', 'p')}) AS ap FROM {name} JOIN {mat} USING (f) WHERE k < {rounds} AND rs > 1e-26"
+    moved = f"SELECT k, f, t, p, rs, list_transform(list_zip(w, p), lambda z: z[1] + al * z[2]) AS w2, list_transform(list_zip(r, ap), lambda z: z[1] - al * z[2]) AS r2 FROM (SELECT *, rs / {_dot('p', 'ap')} AS al FROM ({step}))"
+    return (
+        f"SELECT 0 AS k, f, t, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS p, {_dot('b', 'b')} AS rs FROM {rhs} UNION ALL "
+        f"SELECT k + 1, f, t, w2, r2, list_transform(list_zip(r2, p), lambda z: z[1] + {_dot('r2', 'r2')} / rs * z[2]), {_dot('r2', 'r2')} FROM ({moved})"
+    )
+
+
 _ridge = (
     ("folds", _folds),
     ("rx", "SELECT e.vec_id AS item_id, fold, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings e JOIN folds f ON f.item_id = e.vec_id"),
@@ -286,14 +332,41 @@ _ridge = (
     ("rmat", "SELECT f, list(row ORDER BY i) AS A FROM (SELECT f, i, list(s ORDER BY j) AS row FROM rgram GROUP BY f, i) GROUP BY f"),
     ("rmy", "SELECT f, t, avg((label = t)::INT::DOUBLE) AS my FROM rg JOIN rx ON fold <> f, range(10) AS r(t) GROUP BY f, t"),
     ("rb", "SELECT f, t, list(s ORDER BY i) AS b FROM (SELECT c.f, t, c.i, sum(c.v * ((label = t)::INT::DOUBLE - my)) AS s FROM rcen c JOIN rx USING (item_id) JOIN rmy y ON y.f = c.f GROUP BY c.f, t, c.i) GROUP BY f, t"),
-    (
-        "cg",
-        f"SELECT 0 AS k, f, t, list_transform(b, lambda v: 0.0::DOUBLE) AS w, b AS r, b AS p, {_dot('b', 'b')} AS rs FROM rb UNION ALL SELECT k + 1, f, t, w2, r2, list_transform(list_zip(r2, p), lambda z: z[1] + {_dot('r2', 'r2')} / rs * z[2]), {_dot('r2', 'r2')} FROM ("
-        f"SELECT k, f, t, p, rs, list_transform(list_zip(w, p), lambda z: z[1] + al * z[2]) AS w2, list_transform(list_zip(r, ap), lambda z: z[1] - al * z[2]) AS r2 FROM (SELECT *, rs / {_dot('p', 'ap')} AS al FROM (SELECT cg.*, list_transform(A, lambda row: {_dot('row', 'p')}) AS ap FROM cg JOIN rmat USING (f) WHERE k < 300 AND rs > 1e-26)))",
-    ),
+    ("cg", _conjugate("cg", "rmat", "rb", 300)),
     ("cw", "SELECT f, t, arg_max(w, k) AS w FROM cg GROUP BY f, t"),
     ("rmx", "SELECT f, list(m ORDER BY i) AS mx FROM rmean GROUP BY f"),
 )
+_z = lambda v, by: f"({v} - avg({v}) OVER w) / CASE WHEN stddev_pop({v}) OVER w > 0 THEN stddev_pop({v}) OVER w ELSE 1 END"
+#: Expression predicted out of fold from six blocks of features, and what follows from it.
+_predicted = (
+    ("vcells", _vcells),
+    ("vknn", _vknn),
+    ("vdims", _vdims),
+    ("pavg", "SELECT c.item_id, d, avg(v) AS v FROM vknn k JOIN vcells c ON c.cell_id = k.cell_id JOIN vdims n ON n.cell_id = k.nbr_id GROUP BY c.item_id, d"),
+    (
+        "praw",
+        "SELECT item_id, 0 AS b, d, v FROM vdims UNION ALL SELECT item_id, 1, 65 - d, v FROM vdims UNION ALL SELECT item_id, 2, d, v FROM pavg UNION ALL SELECT item_id, 3, d, -v FROM vdims UNION ALL SELECT item_id, 4, d, v * v FROM vdims UNION ALL SELECT item_id, 5, d, -v FROM pavg",
+    ),
+    ("punits", "SELECT item_id, b * 64 + d AS i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY item_id, b)), 1e-8) AS v FROM praw"),
+    ("pstd", f"SELECT item_id, i, {_z('v', 'i')} AS v FROM punits WINDOW w AS (PARTITION BY i)"),
+    ("pfold", f"SELECT item_id, (row_number() OVER (ORDER BY {h('item_id')}, item_id) - 1) % 5 AS fold FROM vcells"),
+    ("pg", "SELECT DISTINCT fold AS f FROM pfold"),
+    ("prow", "SELECT item_id, list(v ORDER BY i) AS x FROM pstd GROUP BY item_id"),
+    ("pcol", "SELECT f, i, list(v ORDER BY item_id) AS c FROM pstd JOIN pfold USING (item_id) JOIN pg ON fold <> f GROUP BY f, i"),
+    ("pmat", f"SELECT f, list(row ORDER BY i) AS A FROM (SELECT a.f, a.i, list({_dot('a.c', 'b.c')} + CASE WHEN a.i = b.i THEN 1 ELSE 0 END ORDER BY b.i) AS row FROM pcol a JOIN pcol b ON a.f = b.f GROUP BY a.f, a.i) GROUP BY f"),
+    ("pdense", "SELECT c.item_id, g.gene, coalesce(l.v, 0) AS v FROM vcells c CROSS JOIN (SELECT DISTINCT gene FROM lognorm JOIN vcells USING (cell_id)) g LEFT JOIN lognorm l ON l.cell_id = c.cell_id AND l.gene = g.gene"),
+    ("pz", f"SELECT item_id, gene, {_z('v', 'gene')} AS z FROM pdense WINDOW w AS (PARTITION BY gene)"),
+    ("py", "SELECT f, gene AS t, list(z ORDER BY item_id) AS y FROM pz JOIN pfold USING (item_id) JOIN pg ON fold <> f GROUP BY f, gene"),
+    ("prhs", f"SELECT c.f, t, list({_dot('c.c', 'y')} ORDER BY i) AS b FROM pcol c JOIN py USING (f) GROUP BY c.f, t"),
+    ("pcg", _conjugate("pcg", "pmat", "prhs", 400)),
+    ("pw", "SELECT f, t, arg_max(w, k) AS w FROM pcg GROUP BY f, t"),
+    ("pred", f"SELECT r.item_id, t AS gene, {_dot('x', 'w')} AS v FROM prow r JOIN pfold USING (item_id) JOIN pw ON pw.f = fold"),
+    ("pmark", "SELECT item_id, lineage_ord, lineage, avg(v) AS score FROM pred JOIN markers USING (gene) GROUP BY ALL"),
+    ("pranked", "SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lineage_ord) AS r FROM pmark"),
+    ("ptype", f"SELECT a.item_id, CASE WHEN a.score > {S.type_threshold} AND a.score - b.score >= {S.type_margin} THEN a.lineage ELSE 'unknown' END AS cell_type FROM pranked a JOIN pranked b ON a.item_id = b.item_id AND a.r = 1 AND b.r = 2"),
+    ("pstate", f"SELECT item_id, avg(v) AS s FROM pred WHERE gene IN ({', '.join(map(str, STATE_GENES))}) GROUP BY 1"),
+    ("pcomp", "SELECT c.item_id, " + ", ".join(f"avg((t.cell_type = '{x}')::INT::DOUBLE) AS frac_{x}" for x in LINEAGES) + " FROM vknn k JOIN vcells c ON c.cell_id = k.cell_id JOIN vcells n ON n.cell_id = k.nbr_id JOIN ptype t ON t.item_id = n.item_id WHERE k.cell_id <> k.nbr_id GROUP BY 1"),
+)
 _hexid = lambda c: f"CAST('0x' || substr(md5({c}), 1, 11) AS BIGINT)"
 _byte = f"CAST(floor(({h('cell_id * 3 + i % 7', 5)} + 0.5) / 2147483647.0::DOUBLE * (40 + (i * 29) % 200)) AS INT)"
 _pix = f"SELECT cell_id, i, i % 3 AS ch, (i // 3) % 8 AS col, i // 24 AS r, {_byte} AS v FROM cells, range(192) AS t(i)"
@@ -469,4 +542,13 @@ SQL: dict[str, str] = {
     ),
     "feature_scaling": f"WITH x AS (SELECT vec_id AS item_id, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT item_id, d, {r6('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END')} AS v, 'population' AS kind FROM x WINDOW w AS (PARTITION BY d) UNION ALL SELECT item_id, d, {r6('(v - avg(v) OVER w) / (stddev_samp(v) OVER w + 1e-6)')}, 'sample' FROM x WINDOW w AS (PARTITION BY d)",
     "hdf5_counts": "SELECT 'cell' || o_custkey AS cell_id, 'brand' || g AS gene, cnt FROM (SELECT o_custkey, CAST(substr(p_brand, 7) AS INT) AS g, sum(l_quantity) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) WHERE g <= 22 AND o_custkey % 3 = 0",
+    "openvocab_oof_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM oscore", *_cosine_map()),
+    "resized_crops": "WITH w AS (SELECT c_custkey AS cell_id, (c_custkey * 37) % 260 - 16 + dx AS gx, (c_custkey * 53) % 260 - 16 + dy AS gy, ch, (dy // 2 * 16 + dx // 2) * 3 + ch AS j FROM customer, range(32) AS a(dx), range(32) AS b(dy), range(3) AS c(ch)), "
+    "v AS (SELECT cell_id, j, CAST(round_even(avg(CASE WHEN gx BETWEEN 0 AND 255 AND gy BETWEEN 0 AND 255 THEN (((gy % 64) * 64 + gx % 64) * 3 + ch + (gx // 64) * 7 + (gy // 64) * 13) % 251 ELSE 0 END), 0) AS BIGINT) AS v FROM w GROUP BY ALL) "
+    "SELECT cell_id, 16 AS h, 16 AS w, sum(v)::BIGINT AS total, sum(v * (j % 97))::BIGINT AS weighted FROM v GROUP BY 1",
+    "predicted_expression": with_(
+        f"SELECT query_id, c.item_id, {r6(f'CASE target_field WHEN {chr(39)}cell_type{chr(39)} THEN m.score WHEN {chr(39)}cell_state{chr(39)} THEN s.s WHEN {chr(39)}gene{chr(39)} THEN coalesce(p.v, 0) ELSE CASE target_label {_niche_score} END END')} AS score FROM vcells c CROSS JOIN qs "
+        "LEFT JOIN pmark m ON m.item_id = c.item_id AND m.lineage = target_label LEFT JOIN pstate s ON s.item_id = c.item_id LEFT JOIN pred p ON p.item_id = c.item_id AND p.gene = qs.gene LEFT JOIN pcomp f ON f.item_id = c.item_id",
+        *_predicted,
+    ),
 }
