@@ -190,7 +190,7 @@ def test_far_clusters_make_no_hot_square(spark, monkeypatch):
     xy = np.vstack([rng.normal(0, 5, (1500, 2)), rng.normal(1e6, 5, (1500, 2)), [[5e5, 3.0]], np.full((1000, 2), 7.0)])
     pairs = []
     real = spatial._pairs
-    monkeypatch.setattr(spatial, "_pairs", lambda a, b, w: pairs.append(real(a, b, w).count()) or real(a, b, w))
+    monkeypatch.setattr(spatial, "_pairs", lambda *x: pairs.append(real(*x).count()) or real(*x))
     got = {}
     for r in spatial.knn_edges(points(spark, xy), 4).collect():
         got.setdefault(r.cell_id, []).append((r.rnk, r.nbr_id))
@@ -212,6 +212,15 @@ def test_radius_is_inclusive_and_empty_is_zero(spark):
     assert sum(c[2][f"frac_{t}"] for t in config.LINEAGES) == 0
 
 
+def test_crowded_squares_are_dealt(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    p = points(spark, np.vstack([rng.normal(0, 1, (120, 2)), rng.random((40, 2)) * 60]))
+    plain = rows(spatial.radius_edges(p, 2.5))
+    monkeypatch.setattr(spatial, "SPAN", 7)
+    monkeypatch.setattr(spatial, "SLOTS", 3)
+    assert rows(spatial.radius_edges(p, 2.5)) == plain
+
+
 def test_niche_precedence(spark):
     n = {"Epithelial": 4, "T_cell": 3, "Endothelial": 2, "Fibroblast": 1}
     comp = spark.createDataFrame([(0, *(n.get(t, 0) / 15 for t in config.LINEAGES))], "cell_id long, " + ", ".join(f"frac_{t} double" for t in config.LINEAGES))

@@ -12,7 +12,7 @@ from nichefold.sources.stage import drop_tables
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 #: tests/test_baselines.py holds these against numpy.
-COVERED = {"baseline_scores", "predicted_expression", "baseline_metrics", "kmeans_regions", "label_validation"}
+COVERED = {"baseline_scores", "baseline_metrics", "kmeans_regions", "label_validation"}
 
 
 @pytest.fixture(scope="module")
