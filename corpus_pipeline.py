@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next
 stage's docs.  All but the last return the columns of ``documents``.  n_chars follows the text where a stage changes it.
+
+Defined cases, of every stage: null text counts as empty, and the rules reject it, as they do texts of fewer than ten words; texts of any length are read
+whole; a null id ranks after all others; rows that share an id are judged each by its own text, count as one document when lines are compared, and near dedup
+keeps one row of those whose texts are alike; ties of a draw fall together; an empty table gives an empty table; columns beyond those of ``documents`` pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
