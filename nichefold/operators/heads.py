@@ -277,10 +277,10 @@ class Logistic:
 
 
 class Mlp:
-    """One hidden layer for all queries jointly: ReLU, dropout 0.1, Adam on full batches."""
+    """One hidden layer for all queries jointly: ReLU, dropout, Adam on full batches."""
 
-    def __init__(self, d: int, q: int, seed: int = 0, hidden: int = 256, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3, **_):
-        self.d, self.q, self.hidden, self.epochs, self.lr, self.decay, self.seed = d, q, hidden, epochs, lr, decay, seed
+    def __init__(self, d: int, q: int, seed: int = 0, hidden: int = 256, epochs: int = 400, lr: float = 0.05, decay: float = 1e-3, dropout: float = 0.1, **_):
+        self.d, self.q, self.hidden, self.epochs, self.lr, self.decay, self.dropout, self.seed = d, q, hidden, epochs, lr, decay, dropout, seed
 
     def parts(self, theta):
         cut = np.cumsum([self.d * self.hidden, self.hidden, self.hidden * self.q])
@@ -295,7 +295,7 @@ class Mlp:
     def sums(self, theta, x, y, n, pw, rng):
         w1, b1, w2, b2 = self.parts(theta)
         h = x @ w1 + b1
-        mask = (h > 0) * (rng.random(h.shape) >= 0.1) / 0.9
+        mask = (h > 0) * (rng.random(h.shape) >= self.dropout) / (1 - self.dropout)
         r = h * mask
         p = _sigmoid(r @ w2 + b2)
         g = (p * (1 - y + pw * y) - pw * y) / (n * self.q)

@@ -514,6 +514,13 @@ def transfer_2d(s, d):
     return six(heads.transfer(rows.filter("item_id % 2 = 0"), rows.filter("item_id % 2 = 1"), ["low", "even"]))
 
 
+@query
+def mlp_oof_2d(s, d):
+    """Three hidden units, no dropout, and so few steps that engines' last digits don't drift apart; mlp_oof takes all."""
+    rows = _plane(s, d)
+    return six(heads.head_oof(rows.join(sampling.kfold(rows, "item_id"), "item_id"), ["low", "even"], "mlp", hidden=3, epochs=oracles.STEPS, dropout=0.0))
+
+
 @query
 def openvocab_oof_2d(s, d):
     """So few steps that engines' last digits don't drift apart; openvocab_oof takes all."""
@@ -885,6 +892,13 @@ def stain_normalised(s, d):
     return imaging.normalise_stain(patches, source, target).select("cell_id", F.md5("px").alias("digest"))
 
 
+@query
+def stain_profile(s, d):
+    """The stain vectors of all patches and their strongest concentrations."""
+    he, top = imaging.stain_profile(imaging.pixel_rows(_patches(s, d)))
+    return six(s.createDataFrame([(i, *map(float, he[:, i]), float(top[i])) for i in range(2)], "stain int, r double, g double, b double, top double"))
+
+
 @query
 def stain_applied(s, d):
     """Patches turned from one given profile to another."""

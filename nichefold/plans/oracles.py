@@ -265,30 +265,77 @@ WORDS = np.stack([np.cos(np.arange(8) * 0.7), np.sin(np.arange(8) * 0.7)], axis=
 STEPS = 50
 
 
-def _cosine_map(epochs: int = STEPS, lr: float = 0.05, decay: float = 1e-3) -> tuple[tuple[str, str], ...]:
-    """CTEs up to ``ov`` (f, theta0..5): a linear map of two features to two numbers by cosine loss, by Adam from numpy's start."""
+def _adam(rows: str, start: list[float], parts: list[tuple[str, str]], sums: list[str], epochs: int = STEPS, lr: float = 0.05, decay: float = 1e-3) -> str:
+    """Parameters t0.. by f and step k, by Adam from a start.
+
+    rows: a CTE of training rows by f.  parts: (name, expression) of what a row's gradient is made of, each from those before.  sums: a row's share of
+    each parameter's gradient.
+    """
+    n = len(start)
+    inner = f"SELECT * FROM ad JOIN {rows} USING (f) WHERE k < {epochs}"
+    for name, expression in parts:
+        inner = f"SELECT *, {expression} AS {name} FROM ({inner})"
+    state = ", ".join(f"{c}{i}" for c in "tmv" for i in range(n))
+    total = f"SELECT k, f, {state}, " + ", ".join(f"sum({e}) + {decay} * t{i} AS d{i}" for i, e in enumerate(sums)) + f" FROM ({inner}) GROUP BY k, f, {state}"
+    moved = "SELECT k + 1 AS k, f, " + ", ".join(f"t{i}" for i in range(n)) + ", " + ", ".join(f"0.9 * m{i} + 0.1 * d{i} AS m{i}, 0.999 * v{i} + 0.001 * d{i} * d{i} AS v{i}" for i in range(n)) + f" FROM ({total})"
+    new = ", ".join(f"t{i} - {lr} * (m{i} / (1 - 0.9::DOUBLE ** k)) / (sqrt(v{i} / (1 - 0.999::DOUBLE ** k)) + 1e-8)" for i in range(n))
+    rest = ", ".join(f"{c}{i}" for c in "mv" for i in range(n))
+    first = ", ".join(f"{v!r}::DOUBLE AS t{i}" for i, v in enumerate(start)) + ", " + ", ".join(f"0.0::DOUBLE AS {c}{i}" for c in "mv" for i in range(n))
+    return f"SELECT 0 AS k, f, {first} FROM (SELECT DISTINCT f FROM {rows}) UNION ALL SELECT k, f, {new}, {rest} FROM ({moved})"
+
+
+_plane_rows = "SELECT vec_id AS item_id, label, fold, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS x2 FROM embeddings JOIN folds ON item_id = vec_id"
+_scale = "SELECT f, count(*)::DOUBLE AS n, avg(x1) AS m1, stddev_samp(x1) + 1e-6 AS s1, avg(x2) AS m2, stddev_samp(x2) + 1e-6 AS s2 FROM ot GROUP BY f"
+
+
+def _cosine_map() -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``oscore``: a linear map of two features to two numbers by cosine loss, from numpy's start, and cosines with the words."""
     start = np.random.default_rng(0).uniform(-(2**-0.5), 2**-0.5, 6).tolist()
     p = ["a * t0 + b * t2 + t4", "a * t1 + b * t3 + t5"]
-    inner = f"SELECT ov.*, a, b, y1, y2, n, {p[0]} AS p1, {p[1]} AS p2 FROM ov JOIN oz USING (f) JOIN onum USING (f) WHERE k < {epochs}"
-    size = "greatest(sqrt(p1 * p1 + p2 * p2), 1e-6)"
-    unit = f"SELECT *, {size} AS sz, p1 / {size} AS u1, p2 / {size} AS u2 FROM ({inner})"
-    grads = f"SELECT *, -(y1 - u1 * (u1 * y1 + u2 * y2)) / sz / n AS g1, -(y2 - u2 * (u1 * y1 + u2 * y2)) / sz / n AS g2 FROM ({unit})"
-    sums = ["a * g1", "a * g2", "b * g1", "b * g2", "g1", "g2"]
-    state = ", ".join(f"{c}{i}" for c in "tmv" for i in range(6))
-    total = f"SELECT k, f, {state}, " + ", ".join(f"sum({e}) + {decay} * t{i} AS d{i}" for i, e in enumerate(sums)) + f" FROM ({grads}) GROUP BY k, f, {state}"
-    moved = "SELECT k + 1 AS k, f, " + ", ".join(f"t{i}" for i in range(6)) + ", " + ", ".join(f"0.9 * m{i} + 0.1 * d{i} AS m{i}, 0.999 * v{i} + 0.001 * d{i} * d{i} AS v{i}" for i in range(6)) + f" FROM ({total})"
-    new = ", ".join(f"t{i} - {lr} * (m{i} / (1 - 0.9::DOUBLE ** k)) / (sqrt(v{i} / (1 - 0.999::DOUBLE ** k)) + 1e-8)" for i in range(6))
+    parts = [("p1", p[0]), ("p2", p[1]), ("sz", "greatest(sqrt(p1 * p1 + p2 * p2), 1e-6)"), ("uy", "(p1 * y1 + p2 * y2) / sz")]
+    parts += [(f"g{i}", f"-(y{i} - p{i} / sz * uy) / sz / n") for i in (1, 2)]
     words = values((i, float(v[0]), float(v[1])) for i, v in enumerate(WORDS))
     return (
         ("folds", _folds),
         ("words", f"SELECT * FROM ({words}) AS w(label, y1, y2)"),
-        ("op", "SELECT vec_id AS item_id, label, fold, embedding[1]::DOUBLE * 10 AS x1, embedding[2]::DOUBLE * 10 AS x2 FROM embeddings JOIN folds ON item_id = vec_id"),
+        ("op", _plane_rows),
         ("ot", "SELECT f, op.* FROM op JOIN (SELECT DISTINCT fold AS f FROM folds) g ON fold <> f WHERE label < 8"),
-        ("onum", "SELECT f, count(*)::DOUBLE AS n, avg(x1) AS m1, stddev_samp(x1) + 1e-6 AS s1, avg(x2) AS m2, stddev_samp(x2) + 1e-6 AS s2 FROM ot GROUP BY f"),
-        ("oz", "SELECT f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y1, y2 FROM ot JOIN onum USING (f) JOIN words USING (label)"),
-        ("ov", "SELECT 0 AS k, f, " + ", ".join(f"{v!r}::DOUBLE AS t{i}" for i, v in enumerate(start)) + ", " + ", ".join(f"0.0::DOUBLE AS {c}{i}" for c in "mv" for i in range(6)) + f" FROM onum UNION ALL SELECT k, f, {new}, " + ", ".join(f"{c}{i}" for c in "mv" for i in range(6)) + f" FROM ({moved})"),
-        ("olast", f"SELECT o.item_id, w.label AS q, w.y1, w.y2, a, b, t0, t1, t2, t3, t4, t5 FROM (SELECT item_id, fold AS f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM op JOIN onum ON f = fold) o JOIN ov ON ov.f = o.f AND k = {epochs}, words w"),
-        ("oscore", f"SELECT item_id, CAST(q AS VARCHAR) AS query_id, (({p[0]}) * y1 + ({p[1]}) * y2) / greatest(sqrt(({p[0]}) * ({p[0]}) + ({p[1]}) * ({p[1]})), 1e-6) AS score FROM olast"),
+        ("onum", _scale),
+        ("oz", "SELECT f, n, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y1, y2 FROM ot JOIN onum USING (f) JOIN words USING (label)"),
+        ("ad", _adam("oz", start, parts, ["a * g1", "a * g2", "b * g1", "b * g2", "g1", "g2"])),
+        ("olast", f"SELECT o.item_id, w.label AS q, w.y1, w.y2, {p[0]} AS p1, {p[1]} AS p2 FROM (SELECT item_id, fold AS f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM op JOIN onum ON f = fold) o JOIN ad ON ad.f = o.f AND k = {STEPS}, words w"),
+        ("oscore", "SELECT item_id, CAST(q AS VARCHAR) AS query_id, (p1 * y1 + p2 * y2) / greatest(sqrt(p1 * p1 + p2 * p2), 1e-6) AS score FROM olast"),
+    )
+
+
+def _network(hidden: int = 3) -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``oscore``: one hidden layer without dropout on two features, two queries jointly, from numpy's start."""
+    rng = np.random.default_rng(0)
+    start = np.concatenate([rng.uniform(-(fan**-0.5), fan**-0.5, k) for k, fan in ((2 * hidden, 2), (hidden, 2), (hidden * 2, hidden), (2, hidden))]).tolist()
+    w1 = lambda i, j: f"t{i * hidden + j}"
+    b1 = lambda j: f"t{2 * hidden + j}"
+    w2 = lambda j, q: f"t{3 * hidden + 2 * j + q}"
+    b2 = lambda q: f"t{5 * hidden + q}"
+    units, queries = range(hidden), range(2)
+    forward = [(f"h{j}", f"a * {w1(0, j)} + b * {w1(1, j)} + {b1(j)}") for j in units]
+    forward += [(f"z{q}", " + ".join(f"greatest(h{j}, 0) * {w2(j, q)}" for j in units) + f" + {b2(q)}") for q in queries]
+    parts = [*forward, *((f"p{q}", f"1 / (1 + exp(-z{q}))") for q in queries), *((f"g{q}", f"(p{q} * (1 - y{q} + pw{q} * y{q}) - pw{q} * y{q}) / (n * 2)") for q in queries)]
+    parts += [(f"e{j}", "CASE WHEN h%d > 0 THEN %s ELSE 0 END" % (j, " + ".join(f"g{q} * {w2(j, q)}" for q in queries))) for j in units]
+    sums = [f"{x} * e{j}" for x in "ab" for j in units] + [f"e{j}" for j in units] + [f"greatest(h{j}, 0) * g{q}" for j in units for q in queries] + [f"g{q}" for q in queries]
+    weight = lambda q: f"least(1000.0, greatest(1.0, (count(*) - sum(y{q})) / (sum(y{q}) + 1e-6))) AS pw{q}"
+    scored = f"SELECT item_id, k, a, b, ad.* EXCLUDE (f, k) FROM (SELECT item_id, fold AS f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM op JOIN onum ON f = fold) o JOIN ad ON ad.f = o.f AND k = {STEPS}"
+    for name, expression in forward:
+        scored = f"SELECT *, {expression} AS {name} FROM ({scored})"
+    return (
+        ("folds", _folds),
+        ("op", _plane_rows),
+        ("ot", "SELECT f, op.*, (label < 3)::INT::DOUBLE AS y0, (label % 2 = 0)::INT::DOUBLE AS y1 FROM op JOIN (SELECT DISTINCT fold AS f FROM folds) g ON fold <> f"),
+        ("onum", _scale),
+        ("opw", f"SELECT f, {weight(0)}, {weight(1)} FROM ot GROUP BY f"),
+        ("oz", "SELECT f, n, pw0, pw1, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y0, y1 FROM ot JOIN onum USING (f) JOIN opw USING (f)"),
+        ("ad", _adam("oz", start, parts, sums)),
+        ("olast", scored),
+        ("oscore", "SELECT item_id, 'low' AS query_id, z0 AS score FROM olast UNION ALL SELECT item_id, 'even', z1 FROM olast"),
     )
 
 
@@ -383,6 +430,38 @@ def _stain() -> str:
     return f"WITH cells AS ({CTE['cells']}), pix AS ({_pix}), conc AS ({conc}) SELECT cell_id, sum(v)::BIGINT AS total, sum(v * (i % 97))::BIGINT AS weighted FROM ({out}) GROUP BY 1"
 
 
+def _stain_fit(rounds: int = 24) -> str:
+    """Stain vectors by squaring the covariance of densities until one direction is left, angles between percentiles, and concentrations by normal equations."""
+    square = {"rr": "rr * rr + rg * rg + rb * rb", "rg": "rr * rg + rg * gg + rb * gb", "rb": "rr * rb + rg * gb + rb * bb", "gg": "rg * rg + gg * gg + gb * gb", "gb": "rg * rb + gg * gb + gb * bb", "bb": "rb * rb + gb * gb + bb * bb"}
+    power = lambda name, m, start: (
+        f"{name}p AS (SELECT 0 AS k, rr, rg, rb, gg, gb, bb FROM {m} UNION ALL SELECT k + 1, rr / t, rg / t, rb / t, gg / t, gb / t, bb / t FROM (SELECT *, rr + gg + bb AS t FROM (SELECT k, {', '.join(f'{e} AS {n}' for n, e in square.items())} FROM {name}p WHERE k < {rounds}))), "
+        f"{name} AS (SELECT p / sqrt(p * p + q * q + s * s) AS a, q / sqrt(p * p + q * q + s * s) AS b, s / sqrt(p * p + q * q + s * s) AS c FROM (SELECT rr * {start[0]} + rg * {start[1]} + rb * {start[2]} AS p, rg * {start[0]} + gg * {start[1]} + gb * {start[2]} AS q, rb * {start[0]} + gb * {start[1]} + bb * {start[2]} AS s FROM {name}p WHERE k = {rounds}))"
+    )
+    last = lambda name: f"(SELECT a * CASE WHEN a < 0 THEN -1 ELSE 1 END AS a, b * CASE WHEN a < 0 THEN -1 ELSE 1 END AS b, c * CASE WHEN a < 0 THEN -1 ELSE 1 END AS c FROM {name})"
+    ctes = [
+        f"cells AS ({CTE['cells']})",
+        f"pix AS ({_pix})",
+        "od AS (SELECT " + ", ".join(f"max(CASE WHEN ch = {k} THEN -ln((v + 1) / 256.0::DOUBLE) END) AS {n}" for k, n in enumerate("rgb")) + " FROM pix GROUP BY cell_id, i // 3)",
+        "dark AS (SELECT * FROM od WHERE r >= 0.15 AND g >= 0.15 AND b >= 0.15)",
+        "m1 AS (SELECT " + ", ".join(f"covar_samp({x[0]}, {x[1]}) AS {x}" for x in ("rr", "rg", "rb", "gg", "gb", "bb")) + " FROM dark)",
+        power("e1", "m1", (0.6, 0.5, 0.4)),
+        f"f1 AS {last('e1')}",
+        "top AS (SELECT a * (rr * a + rg * b + rb * c) + b * (rg * a + gg * b + gb * c) + c * (rb * a + gb * b + bb * c) AS l FROM f1, m1)",
+        "m2 AS (SELECT rr - l * a * a AS rr, rg - l * a * b AS rg, rb - l * a * c AS rb, gg - l * b * b AS gg, gb - l * b * c AS gb, bb - l * c * c AS bb FROM m1, f1, top)",
+        power("e2", "m2", (0.7, -0.5, 0.3)),
+        f"f2 AS {last('e2')}",
+        "ang AS (SELECT atan2(r * f2.a + g * f2.b + dark.b * f2.c, r * f1.a + g * f1.b + dark.b * f1.c) AS t FROM dark, f1, f2)",
+        "lim AS (SELECT unnest([0, 1]) AS j, unnest([quantile_cont(t, 0.01), quantile_cont(t, 0.99)]) AS t FROM ang)",
+        "raw AS (SELECT j, f1.a * cos(t) + f2.a * sin(t) AS x, f1.b * cos(t) + f2.b * sin(t) AS y, f1.c * cos(t) + f2.c * sin(t) AS z FROM lim, f1, f2)",
+        "unitv AS (SELECT j, x / (sqrt(x * x + y * y + z * z) + 1e-8) AS x, y / (sqrt(x * x + y * y + z * z) + 1e-8) AS y, z / (sqrt(x * x + y * y + z * z) + 1e-8) AS z FROM raw)",
+        "he AS (SELECT CAST(row_number() OVER (ORDER BY x DESC, j) - 1 AS INT) AS stain, x, y, z FROM unitv)",
+        "n AS (SELECT p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz, p.x * p.x + p.y * p.y + p.z * p.z AS pp, p.x * q.x + p.y * q.y + p.z * q.z AS pq, q.x * q.x + q.y * q.y + q.z * q.z AS qq FROM he p, he q WHERE p.stain = 0 AND q.stain = 1)",
+        "conc AS (SELECT (qq * u - pq * w) / (pp * qq - pq * pq) AS c0, (pp * w - pq * u) / (pp * qq - pq * pq) AS c1 FROM (SELECT n.*, px * r + py * g + pz * b AS u, qx * r + qy * g + qz * b AS w FROM dark, n))",
+        "tops AS (SELECT unnest([0, 1]) AS stain, unnest([quantile_cont(c0, 0.99), quantile_cont(c1, 0.99)]) AS v FROM conc)",
+    ]
+    return "WITH RECURSIVE " + ", ".join(ctes) + f" SELECT stain, {r6('x')} AS r, {r6('y')} AS g, {r6('z')} AS b, {r6('v')} AS top FROM he JOIN tops USING (stain)"
+
+
 def _statistics() -> str:
     flat = ["avg(v)", "stddev_pop(v)", "median(v)", "min(v)::DOUBLE", "max(v)::DOUBLE", "quantile_cont(v, 0.25)", "quantile_cont(v, 0.75)"]
     parts = [f"SELECT cell_id, {3 * k + 1} + ch AS d, {e} AS v FROM pix GROUP BY cell_id, ch" for k, e in enumerate(flat)]
@@ -551,4 +630,6 @@ SQL: dict[str, str] = {
         "LEFT JOIN pmark m ON m.item_id = c.item_id AND m.lineage = target_label LEFT JOIN pstate s ON s.item_id = c.item_id LEFT JOIN pred p ON p.item_id = c.item_id AND p.gene = qs.gene LEFT JOIN pcomp f ON f.item_id = c.item_id",
         *_predicted,
     ),
+    "mlp_oof_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM oscore", *_network()),
+    "stain_profile": _stain_fit(),
 }
