@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichefold.llm.common import free_name, materialise, ship
+from nichefold.llm.common import free_name, give_back, materialise, ship
 
 #: ASCII white space that keys lose at both ends, and the code points that a key needs.
 SPACES, LEAST = b" \t\n\x0b\x0c\r", 10
@@ -89,6 +89,7 @@ def _hash_lines(batches):
                 [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(docs, b.schema.field(0).type), pa.array(texts, pa.int64()), pa.array(places, pa.int32())],
                 names=["h1", "h2", "d", "t", "pos"],
             )
+        give_back()
 
 
 def _first_occurrences(batches):
@@ -127,6 +128,7 @@ def _first_occurrences(batches):
         if len(drop):
             yield rows(0, *(x[drop] for x in (h1, h2, d, t, pos)))
         last = (h1[-1], h2[-1], first[-1])
+    give_back()
     if head is not None:
         ends = {head[:2]: head[2], last[:2]: last[2]} if head[:2] != last[:2] else {head[:2]: head[2]}
         a = np.array(list(ends), dtype=np.int64)
@@ -181,6 +183,7 @@ def _apply_to(batches, text_at: int, map_at: int):
         out = [kept_text(x.as_py(), m.as_py())[0] for x, m in zip(b.column(text_at), b.column(map_at), strict=True)]
         columns = [pa.array(out, pa.binary()).cast(pa.string()) if i == text_at else b.column(i) for i in range(b.num_columns) if i != map_at]
         yield pa.record_batch(columns, names=[x for i, x in enumerate(b.schema.names) if i != map_at])
+        give_back()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -201,6 +201,7 @@ def _shingle_sets(batches):
             sets = [np.unique(shingles(x.as_py())) for x in b.column(1)[at : at + 200]]
             sig = short(signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets)))
             yield pa.record_batch([b.column(0)[at : at + 200], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([len(x) for x in sets], pa.int32())], names=["node", "s", "sig", "size"])
+        give_back()
 
 
 def similar(a: bytes, b: bytes, threshold: float = THRESHOLD) -> bool:
@@ -219,6 +220,7 @@ def _check(batches):
     for b in batches:
         ok = [similar(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
         yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+        give_back()
 
 
 def _order(band: Column) -> Column:
@@ -407,6 +409,7 @@ def _by_block(batches):
             sides[side].append(row)
     if group is not None:
         yield group, now, sides
+    give_back()
 
 
 def _likely_nodes(batches):
