@@ -115,8 +115,13 @@ def get_encoder(name: str, **options):
     return REGISTRY[name.lower()](**options)
 
 
-def encode_patches(patches: DataFrame, name: str, scale: str, **options) -> DataFrame:
-    """(cell_id, encoder, scale, embedding) of patches (cell_id, h, w, px binary); the model is made once a task and fails loudly."""
+def encode_patches(patches: DataFrame, name: str, scale: str, numbers: str = "float", **options) -> DataFrame:
+    """(cell_id, encoder, scale, embedding) of patches (cell_id, h, w, px binary); the model is made once a task and fails loudly.
+
+    numbers: "float", as embeddings are stored, or "double", which keeps what a model computes.
+    """
+    if numbers not in ("float", "double"):
+        raise ValueError(f"numbers are float or double, not {numbers}")
     id_type = dict(patches.dtypes)["cell_id"]
     ship(patches.sparkSession)
 
@@ -124,15 +129,16 @@ def encode_patches(patches: DataFrame, name: str, scale: str, **options) -> Data
         import pyarrow as pa
 
         model = get_encoder(name, **options)
+        kind = pa.float32() if numbers == "float" else pa.float64()
         for b in batches:
             if not b.num_rows:
                 continue
             cubes = [np.frombuffer(p.as_py(), dtype=np.uint8).reshape(h, w, 3) for h, w, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True)]
-            out = np.asarray(model.encode_image(np.stack(cubes)), dtype=np.float32)
+            out = np.asarray(model.encode_image(np.stack(cubes)), dtype=kind.to_pandas_dtype())
             n = b.num_rows
-            yield pa.record_batch([b.column(0), pa.array([name] * n), pa.array([scale] * n), pa.array(list(out), pa.list_(pa.float32()))], names=["cell_id", "encoder", "scale", "embedding"])
+            yield pa.record_batch([b.column(0), pa.array([name] * n), pa.array([scale] * n), pa.array(list(out), pa.list_(kind))], names=["cell_id", "encoder", "scale", "embedding"])
 
-    return patches.select("cell_id", "h", "w", "px").mapInArrow(run, f"cell_id {id_type}, encoder string, scale string, embedding array<float>")
+    return patches.select("cell_id", "h", "w", "px").mapInArrow(run, f"cell_id {id_type}, encoder string, scale string, embedding array<{numbers}>")
 
 
 def encode_texts(texts: DataFrame, name: str, text_col: str = "text", **options) -> DataFrame:

@@ -873,8 +873,8 @@ def patch_embeddings(s, d):
 @query
 def patch_statistics(s, d):
     """The statistics that the hash encoder projects, by place."""
-    vec = encoders.encode_patches(_patches(s, d), "hash", "medium", dim=encoders.SIDES, plain=True)
-    return six(_unpivot(vec.withColumn("embedding", F.transform(F.slice("embedding", 1, encoders.STATS), lambda x: x.cast("double"))), "cell_id", "embedding"), 3)
+    vec = encoders.encode_patches(_patches(s, d), "hash", "medium", numbers="double", dim=encoders.SIDES, plain=True)
+    return six(_unpivot(vec.withColumn("embedding", F.slice("embedding", 1, encoders.STATS)), "cell_id", "embedding"), 3)
 
 
 @query
