@@ -639,6 +639,10 @@ def test_pretrained_by_factory(spark):
     assert got["c2"] == pytest.approx([0, 0.6, 0.8])
     raw = {r.cell_id: r.embedding for r in encoders.encode_patches(patches, "uni2", "medium", factory=Tinted, batch_size=1).collect()}
     assert raw["c1"] == pytest.approx([15, 0, 0])
+    fine = encoders.encode_patches(patches, "hash", "medium", numbers="double", dim=encoders.SIDES, plain=True)
+    assert dict(fine.dtypes)["embedding"] == "array<double>"
+    with pytest.raises(ValueError, match="float or double"):
+        encoders.encode_patches(patches, "hash", "medium", numbers="half")
     text = encoders.encode_texts(spark.createDataFrame([("abc",)], "text string"), "biomedclip", factory=Tinted).first()
     assert text.vec == pytest.approx((np.array([3, 1]) / 10**0.5).tolist())
     assert encoders.get_encoder("uni", factory="numpy:zeros").factory == "numpy:zeros"
