@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q9_rules", "q5_lines", "q2_bpe", "q1_mixing", "q10_warc", "q4_media", "q8_html", "q6_quality", "q7_language", "q3_minhash", "q12_codes")
+MODULES = ("q9_rules", "q5_lines", "q2_bpe", "q1_mixing", "q10_warc", "q4_media", "q8_html", "q6_quality", "q7_language", "q3_minhash", "q11_packing", "q12_codes")
 
 
 def _modules():
