@@ -83,10 +83,13 @@ def assign(rows: DataFrame, q: str, code: str, was: str | None, error: str | Non
     ship(spark)
     books = spark.sparkContext.broadcast(entries)
     codes = ArrayType(IntegerType())
-    held = [c for c in rows.columns if c != code] if error is None else [c for c in rows.columns if c not in (code, q)]
+    held = [c for c in rows.columns if c != code and (error is None or c != q)]
     new = [StructField(code, codes)] + ([StructField(was, codes)] if was else []) + ([StructField(error, LongType())] if error else [])
-    full = StructType([*(rows.schema[c] for c in held), *new])
-    columns = [*held, q] + ([code] if code in rows.columns and was else [])
+    made = StructType([*(rows.schema[c] for c in held), *new])
+    columns = [*held, *([] if error is None else [q]), *([code] if code in rows.columns and was else [])]
+    at_q, at_code = columns.index(q), columns.index(code) if code in columns else None
+    # Names are the table's; on the way through Python columns go by place.
+    places = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(made.fields)])
 
     def run(batches):
         import pyarrow as pa
@@ -97,18 +100,18 @@ def assign(rows: DataFrame, q: str, code: str, was: str | None, error: str | Non
             for at in range(0, big.num_rows, ROWS_AT_ONCE):
                 b = big.slice(at, ROWS_AT_ONCE)
                 n = b.num_rows
-                x = b.column(len(held)).flatten().to_numpy(zero_copy_only=False).reshape(n, parts, width).astype(np.int64)
+                x = b.column(at_q).flatten().to_numpy(zero_copy_only=False).reshape(n, parts, width).astype(np.int64)
                 found = [nearest(x[:, p], e[p]) for p in range(parts)]
                 flat = np.stack([f[0] for f in found], axis=1).astype(np.int32).ravel()
                 out = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * parts), pa.array(flat))]
                 if was:
-                    out.append(b.column(len(held) + 1) if b.num_columns > len(held) + 1 else pa.nulls(n, pa.list_(pa.int32())))
+                    out.append(pa.nulls(n, pa.list_(pa.int32())) if at_code is None else b.column(at_code))
                 if error:
                     out.append(pa.array(sum(f[1] for f in found)))
-                yield pa.record_batch([*b.columns[: len(held)], *out], names=full.names)
+                yield pa.record_batch([*b.columns[: len(held)], *out], names=places.names)
             give_back()
 
-    return rows.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, full)
+    return rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, places).toDF(*made.names)
 
 
 def changes(rows: DataFrame, q: str, code: str, was: str, parts: int, width: int) -> DataFrame:
