@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,13 @@ def stable_hash(x: Column, seed: int = 0) -> Column:
     return ((a * a) % F.lit(PRIME) + n) * F.lit(MULT2) % F.lit(PRIME)
 
 
+def stable_hashes(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """stable_hash of an array of numbers."""
+    n = x + (1 + seed * STRIDE)
+    a = n * MULT % PRIME
+    return (a * a % PRIME + n) * MULT2 % PRIME
+
+
 def id_number(rows: DataFrame, id_col: str) -> Column:
     """An id as a number for stable_hash: whole numbers as they are, other ids by 44 bits of the MD5 of their text."""
     if dict(rows.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):

@@ -7,22 +7,26 @@ whatever libraries and weights are where the job runs.
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nichefold.functions.exprs import stable_hash
+from nichefold.functions.exprs import stable_hash, stable_hashes
 from nichefold.functions.workers import ship
 
 BUCKETS, STATS, SIDES = 256, 27, 48
+#: Words of a text, by the white space of text_buckets; words whose bucket a worker keeps.
+WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+WORDS_KEPT = 200_000
 
 
 def text_buckets(text: Column) -> Column:
     """The bucket of each word of a lower-cased text: its code points weighted by position, which any engine repeats."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    code = lambda w: F.aggregate(F.transform(F.split(w, ""), lambda c, i: F.ascii(c) * (i * 37 + 11)), F.lit(0), lambda acc, x: acc + x)
+    code = lambda w: F.aggregate(F.transform(F.split(w, ""), lambda c, i: F.ascii(c).cast("long") * (i * 37 + 11)), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return F.transform(words, lambda w: (code(w) % BUCKETS).cast("long"))
 
 
@@ -46,12 +50,30 @@ def patch_stats(patch: np.ndarray) -> np.ndarray:
 
 
 class HashEncoder:
-    """Statistics of patches by a fixed Gaussian matrix; plain: the statistics themselves."""
+    """Statistics of patches by a fixed Gaussian matrix; plain: the statistics themselves.  Texts: the numbers of hash_text, for long texts.
+
+    Sums over words are of whole numbers, so texts of the same words have equal vectors.
+    """
 
     normalised = False
 
     def __init__(self, dim: int = 512, seed: int = 0, plain: bool = False):
         self.projection = np.eye(SIDES, dim) if plain else np.random.default_rng(seed).standard_normal((SIDES, dim))
+        self.cells = stable_hashes(np.arange(BUCKETS * dim, dtype=np.int64), seed).reshape(BUCKETS, dim)
+        self.known: dict[str, int] = {}
+
+    def bucket(self, word: str) -> int:
+        """A word's bucket as text_buckets has it; those met lately are kept."""
+        if word not in self.known:
+            if len(self.known) >= WORDS_KEPT:
+                self.known.clear()
+            self.known[word] = sum(ord(c) * (i * 37 + 11) for i, c in enumerate(word)) % BUCKETS
+        return self.known[word]
+
+    def encode_text(self, texts: list[str | None]) -> np.ndarray:
+        bags = [np.bincount([self.bucket(w) for w in WORD.findall((t or "").lower())], minlength=BUCKETS) if t else np.zeros(BUCKETS, dtype=np.int64) for t in texts]
+        counts = np.stack(bags).astype(np.int64) if bags else np.zeros((0, BUCKETS), dtype=np.int64)
+        return counts @ self.cells / 1073741823.5 - counts.sum(axis=1, keepdims=True)
 
     def encode_image(self, patches: np.ndarray) -> np.ndarray:
         return np.stack([patch_stats(p) for p in patches]) @ self.projection
@@ -141,13 +163,14 @@ def encode_patches(patches: DataFrame, name: str, scale: str, numbers: str = "fl
     return patches.select("cell_id", "h", "w", "px").mapInArrow(run, f"cell_id {id_type}, encoder string, scale string, embedding array<{numbers}>")
 
 
-def encode_texts(texts: DataFrame, name: str, text_col: str = "text", **options) -> DataFrame:
-    """texts with vec, by an encoder that knows text."""
+def encode_texts(texts: DataFrame, name: str, text_col: str = "text", keep_text: bool = True, **options) -> DataFrame:
+    """texts with vec, by an encoder that knows text; keep_text: with the text itself."""
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     ship(texts.sparkSession)
-    at = texts.columns.index(text_col)
-    schema = StructType([*texts.schema.fields, StructField("vec", ArrayType(DoubleType()))])
+    rows = texts if keep_text else texts.select(*[c for c in texts.columns if c != text_col], text_col)
+    at, kept = rows.columns.index(text_col), len(rows.columns) - (not keep_text)
+    schema = StructType([*rows.schema.fields[:kept], StructField("vec", ArrayType(DoubleType()))])
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -155,6 +178,6 @@ def encode_texts(texts: DataFrame, name: str, text_col: str = "text", **options)
         model = get_encoder(name, **options)
         for b in batches:
             if b.num_rows:
-                yield pa.record_batch([*b.columns, pa.array(list(model.encode_text(b.column(at).to_pylist())), pa.list_(pa.float64()))], names=schema.names)
+                yield pa.record_batch([*b.columns[:kept], pa.array(list(model.encode_text(b.column(at).to_pylist())), pa.list_(pa.float64()))], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

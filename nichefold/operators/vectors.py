@@ -90,11 +90,13 @@ def _held_queries(queries: DataFrame, id_col: str, vec_col: str) -> tuple[list,
     return [r[0] for r in rows], _unit_rows(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), d))
 
 
-def _scored(names, q: np.ndarray, ids, x: np.ndarray, best: int | None):
+def _scored(names, q: np.ndarray, ids, x: np.ndarray, best: int | None, digits: int | None = None):
     """A batch of (query_id, item_id, score): all pairs, or each query's best and what ties with the last of them."""
     import pyarrow as pa
 
     s = q @ _unit_rows(x).T
+    if digits is not None:
+        s = np.floor(s * 10.0**digits + 0.5) / 10.0**digits
     n = len(x)
     if best is None or n <= best:
         at, cols = np.repeat(np.arange(len(s)), n), np.tile(np.arange(n), len(s))
@@ -106,13 +108,13 @@ def _scored(names, q: np.ndarray, ids, x: np.ndarray, best: int | None):
     return pa.record_batch([names.take(pa.array(at)), ids.take(pa.array(cols)), pa.array(s[at, cols])], names=["query_id", "item_id", "score"])
 
 
-def _score_batches(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str, i_id: str, i_vec: str, best: int | None) -> DataFrame:
+def _score_batches(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str, i_id: str, i_vec: str, best: int | None, digits: int | None = None) -> DataFrame:
     ship(items.sparkSession)
     kinds = dict(queries.dtypes)[q_id], dict(items.dtypes)[i_id]
     kind = f"query_id {kinds[0]}, item_id {kinds[1]}, score double"
     held = _held_queries(queries, q_id, q_vec)
     if held is None:
-        return _score_blocks(items, queries, q_id, q_vec, i_id, i_vec, best, kind)
+        return _score_blocks(items, queries, q_id, q_vec, i_id, i_vec, best, kind, digits=digits)
     shared = items.sparkSession.sparkContext.broadcast(held)
     q_type = to_arrow_type(queries.schema[q_id].dataType)
 
@@ -123,12 +125,12 @@ def _score_batches(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str,
         names = pa.array(ids, q_type)
         for b in batches:
             if b.num_rows and ids:
-                yield _scored(names, q, b.column(0), matrix(b.column(1)), best)
+                yield _scored(names, q, b.column(0), matrix(b.column(1)), best, digits)
 
     return items.select(i_id, i_vec).mapInArrow(run, kind)
 
 
-def _score_blocks(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str, i_id: str, i_vec: str, best: int | None, kind: str, numbers: int | None = None) -> DataFrame:
+def _score_blocks(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str, i_id: str, i_vec: str, best: int | None, kind: str, numbers: int | None = None, digits: int | None = None) -> DataFrame:
     """Scores of more queries than a worker holds: queries in blocks, which meet the items in blocks; each block pair is one sorted run of rows."""
     d = items.agg(F.max(F.size(i_vec))).first()[0] or 1
     numbers = numbers or MAX_QUERY_NUMBERS // 8
@@ -157,7 +159,7 @@ def _score_blocks(items: DataFrame, queries: DataFrame, q_id: str, q_vec: str, i
                     names.append(cut.column(3))
                     q.append(_unit_rows(matrix(cut.column(5))))
                 elif q:
-                    yield _scored(pa.concat_arrays(names), np.concatenate(q), cut.column(4), matrix(cut.column(5)), best)
+                    yield _scored(pa.concat_arrays(names), np.concatenate(q), cut.column(4), matrix(cut.column(5)), best, digits)
 
     return rows.mapInArrow(run, kind)
 
@@ -171,9 +173,12 @@ def cosine_scores(items: DataFrame, queries: DataFrame, q_id: str = "query_id",
     return _score_batches(items, queries, q_id, q_vec, i_id, i_vec, None)
 
 
-def cosine_top(items: DataFrame, queries: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "qvec", i_id: str = "item_id", i_vec: str = "embedding") -> DataFrame:
-    """(query_id, item_id, score, rnk): the k best items of each query, ties by item.  Batches leave only their own best to rank."""
-    near = _score_batches(items, queries, q_id, q_vec, i_id, i_vec, k)
+def cosine_top(items: DataFrame, queries: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "qvec", i_id: str = "item_id", i_vec: str = "embedding", digits: int | None = None) -> DataFrame:
+    """(query_id, item_id, score, rnk): the k best items of each query, ties by item.  Batches leave only their own best to rank.
+
+    digits: scores count on so many decimals, halves up, so that what differs by rounding alone is a tie.
+    """
+    near = _score_batches(items, queries, q_id, q_vec, i_id, i_vec, k, digits)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return near.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
 

@@ -120,7 +120,7 @@ _ORDER = list(CTE)
 
 
 def with_(final: str, *extra: tuple[str, str]) -> str:
-    """final with the CTEs that it needs, found by name."""
+    """final with the CTEs that it needs, found by name; extra ones may stand for known ones of their name."""
     import re
 
     known = CTE | dict(extra)
@@ -133,7 +133,7 @@ def with_(final: str, *extra: tuple[str, str]) -> str:
                 add(known[n])
 
     add(final)
-    names = [n for n in [*_ORDER, *(e[0] for e in extra)] if n in need]
+    names = [n for n in [*_ORDER, *(e[0] for e in extra if e[0] not in CTE)] if n in need]
     return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in names) + "\n" if names else "") + final
 
 

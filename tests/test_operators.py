@@ -737,3 +737,15 @@ def test_stream_counts(spark, tmp_path, small):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from windows").first()[0] == 1000
+
+
+def test_hash_encoder_encodes_texts_as_sql_functions_do(spark):
+    texts = ["B cells", "", "  tumor\timmune\n boundary ", "x" * 5000 + " y", "grüße aus köln", "cells B", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for seed in (0, 3):
+        want = {r.i: r.vec for r in encoders.hash_text(df.filter("text IS NOT NULL"), 16, seed=seed).collect()}
+        got = {r.i: r.vec for r in encoders.encode_texts(df, "hash", dim=16, seed=seed, keep_text=False).collect()}
+        assert all(np.allclose(got[i], want[i], atol=1e-9) for i in want)
+        assert got[6] == [0.0] * 16
+        assert got[0] == got[5]
+    assert encoders.encode_texts(df, "hash", dim=4).columns == ["i", "text", "vec"]
