@@ -38,7 +38,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     warc.register(spark)
     where = scratch(spark, "warc")
-    records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(where)
+    pages = table(spark, sf_dir, "pages")
+    records(pages).write.format("warc").mode("append").save(where)
+    n, there = pages.count(), spark.read.format("warc").schema("record_id string").load(where).count()  # headers only
+    if n != there:
+        raise RuntimeError(f"{n} pages were written, {there} records are there")
     back = spark.read.format("warc").schema("warc_type string, record_id string, refers_to string, payload_digest string, payload_length long, payload_sha256 string").load(where)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9-]+)>$', 1) AS long)")
     return back.select(

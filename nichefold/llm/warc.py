@@ -10,7 +10,7 @@ Writing (``df.write.format("warc").save(folder)``) makes archives of at most abo
 attempt writes under names of its own that readers ignore, and the driver's commit gives them their final names, so
 repeated or lost tasks leave no records behind.
 
-Defined cases: null headers aren't written; a null payload is empty; a record without WARC-Type is of type "";
+Defined cases: null headers aren't written; control characters in a header's value, and blanks at its ends, are written and read as percent-encoded; a null payload is empty; a record without WARC-Type is of type "";
 files whose name starts with "." or "_" aren't archives; an archive cut off in a record, or with a record without a whole number as
 Content-Length, ends there; a member that tells its length but whose bytes don't match its checksum is left out where its payload is wanted, and those
 after it are read; members with and without a length may follow each other; repeated rows are written as often as they come; an empty table is an
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -97,8 +98,17 @@ def member(record: bytes, level: int = 1) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(record)) + body + tail
 
 
+#: What would end a header's value or be lost at its ends: control characters anywhere, blanks first and last.
+UNSAFE = re.compile(r"[\x00-\x1f\x7f]|^ +| +$")
+
+
+def header_value(v: str) -> str:
+    """A value that stays within its line: what is unsafe is percent-encoded."""
+    return UNSAFE.sub(lambda m: "".join(f"%{ord(c):02X}" for c in m.group()), v)
+
+
 def record(fields: list[tuple[str, str]], block: bytes) -> bytes:
-    head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    head = "".join(f"{k}: {header_value(v)}\r\n" for k, v in fields)
     return b"WARC/1.0\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
 
@@ -113,10 +123,10 @@ def parse_fields(head: bytes) -> dict[str, str]:
     last = ""
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         if line[:1] in (" ", "\t") and last:
-            out[last] += " " + line.strip()
+            out[last] += " " + line.strip(" \t")
         elif ":" in line:
             k, _, v = line.partition(":")
-            out[last := k.strip().lower()] = v.strip()
+            out[last := k.strip().lower()] = v.strip(" \t")
     return out
 
 
