@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nichefold.config import LINEAGES, NICHES, PROMPTS, load_settings, results_dir
 from nichefold.functions.exprs import half_up, stable_hash, stable_unit
 from nichefold.functions.workers import ship
-from nichefold.operators import encoders, expression, heads, imaging, metrics, plots, relevance, sampling, spatial, stats, validation, vectors
+from nichefold.operators import encoders, expression, heads, imaging, metrics, neighbours, plots, relevance, sampling, spatial, stats, validation, vectors
 from nichefold.plans import baselines, oracles
 from nichefold.plans import fixtures as X
 from nichefold.sources import cells as sources
@@ -247,6 +247,12 @@ def cosine_topk(s, d):
     return six(vectors.cosine_top(items, queries, 15))
 
 
+@query
+def feature_knn(s, d):
+    """The nearest other vectors of each."""
+    return six(neighbours.feature_knn(X.item_vectors(s, d), X.SETTINGS.k))
+
+
 @query
 def hash_text_features(s, d):
     rows = X.queries(s).select("query_id", F.explode(encoders.text_buckets(F.col("query_text"))).alias("bucket"))

@@ -91,6 +91,8 @@ CTE: dict[str, str] = {
     "means": "SELECT label, d, avg(v) AS m FROM dims GROUP BY ALL",
     "cent": "SELECT label, d, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-8) AS q FROM means",
     "cos": "SELECT c.label AS query_id, i.item_id, i.label AS item_label, sum(c.q * i.v) AS score FROM dims i JOIN cent c ON c.d = i.d GROUP BY ALL",
+    "vpairs": "SELECT a.vec_id AS item_id, b.vec_id AS nbr_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id",
+    "vnear": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, nbr_id)::INT AS rnk FROM vpairs) WHERE rnk <= {S.k}",
     "escores": f"SELECT 'biomedclip' AS baseline, query_id, item_id, {r6('score')} AS score FROM cos UNION ALL SELECT 'random', query_id, item_id, {r6(h('item_id * 64 + query_id') + ' / 2147483647.0::DOUBLE')} FROM cos",
     "erel": "SELECT query_id, item_id, query_id = item_label AS rel FROM cos",
 }
@@ -514,6 +516,7 @@ SQL: dict[str, str] = {
     "l2_normalize": with_(f"SELECT item_id, d, {r6('v')} AS v FROM dims"),
     "cosine_scores": with_(f"SELECT query_id, item_id, {r6('score')} AS score FROM cos"),
     "cosine_topk": with_(f"SELECT query_id, item_id, {r6('score')} AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rnk FROM cos) WHERE rnk <= 15"),
+    "feature_knn": with_(f"SELECT item_id, nbr_id, {r6('d2')} AS d2, rnk FROM vnear"),
     "hash_text_features": with_(f"SELECT query_id, {_bucket} AS bucket, count(*) AS n FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS w FROM qs) GROUP BY ALL"),
     "prompt_ensemble": with_(f"SELECT query_id, d, {r6('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY query_id)), 1e-8)')} AS v FROM pmean", ("prompts", _prompts), ("pwords", _words), ("pvec", _pvec), ("punit", _punit), ("pmean", _pmean)),
     "zero_shot_scores": with_(
