@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nichefold.config import LINEAGES, NICHES, PROMPTS, load_settings, results_dir
 from nichefold.functions.exprs import half_up, stable_hash, stable_unit
 from nichefold.functions.workers import ship
-from nichefold.operators import encoders, expression, heads, imaging, metrics, neighbours, plots, relevance, sampling, spatial, stats, validation, vectors
+from nichefold.operators import communities, encoders, expression, heads, imaging, metrics, neighbours, plots, relevance, sampling, spatial, stats, validation, vectors
 from nichefold.plans import baselines, oracles
 from nichefold.plans import fixtures as X
 from nichefold.sources import cells as sources
@@ -253,6 +253,30 @@ def feature_knn(s, d):
     return six(neighbours.feature_knn(X.item_vectors(s, d), X.SETTINGS.k))
 
 
+def _weights(s, d) -> DataFrame:
+    near = stage(neighbours.feature_knn(X.item_vectors(s, d), X.SETTINGS.k - 1), "near")
+    return communities.fuzzy_union(communities.memberships(near, X.SETTINGS.k))
+
+
+@query
+def neighbour_weights(s, d):
+    """The fuzzy graph of nearest vectors: how much each pair belongs together."""
+    return six(_weights(s, d))
+
+
+@query
+def graph_modularity(s, d):
+    """How well labels cut the fuzzy graph of nearest vectors."""
+    labels = X.item_vectors(s, d).select(F.col("item_id").alias("node"), F.col("label").alias("community"))
+    return six(communities.modularity(stage(_weights(s, d), "weights"), labels, 0.5))
+
+
+@query
+def feature_communities(s, d):
+    """Communities of the fuzzy graph of nearest vectors."""
+    return communities.leiden(communities.whole_weights(_weights(s, d)), 1.0)
+
+
 @query
 def hash_text_features(s, d):
     rows = X.queries(s).select("query_id", F.explode(encoders.text_buckets(F.col("query_text"))).alias("bucket"))

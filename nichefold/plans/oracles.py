@@ -93,6 +93,13 @@ CTE: dict[str, str] = {
     "cos": "SELECT c.label AS query_id, i.item_id, i.label AS item_label, sum(c.q * i.v) AS score FROM dims i JOIN cent c ON c.d = i.d GROUP BY ALL",
     "vpairs": "SELECT a.vec_id AS item_id, b.vec_id AS nbr_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id <> b.vec_id",
     "vnear": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, nbr_id)::INT AS rnk FROM vpairs) WHERE rnk <= {S.k}",
+    "vsets": f"SELECT item_id, ns, ds, list_transform(ds, lambda d: greatest(d - coalesce(list_filter(ds, lambda e: e > 0)[1], 0), 0)) AS over FROM (SELECT item_id, list(nbr_id ORDER BY d2, nbr_id) AS ns, list(sqrt(d2) ORDER BY d2, nbr_id) AS ds FROM vnear WHERE rnk < {S.k} GROUP BY 1)",
+    "vscale": f"""SELECT item_id, 0 AS step, 0.0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1.0::DOUBLE AS mid FROM vsets UNION ALL
+        SELECT item_id, step + 1, CASE WHEN p > log2({S.k}) THEN lo ELSE mid END, CASE WHEN p > log2({S.k}) THEN mid ELSE hi END, CASE WHEN p > log2({S.k}) THEN (lo + mid) / 2 WHEN hi = 'inf'::DOUBLE THEN mid * 2 ELSE (mid + hi) / 2 END
+        FROM (SELECT b.*, list_sum(list_transform(over, lambda o: exp(-o / mid))) AS p FROM vscale b JOIN vsets USING (item_id) WHERE step < 64)""",
+    "vmembers": "SELECT item_id, n AS nbr_id, CASE WHEN o > 0 THEN exp(-o / greatest(mid, mean * 1e-3)) ELSE 1.0::DOUBLE END AS w FROM (SELECT item_id, unnest(ns) AS n, unnest(over) AS o, list_avg(ds) AS mean FROM vsets) JOIN vscale USING (item_id) WHERE step = 64",
+    "vweights": "SELECT least(item_id, nbr_id) AS src, greatest(item_id, nbr_id) AS dst, sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END AS w FROM vmembers GROUP BY ALL",
+    "vends": "SELECT w, a.label AS a, b.label AS b FROM vweights JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst",
     "escores": f"SELECT 'biomedclip' AS baseline, query_id, item_id, {r6('score')} AS score FROM cos UNION ALL SELECT 'random', query_id, item_id, {r6(h('item_id * 64 + query_id') + ' / 2147483647.0::DOUBLE')} FROM cos",
     "erel": "SELECT query_id, item_id, query_id = item_label AS rel FROM cos",
 }
@@ -517,6 +524,8 @@ SQL: dict[str, str] = {
     "cosine_scores": with_(f"SELECT query_id, item_id, {r6('score')} AS score FROM cos"),
     "cosine_topk": with_(f"SELECT query_id, item_id, {r6('score')} AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rnk FROM cos) WHERE rnk <= 15"),
     "feature_knn": with_(f"SELECT item_id, nbr_id, {r6('d2')} AS d2, rnk FROM vnear"),
+    "neighbour_weights": with_(f"SELECT src, dst, {r6('w')} AS w FROM vweights"),
+    "graph_modularity": with_(f"SELECT {r6('sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) - 0.5 * (SELECT sum(k * k) FROM (SELECT sum(w) AS k FROM (SELECT a AS c, w FROM vends UNION ALL SELECT b, w FROM vends) GROUP BY c)) / (4 * sum(w) * sum(w))')} AS q FROM vends"),
     "hash_text_features": with_(f"SELECT query_id, {_bucket} AS bucket, count(*) AS n FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS w FROM qs) GROUP BY ALL"),
     "prompt_ensemble": with_(f"SELECT query_id, d, {r6('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY query_id)), 1e-8)')} AS v FROM pmean", ("prompts", _prompts), ("pwords", _words), ("pvec", _pvec), ("punit", _punit), ("pmean", _pmean)),
     "zero_shot_scores": with_(
