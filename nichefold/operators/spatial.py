@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichefold.config import LINEAGES, NICHES
+from nichefold.functions.exprs import id_number, stable_unit
 from nichefold.operators.vectors import mean_vectors
 from nichefold.sources.stage import stage
 
@@ -171,12 +173,49 @@ def to_pixels_affine(points: DataFrame, m: list[list[float]], invert: bool = Fal
     return points.select("cell_id", (row(0) / row(2)).alias("px"), (row(1) / row(2)).alias("py"))
 
 
-def kmeans_regions(points: DataFrame, k: int = 5, seed: int = 0, starts: int = 10) -> DataFrame:
-    """(cell_id, fold): regions by k-means on coordinates, the best of several starts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def _nearest_centre(x: Column, y: Column, centres: Column) -> Column:
+    """The place, from 0, of the centre nearest to a point, ties to the first."""
+    d2 = lambda c: (x - c["x"]) * (x - c["x"]) + (y - c["y"]) * (y - c["y"])
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(d2(c).alias("d2"), i.alias("i"))))["i"]
 
-    data = stage(VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points), "regions")
-    fits = [KMeans(k=k, seed=seed + i).fit(data) for i in range(starts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).select("cell_id", F.col("prediction").alias("fold"))
+
+def kmeans_regions(points: DataFrame, k: int = 5, seed: int = 0, starts: int = 10, rounds: int = 30, unit: float = 1e-3) -> DataFrame:
+    """(cell_id, fold): regions by k-means on coordinates, the best of several starts, numbered by their centres from left to right.
+
+    All starts go side by side, a job a round.  Coordinates count in whole units, so sums are exact.  A start draws points far from those it has: each next one with a
+    chance in proportion to its squared distance.  Rounds end when no centre moves; a region that loses its points keeps its centre.  Where fewer than k
+    places differ there are as many regions.  Centres, starts x k of them, are held on the driver.
+    """
+    spark = points.sparkSession
+    whole = lambda c: F.round(F.col(c) / unit).cast("long")
+    rows = stage(points.select("cell_id", whole("x").alias("x"), whole("y").alias("y")), "regions")
+    number = id_number(rows, "cell_id")
+    held: list[list[tuple]] = [[] for _ in range(starts)]
+    for j in range(k):
+        picks = []
+        for s, mine in enumerate(held):
+            far = F.least(*[((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)).cast("double") for x, y in mine], F.lit(math.inf)) if mine else F.lit(1.0)
+            wait = F.when(far > 0, -F.log(stable_unit(number, seed + s * k + j)) / far)
+            picks.append(F.min_by(F.struct("x", "y"), F.when(wait.isNotNull(), F.struct(wait.alias("w"), F.col("cell_id")))).alias(f"s{s}"))
+        for mine, pick in zip(held, rows.agg(*picks).first(), strict=True):
+            if pick is not None:
+                mine.append((pick.x, pick.y))
+    centres = [[(float(x), float(y)) for x, y in mine] for mine in held]
+    if not centres[0]:
+        return rows.select("cell_id", F.lit(0).alias("fold"))
+    place = _nearest_centre(F.col("x"), F.col("y"), F.col("centres"))
+    sums: dict[int, dict[int, tuple]] = {}
+    for _ in range(rounds):
+        table = spark.createDataFrame([(s, [{"x": x, "y": y} for x, y in c]) for s, c in enumerate(centres)], "s int, centres array<struct<x double, y double>>")
+        met = rows.crossJoin(F.broadcast(table)).groupBy("s", place.alias("c")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n"))
+        sums = {s: {} for s in range(starts)}
+        for r in met.collect():  # starts x k rows
+            sums[r.s][r.c] = (r.x, r.y, r.n)
+        new = [[(sums[s][i][0] / sums[s][i][2], sums[s][i][1] / sums[s][i][2]) if i in sums[s] else c for i, c in enumerate(mine)] for s, mine in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    tight = [sum(Fraction(x * x + y * y, n) for x, y, n in sums[s].values()) for s in range(starts)]  # the higher, the nearer points are to their centres
+    best = sorted(centres[tight.index(max(tight))])
+    fold = _nearest_centre(F.col("x"), F.col("y"), F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in best]))
+    return rows.select("cell_id", fold.cast("int").alias("fold"))

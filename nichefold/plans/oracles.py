@@ -146,6 +146,25 @@ def with_(final: str, *extra: tuple[str, str]) -> str:
     return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({known[n]})" for n in names) + "\n" if names else "") + final
 
 
+def _regions(k: int = 5, starts: int = 10, rounds: int = 30) -> str:
+    """k-means on coordinates in thousandths: draws, rounds, and the best start's regions by their centres from left to right."""
+    d2 = lambda c: f"(x - {c}.x) * (x - {c}.x) + (y - {c}.y) * (y - {c}.y)"
+    near = f"list_position(list_transform(cs, lambda c: {d2('c')}), list_min(list_transform(cs, lambda c: {d2('c')})))"
+    point = "{'x': x::DOUBLE, 'y': y::DOUBLE}"
+    wait = lambda j: f"-ln(({h(f'cell_id + (s * {k} + {j}) * 1000003')} + 0.5::DOUBLE) / 2147483647.0::DOUBLE)"
+    ctes = [
+        ("kp", "SELECT cell_id, round(x / 0.001)::BIGINT AS x, round(y / 0.001)::BIGINT AS y FROM cells"),
+        ("kc0", f"SELECT s, [arg_min({point}, {wait(0)})] AS cs FROM kp, range({starts}) AS r(s) GROUP BY s"),
+        *[(f"kc{j}", f"SELECT s, list_append(cs, arg_min({point}, {wait(j)} / far)) AS cs FROM (SELECT *, list_min(list_transform(cs, lambda c: {d2('c')})) AS far FROM kp, kc{j - 1}) WHERE far > 0 GROUP BY s, cs") for j in range(1, k)],
+        ("kround", f"SELECT 0 AS step, s, cs FROM kc{k - 1} UNION ALL SELECT step + 1, s, ["
+            + ", ".join(f"{{'x': coalesce(sum(x) FILTER (c = {i}) / count(*) FILTER (c = {i}), cs[{i}].x), 'y': coalesce(sum(y) FILTER (c = {i}) / count(*) FILTER (c = {i}), cs[{i}].y)}}" for i in range(1, k + 1))
+            + f"] FROM (SELECT step, s, cs, x, y, {near} AS c FROM kround, kp WHERE step < {rounds}) GROUP BY step, s, cs"),
+        ("ktight", f"SELECT s, sum(q) AS q FROM (SELECT s, c, (sum(x)::DOUBLE * sum(x)::DOUBLE + sum(y)::DOUBLE * sum(y)::DOUBLE) / count(*) AS q FROM (SELECT s, x, y, {near} AS c FROM kround, kp WHERE step = {rounds - 1}) GROUP BY s, c) GROUP BY s"),
+        ("kbest", f"SELECT list_sort(cs) AS cs FROM kround JOIN (SELECT s FROM ktight ORDER BY round(q / (SELECT max(q) FROM ktight), 9) DESC, s LIMIT 1) USING (s) WHERE step = {rounds}"),
+    ]
+    return with_(f"SELECT cell_id, ({near} - 1)::INT AS fold FROM kp, kbest", *ctes)
+
+
 REPORT = ["hit@1", "P@5", "R@5", "R@10", "mAP", "MRR", "nDCG@10", "enrich@10"]
 
 
@@ -523,6 +542,7 @@ SQL: dict[str, str] = {
     "l2_normalize": with_(f"SELECT item_id, d, {r6('v')} AS v FROM dims"),
     "cosine_scores": with_(f"SELECT query_id, item_id, {r6('score')} AS score FROM cos"),
     "cosine_topk": with_(f"SELECT query_id, item_id, {r6('score')} AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rnk FROM cos) WHERE rnk <= 15"),
+    "kmeans_regions": _regions(),
     "feature_knn": with_(f"SELECT item_id, nbr_id, {r6('d2')} AS d2, rnk FROM vnear"),
     "neighbour_weights": with_(f"SELECT src, dst, {r6('w')} AS w FROM vweights"),
     "graph_modularity": with_(f"SELECT {r6('sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) - 0.5 * (SELECT sum(k * k) FROM (SELECT sum(w) AS k FROM (SELECT a AS c, w FROM vends UNION ALL SELECT b, w FROM vends) GROUP BY c)) / (4 * sum(w) * sum(w))')} AS q FROM vends"),

@@ -192,3 +192,21 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(Session())
+
+
+def test_regions_of_few_places(spark):
+    two = spark.createDataFrame([(i, float(i % 2), 5.0) for i in range(9)], "cell_id long, x double, y double")
+    assert {(r.cell_id, r.fold) for r in spatial.kmeans_regions(two, 4, starts=3).collect()} == {(i, i % 2) for i in range(9)}
+    assert spatial.kmeans_regions(two.limit(0), 4).collect() == []
+    named = two.select(F.concat(F.lit("c"), "cell_id").alias("cell_id"), "x", "y")
+    assert {(r.cell_id, r.fold) for r in spatial.kmeans_regions(named, 2).collect()} == {(f"c{i}", i % 2) for i in range(9)}
+
+
+def test_regions_are_the_best_start_and_settled(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(c, 1.0, (60, 2)) for c in ((0, 0), (20, 0), (0, 20), (20, 20), (40, 10))]).round(3)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double")
+    fold = np.array([r.fold for r in spatial.kmeans_regions(points, 5).orderBy("cell_id").collect()])
+    assert all(len(set(fold[60 * c : 60 * c + 60])) == 1 for c in range(5))
+    centres = [xy[fold == f].mean(0)[0] for f in range(5)]
+    assert centres == sorted(centres)

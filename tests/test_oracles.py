@@ -12,7 +12,7 @@ from nichefold.sources.stage import drop_tables
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 #: tests/test_baselines.py and tests/test_communities.py hold these against numpy and slow versions.
-COVERED = {"feature_communities", "baseline_scores", "baseline_metrics", "kmeans_regions", "label_validation"}
+COVERED = {"feature_communities", "baseline_scores", "baseline_metrics", "label_validation"}
 
 
 @pytest.fixture(scope="module")
