@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME, MULT, MULT2, STRIDE = 2147483647, 48271, 69621, 1000003
+#: How far apart numbers of steps and units are put before they are hashed.
+LEAP = 1000000007
 EPS = 1e-8
 
 

@@ -2,7 +2,8 @@
 
 Nothing is refused for its size.  Ridge sums outer products in row batches on the cluster, band by band; wide ones a fold at a time, so that a worker holds
 one matrix of features by features, and each fold is solved in a task of its own.  The other heads train in one task a fold while its rows fit a worker
-(WORKER_NUMBERS); beyond that the same steps run with gradients summed over the cluster, a job a step.  The driver holds parameters, never rows.
+(WORKER_NUMBERS); beyond that the same steps run with gradients summed over the cluster, a job a step.  Both give one result, whatever the partitioning: units are
+dropped by hashes of item, step and unit.  The driver holds parameters, never rows.
 
 Rows are (item_id, fold, x array<double>, y array<double>) and may have ``skip``, an array of folds that a row isn't learned from.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nichefold.functions.arrays import matrix
+from nichefold.functions.exprs import LEAP, PRIME, id_number, stable_hash, stable_hashes
 from nichefold.functions.workers import ship
 from nichefold.sources.stage import stage
 
@@ -257,20 +259,29 @@ class Logistic:
     def penalty(self, theta):
         return self.decay * float(theta @ theta), 2 * self.decay * theta
 
-    def polish(self, theta, x, y, pw, rounds: int = 4):
-        """Newton's steps from about the minimum, which descent finds to half the digits, where features are so few that they cost little."""
-        if self.d > NARROW or not len(x):
-            return theta
+    def curvature(self, theta, x, y, n, pw):
+        """These rows' share of each query's second derivatives and gradient: q x (d + 1) x (d + 2) numbers."""
         z = np.hstack([x, np.ones((len(x), 1))])
-        beta = theta.reshape(self.d + 1, self.q).copy()
+        beta = theta.reshape(self.d + 1, self.q)
+        out = np.empty((self.q, self.d + 1, self.d + 2))
         for j in range(self.q):
-            weight = np.where(y[:, j] > 0, pw[j], 1.0) / (len(x) * self.q)
-            for _ in range(rounds):
-                p = _sigmoid(z @ beta[:, j])
-                hess = (z * (weight * p * (1 - p))[:, None]).T @ z + 2 * self.decay * np.eye(self.d + 1)
-                beta[:, j] -= np.linalg.solve(hess, z.T @ (weight * (p - y[:, j])) + 2 * self.decay * beta[:, j])
+            weight = np.where(y[:, j] > 0, pw[j], 1.0) / (n * self.q)
+            p = _sigmoid(z @ beta[:, j])
+            out[j, :, :-1] = (z * (weight * p * (1 - p))[:, None]).T @ z
+            out[j, :, -1] = z.T @ (weight * (p - y[:, j]))
+        return out.ravel()
+
+    def newton(self, theta, sums):
+        """A step of Newton's by what ``curvature`` adds up to."""
+        beta = theta.reshape(self.d + 1, self.q).copy()
+        for j, m in enumerate(sums.reshape(self.q, self.d + 1, self.d + 2)):
+            beta[:, j] -= np.linalg.solve(m[:, :-1] + 2 * self.decay * np.eye(self.d + 1), m[:, -1] + 2 * self.decay * beta[:, j])
         return beta.ravel()
 
+    def newton_rounds(self) -> int:
+        """Steps from about the minimum, which descent finds to half the digits, where features are so few that they cost little."""
+        return 4 if self.d <= NARROW else 0
+
     def scores(self, theta, x):
         w, b = self.parts(theta)
         return x @ w + b
@@ -305,6 +316,9 @@ class Mlp:
     def penalty(self, theta):
         return 0.0, self.decay * theta
 
+    def newton_rounds(self) -> int:
+        return 0
+
     def scores(self, theta, x):
         w1, b1, w2, b2 = self.parts(theta)
         return np.maximum(x @ w1 + b1, 0) @ w2 + b2
@@ -332,6 +346,9 @@ class OpenVocab:
     def penalty(self, theta):
         return 0.0, self.decay * theta
 
+    def newton_rounds(self) -> int:
+        return 0
+
     def scores(self, theta, x):
         w = theta.reshape(self.d + 1, self.q)
         p = x @ w[:-1] + w[-1]
@@ -341,18 +358,32 @@ class OpenVocab:
 HEADS: dict[str, Callable] = {"logistic": Logistic, "mlp": Mlp, "openvocab": OpenVocab}
 
 
-def fit(model, x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Parameters of a model from rows at hand, of which x is standardised already."""
+class Draws:
+    """Random numbers that depend on a row's key, the step and the place in the row alone, so that any task, and SQL, draws the same."""
+
+    def __init__(self, keys: np.ndarray, step: int):
+        self.rows = stable_hashes(keys + (step + 1) * LEAP)
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        return (stable_hashes(self.rows[:, None] + np.arange(shape[1], dtype=np.int64) * LEAP) + 0.5) / PRIME
+
+
+def fit(model, x: np.ndarray, y: np.ndarray, seed: int = 0, keys: np.ndarray | None = None) -> np.ndarray:
+    """Parameters of a model from rows at hand, of which x is standardised already; keys: of the rows, for random draws."""
     steps, t, n = model.steps(), 0, max(1, len(x))
+    keys = stable_hashes(np.arange(len(x), dtype=np.int64), seed) if keys is None else keys
     pw = pos_weight(len(x), y.sum(axis=0))
     try:
         theta = next(steps)
         while True:
-            loss, grad = model.sums(theta, x, y, n, pw, np.random.default_rng([seed, t]))
+            loss, grad = model.sums(theta, x, y, n, pw, Draws(keys, t))
             more, pull = model.penalty(theta)
             theta, t = steps.send((loss + more, grad + pull)), t + 1
     except StopIteration as e:
-        return model.polish(e.value, x, y, pw) if hasattr(model, "polish") else e.value
+        theta = e.value
+    for _ in range(model.newton_rounds() if len(x) else 0):
+        theta = model.newton(theta, model.curvature(theta, x, y, n, pw))
+    return theta
 
 
 def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,15 +395,17 @@ def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mu, sd
 
 
-def _with_skip(rows: DataFrame) -> DataFrame:
-    return rows if "skip" in rows.columns else rows.withColumn("skip", F.array().cast("array<int>"))
+def _with_skip(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with ``skip``, and ``key``, by which random numbers are drawn for them."""
+    rows = rows if "skip" in rows.columns else rows.withColumn("skip", F.array().cast("array<int>"))
+    return rows.withColumn("key", stable_hash(id_number(rows, "item_id"), seed))
 
 
 def _dealt(rows: DataFrame, folds: list[int]) -> DataFrame:
-    """A row for each fold that a row is learned from or tested in (task, test, item_id, x, y): a partition a fold, training rows first."""
+    """A row for each fold that a row is learned from or tested in (task, test, item_id, x, y, key): a partition a fold, training rows first."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("task"), F.lit(f).alias("g")) for i, f in enumerate(folds)])).alias("o")
-    all_ = rows.select("item_id", "fold", "x", "y", "skip", each).withColumn("test", (F.col("fold") == F.col("o.g")).cast("int"))
-    used = all_.filter((F.col("test") == 1) | ~F.array_contains("skip", F.col("o.g"))).select(F.col("o.task").alias("task"), "test", "item_id", "x", "y")
+    all_ = rows.select("item_id", "fold", "x", "y", "skip", "key", each).withColumn("test", (F.col("fold") == F.col("o.g")).cast("int"))
+    used = all_.filter((F.col("test") == 1) | ~F.array_contains("skip", F.col("o.g"))).select(F.col("o.task").alias("task"), "test", "item_id", "x", "y", "key")
     return used.repartitionById(len(folds), F.col("task")).sortWithinPartitions("task", "test", "item_id")
 
 
@@ -383,7 +416,7 @@ def head_oof(rows: DataFrame, names: list[str], head: str = "logistic", seed: in
     """
     if head not in HEADS:
         raise ValueError(f"unknown head {head}")
-    rows = _with_skip(rows)
+    rows = _with_skip(rows, seed)
     folds = fold_list(rows) if folds is None else folds
     d, q = _width(rows, "x"), _width(rows, "y")
     kind = f"query_id string, item_id {dict(rows.dtypes)['item_id']}, score double"
@@ -393,29 +426,29 @@ def head_oof(rows: DataFrame, names: list[str], head: str = "logistic", seed: in
     sizes = dict(zip(folds, rows.agg(*[F.count_if((F.col("fold") != f) & ~F.array_contains("skip", F.lit(f))) for f in folds]).first(), strict=True))
     make = lambda: HEADS[head](d, q, seed=seed, **options)
     if max(sizes.values()) * d > WORKER_NUMBERS:
-        return _score(rows, names, _fit_on_cluster(rows, make, folds, sizes, d, seed), make, d, kind)
+        return _score(rows, names, _fit_on_cluster(rows, make, folds, sizes, d), make, d, kind)
     counts = [sizes[f] for f in folds]
 
     def run(batches):
         import pyarrow as pa
 
-        x = y = theta = model = mu = sd = None
+        x = y = keys = theta = model = mu = sd = None
         at = 0
         for b in batches:
             if not b.num_rows:
                 continue
             task, test = b.column(0)[0].as_py(), b.column(1).to_numpy(zero_copy_only=False)
             if x is None:
-                x, y = np.empty((counts[task], d)), np.empty((counts[task], q))
+                x, y, keys = np.empty((counts[task], d)), np.empty((counts[task], q)), np.empty(counts[task], dtype=np.int64)
             k = int(np.searchsorted(test, 1))
-            x[at : at + k], y[at : at + k] = matrix(b.column(3)[:k], d), matrix(b.column(4)[:k], q)
+            x[at : at + k], y[at : at + k], keys[at : at + k] = matrix(b.column(3)[:k], d), matrix(b.column(4)[:k], q), b.column(5)[:k].to_numpy(zero_copy_only=False)
             at += k
             if k == b.num_rows:
                 continue
             if theta is None:
                 mu, sd = standardise(x)
                 model = make()
-                theta = fit(model, x, y, seed)
+                theta = fit(model, x, y, seed, keys)
             s = model.scores(theta, (matrix(b.column(3)[k:], d) - mu) / sd)
             ids = b.column(2)[k:]
             for j, name in enumerate(names):
@@ -424,38 +457,41 @@ def head_oof(rows: DataFrame, names: list[str], head: str = "logistic", seed: in
     return _dealt(rows, folds).mapInArrow(run, kind)
 
 
-def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, int], d: int, seed: int) -> dict:
-    """By fold (parameters, means, deviations), each step's gradients summed over all rows where they lie."""
+def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, int], d: int) -> dict:
+    """By fold (parameters, means, deviations), each step's gradients summed over all rows where they lie, and then band by band of the parameters."""
     spark = rows.sparkSession
-    kept = stage(rows.select("fold", "skip", "x", "y"), "head-rows")
+    kept = stage(rows.select("fold", "skip", "x", "y", "key"), "head-rows")
 
     def total(make_part) -> dict[int, np.ndarray]:
-        """Sums by fold of make_part(fold, x, y, batch number) over the rows that it is learned from."""
+        """Sums by fold of make_part(fold, x, y, keys) over the rows that it is learned from."""
 
         def part(batches):
             import pyarrow as pa
-            from pyspark import TaskContext
 
             sums: dict[int, np.ndarray] = {}
-            where = TaskContext.get().partitionId()
-            for i, b in enumerate(batches):
+            for b in batches:
                 if not b.num_rows:
                     continue
                 own, skip = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-                x, y = matrix(b.column(2), d), matrix(b.column(3))
+                x, y, keys = matrix(b.column(2), d), matrix(b.column(3)), b.column(4).to_numpy(zero_copy_only=False)
                 for f in folds:
                     use = np.array([o != f and f not in s for o, s in zip(own.tolist(), skip, strict=True)])
                     if use.any():
-                        sums[f] = sums.get(f, 0) + make_part(f, x[use], y[use], (where, i))
+                        sums[f] = sums.get(f, 0) + make_part(f, x[use], y[use], keys[use])
             for f, v in sums.items():
-                yield pa.record_batch([pa.array([f], pa.int32()), pa.array([0], pa.int32()), pa.array([np.ascontiguousarray(v, dtype=np.float64).tobytes()])], names=["fold", "part", "sums"])
+                v = np.ascontiguousarray(v, dtype=np.float64)
+                for at in range(0, len(v), BAND_NUMBERS):
+                    yield pa.record_batch([pa.array([f], pa.int32()), pa.array([at // BAND_NUMBERS], pa.int32()), pa.array([v[at : at + BAND_NUMBERS].tobytes()])], names=["fold", "part", "sums"])
 
         kind = "fold int, part int, sums binary"
-        return {f: np.frombuffer(s, dtype=np.float64) for f, s in _pairs_of(_add_up(kept.mapInArrow(part, kind), ["fold", "part"], kind))}
+        bands: dict[int, list[bytes]] = {}
+        for f, s in _pairs_of(_add_up(kept.mapInArrow(part, kind), ["fold", "part"], kind)):
+            bands.setdefault(f, []).append(s)
+        return {f: np.frombuffer(b"".join(s), dtype=np.float64) for f, s in bands.items()}
 
-    first = total(lambda f, x, y, at: np.concatenate([x.sum(axis=0), y.sum(axis=0)]))
+    first = total(lambda f, x, y, keys: np.concatenate([x.sum(axis=0), y.sum(axis=0)]))
     mu = {f: first[f][:d] / sizes[f] for f in folds}
-    spread = total(lambda f, x, y, at: ((x - mu[f]) ** 2).sum(axis=0))
+    spread = total(lambda f, x, y, keys: ((x - mu[f]) ** 2).sum(axis=0))
     sd = {f: np.sqrt(spread[f] / max(1, sizes[f] - 1)) + 1e-6 for f in folds}
     pw = {f: pos_weight(sizes[f], first[f][d:]) for f in folds}
     steps = {f: make().steps() for f in folds}
@@ -465,11 +501,11 @@ def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, in
     while now:
         shared = spark.sparkContext.broadcast((now, mu, sd, pw))
 
-        def grads(f, x, y, at, shared=shared, t=t):
+        def grads(f, x, y, keys, shared=shared, t=t):
             now, mu, sd, pw = shared.value
             if f not in now:
                 return np.zeros(1)
-            loss, g = make().sums(now[f], (x - mu[f]) / sd[f], y, sizes[f], pw[f], np.random.default_rng([seed, t, *at]))
+            loss, g = make().sums(now[f], (x - mu[f]) / sd[f], y, sizes[f], pw[f], Draws(keys, t))
             return np.append(g, loss)
 
         sums = total(grads)
@@ -479,10 +515,20 @@ def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, in
             try:
                 now[f] = steps[f].send((sums[f][-1] + more, sums[f][:-1] + pull))
             except StopIteration as e:
-                done[f] = (e.value, mu[f], sd[f])
+                done[f] = e.value
                 del now[f]
         t += 1
-    return done
+    for _ in range(make().newton_rounds()):
+        shared = spark.sparkContext.broadcast((done, mu, sd, pw))
+
+        def curves(f, x, y, keys, shared=shared):
+            done, mu, sd, pw = shared.value
+            return make().curvature(done[f], (x - mu[f]) / sd[f], y, sizes[f], pw[f])
+
+        sums = total(curves)
+        shared.unpersist()
+        done = {f: make().newton(v, sums[f]) for f, v in done.items()}
+    return {f: (v, mu[f], sd[f]) for f, v in done.items()}
 
 
 def _score(rows: DataFrame, names: list[str], fitted: dict, make, d: int, kind: str) -> DataFrame:

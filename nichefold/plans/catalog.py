@@ -551,6 +551,13 @@ def mlp_oof_2d(s, d):
     return six(heads.head_oof(rows.join(sampling.kfold(rows, "item_id"), "item_id"), ["low", "even"], "mlp", hidden=3, epochs=oracles.STEPS, dropout=0.0))
 
 
+@query
+def mlp_dropout_2d(s, d):
+    """The same with dropout, whose draws any engine repeats."""
+    rows = _plane(s, d)
+    return six(heads.head_oof(rows.join(sampling.kfold(rows, "item_id"), "item_id"), ["low", "even"], "mlp", hidden=3, epochs=oracles.STEPS))
+
+
 @query
 def openvocab_oof_2d(s, d):
     """So few steps that engines' last digits don't drift apart; openvocab_oof takes all."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from nichefold.config import KS, LINEAGES, METHODS, NICHES, PROMPTS, QUERY_SET, variant_specs
+from nichefold.functions.exprs import LEAP
 from nichefold.operators.plots import TYPE_COLORS
 from nichefold.plans.fixtures import ALIASES, MARKERS, SETTINGS, SMALL_POOL, STATE_GENES
 
@@ -336,8 +337,8 @@ def _cosine_map() -> tuple[tuple[str, str], ...]:
     )
 
 
-def _network(hidden: int = 3) -> tuple[tuple[str, str], ...]:
-    """CTEs up to ``oscore``: one hidden layer without dropout on two features, two queries jointly, from numpy's start."""
+def _network(hidden: int = 3, dropout: float = 0.0) -> tuple[tuple[str, str], ...]:
+    """CTEs up to ``oscore``: one hidden layer on two features, two queries jointly, from numpy's start; units drop by hashes of item, step and unit."""
     rng = np.random.default_rng(0)
     start = np.concatenate([rng.uniform(-(fan**-0.5), fan**-0.5, k) for k, fan in ((2 * hidden, 2), (hidden, 2), (hidden * 2, hidden), (2, hidden))]).tolist()
     w1 = lambda i, j: f"t{i * hidden + j}"
@@ -345,11 +346,18 @@ def _network(hidden: int = 3) -> tuple[tuple[str, str], ...]:
     w2 = lambda j, q: f"t{3 * hidden + 2 * j + q}"
     b2 = lambda q: f"t{5 * hidden + q}"
     units, queries = range(hidden), range(2)
-    forward = [(f"h{j}", f"a * {w1(0, j)} + b * {w1(1, j)} + {b1(j)}") for j in units]
-    forward += [(f"z{q}", " + ".join(f"greatest(h{j}, 0) * {w2(j, q)}" for j in units) + f" + {b2(q)}") for q in queries]
-    parts = [*forward, *((f"p{q}", f"1 / (1 + exp(-z{q}))") for q in queries), *((f"g{q}", f"(p{q} * (1 - y{q} + pw{q} * y{q}) - pw{q} * y{q}) / (n * 2)") for q in queries)]
-    parts += [(f"e{j}", "CASE WHEN h%d > 0 THEN %s ELSE 0 END" % (j, " + ".join(f"g{q} * {w2(j, q)}" for q in queries))) for j in units]
-    sums = [f"{x} * e{j}" for x in "ab" for j in units] + [f"e{j}" for j in units] + [f"greatest(h{j}, 0) * g{q}" for j in units for q in queries] + [f"g{q}" for q in queries]
+    layer = [(f"h{j}", f"a * {w1(0, j)} + b * {w1(1, j)} + {b1(j)}") for j in units]
+    drawn = [("draw", h(f"{h('item_id')} + (k + 1)::BIGINT * {LEAP}"))] if dropout else []
+    kept = lambda j: f"h{j} > 0 AND ({h(f'draw + {j * LEAP}')} + 0.5::DOUBLE) / 2147483647.0::DOUBLE >= {dropout}" if dropout else f"h{j} > 0"
+    share = f" * (1 / {1 - dropout!r}::DOUBLE)" if dropout else ""
+    drawn += [(f"m{j}_", f"CASE WHEN {kept(j)} THEN 1.0::DOUBLE{share} ELSE 0.0 END") for j in units] if dropout else []
+    out = lambda j, learning: f"h{j} * m{j}_" if learning and dropout else f"greatest(h{j}, 0)"
+    logits = lambda learning: [(f"z{q}", " + ".join(f"{out(j, learning)} * {w2(j, q)}" for j in units) + f" + {b2(q)}") for q in queries]
+    forward = [*layer, *logits(False)]
+    parts = [*layer, *drawn, *logits(True), *((f"p{q}", f"1 / (1 + exp(-z{q}))") for q in queries), *((f"g{q}", f"(p{q} * (1 - y{q} + pw{q} * y{q}) - pw{q} * y{q}) / (n * 2)") for q in queries)]
+    back = lambda j: " + ".join(f"g{q} * {w2(j, q)}" for q in queries)
+    parts += [(f"e{j}", f"({back(j)}) * m{j}_" if dropout else f"CASE WHEN h{j} > 0 THEN {back(j)} ELSE 0 END") for j in units]
+    sums = [f"{x} * e{j}" for x in "ab" for j in units] + [f"e{j}" for j in units] + [f"{out(j, True)} * g{q}" for j in units for q in queries] + [f"g{q}" for q in queries]
     weight = lambda q: f"least(1000.0, greatest(1.0, (count(*) - sum(y{q})) / (sum(y{q}) + 1e-6))) AS pw{q}"
     scored = f"SELECT item_id, k, a, b, ad.* EXCLUDE (f, k) FROM (SELECT item_id, fold AS f, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b FROM op JOIN onum ON f = fold) o JOIN ad ON ad.f = o.f AND k = {STEPS}"
     for name, expression in forward:
@@ -360,7 +368,7 @@ def _network(hidden: int = 3) -> tuple[tuple[str, str], ...]:
         ("ot", "SELECT f, op.*, (label < 3)::INT::DOUBLE AS y0, (label % 2 = 0)::INT::DOUBLE AS y1 FROM op JOIN (SELECT DISTINCT fold AS f FROM folds) g ON fold <> f"),
         ("onum", _scale),
         ("opw", f"SELECT f, {weight(0)}, {weight(1)} FROM ot GROUP BY f"),
-        ("oz", "SELECT f, n, pw0, pw1, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y0, y1 FROM ot JOIN onum USING (f) JOIN opw USING (f)"),
+        ("oz", "SELECT f, n, item_id, pw0, pw1, (x1 - m1) / s1 AS a, (x2 - m2) / s2 AS b, y0, y1 FROM ot JOIN onum USING (f) JOIN opw USING (f)"),
         ("ad", _adam("oz", start, parts, sums)),
         ("olast", scored),
         ("oscore", "SELECT item_id, 'low' AS query_id, z0 AS score FROM olast UNION ALL SELECT item_id, 'even', z1 FROM olast"),
@@ -663,5 +671,6 @@ SQL: dict[str, str] = {
         *_predicted,
     ),
     "mlp_oof_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM oscore", *_network()),
+    "mlp_dropout_2d": with_(f"SELECT item_id, query_id, {r6('score')} AS score FROM oscore", *_network(3, 0.1)),
     "stain_profile": _stain_fit(),
 }

@@ -749,3 +749,38 @@ def test_hash_encoder_encodes_texts_as_sql_functions_do(spark):
         assert got[6] == [0.0] * 16
         assert got[0] == got[5]
     assert encoders.encode_texts(df, "hash", dim=4).columns == ["i", "text", "vec"]
+
+
+@pytest.mark.parametrize("head", ["logistic", "mlp", "openvocab"])
+def test_heads_give_one_result_whatever_the_size(spark, monkeypatch, head):
+    """In a task a fold and over the cluster, in one partition, five or nine, with bands of a few parameters: the same scores, dropout included."""
+    df, _, _, _ = pool_rows(spark, n=90, d=3)
+    options = {"logistic": {}, "mlp": {"epochs": 60, "hidden": 8}, "openvocab": {"epochs": 60, "vectors": np.eye(3)}}[head]
+    scores = lambda rows: {(r.query_id, r.item_id): r.score for r in heads.head_oof(rows, ["a", "b", "c"], head, **options).collect()}
+    here = scores(df)
+    again = scores(df.repartition(5))
+    monkeypatch.setattr(heads, "WORKER_NUMBERS", 10)
+    monkeypatch.setattr(heads, "BAND_NUMBERS", 7)
+    if head == "logistic":
+        options["rounds"] = 60
+    there, spread = scores(df.repartition(1)), scores(df.repartition(9))
+    assert here.keys() == again.keys() == there.keys() == spread.keys()
+    for k, v in here.items():
+        assert again[k] == pytest.approx(v, abs=1e-12)
+        assert there[k] == pytest.approx(v, abs=1e-9)
+        assert spread[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_draws_depend_on_item_step_and_unit(spark):
+    ids = list(range(7)) + [10**9, 10**12]
+    df = spark.createDataFrame([(i,) for i in ids], "item_id long")
+    keys = np.array([r[0] for r in df.select(stable_hash(F.col("item_id"), 3)).collect()])
+    for step in (0, 5):
+        got = heads.Draws(keys, step).random((9, 4))
+        row = df.select(stable_hash(stable_hash(F.col("item_id"), 3) + (step + 1) * 1000000007).alias("r"))
+        want = [[r[f"u{u}"] for u in range(4)] for r in row.select(*[((stable_hash(F.col("r") + u * 1000000007) + 0.5) / 2147483647.0).alias(f"u{u}") for u in range(4)]).collect()]
+        assert np.array_equal(got, np.array(want))
+        assert np.array_equal(got[3:5], heads.Draws(keys[3:5], step).random((2, 4)))
+    big = heads.Draws(np.arange(400) * 7919 % 2147483647, 1).random((400, 256))
+    assert 0.08 < (big < 0.1).mean() < 0.12
+    assert abs(np.corrcoef(big[:, 0], big[:, 1])[0, 1]) < 0.2
