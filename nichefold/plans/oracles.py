@@ -428,10 +428,11 @@ _predicted = (
     ("pavg", "SELECT c.item_id, d, avg(v) AS v FROM vknn k JOIN vcells c ON c.cell_id = k.cell_id JOIN vdims n ON n.cell_id = k.nbr_id GROUP BY c.item_id, d"),
     (
         "praw",
-        "SELECT item_id, 0 AS b, d, v FROM vdims UNION ALL SELECT item_id, 1, 65 - d, v FROM vdims UNION ALL SELECT item_id, 2, d, v FROM pavg UNION ALL SELECT item_id, 3, d, -v FROM vdims UNION ALL SELECT item_id, 4, d, v * v FROM vdims UNION ALL SELECT item_id, 5, d, -v FROM pavg",
+        # Of the six blocks one is the first reversed and one negated, and one the average negated: ridge on copies is ridge on one times the root of their number.
+        "SELECT item_id, 0 AS b, d, v FROM vdims UNION ALL SELECT item_id, 1, d, v FROM pavg UNION ALL SELECT item_id, 2, d, v * v FROM vdims",
     ),
     ("punits", "SELECT item_id, b * 64 + d AS i, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY item_id, b)), 1e-8) AS v FROM praw"),
-    ("pstd", f"SELECT item_id, i, {_z('v', 'i')} AS v FROM punits WINDOW w AS (PARTITION BY i)"),
+    ("pstd", f"SELECT item_id, i, {_z('v', 'i')} * sqrt(3.0::DOUBLE - (i - 1) // 64) AS v FROM punits WINDOW w AS (PARTITION BY i)"),
     ("pfold", f"SELECT item_id, (row_number() OVER (ORDER BY {h('item_id')}, item_id) - 1) % 5 AS fold FROM vcells"),
     ("pg", "SELECT DISTINCT fold AS f FROM pfold"),
     ("prow", "SELECT item_id, list(v ORDER BY i) AS x FROM pstd GROUP BY item_id"),
@@ -441,7 +442,7 @@ _predicted = (
     ("pz", f"SELECT item_id, gene, {_z('v', 'gene')} AS z FROM pdense WINDOW w AS (PARTITION BY gene)"),
     ("py", "SELECT f, gene AS t, list(z ORDER BY item_id) AS y FROM pz JOIN pfold USING (item_id) JOIN pg ON fold <> f GROUP BY f, gene"),
     ("prhs", f"SELECT c.f, t, list({_dot('c.c', 'y')} ORDER BY i) AS b FROM pcol c JOIN py USING (f) GROUP BY c.f, t"),
-    ("pcg", _conjugate("pcg", "pmat", "prhs", 400)),
+    ("pcg", _conjugate("pcg", "pmat", "prhs", 200)),
     ("pw", "SELECT f, t, arg_max(w, k) AS w FROM pcg GROUP BY f, t"),
     ("pred", f"SELECT r.item_id, t AS gene, {_dot('x', 'w')} AS v FROM prow r JOIN pfold USING (item_id) JOIN pw ON pw.f = fold"),
     ("pmark", "SELECT item_id, lineage_ord, lineage, avg(v) AS score FROM pred JOIN markers USING (gene) GROUP BY ALL"),
