@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +63,16 @@ class Labelled:
     def __init__(self, spark: SparkSession, d: str, settings: Settings = SETTINGS):
         self.spark, self.settings = spark, settings
         self.cells = cells(spark, d)
-        self.counts = counts(spark, d)
+        self.counts = stage(counts(spark, d), "counts")  # totals and values both read it
         self.lognorm = stage(E.normalise(self.counts, settings.target_sum), "lognorm")
         self.n = self.cells.agg(F.count("*").alias("n"))
         self.stats = stage(E.gene_stats(self.lognorm, self.n), "gene-stats")
         self.scores = E.marker_scores(self.cells, self.lognorm, self.stats, markers(spark))
         self.types = E.assign_types(self.scores, settings.type_threshold, settings.type_margin)
-        self.state = E.proliferation(self.cells, self.lognorm, self.stats, state_genes(spark), settings.proliferation_quantile)
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return E.proliferation(self.cells, self.lognorm, self.stats, state_genes(self.spark), self.settings.proliferation_quantile)
 
     def edges(self) -> DataFrame:
         if self.settings.use == "radius" and self.settings.radius is not None:
