@@ -5,7 +5,8 @@ count once, so that copies of a page don't make its article a template.  A subtr
 it stands, before anything else is decided: what is left then says which element holds the main text (a page's only article, or the articles or
 main if they hold most of what is left, else the body).  What a site hasn't pages enough to give away is told by its markup: navigation, headers and
 footers of pages, sidebars, notices, adverts, forms and comments.  Names (class, id, role) count only as whole tokens, on elements that aren't part of a
-sentence, and not on an element that holds most of the text.
+sentence, and not on an element that holds most of the text; within an article, a section with the name of a menu, a notice or related matter stays if it is of
+paragraphs rather than links, unless the site repeats it.
 
 Paragraphs, headings and the like are never template by themselves, nor are lists and tables of an article, nor is anything that holds
 the article or most of its text, so a passage that many articles share stays.  The set of a host's template hashes is bounded by the share of pages
@@ -47,6 +48,7 @@ ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead"
 #: Opening one of these closes an open one of the others in its set.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+PARAGRAPHS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 #: Elements that aren't article wherever they stand, and those of which that holds unless they are all there is.
 DROPPED = frozenset("aside footer head nav".split())
 DROPPED_IF_SMALL = frozenset("button dialog form menu".split())
@@ -57,6 +59,11 @@ MARKS = frozenset(
     "recommended recommendations related search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+#: Of the marks, those that aren't a word for a part of an article: others leave paragraphs of an article alone.
+CERTAIN = COMMENTS | frozenset(
+    "ad ads adbox adsense adslot advert adverts advertisement advertising consent cookie cookies gdpr modal newsletter overlay paywall popup promo promoted promotion signup sponsor "
+    "sponsored subscribe subscription".split()
+)
 PAGE_MARKS = frozenset("banner header masthead topbar".split())
 PLACES = frozenset(
     "area bar block blocks bottom box boxes buttons container form global group icons inner item items left links list lists lower main media menu outer page panel post posts "
@@ -234,6 +241,20 @@ def _in_sentence(node: Node) -> bool:
     return node.tag not in BLOCKS and up is not None and (up.tag in PROSE or up.tag not in BLOCKS or any(isinstance(c, str) and c.strip() for c in up.children))
 
 
+def _paragraphs(node: Node) -> int:
+    """Characters of an element's paragraphs and headings that aren't links."""
+    total, stack = 0, [(node, False)]
+    while stack:
+        x, inside = stack.pop()
+        inside = inside or x.tag in PARAGRAPHS
+        for c in x.children:
+            if isinstance(c, str):
+                total += len(c.strip()) * inside
+            elif c.tag != "a" and not c.gone:
+                stack.append((c, inside))
+    return total
+
+
 def _strike(order: list[Node], template: frozenset, names: bool) -> None:
     """Marks what isn't main text as gone: repeated subtrees and elements by their tag, then elements by their names."""
     root, marked = order[0], []
@@ -258,6 +279,8 @@ def _strike(order: list[Node], template: frozenset, names: bool) -> None:
         article = node.inside
         if whole and node.holds == whole or found <= PAGE_MARKS and article or _in_sentence(node):
             continue
+        if article and not found & CERTAIN and _paragraphs(node) > MOST * node.left:
+            continue
         share = MOST_COMMENTS if found & COMMENTS else MOST
         if lone and not article and not node.holds or node.left <= share * (article or root).left:
             node.gone = True

@@ -99,6 +99,10 @@ def test_templates_within_articles(spark):
         ('<body><main><p>main text of it all</p></main><div>tail</div></body>', "main text of it all"),
         ('<article><p>a first part</p></article><hr><article><p>and a second</p></article>', "a first part\nand a second"),
         ("<div>" * 3000 + "<article>deep</article>", "deep"),
+        ('<article><p>first part</p><section class="related"><h2>Related work</h2><p>Others have done this.</p></section></article>', "first part\nRelated work\nOthers have done this."),
+        ('<article><p>we ate there</p><div id="menu"><h2>Menu</h2><p>Soup, then <a href="/f">fish</a>.</p></div><p>and left</p></article>', "we ate there\nMenu\nSoup, then fish.\nand left"),
+        ('<article><p>a b c d e f g</p><div class="alert"><p>Mind the step.</p></div><div id="share"><p>Each has a share.</p></div></article>', "a b c d e f g\nMind the step.\nEach has a share."),
+        ('<article><p>a b c d e f g h</p><div class="related"><p><a href="/x">Another page</a></p></div><div class="advert"><p>Buy it.</p></div></article>', "a b c d e f g h"),
         ('<article><header><h1>Head</h1></header><p>text</p><footer>by me</footer></article>', "Head\ntext"),
     ],
 )
@@ -106,6 +110,16 @@ def test_names_that_mislead(source, want):
     assert html_text.main_text(source) == want
 
 
+def test_repeated_sections_with_paragraphs_go(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        a = prose(rng)
+        rows.append((i, "https://k.example/", f"<article><p>{a}</p><div class='alert'><p>We are closed on Mondays.</p></div></article>", a))
+    assert extracted(spark, rows) == {r[0]: r[3] for r in rows}
+    assert "Mondays" in html_text.main_text(rows[0][2])
+
+
 def test_text_column_that_is_there(spark):
     df = spark.createDataFrame([(1, "https://h/", "<p>x</p>", "mine")], "page_id long, url string, html string, text string")
     r = html_text.extract(df).first()
