@@ -69,10 +69,10 @@ def _gram_bands(rows: DataFrame, width: int, folds: list[int]) -> DataFrame:
                 yield pa.record_batch([pa.array([f], pa.int32()), pa.array([at // high], pa.int32()), pa.array([m[at : at + high].tobytes()])], names=["fold", "band", "sums"])
 
     kind = "fold int, band int, sums binary"
-    return _add_up(rows.select(F.col("fold").cast("int"), "v").mapInArrow(partial, kind), ["fold", "band"], kind)
+    return add_up(rows.select(F.col("fold").cast("int"), "v").mapInArrow(partial, kind), ["fold", "band"], kind)
 
 
-def _add_up(parts: DataFrame, by: list[str], kind: str) -> DataFrame:
+def add_up(parts: DataFrame, by: list[str], kind: str) -> DataFrame:
     """Sums of equally long blocks of doubles by two int columns, in a stream over sorted rows."""
 
     def run(batches):
@@ -146,7 +146,7 @@ def ridge_oof(rows: DataFrame, n_targets: int, alpha: float = 1.0, intercept: bo
     if not folds:
         return rows.sparkSession.createDataFrame([], kind)
     found: dict[int, list[bytes]] = {}
-    for f, s in _pairs_of(ridge_models(rows, n_targets, dim, folds, alpha, intercept, skip_empty)):
+    for f, s in pairs_of(ridge_models(rows, n_targets, dim, folds, alpha, intercept, skip_empty)):
         found.setdefault(f, []).append(s)
     models = {f: np.frombuffer(b"".join(s), dtype=np.float64).reshape(dim + 1, n_targets) for f, s in found.items()}
     shared = rows.sparkSession.sparkContext.broadcast(models)
@@ -170,7 +170,7 @@ def ridge_oof(rows: DataFrame, n_targets: int, alpha: float = 1.0, intercept: bo
     return rows.select("item_id", "fold", "x").mapInArrow(predict, kind)
 
 
-def _pairs_of(parts: DataFrame) -> list[tuple[int, bytes]]:
+def pairs_of(parts: DataFrame) -> list[tuple[int, bytes]]:
     t = parts.orderBy(*parts.columns[:2]).toArrow()
     return list(zip(t.column(0).to_pylist(), t.column(2).to_pylist(), strict=True))
 
@@ -485,7 +485,7 @@ def _fit_on_cluster(rows: DataFrame, make, folds: list[int], sizes: dict[int, in
 
         kind = "fold int, part int, sums binary"
         bands: dict[int, list[bytes]] = {}
-        for f, s in _pairs_of(_add_up(kept.mapInArrow(part, kind), ["fold", "part"], kind)):
+        for f, s in pairs_of(add_up(kept.mapInArrow(part, kind), ["fold", "part"], kind)):
             bands.setdefault(f, []).append(s)
         return {f: np.frombuffer(b"".join(s), dtype=np.float64) for f, s in bands.items()}
 

@@ -669,6 +669,15 @@ def label_validation(s, d):
     return six(validation.cluster_agreement(t.types, found))
 
 
+@query
+def component_spectrum(s, d):
+    """What the cells' components hold of the variance of their z-scores, all of it, and how it is spread: the sum of the variances' squares."""
+    t = _typed(s, d)
+    points, _ = validation.sparse_components(t.cells, t.lognorm, t.stats, 30)
+    per = points.select(F.posexplode("features").alias("c", "v")).groupBy("c").agg(F.var_pop("v").alias("var"))
+    return six(per.agg(F.count("*").alias("n_components"), F.sum("var").alias("total"), F.sum(F.col("var") * F.col("var")).alias("squared")))
+
+
 @query
 def label_purity(s, d):
     """How well types agree with given clusters: purity and normalised mutual information."""

@@ -555,6 +555,11 @@ SQL: dict[str, str] = {
     "feature_knn": with_(f"SELECT item_id, nbr_id, {r6('d2')} AS d2, rnk FROM vnear"),
     "neighbour_weights": with_(f"SELECT src, dst, {r6('w')} AS w FROM vweights"),
     "graph_modularity": with_(f"SELECT {r6('sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) - 0.5 * (SELECT sum(k * k) FROM (SELECT sum(w) AS k FROM (SELECT a AS c, w FROM vends UNION ALL SELECT b, w FROM vends) GROUP BY c)) / (4 * sum(w) * sum(w))')} AS q FROM vends"),
+    "component_spectrum": with_(
+        f"SELECT count(*) FILTER (g = h) AS n_components, {r6('sum(c) FILTER (g = h)')} AS total, {r6('sum(c * c)')} AS squared FROM zcov",
+        ("zcut", "SELECT cell_id, gene, z - avg(z) OVER (PARTITION BY gene) AS z FROM (SELECT cell_id, gene, least(z, 10) AS z FROM z)"),
+        ("zcov", "SELECT a.gene AS g, b.gene AS h, avg(a.z * b.z) AS c FROM zcut a JOIN zcut b USING (cell_id) GROUP BY ALL"),
+    ),
     "hash_text_features": with_(f"SELECT query_id, {_bucket} AS bucket, count(*) AS n FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query_text), '\\s+')) AS w FROM qs) GROUP BY ALL"),
     "prompt_ensemble": with_(f"SELECT query_id, d, {r6('m / greatest(sqrt(sum(m * m) OVER (PARTITION BY query_id)), 1e-8)')} AS v FROM pmean", ("prompts", _prompts), ("pwords", _words), ("pvec", _pvec), ("punit", _punit), ("pmean", _pmean)),
     "zero_shot_scores": with_(

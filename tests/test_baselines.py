@@ -210,3 +210,37 @@ def test_regions_are_the_best_start_and_settled(spark):
     assert all(len(set(fold[60 * c : 60 * c + 60])) == 1 for c in range(5))
     centres = [xy[fold == f].mean(0)[0] for f in range(5)]
     assert centres == sorted(centres)
+
+
+def test_components_from_non_zeros(spark, small):
+    """Against numpy's decomposition of the dense matrix, zeros and cells without counts included."""
+    cells, counts = X.cells(spark, small), X.counts(spark, small)
+    from nichefold.operators import expression
+
+    cells = cells.unionByName(cells.limit(2).selectExpr("cell_id + 100000 AS cell_id", "x", "y"))
+    lognorm = expression.normalise(counts)
+    stats = expression.gene_stats(lognorm, cells.agg(F.count("*").alias("n")))
+    wide = expression.zscores(cells, lognorm, stats).groupBy("cell_id").pivot("gene").agg(F.first("z")).orderBy("cell_id").collect()
+    for most in (10.0, 1.5):
+        z = np.minimum(np.array([r[1:] for r in wide]), most)
+        z = z - z.mean(axis=0)
+        u, sv, vt = np.linalg.svd(z, full_matrices=False)
+        points, values = validation.sparse_components(cells, lognorm, stats, 30, most)
+        assert np.allclose(np.sqrt(values * len(z)), sv, rtol=1e-6, atol=1e-6)
+        got = np.array([r.features for r in points.orderBy("cell_id").collect()])
+        assert got.shape == (152, 25)
+        assert np.allclose(np.abs(got), np.abs(u * sv), atol=1e-6)
+    few, values = validation.sparse_components(cells, lognorm, stats, 3)
+    assert len(few.first().features) == len(values) == 3
+    none, values = validation.sparse_components(cells, lognorm.limit(0), stats.limit(0), 3)
+    assert none.count() == 152 and len(values) == 0
+
+
+def test_graph_clusters_agree_with_types(spark):
+    rng = np.random.default_rng(1)
+    kinds = np.arange(60) % 3
+    points = spark.createDataFrame([(i, (8.0 * np.eye(3)[k] + rng.normal(size=3) / 4).tolist()) for i, k in enumerate(kinds.tolist())], "cell_id long, features array<double>")
+    found = validation.graph_clusters(points, 8)
+    types = spark.createDataFrame([(i, f"t{k}") for i, k in enumerate(kinds.tolist())], "cell_id long, cell_type string")
+    assert validation.purity(validation.cluster_agreement(types, found)).first()[0] == 1
+    assert found.select("cluster").distinct().count() == 3
