@@ -39,8 +39,6 @@ COORDS = BANDS * ROWS
 LIKELY = 0.65
 #: Rows of a bucket that meet in one task at a time, and that one task reads of it.
 BLOCK, SPAN = 250, 250
-#: Hash slots in which crowded buckets are told of: at most so many rows are broadcast for it, whatever the corpus.
-SLOTS = 1 << 16
 #: Orders of nodes, by the band's number: a node's rank is its bits flipped by one of these.
 ORDERS = (0, 0x5DEECE66D1CE4E5B, -0x61C8864680B583EB, 0x1B873593CC9E2D51)
 FIRST_CELL = -12
@@ -295,11 +293,10 @@ class NearDuplicates:
     @staticmethod
     def dealt(rows: DataFrame, buckets: DataFrame) -> DataFrame:
         """rows (key, node, ..) joined to one row a bucket (key, n, ..) by key; a crowded bucket's rows over several tasks, by their nodes."""
-        slot = lambda df: F.pmod(df["key"], F.lit(SLOTS))
-        parts = buckets.filter(F.col("n") > SPAN).groupBy(slot(buckets).alias("slot")).agg(F.ceil(F.max("n") / SPAN).alias("parts"))
-        told = F.broadcast(materialise(parts, "crowded"))
-        left = rows.join(told, slot(rows) == told["slot"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))).drop("slot", "parts")
-        right = buckets.join(told, slot(buckets) == told["slot"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("slot", "parts")
+        parts, one = F.ceil(F.col("n") / SPAN).cast("long"), F.lit(1).cast("long")
+        crowded = materialise(buckets.filter(F.col("n") > SPAN).select("key", parts.alias("parts")), "crowded")  # joined as its size tells
+        left = rows.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", one))).drop("parts")
+        right = buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > SPAN, parts).otherwise(one) - 1)))
         return left.join(right, ["key", "part"]).drop("part")
 
     @classmethod

@@ -24,12 +24,28 @@ def test_losses_are_as_written():
 def test_dealt_buckets_are_exact(spark, monkeypatch, span, block):
     monkeypatch.setattr(minhash, "SPAN", span)
     monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "SLOTS", 4)
     rows = near_rows(7)
     got = sorted((r.doc_id, r.class_id, r.class_size) for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == near_truth(rows)
 
 
+def test_only_crowded_buckets_are_repeated(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SPAN", 10)
+    rows = spark.createDataFrame([(k, 100 * k + i) for k in range(200) for i in range(95 if k == 7 else 3)], "key long, node long")
+    buckets = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    dealt = minhash.NearDuplicates.dealt(rows, buckets)
+    assert dealt.count() == rows.count()
+    assert {(r.key, r.node) for r in dealt.collect()} == {tuple(r) for r in rows.collect()}
+    from pyspark.sql import functions as F
+
+    seen = []
+    real = F.explode
+    monkeypatch.setattr(F, "explode", lambda c: seen.append(c) or real(c))
+    minhash.NearDuplicates.dealt(rows, buckets)
+    repeated = buckets.select("key", real(seen[0]).alias("part")).groupBy("key").count().filter("count > 1").collect()
+    assert [tuple(r) for r in repeated] == [(7, 10)]
+
+
 def test_templated_texts(spark):
     """Many texts that share buckets but aren't similar enough, and a chain of those that are."""
     rng = random.Random(4)
