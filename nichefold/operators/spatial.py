@@ -25,11 +25,11 @@ def _square(c: str, width: float) -> Column:
     return F.floor(F.col(c) / F.lit(width)).cast("long")
 
 
-def _pairs(left: DataFrame, right: DataFrame, width: float, spread: bool = False) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, width: float, spread: bool = False, by_right: bool = False) -> DataFrame:
     """Pairs of points in touching squares, with squared distances: an equi-join on the square, of which each point of the left looks at nine.
 
-    spread: squares may be crowded; then the left's rows of such a square are dealt over several tasks, each of which gets all of the right's.  The
-    table that tells of crowded squares has at most SLOTS rows, whatever the points.
+    spread: squares may be crowded; then the left's rows of such a square are dealt over several tasks, each of which gets all of the right's; by_right: the right's
+    are dealt, SPAN or so to a task, and the left's, which are few then, repeated.  The table that tells of crowded squares has at most SLOTS rows, whatever the points.
     """
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = left.select("cell_id", "x", "y", F.explode(near).alias("o"))
@@ -40,9 +40,11 @@ def _pairs(left: DataFrame, right: DataFrame, width: float, spread: bool = False
         return a.join(b, ["gx", "gy"]).select("cell_id", "nbr_id", d2.alias("d2"))
     slot = F.pmod(F.xxhash64("gx", "gy"), F.lit(SLOTS))
     crowd = b.groupBy("gx", "gy").agg(F.count("*").alias("n")).filter(F.col("n") > SPAN).groupBy(slot.alias("slot")).agg(F.ceil(F.max("n") / SPAN).alias("parts"))
-    one = F.lit(1).cast("long")
-    a = a.withColumn("slot", slot).join(F.broadcast(crowd), "slot", "left").withColumn("part", F.pmod(F.xxhash64("cell_id"), F.coalesce("parts", one)))
-    b = b.withColumn("slot", slot).join(F.broadcast(crowd), "slot", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", one) - 1)))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    told = lambda rows: rows.withColumn("slot", slot).join(F.broadcast(crowd), "slot", "left")
+    dealt = lambda rows, key: told(rows).withColumn("part", F.pmod(F.xxhash64(key), parts))
+    repeated = lambda rows: told(rows).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    a, b = (repeated(a), dealt(b, "nbr_id")) if by_right else (dealt(a, "cell_id"), repeated(b))
     return a.join(b, ["gx", "gy", "part"]).select("cell_id", "nbr_id", d2.alias("d2"))
 
 
@@ -67,7 +69,7 @@ def knn_edges(points: DataFrame, k: int, store=None) -> DataFrame:
     Points look in their own and touching grid squares; a point is done when its k-th neighbour is no farther than a square is wide, since
     nothing nearer can lie beyond.  The rest look again with wider squares, until the squares cover everything.  The first squares are so
     small that the fullest holds at most CROWDED * (k + 1) points, and of points at one place only the k + 1 of the least ids can be
-    anyone's neighbours, so no square is a hot one.  store(df) writes and reads back a round's result.
+    anyone's neighbours.  In wider squares, where the few that are left may meet a whole cluster, the cluster's points are dealt over tasks.  store(df) writes and reads back a round's result.
     """
     store = store or stage
     ids = dict(points.dtypes)["cell_id"]
@@ -83,8 +85,10 @@ def knn_edges(points: DataFrame, k: int, store=None) -> DataFrame:
     there = Window.partitionBy("x", "y").orderBy("cell_id")
     targets = store(todo.withColumn("at_", F.row_number().over(there)).filter(F.col("at_") <= k + 1).drop("at_"))
     width = max(_first_width(targets, width, CROWDED * (k + 1)), spread * 1e-12)
+    first = True
     while True:
-        near = _pairs(todo, targets, width).filter("cell_id <> nbr_id")
+        near = (_pairs(todo, targets, width) if first else _pairs(todo, targets, width, True, True)).filter("cell_id <> nbr_id")
+        first = False
         found = near.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
         last = width > spread
         if not last:

@@ -784,3 +784,28 @@ def test_draws_depend_on_item_step_and_unit(spark):
     big = heads.Draws(np.arange(400) * 7919 % 2147483647, 1).random((400, 256))
     assert 0.08 < (big < 0.1).mean() < 0.12
     assert abs(np.corrcoef(big[:, 0], big[:, 1])[0, 1]) < 0.2
+
+
+def test_few_points_meet_a_cluster_in_pieces(spark, monkeypatch):
+    """Scattered points about a dense cluster: each task of a wide square reads a piece of the cluster, and neighbours are as by brute force."""
+    monkeypatch.setattr(spatial, "SPAN", 25)
+    rng = np.random.default_rng(12)
+    xy = np.vstack([rng.normal(0, 1, (600, 2)), rng.uniform(-400, 400, (12, 2))])
+    p = points(spark, xy)
+    few, dense = p.filter("cell_id >= 600").limit(2), p.filter("cell_id < 600")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        near = spatial._pairs(few, dense, 5000.0, True, True)
+        per = [r["count"] for r in near.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(per) == 2 * 600
+    assert max(per) < 2 * 25 * 8
+    got = {}
+    for r in spatial.knn_edges(p, 3).collect():
+        got.setdefault(r.cell_id, []).append((r.rnk, r.nbr_id))
+    for i in range(len(xy)):
+        d2 = ((xy - xy[i]) ** 2).sum(1)
+        assert [j for _, j in sorted(got[i])] == [j for j in sorted(range(len(xy)), key=lambda j: (d2[j], j)) if j != i][:3]
