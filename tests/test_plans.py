@@ -33,6 +33,15 @@ def test_neighbours_are_found_by_equi_joins(spark, small):
     assert "NestedLoop" not in p
 
 
+def test_pairs_are_dealt_by_squares_however_few_bytes(spark, small):
+    """A scan of few bytes is one task, and work is in the pairs: neither side may be broadcast to it."""
+    e = spatial.radius_edges(X.cells(spark, small), 50.0)
+    assert "SortMergeJoin" in plan(e)
+    before = X.cells(spark, small).rdd.getNumPartitions()
+    assert before == 1
+    assert e.rdd.getNumPartitions() >= 8
+
+
 def test_counts_are_combined_before_the_shuffle(spark, small):
     p = plan(X.counts(spark, small))
     assert "partial_sum" in p
