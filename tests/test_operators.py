@@ -221,6 +221,19 @@ def test_crowded_squares_are_dealt(spark, monkeypatch):
     assert rows(spatial.radius_edges(p, 2.5)) == plain
 
 
+def test_composition_within_a_radius_shuffles_no_pairs(spark):
+    """As by the edges, with unknown and untyped neighbours and points without any; what is shuffled after the pairs is counts."""
+    rng = np.random.default_rng(4)
+    p = points(spark, np.vstack([rng.random((300, 2)) * 30, [(500, 500)]]))
+    types = p.select("cell_id", F.when(F.col("cell_id") % 3 == 0, "T_cell").when(F.col("cell_id") % 3 == 1, "unknown").otherwise("B_cell").alias("cell_type")).filter("cell_id % 7 <> 0")
+    got = spatial.radius_composition(p, 6.0, types)
+    assert rows(got) == rows(spatial.composition(p, spatial.radius_edges(p, 6.0), types))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    above = text[: text.index("SortMergeJoin [gx")]
+    assert "partial_count" in above
+    assert "nbr_id" not in above.split("partial_count")[0]
+
+
 def test_niche_precedence(spark):
     n = {"Epithelial": 4, "T_cell": 3, "Endothelial": 2, "Fibroblast": 1}
     comp = spark.createDataFrame([(0, *(n.get(t, 0) / 15 for t in config.LINEAGES))], "cell_id long, " + ", ".join(f"frac_{t} double" for t in config.LINEAGES))
