@@ -76,3 +76,24 @@ def test_pointers_that_do_not_agree(spark, tmp_path):
     (tmp_path / "m.h5").write_bytes(hdf5.write_file({f"matrix/{k}": v for k, v in parts.items()}))
     with pytest.raises(Exception, match="agree"):
         hdf5.read_matrix(spark, str(tmp_path / "m.h5"))[0].collect()
+
+
+def test_matrices_are_packed_by_tasks_some_cells_a_file(spark, tmp_path, monkeypatch):
+    """No file holds all, none of it comes to the driver, and files that are written out read the same."""
+    monkeypatch.setattr(hdf5, "PACKED", 10)
+    want = sorted((f"c{i}", g, float(i + g)) for i in range(200) for g in range(i % 5))
+    counts = spark.createDataFrame([(c, g, v) for c, g, v in want], "cell_id string, gene int, cnt double").repartition(7)
+    features = [(g, f"g{g}", "Gene Expression") for g in range(5)]
+    files = hdf5.pack(counts, features, 200)
+    held = files.collect()
+    assert len(held) >= 15
+    assert len({f.file for f in held}) == len(held)
+    assert max(len(hdf5.File(f.content).read("matrix/barcodes")) for f in held) < 40
+    for f in held:
+        (tmp_path / f"{f.file}.h5").write_bytes(f.content)
+    for cells, names in (hdf5.matrices(files.select("content")), hdf5.read_matrix(spark, str(tmp_path))):
+        got = sorted((r.cell_id, i, v) for r in cells.collect() for i, v in zip(r.indices, r.data, strict=True))
+        assert got == want
+        assert sorted(map(tuple, names.collect())) == features
+    none = hdf5.pack(counts.limit(0), features, 0)
+    assert none.collect() == []
