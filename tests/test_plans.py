@@ -42,6 +42,26 @@ def test_pairs_are_dealt_by_squares_however_few_bytes(spark, small):
     assert e.rdd.getNumPartitions() >= 8
 
 
+def test_patches_are_made_over_many_tasks(spark, small):
+    assert X.cells(spark, small).rdd.getNumPartitions() == 1
+    assert catalog._patches(spark, small).rdd.getNumPartitions() >= 8
+
+
+def test_a_sample_of_pixels_is_drawn_by_ids_alone(spark, small):
+    from nichefold.operators import imaging
+
+    p = plan(imaging.pixel_rows(catalog._patches(spark, small), 40, 5))
+    assert re.search(r"TakeOrderedAndProject\(limit=40.*output=\[cell_id#\d+L\]\)", p)
+
+
+def test_regions_are_staged_over_many_tasks(spark, small, monkeypatch):
+    parts = []
+    stage = spatial.stage
+    monkeypatch.setattr(spatial, "stage", lambda df, name="stage": (parts.append(df.rdd.getNumPartitions()), stage(df, name))[1])
+    spatial.kmeans_regions(X.cells(spark, small), 2, 0, starts=2, rounds=2).collect()
+    assert parts[0] >= 8
+
+
 def test_counts_are_combined_before_the_shuffle(spark, small):
     p = plan(X.counts(spark, small))
     assert "partial_sum" in p
