@@ -13,6 +13,8 @@ from nichefold.sources.stage import stage
 
 #: Centres that one task cuts from a tile.
 TOGETHER = 500
+#: Bytes of pixels, about, that go into one row batch.
+PIXELS = 300_000
 
 
 def _patch(rows: DataFrame) -> str:
@@ -148,14 +150,24 @@ def pixel_rows(patches: DataFrame, sample: int | None = None, seed: int = 0) ->
     """(r, g, b) of all pixels of patches, or of a uniform sample of so many patches."""
     ship(patches.sparkSession)
     if sample is not None:
-        patches = uniform_subset(patches, "cell_id", sample, seed)
+        patches = patches.join(F.broadcast(uniform_subset(patches.select("cell_id"), "cell_id", sample, seed)), "cell_id", "left_semi")  # drawn by ids alone
 
-    def run(batches):
+    def made(held):
         import pyarrow as pa
 
+        v = np.concatenate(held).reshape(-1, 3).astype(np.int32)
+        return pa.record_batch([pa.array(v[:, i].copy()) for i in range(3)], names=["r", "g", "b"])
+
+    def run(batches):
         for b in batches:
+            held, size = [], 0
             for p in b.column(0):
-                v = np.frombuffer(p.as_py(), np.uint8).reshape(-1, 3).astype(np.int32)
-                yield pa.record_batch([pa.array(v[:, i].copy()) for i in range(3)], names=["r", "g", "b"])
+                held.append(np.frombuffer(p.as_buffer(), np.uint8))
+                size += len(held[-1])
+                if size >= PIXELS:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
 
     return patches.select("px").mapInArrow(run, "r int, g int, b int")
