@@ -822,3 +822,27 @@ def test_few_points_meet_a_cluster_in_pieces(spark, monkeypatch):
     for i in range(len(xy)):
         d2 = ((xy - xy[i]) ** 2).sum(1)
         assert [j for _, j in sorted(got[i])] == [j for j in sorted(range(len(xy)), key=lambda j: (d2[j], j)) if j != i][:3]
+
+
+def test_draws_without_divisions_are_the_same():
+    keys = np.concatenate([heads.stable_hashes(np.arange(700, dtype=np.int64), 3), [0, 1, 2147483645, 2147483646]])
+    for step in range(20):
+        d = heads.Draws(keys, step)
+        for rate in (0.0, 0.1, 0.5, 1.0):
+            assert np.array_equal(d.kept((len(keys), 64), rate), d.random((len(keys), 64)) >= rate)
+
+
+@pytest.mark.parametrize("head", ["logistic", "mlp"])
+def test_a_task_works_on_some_rows_at_a_time(head, monkeypatch):
+    """What a step works out for each row is never there for all rows, and fits agree."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 5))
+    y = (x[:, :2] + rng.standard_normal((500, 2)) > 0).astype(float)
+    options = {"epochs": 20, "hidden": 8} if head == "mlp" else {}
+    whole = heads.fit(heads.HEADS[head](5, 2, **options), x, y)
+    monkeypatch.setattr(heads, "TOGETHER", 64)
+    model, most = heads.HEADS[head](5, 2, **options), []
+    sums = model.sums
+    model.sums = lambda theta, x, *rest: (most.append(len(x)), sums(theta, x, *rest))[1]
+    assert np.allclose(heads.fit(model, x, y), whole, rtol=1e-9, atol=1e-9)
+    assert max(most) == 64
