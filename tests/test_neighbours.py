@@ -89,3 +89,27 @@ def test_odd_rows(spark):
     assert empty.collect() == []
     with pytest.raises(Exception, match="different widths"):
         found(spark, [(1, [0.0]), (2, [0.0, 1.0])], 1)
+
+
+def test_rows_go_once_to_a_task(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(3000, 24))
+    rows = list(enumerate((x / np.linalg.norm(x, axis=1)[:, None]).tolist()))
+    got, join = found(spark, rows, 7, parts=2)
+    same(got, brute(rows, 7))
+    assert 0 < join.sent <= 2 * 4 * len(rows)  # two tasks a core, though rows without structure ask nearly all 55 cells
+
+
+@pytest.mark.parametrize(("scale", "offset"), [(1.0, 0.0), (1.0, 1e6), (1e-25, 0.0), (1e22, 0.0), (1.0, 1e30)])
+def test_single_precision_rules_nothing_near_out(scale, offset):
+    rnd = np.random.default_rng(3)
+    x = scale * rnd.normal(size=(500, 6)) + offset
+    x[::5] = x[0]
+    near = neighbours.Nearest(x, 9, np.full(len(x), np.inf))
+    ids = np.arange(len(x))
+    for at in range(0, len(x), 90):
+        near.meet(ids, ids[at : at + 90], x[at : at + 90], x[at])
+    near.rank()
+    for i, v in enumerate(x):
+        d = ((x - v) ** 2).sum(axis=1)
+        assert near.ids[i].tolist() == np.lexsort((ids, d))[:9].tolist()
