@@ -16,9 +16,13 @@ from nichefold.sources.stage import stage
 
 def components(z: DataFrame, genes: list, k: int) -> DataFrame:
     """(cell_id, features): the k first principal components of dense rows (cell_id, gene, z)."""
+    return wide_components(z.groupBy("cell_id").pivot("gene", genes).agg(F.first("z")), genes, k)
+
+
+def wide_components(wide: DataFrame, genes: list, k: int) -> DataFrame:
+    """(cell_id, features): the k first principal components of rows with a column a gene."""
     from pyspark.ml.feature import PCA, VectorAssembler
 
-    wide = z.groupBy("cell_id").pivot("gene", genes).agg(F.first("z"))
     rows = VectorAssembler(inputCols=[str(g) for g in genes], outputCol="all").transform(wide).select("cell_id", "all")
     return PCA(k=k, inputCol="all", outputCol="features").fit(rows).transform(rows).select("cell_id", "features")
 

@@ -846,3 +846,23 @@ def test_a_task_works_on_some_rows_at_a_time(head, monkeypatch):
     model.sums = lambda theta, x, *rest: (most.append(len(x)), sums(theta, x, *rest))[1]
     assert np.allclose(heads.fit(model, x, y), whole, rtol=1e-9, atol=1e-9)
     assert max(most) == 64
+
+
+def test_cells_by_lineages_and_by_genes_are_not_shuffled(spark):
+    import re
+
+    from nichefold.operators import expression
+
+    cells = spark.createDataFrame([(i,) for i in range(5)], "cell_id long")
+    values = [(0, 1, 2.0), (0, 2, 1.0), (1, 2, 3.0), (2, 4, 4.0), (3, 1, 90.0)]
+    lognorm = spark.createDataFrame(values, "cell_id long, gene int, v double")
+    stats = spark.createDataFrame([(1, 1.0, 2.0), (2, 0.5, 1.0), (4, 0.0, 1.0)], "gene int, mu double, sd double")
+    markers = spark.createDataFrame([(0, "a", 1), (0, "a", 2), (1, "b", 4), (1, "b", 9), (2, "c", 9)], "lineage_ord int, lineage string, gene int")
+    scores = expression.marker_scores(cells, lognorm, stats, markers)
+    wide = expression.wide_zscores(cells, lognorm, stats, [1, 2, 4], 10.0)
+    for df in (scores, wide):
+        assert not re.search(r"hashpartitioning\(cell_id#\d+L?, (lineage|gene)", df._jdf.queryExecution().executedPlan().toString())
+    dense = {(i, g): (dict(((c, x), v) for c, x, v in values).get((i, g), 0.0) - mu) / sd for i in range(5) for g, mu, sd in ((1, 1.0, 2.0), (2, 0.5, 1.0), (4, 0.0, 1.0))}
+    got = {(r.cell_id, r.lineage): r.score for r in scores.collect()}
+    assert got == pytest.approx({(i, n): z for i in range(5) for n, z in (("a", (dense[i, 1] + dense[i, 2]) / 2), ("b", dense[i, 4]), ("c", 0.0))})
+    assert {(r.cell_id, g): r[str(g)] for r in wide.collect() for g in (1, 2, 4)} == pytest.approx({k: min(v, 10.0) for k, v in dense.items()})
