@@ -35,7 +35,7 @@ def labelled(raw: DataFrame, all_counts: DataFrame, config: dict) -> DataFrame:
     stats = stage(E.gene_stats(lognorm, cells.agg(F.count("*").alias("n"))), "gene-stats")
     types = stage(E.assign_types(E.marker_scores(cells, lognorm, stats, X.markers(spark)), SETTINGS.type_threshold, SETTINGS.type_margin), "types")
     state = E.proliferation(cells, lognorm, stats, X.state_genes(spark), SETTINGS.proliferation_quantile)
-    near = spatial.composition(cells, spatial.knn_edges(cells, config["k"]), types)
+    near = spatial.knn_composition(cells, config["k"], types)
     niches = spatial.niche_labels(near, SETTINGS.niche).select("cell_id", *[f"niche_{n}" for n in NICHES], "niche_label")
     return stage(cells.join(types, "cell_id").join(state, "cell_id").join(niches, "cell_id"), "labelled")
 

@@ -221,6 +221,28 @@ def test_crowded_squares_are_dealt(spark, monkeypatch):
     assert rows(spatial.radius_edges(p, 2.5)) == plain
 
 
+def test_nearest_neighbours_shuffle_no_pairs(spark):
+    """Ranks and counts are worked out where pairs are found, also of many points at one place and of rows that share an id; composition is as by the edges."""
+    rng = np.random.default_rng(5)
+    xy = np.vstack([rng.random((200, 2)) * 30, np.full((50, 2), 7.0), [(500, 500)]])
+    p = points(spark, xy)
+    plans, kept = [], []
+
+    def store(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        kept.append(df.localCheckpoint())
+        return kept[-1]
+
+    edges = spatial.knn_edges(p, 4, store)
+    ranked = next(t for t in plans if "SortMergeJoin [gx" in t)
+    assert "Exchange" not in ranked[: ranked.index("SortMergeJoin [gx")]
+    types = p.select("cell_id", F.when(F.col("cell_id") % 3 == 0, "T_cell").when(F.col("cell_id") % 3 == 1, "unknown").otherwise("B_cell").alias("cell_type")).filter("cell_id % 7 <> 0")
+    assert rows(spatial.knn_composition(p, 4, types)) == rows(spatial.composition(p, edges, types))
+    twice = p.union(p.select("cell_id", F.col("x") + 0.5, F.col("y") + 0.25).filter("cell_id < 3"))
+    got = rows(spatial.knn_edges(twice, 4).filter("cell_id < 3"), "cell_id", "rnk")
+    assert [tuple(r)[-1] for r in got] == [1, 2, 3, 4] * 3
+
+
 def test_composition_within_a_radius_shuffles_no_pairs(spark):
     """As by the edges, with unknown and untyped neighbours and points without any; what is shuffled after the pairs is counts."""
     rng = np.random.default_rng(4)
