@@ -130,7 +130,8 @@ def _proposals(g: Graph, c: str, within: str | None) -> DataFrame:
     whose = [F.col(within).alias("whose")] if within else []
     there = g.nodes.select(F.col("i").alias("j"), F.col(c).alias("to"), F.col("size").alias("to_size"), *whose)
     me = g.nodes.select("i", "k", F.col(c).alias("a"), F.col("size").alias("own_size"), "n", *([F.col(within).alias("mine"), "whole"] if within else []))
-    met = g.links.join(there, "j").groupBy("i", "to").agg(F.sum("w").alias("w"), F.first("to_size").alias("to_size"), *([F.first("whose").alias("whose")] if within else []))
+    # links are shuffled by node once, for their sums and all that follows
+    met = g.links.join(there, "j").repartition("i").groupBy("i", "to").agg(F.sum("w").alias("w"), F.first("to_size").alias("to_size"), *([F.first("whose").alias("whose")] if within else []))
     rows = met.join(me, "i")
     if within:
         rows = rows.filter("whose = mine").withColumn("own", F.lit(0).cast("long"))

@@ -196,3 +196,13 @@ def test_modularity(spark):
     halves = spark.createDataFrame([(i, i // 4) for i in range(1, 7)], "node long, community int")
     assert C.modularity(edges, halves).first().q == pytest.approx(6 / 7 - 0.5)
     assert C.modularity(edges, halves, 0.5).first().q == pytest.approx(6 / 7 - 0.25)
+
+
+def test_links_are_shuffled_by_node_once(spark):
+    """The sums of a round's links lie with their nodes: nothing is shuffled by node and community, and then by node again."""
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 40, 1 + i % 3) for i in range(40)], "src long, dst long, w long")
+    g = C.graph_of(edges, 1.0)
+    g.nodes = C._sized(g.nodes, "c")
+    plan = C._proposals(g, "c", None)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("to#" in line for line in shuffles), shuffles
