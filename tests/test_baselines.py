@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nichefold.config import LINEAGES
+from nichefold.functions.exprs import l2_normalise
 from nichefold.operators import relevance, spatial, validation
 from nichefold.plans import baselines, catalog
 from nichefold.plans import fixtures as X
@@ -122,6 +124,34 @@ def test_predicted_expression(inputs):
     assert scores_of(baselines.predicted_expression(inputs), ids) == pytest.approx(want, abs=1e-6)
 
 
+def test_predicted_expression_labels_no_cell_beyond_the_pool(spark, small, inputs, monkeypatch):
+    """Neighbours are sought of the pool's cells only, and no labels are made; the pool and the scores are those of a pool with labels."""
+    sought, nearest = [], spatial._nearest
+    monkeypatch.setattr(spatial, "_nearest", lambda points, *a, **k: sought.append(points.count()) or nearest(points, *a, **k))
+    monkeypatch.setattr(X, "SETTINGS", dataclasses.replace(X.SETTINGS, pool_size=40))
+    i = catalog._inputs(spark, small)
+    n = i.pool.count()
+    assert n < inputs.pool.count()
+    scores = baselines.predicted_expression(i)
+    assert scores.count() == 34 * n
+    assert sought and max(sought) <= n
+    whole = i.labelled_pool()
+    assert max(sought) > n
+    assert sorted(i.pool.select("cell_id", "pool_idx", "x", "y", "cell_type").collect()) == sorted(whole.select("cell_id", "pool_idx", "x", "y", "cell_type").collect())
+    again = dataclasses.replace(i, pool=whole, labels=None, _kept={})
+    assert sorted(baselines.predicted_expression(again).collect()) == sorted(scores.collect())
+
+
+def test_a_length_is_worked_out_once_a_vector(spark):
+    """Work that grows with the square of a vector's width takes most of a minute here."""
+    v = [float(k % 7 - 3) for k in range(20_000)]
+    began = time.monotonic()
+    rows = spark.createDataFrame([(0, v), (1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, None)], "i int, v array<double>").select("i", l2_normalise(F.col("v")).alias("u")).orderBy("i").collect()
+    assert time.monotonic() - began < 15
+    assert rows[0].u == pytest.approx((np.array(v) / np.linalg.norm(v)).tolist(), abs=1e-12)
+    assert [r.u for r in rows[1:]] == [[0.0, 0.0], [0.6, 0.8], None]
+
+
 def test_dispatcher(inputs, spark):
     out, skipped = baselines.run(inputs, ["random", "nonsense", "plip", "openvocab", "cellseek_mlp"])
     assert skipped == {"nonsense": "unknown baseline"}
