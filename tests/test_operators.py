@@ -888,3 +888,33 @@ def test_cells_by_lineages_and_by_genes_are_not_shuffled(spark):
     got = {(r.cell_id, r.lineage): r.score for r in scores.collect()}
     assert got == pytest.approx({(i, n): z for i in range(5) for n, z in (("a", (dense[i, 1] + dense[i, 2]) / 2), ("b", dense[i, 4]), ("c", 0.0))})
     assert {(r.cell_id, g): r[str(g)] for r in wide.collect() for g in (1, 2, 4)} == pytest.approx({k: min(v, 10.0) for k, v in dense.items()})
+
+
+def test_long_steps_are_shared_and_short_ones_are_not(spark, monkeypatch):
+    """A head of many operations trains on more tasks than folds, whose rows fit a worker each; scores are as by a task a fold, with a fold that has no rows to learn from as well."""
+    df, _, _, _ = pool_rows(spark, n=90, d=3)
+    rows_ = df.withColumn("fold", F.col("fold") % 3).withColumn("skip", F.when(F.col("item_id") % 2 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
+    options, seen = {"epochs": 6, "hidden": 8}, []
+    scores = lambda d: {(r.query_id, r.item_id): r.score for r in heads.head_oof(d, ["a", "b", "c"], "mlp", **options).collect()}
+    fit_on_cluster = heads._fit_on_cluster
+    monkeypatch.setattr(heads, "_fit_on_cluster", lambda *args: (seen.append(args[-1]), fit_on_cluster(*args))[1])
+    nothing = rows_.withColumn("skip", F.array(F.lit(1)))
+    here, bare = scores(rows_), scores(nothing)
+    assert seen == []
+    monkeypatch.setattr(heads, "WORKER_WORK", 6.0 * 30 * 8 * (3 + 3) * 6)
+    scores(rows_.limit(20))
+    scores(rows_)  # too few rows for another task
+    assert seen == []
+    monkeypatch.setattr(heads, "TASK_ROWS", 20)
+    monkeypatch.setattr(heads, "BLOCK_NUMBERS", 21)
+    assert scores(rows_) == pytest.approx(here, abs=1e-9)
+    assert scores(nothing) == pytest.approx(bare, abs=1e-9)
+    assert seen == [4, 4]
+
+
+def test_a_row_is_drawn_once_for_all_folds():
+    keys = heads.stable_hashes(np.arange(50, dtype=np.int64), 3)
+    draws, use = heads.Draws(keys, 7), np.arange(50) % 3 > 0
+    some = draws.of(use).kept((use.sum(), 300), 0.2)
+    assert np.array_equal(some, heads.Draws(keys[use], 7).random((use.sum(), 300)) >= 0.2)
+    assert draws.kept((50, 300), 0.2) is draws.kept((50, 300), 0.2)
